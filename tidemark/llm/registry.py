@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, vbyte
 from tidemark.llm.common import documents
 
 
@@ -12,5 +12,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.production(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vbyte.production(documents(spark, sf_dir))
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op8_token_files": op8_token_files}
 ORACLES: dict[str, str] = {}
