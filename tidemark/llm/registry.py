@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, imatch, separators, vbyte
+from tidemark.llm import bpe, imatch, jaccard, separators, vbyte
 from tidemark.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.production(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.production(documents(spark, sf_dir))
 
@@ -24,5 +28,5 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.production(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_imatch": op4_imatch, "op6_token_counts": op6_token_counts, "op8_token_files": op8_token_files}
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_imatch": op4_imatch, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files}
 ORACLES: dict[str, str] = {}

@@ -116,3 +116,24 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = out * c + h[j : j + n]
     return mix(out)
+
+
+def distinct(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of row (ascending, below 2**20) and hash, sorted by row and then by hash."""
+    if not len(h):
+        return rows, h
+    key = (rows.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+    order = np.argsort(key)
+    key, r, x = key[order], rows[order], h[order]
+    same = key[1:] == key[:-1]
+    if (same & (x[1:] != x[:-1])).any() or rows[-1] >= 1 << 20:  # rows that share the upper bits: sort by all of them
+        order = np.lexsort((h, rows))
+        r, x = rows[order], h[order]
+        same = (r[1:] == r[:-1]) & (x[1:] == x[:-1])
+    new = np.concatenate(([True], ~same))
+    return r[new], x[new]
+
+
+def row_numbers(b: Block) -> np.ndarray:
+    """Of each word of a block, the row counted from the block's first."""
+    return np.repeat(np.arange(b.hi - b.lo), np.diff(b.first))
