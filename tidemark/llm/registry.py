@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, imatch, jaccard, separators, vbyte
+from tidemark.llm import bpe, imatch, jaccard, separators, suffix, vbyte
 from tidemark.llm.common import documents
 
 
@@ -24,9 +24,13 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(documents(spark, sf_dir))
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.production(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_imatch": op4_imatch, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files}
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_imatch": op4_imatch, "op5_suffix_repeats": op5_suffix_repeats, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files}
 ORACLES: dict[str, str] = {}
