@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, imatch, jaccard, separators, suffix, vbyte
+from tidemark.llm import bpe, decontaminate, imatch, jaccard, separators, suffix, vbyte
 from tidemark.llm.common import documents
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.production(documents(spark, sf_dir))
 
@@ -32,5 +36,5 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.production(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_imatch": op4_imatch, "op5_suffix_repeats": op5_suffix_repeats, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files}
+QUERIES = {"op1_spaced_seeds": op1_spaced_seeds, "op2_byte_bpe": op2_byte_bpe, "op4_imatch": op4_imatch, "op5_suffix_repeats": op5_suffix_repeats, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files}
 ORACLES: dict[str, str] = {}
