@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
@@ -91,3 +91,12 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         yield from b.to_pylist()
+
+
+def bounded_sample(rows: DataFrame, by: str, cap: int) -> DataFrame:
+    """At most cap rows of each value of by, those of the smallest hash of doc_id.
+
+    Tasks pass on cap rows of a value at most, so a frequent value is no burden.
+    """
+    w = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= cap).drop("_place")

@@ -21,6 +21,8 @@ _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTERS = np.ones(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = _TABLE[_LOWER]
@@ -61,6 +63,13 @@ class Block:
     end: np.ndarray
     hash: np.ndarray  # of each word, uint64
     first: np.ndarray  # index of each row's first word, and the end
+    run: np.ndarray  # the running sum that hashes come from, one longer than data
+
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more than k bytes, and the hashes of their first k."""
+        at = np.flatnonzero(self.end - self.start > k)
+        s = self.start[at]
+        return at, mix((self.run[s + k] - self.run[s]) * _power(len(self.data))[1][s])
 
     def row_words(self, i: int) -> tuple[int, int]:
         return int(self.first[i]), int(self.first[i + 1])
@@ -77,12 +86,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o
 
 
-def _words(d: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> Block:
+def _words(d: np.ndarray, offs: np.ndarray, lo: int, hi: int, space: np.ndarray) -> Block:
     n = len(d)
     if not n:
-        z = np.zeros(0, np.int64)
-        return Block(lo, hi, d, offs, z, z, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64))
-    word = ~_SPACE[d]
+        z, u = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Block(lo, hi, d, offs, z, z, u, np.zeros(hi - lo + 1, np.int64), u)
+    word = ~space[d]
     cut = np.zeros(n + 1, bool)
     cut[offs] = True
     start = np.flatnonzero(word & (cut[:n] | ~np.concatenate(([False], word[:-1]))))
@@ -92,17 +101,20 @@ def _words(d: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> Block:
     run[0] = 0
     np.cumsum(_WORD[d] * up[:n], out=run[1:])
     h = mix((run[end] - run[start]) * down[start])
-    return Block(lo, hi, d, offs, start, end, h, np.searchsorted(start, offs))
+    return Block(lo, hi, d, offs, start, end, h, np.searchsorted(start, offs), run)
+
 
+def blocks(column: pa.Array, size: int = BLOCK, space: np.ndarray = _SPACE) -> Iterator[Block]:
+    """The column's rows in blocks of about size bytes; a longer text is a block of its own.
 
-def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
-    """The column's rows in blocks of about size bytes; a longer text is a block of its own."""
+    space tells which bytes part words; LETTERS parts at all ASCII but letters.
+    """
     d, o = text_buffers(column)
     lo, n = 0, len(o) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(o, o[lo] + size, "right")) - 1)
         hi = min(hi, n)
-        yield _words(d[o[lo] : o[hi]], (o[lo : hi + 1] - o[lo]).astype(np.int64), lo, hi)
+        yield _words(d[o[lo] : o[hi]], (o[lo : hi + 1] - o[lo]).astype(np.int64), lo, hi, space)
         lo = hi
 
 
