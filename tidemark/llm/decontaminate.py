@@ -4,7 +4,7 @@ A mask looks at some of a run of words and ignores the others, so a seed still
 hits where words at ignored positions were replaced. Hashes of all masks over the
 benchmark are joined with those of the documents' words; around each hit the
 document is laid along the benchmark item, word by word, and the best run is
-found in which a replaced word costs MISMATCH and an equal one earns 1.
+found in which an equal word earns 1 and a replaced one costs more. Case is ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Dat
     """
     spark = docs.sparkSession
     short_batches(spark)
-    docs = text_only(docs)
+    docs = text_only(docs).withColumn("text", F.lower("text"))
     out = None
     for items in batches_of(spark, benchmark):
         part = search(docs, items, p)
@@ -137,7 +137,7 @@ def batches_of(spark: SparkSession, benchmark: DataFrame) -> Iterator[Searched]:
     ids: list[int] = []
     texts: list[str] = []
     size = 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null").toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
         size += r["text"].count(" ") + 1
