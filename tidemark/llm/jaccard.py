@@ -36,7 +36,7 @@ from tidemark.llm.textvec import Block, blocks, distinct, grams, mix, row_number
 #: Segments that are indexed with their one-deletion neighbourhoods.
 WITH_DELETIONS = 2
 #: Rounds of hubs before all pairs are compared, and how many pairs a class may then have on average.
-HUB_ROUNDS, MEAN_PAIRS = 8, 8
+HUB_ROUNDS, MEAN_PAIRS = 6, 64
 #: Bits of the filter of candidate classes at most (16 MB); a fuller filter lets more sets through to the exact join.
 FILTER_BITS = 1 << 27
 _SEG, _BAND, _ITEM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -252,6 +252,7 @@ def link_classes(docs: DataFrame, p: Params) -> DataFrame | None:
             return roots
         last = turn > HUB_ROUNDS or size["pairs"] <= MEAN_PAIRS * size["rows"]
         one = members.select("s", F.col("c").alias("a"), F.col("root").alias("ra"))
+        print('ROUND',turn,size,last) if 1 else 0
         if last:
             other = members.select("s", F.col("c").alias("b"), F.col("root").alias("rb"))
             more = one.join(other, "s").where("ra != rb and a > b")
@@ -262,6 +263,7 @@ def link_classes(docs: DataFrame, p: Params) -> DataFrame | None:
         found = cut(verified(fresh, items, p), "jaccard-links")
         links = links.unionByName(found)
         tried = tried.unionByName(fresh)
+        print('ROUND',turn,size,last) if 1 else 0
         if last:
             return components(links, "jaccard-components")
     return roots

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark.llm.bpe import byte_chars
 from tidemark.llm.common import cut, id_bounds, id_bucket, partitions, shared_dir, short_batches, strings, text_only
 
 WORD_49K = "word_bpe_49k.json"
@@ -42,7 +43,8 @@ CACHE_WORDS = 500_000
 
 MAGIC = b"TMVB"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
-_BLANK = str.maketrans("\n\r\t", "   ")
+#: Latin letters that normalisation leaves alone and that have one lower-case form, then marks without an apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordBpe(dict):
@@ -50,8 +52,8 @@ class WordBpe(dict):
 
     Text is cut at spaces, tabs and line ends, which the tokenizer drops and
     across which neither its normalisation nor its pre-tokens reach. A plain
-    word of ASCII letters goes to the library's BPE model by itself; anything
-    else goes through the library's whole chain.
+    word of Latin letters goes to the library's BPE model by itself, as bytes
+    written as characters; anything else goes through the library's whole chain.
     """
 
     def __init__(self, path: str):
@@ -59,7 +61,8 @@ class WordBpe(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.plain = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.plain = _PLAIN.fullmatch
+        self.chars = dict(enumerate(byte_chars()))
         self.parts: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
@@ -67,7 +70,8 @@ class WordBpe(dict):
         if out is None:
             if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
-            out = self.parts[text] = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+            chars = text if text.isascii() else text.encode().decode("latin-1").translate(self.chars)
+            out = self.parts[text] = array("H", [t.id for t in self.model.tokenize(chars)]).tobytes()
         return out
 
     def __missing__(self, word: str) -> bytes:
@@ -84,7 +88,7 @@ class WordBpe(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 16-bit integers."""
-        return b"".join(map(self.__getitem__, text.translate(_BLANK).split(" ")))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")))
 
 
 @cache
