@@ -148,6 +148,22 @@ def batches_of(spark: SparkSession, benchmark: DataFrame) -> Iterator[Searched]:
         yield searched(ids, texts)
 
 
+def found_in(column: pa.Array, s: Searched, p: Params) -> Iterator[tuple[int, int, int, int, int]]:
+    """Row, item, start, end and equal words of each run of an item in a lower-cased text column."""
+    for b in blocks(column):
+        for row, item, at in hits(b, s):
+            a, z = b.row_words(row)
+            words = s.words[s.first[item] : s.first[item + 1]]
+            skip = max(0, -at)
+            here = b.hash[a + at + skip : min(z, a + at + len(words))]
+            equal = here == words[skip : skip + len(here)]
+            lo, hi = best_run(equal, p.mismatch)
+            n = int(equal[lo:hi].sum())
+            whole = hi - lo == len(words) and n >= p.whole_item
+            if (n >= p.min_equal or whole) and n >= p.min_share * (hi - lo):
+                yield b.lo + row, s.items[item], at + skip + lo, at + skip + hi, n
+
+
 def search(docs: DataFrame, items: Searched, p: Params) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     names = ["doc_id", "item_id", "start", "end", "n_equal", "share"]
@@ -155,19 +171,7 @@ def search(docs: DataFrame, items: Searched, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         for batch in batches:
-            out: list[tuple] = []
-            for b in blocks(batch.column(1)):
-                for row, item, at in hits(b, s):
-                    a, z = b.row_words(row)
-                    words = s.words[s.first[item] : s.first[item + 1]]
-                    skip = max(0, -at)
-                    here = b.hash[a + at + skip : min(z, a + at + len(words))]
-                    equal = here == words[skip : skip + len(here)]
-                    lo, hi = best_run(equal, p.mismatch)
-                    n = int(equal[lo:hi].sum())
-                    whole = hi - lo == len(words) and n >= p.whole_item
-                    if (n >= p.min_equal or whole) and n >= p.min_share * (hi - lo):
-                        out.append((batch.column(0)[b.lo + row].as_py(), s.items[item], at + skip + lo, at + skip + hi, n, n / (hi - lo)))
+            out = [(batch.column(0)[row].as_py(), item, lo, hi, n, n / (hi - lo)) for row, item, lo, hi, n in found_in(batch.column(1), s, p)]
             if out:
                 cols = list(zip(*out, strict=True))
                 types = [pa.int64()] * 5 + [pa.float64()]
@@ -177,6 +181,28 @@ def search(docs: DataFrame, items: Searched, p: Params) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents without those that hold a run of a benchmark item; columns stay as they are."""
-    leaks = overlaps(docs, benchmark, p).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    """The documents without those that hold a run of a benchmark item; columns stay as they are.
+
+    Every row is judged in its place by its own text, so texts are not shuffled.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    out = docs
+    for items in batches_of(spark, benchmark):
+        out = without(out, items, p)
+    return out
+
+
+def without(docs: DataFrame, items: Searched, p: Params) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, *_ in found_in(batch.column(n), shared.value, p):
+                keep[row] = False
+            own = pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
+            yield own.filter(pa.array(keep))
+
+    return docs.withColumn("_lower", F.lower(F.col("text").cast("string"))).mapInArrow(run, docs.schema)

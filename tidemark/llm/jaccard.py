@@ -252,7 +252,6 @@ def link_classes(docs: DataFrame, p: Params) -> DataFrame | None:
             return roots
         last = turn > HUB_ROUNDS or size["pairs"] <= MEAN_PAIRS * size["rows"]
         one = members.select("s", F.col("c").alias("a"), F.col("root").alias("ra"))
-        print('ROUND',turn,size,last) if 1 else 0
         if last:
             other = members.select("s", F.col("c").alias("b"), F.col("root").alias("rb"))
             more = one.join(other, "s").where("ra != rb and a > b")
@@ -263,7 +262,6 @@ def link_classes(docs: DataFrame, p: Params) -> DataFrame | None:
         found = cut(verified(fresh, items, p), "jaccard-links")
         links = links.unionByName(found)
         tried = tried.unionByName(fresh)
-        print('ROUND',turn,size,last) if 1 else 0
         if last:
             return components(links, "jaccard-components")
     return roots
@@ -291,3 +289,19 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
         classes = classes.select("c", F.col("low").alias("component_id"))
     out = members.join(classes, "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """The documents, of each group of linked ones that of the smallest doc_id; columns stay as they are.
+
+    Documents linked with nothing stay. Rows that share the doc_id that stays all
+    stay if their texts differ; of equal ones one stays.
+    """
+    found = cut(join(docs, p), "jaccard-kept")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():
+        return out
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("again"))
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

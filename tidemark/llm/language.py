@@ -81,6 +81,19 @@ class Model:
     weight: np.ndarray  # 2**BITS x languages
     bias: np.ndarray
 
+    def predict(self, lower: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each lower-cased text."""
+        pred, score = np.full(len(lower), UNKNOWN, object), np.zeros(len(lower))
+        if self.langs:
+            for lo, x in presence(lower):
+                norm = np.sqrt(np.maximum(x.sum(1), 1))[:, None]
+                s = (x.astype(np.float32) @ self.weight) / norm + self.bias
+                pred[lo : lo + len(x)] = np.array(self.langs, object)[s.argmax(1)]
+                score[lo : lo + len(x)] = np.clip((s.max(1) + 1) / 2, 0, 1)
+            bare = ~np.array(letters.to_pylist(), bool)
+            pred[bare], score[bare] = UNKNOWN, 0
+        return pred, score
+
 
 def fit(docs: DataFrame, p: Params) -> Model:
     """Learn from text and lang of the documents that are not held out."""
@@ -130,15 +143,7 @@ def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            if m.langs:
-                for lo, x in presence(batch.column(1)):
-                    norm = np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-                    s = (x.astype(np.float32) @ m.weight) / norm + m.bias
-                    pred[lo : lo + len(x)] = np.array(m.langs, object)[s.argmax(1)]
-                    score[lo : lo + len(x)] = np.clip((s.max(1) + 1) / 2, 0, 1)
-                bare = ~np.array(batch.column(2).to_pylist(), bool)
-                pred[bare], score[bare] = UNKNOWN, 0
+            pred, score = m.predict(batch.column(1), batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     out = _ready(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -146,7 +151,21 @@ def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def accepted(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents whose language was told with at least min_score; columns stay as they are."""
-    told = identify(docs, p)
-    gone = told.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < p.min_score)).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """The documents whose language was told with at least min_score; columns stay as they are.
+
+    Every row is judged in its place by its own text, so texts are not shuffled.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    shared = spark.sparkContext.broadcast(fit(docs, p))
+    text = F.col("text").cast("string")
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            _, score = m.predict(batch.column(n), batch.column(n + 1))
+            own = pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
+            yield own.filter(pa.array(score >= p.min_score))
+
+    return docs.withColumns({"_lower": F.lower(text), "_letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))}).mapInArrow(run, docs.schema)

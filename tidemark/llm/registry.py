@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, imatch, jaccard, language, separators, suffix, toxicity, vbyte
+from tidemark.llm import bpe, decontaminate, imatch, jaccard, language, licenses, separators, suffix, toxicity, vbyte
 from tidemark.llm.common import documents
 
 
@@ -44,5 +44,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_spaced_seeds": op1_spaced_seeds, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_imatch": op4_imatch, "op5_suffix_repeats": op5_suffix_repeats, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files, "op9_language": op9_language}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.production(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_spaced_seeds": op1_spaced_seeds, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_imatch": op4_imatch, "op5_suffix_repeats": op5_suffix_repeats, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files, "op9_language": op9_language, "op10_licenses": op10_licenses}
 ORACLES: dict[str, str] = {}
