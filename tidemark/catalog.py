@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.queries import ledger, market
+
+_MODULES = (market, ledger)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
