@@ -103,7 +103,7 @@ def forward(bars: DataFrame, direction: Column, horizons: tuple[int, ...]) -> Da
     return out.withColumns(new).drop("_d")
 
 
-def path_label(mfe: Column, mae: Column, atr: Column) -> Column:
-    """What the first bars after a signal did, in units of ATR, the first that fits (FOR16). For studies afterwards only."""
-    f, a = mfe / atr, mae / atr
-    return F.when((f >= 1) & (a < 0.25), "IMMEDIATE_RUN").when((f >= 1) & (a < 1), "DIP_THEN_RUN").when((a >= 1) & (f < 0.25), "IMMEDIATE_FAIL").when((a >= 1) & (f < 1), "RISE_THEN_FAIL").when((f >= 1) & (a >= 1), "WHIPSAW").otherwise("QUIET")
+def path_label(mae1: Column, mfe5: Column, mae5: Column) -> Column:
+    """What the first five bars after a signal did, in units of risk, the first that fits (FOR16). For studies afterwards only."""
+    instant = F.when(mfe5 >= 1, "EARLY_ADVERSE_THEN_RECOVERY").otherwise("PURE_ADVERSE")
+    return F.when(mae1 >= 1, instant).when((mfe5 >= 1) & (mae5 <= 0.3), "FAST_CONTINUATION").when((mae5 <= 0.4) & (mfe5 >= 0.8), "IMMEDIATE_FAVORABLE").when(mae5.between(0.2, 0.6) & (mfe5 >= 0.6), "CONTROLLED_RETRACE").otherwise("CHOP")
