@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import ledger, market
+from tidemark.queries import ledger, market, strategy
 
-_MODULES = (market, ledger)
+_MODULES = (market, ledger, strategy)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: q for m in _MODULES for k, q in m.ORACLES.items()}

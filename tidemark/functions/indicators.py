@@ -105,10 +105,10 @@ def atr(win: Column, n: int = 14) -> Column:
     return F.when(F.size(win) > n, F.round(let(true_range(win), lambda tr: F.aggregate(_rest(tr, n), _mean(tr, n), lambda a, x: (a * (n - 1) + x) / n)), 4))
 
 
-def vwap(win: Column) -> Column:
+def vwap(win: Column, digits: int = 2) -> Column:
     """Volume-weighted typical price of a whole slice; null without volume (IND6)."""
     total = F.aggregate(win, F.struct(F.lit(0.0).alias("pv"), F.lit(0.0).alias("v")), lambda a, b: F.struct((a["pv"] + F.when(b["volume"] > 0, (b["high"] + b["low"] + b["close"]) / 3 * b["volume"]).otherwise(0.0)).alias("pv"), (a["v"] + F.when(b["volume"] > 0, b["volume"]).otherwise(0.0)).alias("v")))
-    return F.round(total["pv"] / F.nullif(total["v"], F.lit(0.0)), 2)
+    return F.round(total["pv"] / F.nullif(total["v"], F.lit(0.0)), digits)
 
 
 def pivots(bars: DataFrame, k: int = 2, by: str = "symbol") -> DataFrame:

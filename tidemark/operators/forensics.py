@@ -98,8 +98,9 @@ def forward(bars: DataFrame, direction: Column, horizons: tuple[int, ...]) -> Da
     for n in horizons:
         ahead = w.rowsBetween(1, n)
         hi, lo = F.max("high").over(ahead), F.min("low").over(ahead)
-        new[f"mfe{n}"] = F.round(F.greatest(F.lit(0.0), F.when(long_, hi - F.col("close")).otherwise(F.col("close") - lo)), 6)
-        new[f"mae{n}"] = F.round(F.greatest(F.lit(0.0), F.when(long_, F.col("close") - lo).otherwise(hi - F.col("close"))), 6)
+        some = hi.isNotNull()
+        new[f"mfe{n}"] = F.when(some, F.round(F.greatest(F.lit(0.0), F.when(long_, hi - F.col("close")).otherwise(F.col("close") - lo)), 6))
+        new[f"mae{n}"] = F.when(some, F.round(F.greatest(F.lit(0.0), F.when(long_, F.col("close") - lo).otherwise(hi - F.col("close"))), 6))
     return out.withColumns(new).drop("_d")
 
 
