@@ -14,9 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIGN = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
-
-
 def with_path(signals: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """Signals with path, an array of the next n bars in mirrored prices (t, o, h, l, c); signals on a last bar go.
 
@@ -24,7 +21,7 @@ def with_path(signals: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """
     ahead = Window.partitionBy("symbol").orderBy("epoch_s").rowsBetween(1, n)
     b = bars.select("symbol", F.col("epoch_s").alias("signal_time"), F.collect_list(F.struct("epoch_s", "open", "high", "low", "close")).over(ahead).alias("_next"))
-    s = signals.join(b, ["symbol", "signal_time"]).where(F.size("_next") > 0).withColumn("sign", SIGN)
+    s = signals.join(b, ["symbol", "signal_time"]).where(F.size("_next") > 0).withColumn("sign", F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0))
     sign = F.col("sign")
     mirrored = F.transform("_next", lambda x: F.struct(x["epoch_s"].alias("t"), (sign * x["open"]).alias("o"), F.when(sign > 0, x["high"]).otherwise(-x["low"]).alias("h"), F.when(sign > 0, x["low"]).otherwise(-x["high"]).alias("l"), (sign * x["close"]).alias("c")))
     s = s.withColumn("path", mirrored).drop("_next")
@@ -129,7 +126,7 @@ def evaluate(paths: DataFrame, policy: Policy, causal: bool = True, spread: Colu
     spread = F.lit(spread) if isinstance(spread, float) else spread
     e = paths.withColumn("_e", policy.evaluate(causal))
     entered = F.col("_e.status") == "ENTERED"
-    now = entered & (F.col("_e.k") == 1) & (F.try_element_at("path", F.lit(1))["o"] >= F.col("_e.price")) if policy.name in ("retrace", "reversion") else entered & (F.lit(policy.name) == "immediate")
+    now = entered & (F.col("_e.k") == 1) & (F.try_element_at("path", F.lit(1))["o"] <= F.col("_e.price")) if policy.name in ("retrace", "reversion") else entered & (F.lit(policy.name) == "immediate")
     status = F.when(now, "ENTERED_IMMEDIATELY").when(entered, "ENTERED_AFTER_DELAY").otherwise(F.col("_e.status"))
     at = F.try_element_at("path", F.col("_e.k").cast("int"))
     return e.withColumns({"policy": F.lit(policy.name), "status": status, "entry_k": F.col("_e.k").cast("int"), "decided_time": at["t"], "entry_time": F.when(entered, at["t"]), "entry_price": F.when(entered, F.round(F.col("sign") * (F.col("_e.price") + spread), 2))}).drop("_e")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.stats import LOSS, WIN, _mean_h, _rate
+from tidemark.operators.stats import _mean_h, _rate, loss, win
 from tidemark.plans.joins import interval
 
 
@@ -19,7 +19,7 @@ def failure_tags(t: DataFrame) -> DataFrame:
         "LARGE_LOSS": F.col("r_h") <= -150,
     }
     tags = F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))
-    return t.where(LOSS).withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit("UNKNOWN"))).otherwise(tags))
+    return t.where(loss()).withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit("UNKNOWN"))).otherwise(tags))
 
 
 def category_counts(tagged: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def category_counts(tagged: DataFrame) -> DataFrame:
 def score_direction(t: DataFrame) -> DataFrame:
     """Figures by score and by score and direction, ALL for both (FOR6)."""
     g = t.groupingSets([["strength"], ["strength", "direction"]], "strength", "direction")
-    return g.agg(F.count(F.lit(1)).alias("trades"), _rate(WIN).alias("win_rate"), _mean_h(F.col("r_h")).alias("average_r")).withColumn("direction", F.coalesce("direction", F.lit("ALL")))
+    return g.agg(F.count(F.lit(1)).alias("trades"), _rate(win()).alias("win_rate"), _mean_h(F.col("r_h")).alias("average_r")).withColumn("direction", F.coalesce("direction", F.lit("ALL")))
 
 
 def contrast(t: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -40,7 +40,7 @@ def contrast(t: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     parts = []
     for name, c in conditions.items():
         n, m = F.count_if(c), F.count_if(~c)
-        rate = lambda hit, k: F.round(F.count_if(hit & WIN) * 100 / F.nullif(k, F.lit(0)), 6)
+        rate = lambda hit, k: F.round(F.count_if(hit & win()) * 100 / F.nullif(k, F.lit(0)), 6)
         parts.append(F.struct(F.lit(name).alias("condition"), n.alias("present"), m.alias("absent"), rate(c, n).alias("present_win_rate"), rate(~c, m).alias("absent_win_rate"), F.round(F.avg(F.when(c, F.col("r_h"))) / 100, 6).alias("present_r"), F.round(F.avg(F.when(~c, F.col("r_h"))) / 100, 6).alias("absent_r")))
     return t.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
@@ -53,13 +53,13 @@ def holding_bucket(minutes: str) -> Column:
 
 def losses_by(t: DataFrame, group: str) -> DataFrame:
     """Losses of each group and their share of all losses (FOR10)."""
-    g = t.groupBy(group).agg(F.count_if(LOSS).alias("losses"))
+    g = t.groupBy(group).agg(F.count_if(loss()).alias("losses"))
     return g.withColumn("share", F.round(F.col("losses") * 100 / F.sum("losses").over(Window.partitionBy()), 6))  # one row a group
 
 
 def dimensions(t: DataFrame, columns: list[str], least: int = 100) -> DataFrame:
     """Figures over every combination of columns that has at least least trades (FOR15)."""
-    return t.cube(*columns).agg(F.count(F.lit(1)).alias("trades"), _rate(WIN).alias("win_rate"), _mean_h(F.col("r_h")).alias("average_r")).where(F.col("trades") >= least)
+    return t.cube(*columns).agg(F.count(F.lit(1)).alias("trades"), _rate(win()).alias("win_rate"), _mean_h(F.col("r_h")).alias("average_r")).where(F.col("trades") >= least)
 
 
 def overlapping(t: DataFrame, by: str) -> DataFrame:

@@ -15,7 +15,14 @@ from tidemark.plans.scan import running_max, running_sums, runs
 
 ORDER = ["entry_time", "seq"]
 CAPITAL = 10_000
-WIN, LOSS = F.col("r_h") > 0, F.col("r_h") < 0
+
+
+def win() -> Column:
+    return F.col("r_h") > 0
+
+
+def loss() -> Column:
+    return F.col("r_h") < 0
 
 
 def _mean_h(c: Column) -> Column:
@@ -33,17 +40,17 @@ def headline(t: DataFrame, by: list[str], no_loss: float | None = 999.0) -> Data
     out = t.groupBy(*by).agg(
         n.alias("trades"),
         F.count_if(F.col("direction") == "LONG").alias("long_trades"),
-        F.count_if(WIN).alias("wins"),
-        F.count_if(LOSS).alias("losses"),
+        F.count_if(win()).alias("wins"),
+        F.count_if(loss()).alias("losses"),
         F.count_if(F.col("result") == "EXPIRED").alias("expired"),
-        _rate(WIN).alias("win_rate"),
+        _rate(win()).alias("win_rate"),
         (F.sum("r_h") / 100).alias("total_r"),
         _mean_h(F.col("r_h")).alias("average_r"),
         (F.median("r_h") / 100).alias("median_r"),
-        F.coalesce(F.sum(F.when(WIN, F.col("pnl"))), F.lit(0)).alias("_profit"),
-        F.coalesce(-F.sum(F.when(LOSS, F.col("pnl"))), F.lit(0)).alias("_loss"),
-        _mean_h(F.when(WIN, F.col("r_h"))).alias("average_win_r"),
-        _mean_h(F.when(LOSS, F.col("r_h"))).alias("average_loss_r"),
+        F.coalesce(F.sum(F.when(win(), F.col("pnl"))), F.lit(0)).alias("_profit"),
+        F.coalesce(-F.sum(F.when(loss(), F.col("pnl"))), F.lit(0)).alias("_loss"),
+        _mean_h(F.when(win(), F.col("r_h"))).alias("average_win_r"),
+        _mean_h(F.when(loss(), F.col("r_h"))).alias("average_loss_r"),
         (F.max("r_h") / 100).alias("largest_win_r"),
         (F.min("r_h") / 100).alias("largest_loss_r"),
         F.round(F.avg("holding_minutes"), 6).alias("average_holding"),
@@ -88,12 +95,12 @@ def _longest(t: DataFrame, by: list[str], inside: Column, name: str) -> DataFram
 def streaks(t: DataFrame, by: list[str]) -> DataFrame:
     """Longest runs of wins and of losses; a trade of 0 ends both (ST3)."""
     n = t.groupBy(*by).agg(F.count(F.lit(1)).alias("trades"))
-    return _combined([n, _longest(t, by, WIN, "max_wins"), _longest(t, by, LOSS, "max_losses")], by).fillna(0, ["max_wins", "max_losses"])
+    return _combined([n, _longest(t, by, win(), "max_wins"), _longest(t, by, loss(), "max_losses")], by).fillna(0, ["max_wins", "max_losses"])
 
 
 def by_group(t: DataFrame, group: Column, name: str) -> DataFrame:
     """Trades, wins, win rate, total and mean return and profit factor of each group (ST4, ST6, ST7)."""
-    out = t.groupBy(group.alias(name)).agg(F.count(F.lit(1)).alias("trades"), F.count_if(WIN).alias("wins"), _rate(WIN).alias("win_rate"), (F.sum("r_h") / 100).alias("total_r"), _mean_h(F.col("r_h")).alias("average_r"), F.coalesce(F.sum(F.when(WIN, F.col("pnl"))), F.lit(0)).alias("p"), F.coalesce(-F.sum(F.when(LOSS, F.col("pnl"))), F.lit(0)).alias("l"))
+    out = t.groupBy(group.alias(name)).agg(F.count(F.lit(1)).alias("trades"), F.count_if(win()).alias("wins"), _rate(win()).alias("win_rate"), (F.sum("r_h") / 100).alias("total_r"), _mean_h(F.col("r_h")).alias("average_r"), F.coalesce(F.sum(F.when(win(), F.col("pnl"))), F.lit(0)).alias("p"), F.coalesce(-F.sum(F.when(loss(), F.col("pnl"))), F.lit(0)).alias("l"))
     return out.withColumn("profit_factor", profit_factor(F.col("p"), F.col("l"), 999.0)).drop("p", "l")
 
 
@@ -106,17 +113,17 @@ def slice_summary(t: DataFrame, by: list[str], capital: int = CAPITAL) -> DataFr
     """Headline, drawdown, streaks and depletion: the 0-based index of the first trade with no equity left (ST8)."""
     e = running_sums(equity_curve(t, by, capital=capital), by, "day", ORDER, {"_n": F.lit(1)})
     d = e.groupBy(*by).agg(F.max("drawdown").alias("max_drawdown"), F.max("drawdown_pct").alias("max_drawdown_pct"), F.min(F.when(F.col("equity") <= 0, F.col("_n") - 1)).alias("depletion_index"))
-    side = t.groupBy(*by).agg(*[x for s in ("LONG", "SHORT") for x in (F.coalesce(F.round(F.count_if(WIN & (F.col("direction") == s)) * 100 / F.nullif(F.count_if(F.col("direction") == s), F.lit(0)), 6), F.lit(0.0)).alias(f"{s.lower()}_win_rate"), (F.coalesce(F.sum(F.when(F.col("direction") == s, F.col("r_h"))), F.lit(0)) / 100).alias(f"{s.lower()}_total_r"))])
+    side = t.groupBy(*by).agg(*[x for s in ("LONG", "SHORT") for x in (F.coalesce(F.round(F.count_if(win() & (F.col("direction") == s)) * 100 / F.nullif(F.count_if(F.col("direction") == s), F.lit(0)), 6), F.lit(0.0)).alias(f"{s.lower()}_win_rate"), (F.coalesce(F.sum(F.when(F.col("direction") == s, F.col("r_h"))), F.lit(0)) / 100).alias(f"{s.lower()}_total_r"))])
     return _combined([headline(t, by, None), d, streaks(t, by).drop("trades"), side], by).withColumn("solvent", F.col("depletion_index").isNull())
 
 
 def expectancy(t: DataFrame, by: list[str]) -> DataFrame:
     """p(win) x mean win - p(loss) x mean loss, from factors rounded first, and reward to risk (ST9)."""
     f = t.groupBy(*by).agg(
-        F.round(F.count_if(WIN) / F.count(F.lit(1)), 4).alias("win_probability"),
-        F.round(F.count_if(LOSS) / F.count(F.lit(1)), 4).alias("loss_probability"),
-        F.round(F.coalesce(F.avg(F.when(WIN, F.col("r_h"))), F.lit(0.0)) / 100, 2).alias("average_win_r"),
-        F.round(F.coalesce(-F.avg(F.when(LOSS, F.col("r_h"))), F.lit(0.0)) / 100, 2).alias("average_loss_r"),
+        F.round(F.count_if(win()) / F.count(F.lit(1)), 4).alias("win_probability"),
+        F.round(F.count_if(loss()) / F.count(F.lit(1)), 4).alias("loss_probability"),
+        F.round(F.coalesce(F.avg(F.when(win(), F.col("r_h"))), F.lit(0.0)) / 100, 2).alias("average_win_r"),
+        F.round(F.coalesce(-F.avg(F.when(loss(), F.col("r_h"))), F.lit(0.0)) / 100, 2).alias("average_loss_r"),
     )
     return f.withColumns({"reward_risk": F.coalesce(F.round(F.col("average_win_r") / F.nullif(F.col("average_loss_r"), F.lit(0.0)), 4), F.lit(0.0)), "expectancy": F.round(F.col("win_probability") * F.col("average_win_r") - F.col("loss_probability") * F.col("average_loss_r"), 5)})
 
@@ -127,7 +134,7 @@ def drawdown_analysis(t: DataFrame, by: list[str], capital: int = CAPITAL) -> Da
     under = F.col("drawdown") > 0
     d = e.groupBy(*by).agg(F.max("drawdown").alias("max_drawdown"), F.max("drawdown_pct").alias("max_drawdown_pct"), F.round(F.coalesce(F.avg(F.when(under, F.col("drawdown"))), F.lit(0.0)), 6).alias("average_drawdown"), F.count_if(under).alias("trades_under_water"), F.sum("pnl").alias("_gain"))
     longest = _longest(e, by, under, "longest_under_water")
-    losing = runs(t, by, "day", ORDER, LOSS, "n").groupBy(*by).agg(F.max("n").alias("max_losing_streak"), F.round(F.avg("n"), 6).alias("average_losing_streak"))
+    losing = runs(t, by, "day", ORDER, loss(), "n").groupBy(*by).agg(F.max("n").alias("max_losing_streak"), F.round(F.avg("n"), 6).alias("average_losing_streak"))
     out = _combined([d, longest, losing], by).fillna(0, ["longest_under_water", "max_losing_streak", "average_losing_streak"])
     return out.withColumn("recovery_factor", F.when(F.col("max_drawdown") > 0, F.round(F.col("_gain") / F.col("max_drawdown"), 6)).when(F.col("_gain") > 0, 999.0).otherwise(0.0)).drop("_gain")
 
@@ -199,7 +206,7 @@ def percentiles(t: DataFrame, by: list[str], value: str, points: tuple[float, ..
 def bucket_metrics(t: DataFrame, group: Column, name: str) -> DataFrame:
     """Counts, shares of all, profit factor on returns (0 without losses), early stops within three minutes (ST17)."""
     quick = (F.col("result") == "STOP_LOSS") & (F.col("holding_minutes") <= 3)
-    g = t.groupBy(group.alias(name)).agg(F.count(F.lit(1)).alias("trades"), _rate(WIN).alias("win_rate"), (F.sum("r_h") / 100).alias("total_r"), _mean_h(F.col("r_h")).alias("average_r"), F.coalesce(F.sum(F.when(WIN, F.col("r_h"))), F.lit(0)).alias("p"), F.coalesce(-F.sum(F.when(LOSS, F.col("r_h"))), F.lit(0)).alias("l"), _rate(quick).alias("early_stop_rate"))
+    g = t.groupBy(group.alias(name)).agg(F.count(F.lit(1)).alias("trades"), _rate(win()).alias("win_rate"), (F.sum("r_h") / 100).alias("total_r"), _mean_h(F.col("r_h")).alias("average_r"), F.coalesce(F.sum(F.when(win(), F.col("r_h"))), F.lit(0)).alias("p"), F.coalesce(-F.sum(F.when(loss(), F.col("r_h"))), F.lit(0)).alias("l"), _rate(quick).alias("early_stop_rate"))
     share = F.round(F.col("trades") * 100 / F.sum("trades").over(Window.partitionBy()), 6)  # one row a group
     return g.withColumns({"share": share, "profit_factor": profit_factor(F.col("p"), F.col("l"), 0.0)}).drop("p", "l")
 
@@ -222,7 +229,7 @@ def delta(base: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 def journal_metrics(journal: DataFrame, by: list[str]) -> DataFrame:
     """Events of each state and the closed trades' figures; profit factor 1 for wins alone (ST20)."""
     done = F.col("r_h").isNotNull()
-    g = journal.groupBy(*by).agg(*[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("FILLED", "TIMED_OUT", "INVALIDATED", "BLOCKED", "CLOSED")], F.count_if(done).alias("trades"), F.coalesce(F.sum("r_h"), F.lit(0)).alias("h"), F.coalesce(F.sum(F.when(WIN, F.col("r_h"))), F.lit(0)).alias("p"), F.coalesce(-F.sum(F.when(LOSS, F.col("r_h"))), F.lit(0)).alias("l"))
+    g = journal.groupBy(*by).agg(*[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("FILLED", "TIMED_OUT", "INVALIDATED", "BLOCKED", "CLOSED")], F.count_if(done).alias("trades"), F.coalesce(F.sum("r_h"), F.lit(0)).alias("h"), F.coalesce(F.sum(F.when(win(), F.col("r_h"))), F.lit(0)).alias("p"), F.coalesce(-F.sum(F.when(loss(), F.col("r_h"))), F.lit(0)).alias("l"))
     return g.withColumns({"total_r": F.col("h") / 100, "profit_factor": profit_factor(F.col("p"), F.col("l"), 1.0)}).drop("h", "p", "l")
 
 

@@ -278,8 +278,7 @@ def _sql_entry(wait: int, rules: list[tuple[str, str | None]], immediate_ok: boo
                 price.append(f"WHEN {c} THEN NULL")
             else:
                 x = p.replace("#", str(k))
-                now = f"CASE WHEN o1 >= round({x}, 2) THEN 'ENTERED_IMMEDIATELY' ELSE 'ENTERED_AFTER_DELAY' END" if k == 1 and immediate_ok else "'ENTERED_AFTER_DELAY'"
-                now = now.replace("o1 >= round", "o1 <= round") if "greatest" in x else now
+                now = f"CASE WHEN o1 <= round({x}, 2) THEN 'ENTERED_IMMEDIATELY' ELSE 'ENTERED_AFTER_DELAY' END" if k == 1 and immediate_ok else "'ENTERED_AFTER_DELAY'"
                 status.append(f"WHEN {c} THEN {now}")
                 time.append(f"WHEN {c} THEN t{k}")
                 price.append(f"WHEN {c} THEN round(g * (round({x}, 2) + 0.3), 2)")
