@@ -8,15 +8,20 @@ segments by size band. A set may compare segment i with t = 0 (equal), t = 1
 add up to H + 1, any set within distance H agrees on some segment (pigeonhole).
 Every set indexes all segments of its band and of the band above, and for the
 first two also what is left after each single deletion. It probes these two with
-t = 1, which allows it to leave out two others: those of the highest expected
-cost, which are the smallest, as small segments are shared by most sets.
+t = 1, which allows it to leave out two others, and each segment beyond H + 1
+allows one more: those of the highest expected cost, which are the smallest, as
+small segments are shared by most sets. There are about as many segments beyond
+H + 1 as a set is likely to have that hold one shingle or none.
 
 Sets that share a signature are candidates; candidates are verified exactly on
 their shingles. Sets with equal shingles form a class first, so copies are never
 compared. In a bucket all classes are first compared with one hub; buckets whose
-classes are then in one component need no more, the others get further hubs and
-at last all pairs between different components. Pairs left out are all within
-one component, so the components are exact.
+classes are then in one component need no more. Of the
+others, those of few classes have all pairs between different components
+compared. Larger ones are groups of sets that share common shingles but are not
+alike: their classes are joined on their rarest shingles, one of which any two
+like sets share, which is exact as well. Pairs left out are all within one
+component, so the components are exact.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ from tidemark.llm.textvec import Block, blocks, distinct, grams, mix, row_number
 
 #: Segments that are indexed with their one-deletion neighbourhoods.
 WITH_DELETIONS = 2
-#: Rounds of hubs before all pairs are compared, and how many pairs a class may then have on average.
-HUB_ROUNDS, MEAN_PAIRS = 6, 64
+#: In buckets of at most so many classes all pairs are compared; larger ones are joined on rare shingles.
+FEW = 16
 #: Bits of the filter of candidate classes at most (16 MB); a fuller filter lets more sets through to the exact join.
 FILTER_BITS = 1 << 27
 _SEG, _BAND, _ITEM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -93,6 +98,12 @@ def bands(top: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return hi, 2 * hi * (100 - percent) // (100 + percent)
 
 
+def spare(most: np.ndarray, percent: int) -> np.ndarray:
+    """How many segments there are beyond H + 1, by H: the share of segments that hold one shingle or none."""
+    mean = (100 + percent) / (2 * (100 - percent)) if percent < 100 else 50
+    return ((most + 1) * (1.4 * np.exp(-mean) * (1 + mean))).astype(np.int64)
+
+
 def signatures(r: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row, signature (63 bits) and whether it probes, of the sets (r, h) in sorted order with n members each."""
     rows = len(n)
@@ -101,7 +112,8 @@ def signatures(r: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> Ite
     item = mix(h + _ITEM)
     for above in (0, 1):
         b = band + above
-        m = np.where((n > 0) & (most[b] > 0), most[b] + 1, 0)
+        extra = spare(most[b], percent)
+        m = np.where((n > 0) & (most[b] > 0), most[b] + 1 + extra, 0)
         if above:
             m[n * 100 // percent <= hi[band]] = 0  # no partner is that large
         base = np.cumsum(m) - m
@@ -109,8 +121,10 @@ def signatures(r: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> Ite
             continue
         used = m[r] > 0
         ru, hu, iu = r[used], h[used], item[used]
-        seg = ((hu >> np.uint64(32)) * m[ru].astype(np.uint64)) >> np.uint64(32)
-        cell = base[ru] + seg.astype(np.int64)
+        free = np.minimum(WITH_DELETIONS, m - 1)
+        # segments with deletions are twice as wide, so that what one deletion leaves is rarely shared
+        unit = (((hu >> np.uint64(32)) * (m + free)[ru].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        cell = base[ru] + np.where(unit < 2 * free[ru], unit // 2, unit - free[ru])
         size = np.bincount(cell, minlength=int(m.sum()))
         full = np.flatnonzero(size)
         total = np.zeros(len(size), np.uint64)
@@ -118,7 +132,6 @@ def signatures(r: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> Ite
         cell_row = np.repeat(np.arange(rows), m)
         cell_seg = np.arange(len(size)) - base[cell_row]
         tag = cell_seg.astype(np.uint64) * _SEG + (b[cell_row].astype(np.uint64) + np.uint64(1)) * _BAND
-        free = np.minimum(WITH_DELETIONS, m - 1)
         near = cell_seg < free[cell_row]
         probe = np.ones(len(size), bool)
         if above:
@@ -127,7 +140,7 @@ def signatures(r: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> Ite
             order = np.lexsort((size + (near * (1 << 40)), cell_row))
             rank = np.empty(len(size), np.int64)
             rank[order] = np.arange(len(size)) - base[cell_row[order]]
-            probe = near | (rank >= free[cell_row])
+            probe = near | (rank >= (free + extra)[cell_row])
         yield cell_row, mix(total + tag) >> np.uint64(1), probe
         left = near[cell]
         at = cell[left]
@@ -146,8 +159,12 @@ def describe(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, c long")
 
 
-def index(docs: DataFrame, p: Params) -> DataFrame:
-    """s (signature) and v (class; as its complement, which is negative, where the set does not probe)."""
+def index(docs: DataFrame, p: Params, wanted: np.ndarray | None = None) -> DataFrame:
+    """s (signature) and v (class; as its complement, which is negative, where the set does not probe).
+
+    wanted: a bitmap of signatures that few others pass.
+    """
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within the task need not be indexed again
@@ -165,6 +182,9 @@ def index(docs: DataFrame, p: Params) -> DataFrame:
                     seen.clear()
                 keep = fresh[r]
                 for row, s, probe in signatures(r[keep], h[keep], np.where(fresh, n, 0), p.percent):
+                    if shared is not None:
+                        hit = in_filter(s, shared.value)
+                        row, s, probe = row[hit], s[hit], probe[hit]
                     v = c[row]
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.where(probe, v, ~v))], names=["s", "v"])
 
@@ -186,20 +206,22 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def in_filter(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     """c and its shingles for each wanted class: a bitmap lets few other texts through, a join is exact."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        mask = np.uint64(len(bitmap) * 64 - 1)
         seen: set[int] = set()
         for batch in batches:
             for b in blocks(batch.column(1)):
                 r, h = sets(b, p.words)
                 n, c = class_ids(r, h, b.hi - b.lo)
-                at = c & mask
-                hit = (n > 0) & (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                hit = (n > 0) & in_filter(c, shared.value)
                 ends = np.cumsum(n)
                 keys, lists = [], []
                 for i in np.flatnonzero(hit).tolist():
@@ -225,46 +247,64 @@ def verified(pairs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(near).where(both * 100 >= union * p.percent).select("a", "b")
 
 
-def link_classes(docs: DataFrame, p: Params) -> DataFrame | None:
-    """node and root for each class that is linked with another one; None if there is no candidate."""
+def link_classes(docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame | None:
+    """node and root for each class (c, and n documents) that is linked with another one; None if there is no candidate.
+
+    A bucket's hub is the class of most documents: what near copies were made from often is.
+    """
     v = class_of(F.col("v"))
     rows = index(docs, p)
     buckets = rows.groupBy("s").agg(F.min("v").alias("low"), F.max("v").alias("high"))
     # the highest value probes if any does
-    buckets = buckets.where((F.col("high") >= 0) & (class_of(F.col("low")) != F.col("high"))).select("s", F.col("high").alias("hub"))
-    members = cut(rows.join(buckets, "s").select("s", v.alias("c"), "hub").distinct(), "jaccard-buckets")
-    if members.isEmpty():
+    buckets = buckets.where((F.col("high") >= 0) & (class_of(F.col("low")) != F.col("high"))).select("s")
+    buckets = cut(buckets, "jaccard-signatures")
+    if buckets.isEmpty():
         return None
+    rows = index(docs, p, id_filter(buckets, "s"))
+    members = cut(rows.join(buckets, "s").select("s", v.alias("c")).distinct(), "jaccard-buckets")
     items = cut(shingle_sets(docs, members.select("c").distinct(), p), "jaccard-sets")
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    tried = cut(ordered(members.select(F.col("c").alias("a"), F.col("hub").alias("b"))), "jaccard-pairs")
+    hubs = members.join(classes.select("c", "n"), "c").groupBy("s").agg(F.max_by("c", F.struct("n", F.xxhash64("c"))).alias("hub"))
+    tried = cut(ordered(members.join(hubs, "s").select(F.col("c").alias("a"), F.col("hub").alias("b"))), "jaccard-pairs")
     links = cut(verified(tried, items, p), "jaccard-links")
-    for turn in range(1, HUB_ROUNDS + 2):
-        roots = components(links, "jaccard-components")
-        at = members.select("s", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        mixed = at.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("c", F.xxhash64("c", F.lit(turn))).alias("hub"), F.count(F.lit(1)).alias("n")).where("low != high")
-        members = cut(at.join(mixed.select("s", "hub", "n"), "s"), "jaccard-buckets")
-        size = members.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("pairs")).first()
-        if not size["rows"]:
-            return roots
-        last = turn > HUB_ROUNDS or size["pairs"] <= MEAN_PAIRS * size["rows"]
-        one = members.select("s", F.col("c").alias("a"), F.col("root").alias("ra"))
-        if last:
-            other = members.select("s", F.col("c").alias("b"), F.col("root").alias("rb"))
-            more = one.join(other, "s").where("ra != rb and a > b")
-        else:
-            hubs = members.where("c = hub").select("s", F.col("c").alias("b"), F.col("root").alias("rb"))
-            more = one.join(hubs, "s").where("ra != rb")
-        fresh = cut(ordered(more.select("a", "b")).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        found = cut(verified(fresh, items, p), "jaccard-links")
-        links = links.unionByName(found)
-        tried = tried.unionByName(fresh)
-        if last:
-            return components(links, "jaccard-components")
-    return roots
+    roots = components(links, "jaccard-components")
+    at = members.select("s", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    mixed = at.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    members = cut(at.join(mixed.select("s", "n"), "s"), "jaccard-buckets")
+    if members.isEmpty():
+        return roots
+    one = members.where(F.col("n") <= FEW).select("s", F.col("c").alias("a"), F.col("root").alias("ra"))
+    more = one.join(one.select("s", F.col("a").alias("b"), F.col("ra").alias("rb")), "s").where("ra != rb and a > b").select("a", "b")
+    more = more.unionByName(rare_pairs(members.where(F.col("n") > FEW).select("c", "root").distinct(), items, p))
+    fresh = cut(ordered(more).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    links = links.unionByName(cut(verified(fresh, items, p), "jaccard-links"))
+    return components(links, "jaccard-components")
+
+
+def rare_pairs(classes: DataFrame, items: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of classes (c, root) of different roots that share one of their rarest shingles where like sets must.
+
+    Shingles are ordered by how many of the classes have them. If two sets of m
+    and n shingles share at least k, the first m - k + 1 of one and the first
+    n - k + 1 of the other have one in common; k follows from the sizes, and the
+    places of the common shingle bound what the sets can share.
+    """
+    t = p.percent
+    up = lambda x, by: F.floor((x + (by - 1)) / by)
+    each = classes.join(items, "c").select("c", "root", F.size("items").alias("n"), F.explode("items").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    first = F.col("n") - up(F.col("n") * t, 100) + 1
+    ranked = each.join(often, "g").groupBy("c", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("x"))
+    prefix = ranked.select("c", "root", "n", F.posexplode(F.slice("x", F.lit(1), first.cast("int"))).alias("at", "y")).select("c", "root", "n", "at", F.col("y.g").alias("g"))
+    small = prefix.where(F.col("at") <= F.col("n") - up(F.col("n") * (2 * t), 100 + t)).select("g", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("n").alias("m"), F.col("at").alias("i"))
+    large = prefix.select("g", F.col("c").alias("b"), F.col("root").alias("rb"), "n", F.col("at").alias("j"))
+    sizes = (F.col("m") * 100 >= F.col("n") * t) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b"))))
+    # the common shingle and what stands behind it in both
+    room = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) * (100 + t) >= (F.col("m") + F.col("n")) * t
+    return small.join(large, "g").where(sizes & room & (F.col("ra") != F.col("rb"))).select("a", "b")
 
 
 def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -279,8 +319,8 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     short_batches(docs.sparkSession)
     docs = text_only(docs)
     members = cut(describe(docs, p), "jaccard-documents")
-    classes = members.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"))
-    roots = link_classes(docs, p)
+    classes = members.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    roots = link_classes(docs, classes, p)
     if roots is not None:
         roots = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "low", F.coalesce("root", "c").alias("root"))
         lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
