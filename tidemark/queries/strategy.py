@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as I
 from tidemark.operators import classify, entries, experiments, forensics, montecarlo, replay, signals, stats
 from tidemark.plans.joins import as_of
+from tidemark.queries.ledger import _HEAD, _T
 from tidemark.queries.market import _B, _BP, H, P
 from tidemark.sources import adapters as A
 
@@ -41,7 +42,7 @@ def ind5_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ind6_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.sliding(A.bars(spark, sf_dir), I.TRIGGER_SLICE).select("symbol", "epoch_s", I.vwap(F.col("win"), 6).alias("vwap"))
+    return I.sliding(A.bars(spark, sf_dir), I.TRIGGER_SLICE).select("symbol", "epoch_s", I.vwap(F.col("win"), 9).alias("vwap"))
 
 
 def ind7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,11 +290,12 @@ _FWD = f"""{_B}, d AS (SELECT *, (epoch_s // {H}) % 2 = 0 AS long_, {', '.join(f
  f AS (SELECT symbol, epoch_s, CASE WHEN long_ THEN 'LONG' ELSE 'SHORT' END AS direction, {', '.join(f'round(greatest(0, CASE WHEN long_ THEN hi{n} - close ELSE close - lo{n} END), 6) AS mfe{n}, round(greatest(0, CASE WHEN long_ THEN close - lo{n} ELSE hi{n} - close END), 6) AS mae{n}' for n in (1, 5, 60))} FROM d WHERE hi1 IS NOT NULL)"""
 
 ORACLES = {
+    "oos1_verdict": f"{_T}, h AS (SELECT symbol, {_HEAD()} FROM trades GROUP BY 1) SELECT symbol, trades, total_r, profit_factor, CASE WHEN trades < 100 THEN 'INCONCLUSIVE' WHEN average_r > 0 AND profit_factor >= 1.05 AND total_r > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM h",
     "ind1_ema": f"{_WINS} SELECT symbol, epoch_s, {', '.join(f'{_EMA(n)} AS ema{n}' for n in (9, 21, 50))} FROM wins",
     "ind1_series": f"{_B}, wins AS (SELECT symbol, epoch_s, list(close) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS UNBOUNDED PRECEDING) AS c FROM bars) SELECT symbol, epoch_s, {_EMA(21)} AS ema21 FROM wins",
     "ind3_rsi": f"{_WINS}, ch AS (SELECT symbol, epoch_s, len(c) AS n, list_transform(range(2, len(c) + 1), lambda i: c[i] - c[i - 1]) AS d FROM wins), g AS (SELECT *, {_WILDER('list_transform(d, lambda x: greatest(x, 0.0))')} AS up, {_WILDER('list_transform(d, lambda x: greatest(-x, 0.0))')} AS dn FROM ch WHERE n > 14) SELECT symbol, epoch_s, CASE WHEN n > 14 THEN CASE WHEN dn = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / dn), 2) END END AS rsi FROM ch LEFT JOIN (SELECT symbol, epoch_s, up, dn FROM g) USING (symbol, epoch_s)",
     "ind5_atr": f"{_WINS}, tr AS (SELECT symbol, epoch_s, len(b) AS n, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN i = 1 THEN b[1].h - b[1].l ELSE greatest(b[i].h - b[i].l, abs(b[i].h - b[i - 1].c), abs(b[i].l - b[i - 1].c)) END) AS t FROM wins) SELECT symbol, epoch_s, CASE WHEN n > 14 THEN round({_WILDER('t')}, 4) END AS atr FROM tr",
-    "ind6_vwap": f"{_B} SELECT symbol, epoch_s, round(sum((high + low + close) / 3 * tick_volume) OVER w / sum(tick_volume) OVER w, 6) AS vwap FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING)",
+    "ind6_vwap": f"{_B} SELECT symbol, epoch_s, round(sum((high + low + close) / 3 * tick_volume) OVER w / sum(tick_volume) OVER w, 9) AS vwap FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING)",
     "ind7_pivots": f"{_B}, n AS (SELECT *, count(*) OVER p AS np, count(*) OVER q AS nq, max(high) OVER p AS hp, max(high) OVER q AS hq, min(low) OVER p AS lp, min(low) OVER q AS lq FROM bars WINDOW p AS (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) SELECT symbol, epoch_s, high, low, hp < high AND hq <= high AS pivot_high, lp > low AND lq >= low AS pivot_low FROM n WHERE np = 2 AND nq = 2 AND ((hp < high AND hq <= high) OR (lp > low AND lq >= low))",
     "sig6_context": f"{_BP} SELECT b.symbol, b.epoch_s, b.close, p.close AS close5 FROM bars b ASOF LEFT JOIN (SELECT symbol, epoch_s + {P - H} AS known_s, close FROM pbars) p ON b.symbol = p.symbol AND b.epoch_s >= p.known_s",
     "cls3_volatility": f"{_B}, r AS (SELECT symbol, epoch_s, round(high - low, 2) AS v FROM bars), w AS (SELECT *, list(v) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING) AS l FROM r), p AS (SELECT *, len(list_filter(l, lambda a: a <= v)) / len(l) AS rank FROM w) SELECT symbol, epoch_s, CASE WHEN len(l) < 5 THEN CASE WHEN v < 1.0 THEN 'Q1' WHEN v < 1.5 THEN 'Q2' WHEN v < 2.0 THEN 'Q3' WHEN v < 2.8 THEN 'Q4' ELSE 'Q5' END WHEN rank <= 0.2 THEN 'Q1' WHEN rank <= 0.4 THEN 'Q2' WHEN rank <= 0.6 THEN 'Q3' WHEN rank <= 0.8 THEN 'Q4' ELSE 'Q5' END AS quintile FROM p",
