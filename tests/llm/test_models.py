@@ -36,6 +36,26 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and 20 not in {r.doc_id for r in kept.collect()}
 
 
+def test_gibberish_and_unlearned_languages_are_rejected(spark):
+    rng = np.random.default_rng(1)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (5, 20, 60, 300, 1000)]
+    junk += ["kissa nukkuu sohvalla ja sade putoaa hitaasti kaupungin ylle", "кошка спит на диване пока дождь медленно падает на город", "asdf jkl; asdf jkl; qwerty", "日本語のテキスト"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(junk)], docs.schema)
+    kept = [r.doc_id for r in language.accepted(docs.unionByName(planted)).select("doc_id").collect()]
+    assert not [i for i in kept if i >= 10_000_000]
+    assert len(kept) >= 0.97 * docs.count()
+
+
+def test_all_languages_are_learned(spark):
+    rng = np.random.default_rng(2)
+    own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(6)] for _ in range(70)]
+    rows = [(70 * j + c, " ".join(rng.permutation(own[c]).tolist()), f"l{c:02}") for j in range(12) for c in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert {told[i] for i, _, _ in rows} == {x for _, _, x in rows}
+
+
 def test_toxicity_on_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

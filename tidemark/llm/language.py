@@ -28,6 +28,8 @@ BITS, LONGEST = 15, 4
 BLOCK = 1 << 20
 #: Presence vectors multiplied together.
 ROWS = 128
+#: Landmarks of all languages, unless there are more languages; kernel rows the driver unpacks together.
+MARKS, CHUNK = 3200, 1600
 
 _FOLD = np.where(LETTERS, 32, np.arange(256)).astype(np.uint32)
 _FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -35,10 +37,15 @@ _FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 @dataclass(frozen=True)
 class Params:
-    """Bounds of what the classifier is fitted on, and the ridge.
-
-    For each of the max_langs commonest languages per_lang labelled documents
-    are drawn, of which landmarks serve as such.
+    """Bounds of what the classifier is fitted on, the ridge, and what is rejected.
+
+    Every labelled language is learned. For each per_lang labelled documents are
+    drawn, of which landmarks serve as such; of more than max_langs languages
+    each has an equal share of per_lang x max_langs documents, and from
+    MARKS / landmarks languages on each has an equal share of MARKS landmarks.
+    A text is rejected below min_score, and below the point halfway between the
+    score of a text without a known n-gram, one over the number of languages,
+    and the low quantile of its language's labelled texts.
     """
 
     per_lang: int = 400
@@ -46,6 +53,14 @@ class Params:
     landmarks: int = 100
     ridge: float = 1e-3
     min_score: float = 0.2
+    low: float = 0.02
+
+    def rows_each(self, langs: int) -> int:
+        """Labelled documents drawn of each of so many languages."""
+        return self.per_lang if langs <= self.max_langs else max(1, self.per_lang * self.max_langs // langs)
+
+    def marks_each(self, langs: int) -> int:
+        return max(1, min(self.landmarks, MARKS // langs))
 
 
 def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -80,6 +95,12 @@ class Model:
     langs: list[str]
     weight: np.ndarray  # 2**BITS x languages
     bias: np.ndarray
+    least: np.ndarray  # score below which a text told as this language is rejected
+
+    def known(self, pred: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Which predictions are not rejected."""
+        least = dict(zip(self.langs, self.least.tolist(), strict=True))
+        return score >= np.array([least.get(x, 0.0) for x in pred])
 
     def predict(self, lower: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Language and score of each lower-cased text."""
@@ -95,12 +116,23 @@ class Model:
         return pred, score
 
 
+def _units(packed: np.ndarray) -> np.ndarray:
+    """Presence vectors of length 1 from packed bits."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 def fit(docs: DataFrame, p: Params) -> Model:
-    """Learn from text and lang of the documents that are not held out."""
+    """Learn from text and lang of the documents that are not held out.
+
+    least is set by scores that leave the scored text out of the regression, the
+    landmarks as they are. One language alone has no other to be told from:
+    all its texts score 1, and none is rejected.
+    """
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect())
-    drawn = bounded_sample(known.where(F.col("lang").isin(langs)), "lang", p.per_lang).select("doc_id", F.col("lang").alias("y"))
-    # at most per_lang x max_langs ids
+    n_langs = known.agg(F.count_distinct("lang")).first()[0]
+    drawn = bounded_sample(known, "lang", p.rows_each(n_langs)).select("doc_id", F.col("lang").alias("y"))
+    # at most per_lang x max_langs ids, or one a language
     rows = _ready(docs).join(F.broadcast(drawn), "doc_id").where("letters").select("doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,20 +143,43 @@ def fit(docs: DataFrame, p: Params) -> Model:
 
     got = rows.mapInArrow(run, "doc_id long, y string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("x", "ascending")])
     if not got.num_rows:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    x = np.unpackbits(np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -1), axis=1).astype(np.float32)
-    x /= np.sqrt(x.sum(1, keepdims=True))
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0))
+    packed = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -1)
     y = np.array(got.column("y").to_pylist())
-    langs = sorted(set(y.tolist()))
-    chosen = np.concatenate([np.flatnonzero(y == c)[: max(1, p.landmarks)] for c in langs])
-    marks = x[chosen]
-    k_nm, k_mm = x @ marks.T, marks @ marks.T
-    target = np.where(y[:, None] == np.array(langs), 1.0, -1.0)
-    share = np.array([1 / (y == c).sum() for c in y])  # languages weigh the same
+    langs, code, count = np.unique(y, return_inverse=True, return_counts=True)
+    langs = langs.tolist()
+    each = p.marks_each(len(langs))
+    chosen = np.concatenate([np.flatnonzero(code == c)[:each] for c in range(len(langs))])
+    cut_ = lambda n: [slice(i, min(i + CHUNK, n)) for i in range(0, n, CHUNK)]
+    kernel = np.empty((len(y), len(chosen)), np.float32)
+    for j in cut_(len(chosen)):
+        marks = _units(packed[chosen[j]])
+        for i in cut_(len(y)):
+            kernel[i, j] = _units(packed[i]) @ marks.T
     bias = np.full(len(langs), 2 / len(langs) - 1)
-    left = k_nm.T @ (share[:, None] * k_nm) + p.ridge * len(langs) * (k_mm + 1e-4 * np.eye(len(chosen)))
-    a = np.linalg.solve(left.astype(np.float64), k_nm.T.astype(np.float64) @ (share[:, None] * (target - bias)))
-    return Model(langs, (marks.T @ a).astype(np.float32), bias)
+    k_mm = kernel[chosen]
+    left = (p.ridge * len(langs) * (k_mm + 1e-4 * np.eye(len(chosen)))).astype(np.float64)
+    right = np.zeros((len(chosen), len(langs)))
+    target = lambda i: np.where(code[i, None] == np.arange(len(langs)), 1.0, -1.0) - bias
+    for i in cut_(len(y)):
+        k = kernel[i].astype(np.float64)
+        weighed = k / count[code[i], None]  # languages weigh the same
+        left += k.T @ weighed
+        right += weighed.T @ target(i)
+    a = np.linalg.solve(left, right)
+    inverse = np.linalg.inv(left)
+    score = np.empty(len(y))
+    for i in cut_(len(y)):
+        k = kernel[i].astype(np.float64)
+        own = np.clip(((k @ inverse) * k).sum(1) / count[code[i]], 0, 0.999)[:, None]
+        alone = (k @ a - own * target(i)) / (1 - own)
+        score[i] = np.clip((alone[np.arange(len(k)), code[i]] + bias[code[i]] + 1) / 2, 0, 1)
+    floor = 1 / len(langs)
+    least = np.array([max(p.min_score, floor + max(0.0, np.quantile(score[code == c], p.low) - floor) / 2) for c in range(len(langs))])
+    weight = np.zeros((1 << BITS, len(langs)))
+    for j in cut_(len(chosen)):
+        weight += _units(packed[chosen[j]]).T @ a[j]
+    return Model(langs, weight.astype(np.float32), bias, least)
 
 
 def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -151,7 +206,7 @@ def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def accepted(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents whose language was told with at least min_score; columns stay as they are.
+    """The documents whose language was told and not rejected (see Params); columns stay as they are.
 
     Every row is judged in its place by its own text, so texts are not shuffled.
     """
@@ -164,8 +219,8 @@ def accepted(docs: DataFrame, p: Params = Params()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            _, score = m.predict(batch.column(n), batch.column(n + 1))
+            pred, score = m.predict(batch.column(n), batch.column(n + 1))
             own = pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
-            yield own.filter(pa.array(score >= p.min_score))
+            yield own.filter(pa.array((score >= p.min_score) & m.known(pred, score)))
 
     return docs.withColumns({"_lower": F.lower(text), "_letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))}).mapInArrow(run, docs.schema)
