@@ -135,6 +135,20 @@ def test_repeated_passages_equal_brute_force(spark):
     assert hot == set(got)
 
 
+def test_both_sides_of_a_repeat_come_from_one_document(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(60):
+        x, g, y = words(rng, 20), words(rng, 25), words(rng, 20)
+        texts += [" ".join(words(rng, 30) + part + words(rng, 30)) for part in (x + g, g + y, x + g + y)]
+    true = words(rng, 55)
+    texts += [" ".join(words(rng, 9) + true), " ".join(true + words(rng, 9))]
+    want = brute_repeats(list(enumerate(texts)), 50)
+    got = {r.doc_id: ([list(x) for x in r.passages], [list(x) for x in r.copied]) for r in suffix.repeats(table(spark, texts)).collect()}
+    assert got == {i: (x["passages"], x.get("copied", [])) for i, x in want.items()}
+    assert set(got) == {180, 181}
+
+
 def test_rows_sharing_an_id_stay_whole(spark):
     rng = random.Random(5)
     p = " ".join(words(rng, 80))

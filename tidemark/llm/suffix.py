@@ -4,10 +4,10 @@ Of all suffixes of the texts (in words, A-Z lower-cased) only those are kept tha
 begin at content-selected positions: the minimisers of windows of WINDOW
 consecutive K-word grams. Two passages of K + WINDOW - 1 equal words share such
 a position. Suffixes whose first K words occur once are dropped; the others are
-dealt by these words, sorted by the words that follow, and compared with their
-neighbours; sorted by the words before, they are compared once more. So each is
-extended right and left by at most WINDOW words: there the next selected
-position takes over, and the union of the spans is the whole passage.
+dealt by these words. With the words before and after its gram, a suffix lies in
+WINDOW runs of min_words words, and suffixes are sorted by each of these runs:
+those that have one in common share a whole passage. Beyond the runs the next
+selected position takes over, and the union of the runs is the whole passage.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, partitions, short_batches, text_only
-from tidemark.llm.textvec import Block, blocks, grams, row_numbers
+from tidemark.llm.textvec import Block, blocks, grams, mix, row_numbers
 
 #: Bits of the filter of repeated grams for each of them, and at most (128 MB); a fuller filter lets suffixes through that then have no neighbour.
 BITS_EACH, FILTER_BITS = 32, 1 << 30
@@ -99,12 +99,12 @@ def with_context(docs: DataFrame, bitmap: np.ndarray, p: Params) -> DataFrame:
     it, the nearest first; 0 stands beyond the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    k, w = p.gram, p.window
+    k = p.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         mask = np.uint64(len(bits) * 64 - 1)
-        steps = np.arange(w)
+        steps = np.arange(p.min_words - k)
         for batch in batches:
             ids = batch.column(0)
             for b in blocks(batch.column(1)):
@@ -131,76 +131,57 @@ def with_context(docs: DataFrame, bitmap: np.ndarray, p: Params) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, pos int, context binary")
 
 
-def _best(common: list[int], keys: list[int]) -> list[int]:
-    """For sorted suffixes with so many words in common with the next one: the most in common with one of a smaller key, -1 if there is none."""
-    n = len(keys)
-    out = [-1] * n
-    for step in (1, -1):
-        stack: list[tuple[int, int]] = []
-        i = 0 if step == 1 else n - 1
-        for _ in range(n):
-            m = 1 << 30
-            if stack:
-                m = common[i - 1] if step == 1 else common[i]
-            key = keys[i]
-            while stack and stack[-1][0] >= key:
-                m = min(m, stack.pop()[1])
-            if stack and m > out[i]:
-                out[i] = m
-            stack.append((key, m))
-            i += step
-    return out
-
+def shared_runs(gram: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For r = 0, 1, ... up to the words on either side: which suffixes have r words after the gram and the others of the run before it, and the hashes of the runs.
 
-def extend(gram: np.ndarray, doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix, how far it goes on as one of an earlier and as one of a later document; -1: there is none.
-
-    words holds what follows (or precedes) each gram; neighbours in sorted order
-    are compared, and the best partner is the nearest on either side that has a
-    smaller (larger) doc_id.
+    words holds what follows each gram, then what precedes it.
     """
+    n = words.shape[1] // 2
+    c = np.uint64(0xD6E8FEB86659FD93)
+    right, left = [gram.astype(np.int64).view(np.uint64)], [np.zeros(len(gram), np.uint64)]
+    for j in range(n):
+        right.append(mix(right[-1] * c + words[:, j]))
+        left.append(mix(left[-1] * c + words[:, n + j]))
+    for r in range(n + 1):
+        there = np.ones(len(gram), bool)
+        if r:
+            there &= words[:, r - 1] != 0
+        if r < n:
+            there &= words[:, 2 * n - r - 1] != 0
+        yield there, mix(right[r] * c + left[n - r])
+
+
+def extend(gram: np.ndarray, doc: np.ndarray, words: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For each suffix, the least and the greatest r of the runs that an earlier document has, and of those that a later one has; -1: there is none."""
     n = len(gram)
-    row = np.concatenate((gram.astype(">u8").view(np.uint8).reshape(n, 8), np.ascontiguousarray(words).view(np.uint8).reshape(n, -1)), axis=1)
-    order = np.argsort(np.ascontiguousarray(row).view(f"V{row.shape[1]}").reshape(-1), kind="stable")
-    g, d, x = gram[order], doc[order], words[order]
-    same = (x[1:] == x[:-1]) & (x[1:] != 0)
-    common = np.minimum.accumulate(same, axis=1).sum(axis=1)
-    earlier, later = np.full(n, -1), np.full(n, -1)
-    edges = np.flatnonzero(g[1:] != g[:-1]) + 1
-    for a, z in zip(np.concatenate(([0], edges)).tolist(), np.concatenate((edges, [n])).tolist(), strict=True):
-        if z - a > 1:
-            lcp, keys = common[a : z - 1].tolist(), d[a:z].tolist()
-            earlier[order[a:z]] = _best(lcp, keys)
-            later[order[a:z]] = _best(lcp, [~y for y in keys])
-    return earlier, later
-
-
-def spans(found: DataFrame, hot: dict[int, tuple[int, int]], p: Params) -> DataFrame:
-    """doc_id and the span start..end of each suffix repeated in another document; later is true if an earlier document has it.
-
-    hot: for each gram of very many suffixes, the first document that has it and
-    in how many parts its suffixes are compared. A part knows that its first
-    suffix is repeated, so no passage is lost; its ends may be found up to a
-    window short.
-    """
-    k, w = p.gram, p.window
-    shared = found.sparkSession.sparkContext.broadcast(hot)
+    out = tuple((np.full(n, -1), np.full(n, -1)) for _ in range(2))
+    for r, (there, run) in enumerate(shared_runs(gram, words)):
+        at = np.flatnonzero(there)
+        if len(at) < 2:
+            continue
+        at = at[np.lexsort((doc[at], run[at]))]
+        new = np.concatenate(([True], run[at[1:]] != run[at[:-1]]))
+        group = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(at)])) - 1
+        d = doc[at]
+        for (low, high), hit in zip(out, (d[first][group] < d, d[last][group] > d), strict=True):
+            i = at[hit]
+            low[i] = np.where(low[i] < 0, r, low[i])
+            high[i] = r
+    return out
+
+
+def spans(found: DataFrame, p: Params) -> DataFrame:
+    """doc_id and the span start..end of each suffix's runs that another document has; later is true if an earlier document has them."""
+    k, side = p.gram, p.min_words - p.gram
 
     def work(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        (re, rl), (le, ll) = extend(gram, doc, words[:, :w]), extend(gram, doc, words[:, w:])
-        for g, (first, _) in shared.value.items():
-            here = gram == g
-            re[here & (re < 0) & (doc > first)] = 0
-            le[here & (le < 0) & (doc > first)] = 0
-            rl[here & (rl < 0) & (doc == first)] = 0
-            ll[here & (ll < 0) & (doc == first)] = 0
-        for right, left, flag in ((re, le, True), (rl, ll, False)):
-            keep = (right >= 0) & (right + left + k >= p.min_words)
-            if g_hot := shared.value:
-                keep |= (right >= 0) & np.isin(gram, np.array(list(g_hot), np.int64)) & (right + left + k > p.min_words - w)
+        for (low, high), flag in zip(extend(gram, doc, words), (True, False), strict=True):
+            keep = low >= 0
             if keep.any():
                 ids = doc[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NONE), pa.array(pos[keep] - left[keep], pa.int64()), pa.array(pos[keep] + k + right[keep], pa.int64()), pa.array([flag] * int(keep.sum()))], names=["doc_id", "start", "end", "later"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NONE), pa.array(pos[keep] - side + low[keep], pa.int64()), pa.array(pos[keep] + k + high[keep], pa.int64()), pa.array([flag] * int(keep.sum()))], names=["doc_id", "start", "end", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -218,7 +199,7 @@ def spans(found: DataFrame, hot: dict[int, tuple[int, int]], p: Params) -> DataF
             if not batch.num_rows:
                 continue
             doc = batch.column(1).fill_null(_NONE).to_numpy()
-            words = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(batch.num_rows, 2 * w)
+            words = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(batch.num_rows, 2 * side)
             held.append((batch.column(0).to_numpy(), doc, batch.column(2).to_numpy().astype(np.int64), words))
             size += batch.num_rows
             if size >= CHUNK:
@@ -228,11 +209,7 @@ def spans(found: DataFrame, hot: dict[int, tuple[int, int]], p: Params) -> DataF
         if held and size:
             yield from work(*arrays(None))
 
-    parts = F.lit(0)
-    if hot:
-        many = F.create_map(*[x for g, (_, n) in hot.items() for x in (F.lit(g), F.lit(n))])
-        parts = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.try_element_at(many, F.col("gram"))).cast("int"), F.lit(0))
-    dealt = found.withColumn("part", parts).repartition(partitions(found.sparkSession), "gram", "part").sortWithinPartitions("gram")
+    dealt = found.repartition(partitions(found.sparkSession), "gram").sortWithinPartitions("gram")
     return dealt.select("gram", "doc_id", "pos", "context").mapInArrow(run, "doc_id long, start long, end long, later boolean")
 
 
@@ -264,11 +241,8 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     counted = suffixes(docs, p).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("first"), F.max(F.coalesce("doc_id", F.lit(_NONE))).alias("last"))
     grams_ = cut(counted.where("first != last").select("gram", "n", "first"), "repeated-grams")
     size = grams_.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    # at most 16 grams a partition can have more rows than this
-    heavy = max(p.hot, size["rows"] // (16 * partitions(spark)))
-    hot = {r["gram"]: (r["first"], -(-r["n"] // heavy)) for r in grams_.where(F.col("n") > heavy).collect()}
     found = with_context(docs, repeated_filter(grams_, size["n"]), p)
-    each = spans(found, hot, p)
+    each = spans(found, p)
     lists = each.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("all"), F.collect_list(F.when(F.col("later"), F.struct("start", "end"))).alias("some"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     long_enough = lambda c: F.filter(c, lambda x: x["end"] - x["start"] >= p.min_words)
