@@ -135,6 +135,38 @@ def test_repeated_passages_equal_brute_force(spark):
     assert hot == set(got)
 
 
+def test_hot_grams_lose_no_passage(spark):
+    rng = random.Random(17)
+    common = words(rng, 25)
+    texts = [" ".join(words(rng, 20) + common + words(rng, 40)) for _ in range(150)]
+    for size in range(25, 40):
+        tail = words(rng, size)
+        texts += [" ".join(words(rng, 20) + common + tail + words(rng, 20)) for _ in range(2)]
+    rng.shuffle(texts)
+    docs = table(spark, texts).unionByName(spark.createDataFrame([(None, texts[3], "en", "s", 1)], SCHEMA))
+    want = brute_repeats([(-1, texts[3]), *enumerate(texts)], 50)
+    want = {None if i < 0 else i: (x["passages"], x.get("copied", [])) for i, x in want.items()}
+    for hot in (50_000, 20):
+        got = {r.doc_id: ([list(x) for x in r.passages], [list(x) for x in r.copied]) for r in suffix.repeats(docs, suffix.Params(hot=hot)).collect()}
+        assert got == want, hot
+
+
+def test_hot_grams_lose_no_passage(spark):
+    rng = random.Random(17)
+    common = words(rng, 25)
+    texts = [" ".join(words(rng, 20) + common + words(rng, 40)) for _ in range(150)]
+    for size in range(25, 40):
+        tail = words(rng, size)
+        texts += [" ".join(words(rng, 20) + common + tail + words(rng, 20)) for _ in range(2)]
+    rng.shuffle(texts)
+    docs = table(spark, texts).unionByName(spark.createDataFrame([(None, texts[3], "en", "s", 1)], SCHEMA))
+    want = brute_repeats([(-1, texts[3]), *enumerate(texts)], 50)
+    want = {None if i < 0 else i: (x["passages"], x.get("copied", [])) for i, x in want.items()}
+    for hot in (50_000, 20):
+        got = {r.doc_id: ([list(x) for x in r.passages], [list(x) for x in r.copied]) for r in suffix.repeats(docs, suffix.Params(hot=hot)).collect()}
+        assert got == want, hot
+
+
 def test_both_sides_of_a_repeat_come_from_one_document(spark):
     rng = random.Random(13)
     texts = []

@@ -32,7 +32,7 @@ _NONE = -(1 << 63)
 
 @dataclass(frozen=True)
 class Params:
-    """The least length of a repeated passage in words; a group of more suffixes than hot is dealt over tasks."""
+    """The least length of a repeated passage in words; a group of more suffixes than hot is dealt over tasks by its runs."""
 
     min_words: int = 50
     hot: int = 50_000
@@ -213,6 +213,36 @@ def spans(found: DataFrame, p: Params) -> DataFrame:
     return dealt.select("gram", "doc_id", "pos", "context").mapInArrow(run, "doc_id long, start long, end long, later boolean")
 
 
+def hot_spans(found: DataFrame, heavy: int, p: Params) -> DataFrame:
+    """The spans of suffixes whose grams are too frequent for one task: the same as spans() finds.
+
+    The runs of min_words words are dealt instead of the grams, and of each only
+    the first and the last document and the count are kept. A run of more than
+    heavy suffixes is sent to where these are; there are few such runs.
+    """
+    k, side = p.gram, p.min_words - p.gram
+    found = cut(found.select("gram", "doc_id", "pos", "context"), "hot-suffixes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(batch.num_rows, 2 * side)
+            for r, (there, h) in enumerate(shared_runs(batch.column(0).to_numpy(), words)):
+                at = pa.array(np.flatnonzero(there))
+                yield pa.RecordBatch.from_arrays([pa.array(h[there].view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), pa.array(np.full(len(at), r, np.int32))], names=["run", "doc_id", "pos", "r"])
+
+    rows = found.mapInArrow(run, "run long, doc_id long, pos int, r int")
+    key = F.coalesce("doc_id", F.lit(_NONE))
+    runs = cut(rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).where("first != last"), "hot-runs")
+    often = F.broadcast(runs.where(F.col("n") > heavy))
+    each = rows.join(often, "run").unionByName(rows.join(often.select("run"), "run", "left_anti").join(runs.where(F.col("n") <= heavy), "run"))
+    of = lambda cond, later: F.struct(F.min(F.when(cond, F.col("r"))).alias("low"), F.max(F.when(cond, F.col("r"))).alias("high"), F.lit(later).alias("later"))
+    both = each.groupBy("doc_id", "pos").agg(F.array(of(F.col("first") < key, True), of(F.col("last") > key, False)).alias("x"))
+    out = both.select("doc_id", "pos", F.inline("x")).where("low IS NOT NULL")
+    return out.select("doc_id", (F.col("pos") - side + F.col("low")).cast("long").alias("start"), (F.col("pos") + k + F.col("high")).cast("long").alias("end"), "later")
+
+
 def _merged(list_: str) -> Column:
     """Sorted spans joined where they touch or overlap."""
     kind = "array<struct<start:bigint,end:bigint>>"
@@ -239,10 +269,16 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     short_batches(spark)
     docs = text_only(docs)
     counted = suffixes(docs, p).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("first"), F.max(F.coalesce("doc_id", F.lit(_NONE))).alias("last"))
-    grams_ = cut(counted.where("first != last").select("gram", "n", "first"), "repeated-grams")
+    grams_ = cut(counted.where("first != last").select("gram", "n"), "repeated-grams")
     size = grams_.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     found = with_context(docs, repeated_filter(grams_, size["n"]), p)
-    each = spans(found, p)
+    heavy = max(p.hot, size["rows"] // (16 * partitions(spark)))
+    # at most 16 grams a partition can have more rows than this
+    hot = [r["gram"] for r in grams_.where(F.col("n") > heavy).select("gram").collect()]
+    if hot:
+        each = spans(found.where(~F.col("gram").isin(hot)), p).unionByName(hot_spans(found.where(F.col("gram").isin(hot)), heavy, p))
+    else:
+        each = spans(found, p)
     lists = each.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("all"), F.collect_list(F.when(F.col("later"), F.struct("start", "end"))).alias("some"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     long_enough = lambda c: F.filter(c, lambda x: x["end"] - x["start"] >= p.min_words)
