@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, imatch, jaccard, suffix
@@ -137,23 +138,8 @@ def test_repeated_passages_equal_brute_force(spark):
 
 def test_hot_grams_lose_no_passage(spark):
     rng = random.Random(17)
-    common = words(rng, 25)
-    texts = [" ".join(words(rng, 20) + common + words(rng, 40)) for _ in range(150)]
-    for size in range(25, 40):
-        tail = words(rng, size)
-        texts += [" ".join(words(rng, 20) + common + tail + words(rng, 20)) for _ in range(2)]
-    rng.shuffle(texts)
-    docs = table(spark, texts).unionByName(spark.createDataFrame([(None, texts[3], "en", "s", 1)], SCHEMA))
-    want = brute_repeats([(-1, texts[3]), *enumerate(texts)], 50)
-    want = {None if i < 0 else i: (x["passages"], x.get("copied", [])) for i, x in want.items()}
-    for hot in (50_000, 20):
-        got = {r.doc_id: ([list(x) for x in r.passages], [list(x) for x in r.copied]) for r in suffix.repeats(docs, suffix.Params(hot=hot)).collect()}
-        assert got == want, hot
-
-
-def test_hot_grams_lose_no_passage(spark):
-    rng = random.Random(17)
-    common = words(rng, 25)
+    # the lowest of many hashes, so that the gram is selected wherever it stands
+    common = min((words(rng, 25) for _ in range(400)), key=lambda x: int(suffix.grams(next(suffix.blocks(pa.array([" ".join(x)]))).hash, 25)[0]))
     texts = [" ".join(words(rng, 20) + common + words(rng, 40)) for _ in range(150)]
     for size in range(25, 40):
         tail = words(rng, size)
@@ -207,6 +193,27 @@ def test_leaks_are_found_in_spite_of_replaced_words(spark):
     assert decontaminate.clean(docs, bench).columns == docs.columns
 
 
+def test_short_items_are_found_with_a_word_replaced_anywhere(spark):
+    rng = random.Random(19)
+    items, texts, want = [], [], set()
+    for size in range(8, 21):
+        item = words(rng, size)
+        for at in range(size) if size > 8 else ():
+            want.add((len(texts), len(items)))
+            texts.append(" ".join(words(rng, 30) + [*item[:at], "other", *item[at + 1 :]] + words(rng, 30)))
+        items.append(" ".join(item))
+    item = words(rng, 15)
+    want.add((len(texts), len(items)))
+    texts.append(" ".join([item[0], "other", *item[2:13], "other", item[14]]))
+    items.append(" ".join(item))
+    item = words(rng, 60)  # an exact run of 11 words, and 12 equal with 4 replaced
+    want.add((len(texts), len(items)))
+    texts.append(" ".join([*item[:11], *words(rng, 20), *[x if i % 7 not in (3, 6) or i > 13 else "other" for i, x in enumerate(item[31:47])], *words(rng, 13)]))
+    items.append(" ".join(item))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table(spark, texts), bench).collect()} == want
+
+
 def test_passes_over_a_large_benchmark(spark, monkeypatch):
     rng = random.Random(2)
     items = [words(rng, 30) for _ in range(5)]
@@ -216,6 +223,15 @@ def test_passes_over_a_large_benchmark(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()) == [(i, i) for i in range(5)]
 
 
+def test_every_term_of_the_band_is_in_the_lexicon(spark):
+    rng = random.Random(23)
+    docs = table(spark, [" ".join(rng.sample([f"w{i}" for i in range(100)], 30)) for _ in range(50)])
+    assert len(imatch.lexicon(docs, imatch.Params(low=0.01, high=1.0))) == 100
+    near = table(spark, ["a b c d", "a b c e", "d e", "d e"])
+    prints = {r.doc_id: r.fingerprint for r in imatch.fingerprints(near, imatch.Params(low=0.01, high=1.0)).collect()}
+    assert prints[0] != prints[1] and not any(x.startswith("words:") for x in prints.values())
+
+
 def test_fingerprints(spark):
     rng = random.Random(9)
     base = [" ".join(words(rng, 200, 600)) for _ in range(80)]

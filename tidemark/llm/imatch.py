@@ -1,8 +1,7 @@
 """Document fingerprints by I-Match over several randomised lexicon subsets (operator 4).
 
-Terms are whitespace-separated words with A-Z lower-cased. The lexicon holds the
-terms of a fixed random quarter of all words whose document frequency lies in a
-band, given as shares of the documents. A subset is a random part of the
+Terms are whitespace-separated words with A-Z lower-cased. The lexicon holds
+all terms whose document frequency lies in a band, given as shares of the documents. A subset is a random part of the
 lexicon, chosen by a hash of the term alone; subsets come in levels of falling
 density, so that short and very long texts both meet subsets of a few terms.
 For each subset a text's distinct terms are sorted and hashed; a fingerprint is
@@ -34,7 +33,7 @@ class Params:
     """The band of document frequency, and the subsets.
 
     The lexicon is broadcast: it has at most (mean number of distinct terms a
-    document, of which a quarter is eligible) / low entries of 8 bytes, however
+    document) / low entries of 8 bytes, however
     many documents there are.
     """
 
@@ -49,10 +48,6 @@ class Params:
         return self.per_level * self.levels
 
 
-def eligible(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(3)) == 0
-
-
 def _distinct(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of row and term, sorted."""
     order = np.lexsort((h, rows))
@@ -63,15 +58,14 @@ def _distinct(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each block of a text column: its rows, and its distinct eligible terms by row."""
+    """For each block of a text column: its rows, and its distinct terms by row."""
     for b in blocks(column):
         row = np.repeat(np.arange(b.hi - b.lo), np.diff(b.first))
-        keep = eligible(b.hash)
-        yield b.lo, b.hi, *_distinct(row[keep], b.hash[keep])
+        yield b.lo, b.hi, *_distinct(row, b.hash)
 
 
 def lexicon(docs: DataFrame, p: Params) -> np.ndarray:
-    """The sorted hashes of the eligible terms in the band, counted over all documents."""
+    """The sorted hashes of the terms in the band, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -109,15 +103,14 @@ def lexicon(docs: DataFrame, p: Params) -> np.ndarray:
 
 
 def sketch(column: pa.Array, terms: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: the hash of its terms in each subset, which of these are there, and the hash of all eligible and other words."""
+    """For each text: the hash of its terms in each subset, which of these are there, and the hash of all words."""
     rows = len(column)
     value = np.zeros(rows * p.subsets, np.uint64)
     there = np.zeros(rows * p.subsets, bool)
     whole = np.zeros(rows, np.uint64)
     for b in blocks(column):
         row = np.repeat(np.arange(b.lo, b.hi), np.diff(b.first))
-        keep = eligible(b.hash)
-        r, h = _distinct(row[keep], b.hash[keep])
+        r, h = _distinct(row, b.hash)
         if len(terms):
             at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
             inside = terms[at] == h
