@@ -21,7 +21,7 @@ from tidemark.llm.common import short_batches, text_only
 from tidemark.llm.textvec import Block, blocks, mix, row_numbers
 
 #: The masks: 1 is a word that must be equal, 0 one that is ignored. All have weight 6.
-MASKS = ("111111", "1101100101", "11010001011", "100110101001")
+MASKS = ("111111", "1110111", "1101100101", "11010001011", "100110101001")
 #: Words of benchmark text that are searched for at once; a larger benchmark takes more passes over the documents.
 PASS_WORDS = 2_000_000
 
@@ -30,8 +30,8 @@ PASS_WORDS = 2_000_000
 class Params:
     """What counts as a leak: so many equal words in a run, at least this share of the run's words.
 
-    A run that covers the whole item counts from whole_item words on, as short
-    items have no more to give.
+    The whole item counts from whole_item equal words on, as short items have no
+    more to give.
     """
 
     min_equal: int = 12
@@ -92,6 +92,33 @@ def best_run(equal: np.ndarray, mismatch: float) -> tuple[int, int]:
     return int(np.argmin(total[: end + 1])), end
 
 
+def longest_run(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """The run start..end of the most equal words among those with at least this share of them."""
+    total = np.concatenate(([0.0], np.cumsum(equal - share)))
+    count = np.concatenate(([0], np.cumsum(equal)))
+    highest = np.maximum.accumulate(total[::-1])[::-1]
+    end = np.searchsorted(-highest, -(total - 1e-9), "right") - 1  # the last place that is not lower than the start
+    lo = int(np.argmax(count[end] - count))
+    at = lo + np.flatnonzero(equal[lo : end[lo]])
+    return (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+
+
+def leaked_runs(equal: np.ndarray, p: Params) -> Iterator[tuple[int, int, int]]:
+    """start, end and equal words of the runs that count: the best one, or else the longest; then those left and right of it."""
+    todo = [(0, len(equal))]
+    while todo:
+        a, z = todo.pop()
+        x = equal[a:z]
+        if x.sum() < max(1, p.min_equal):
+            continue
+        for lo, hi in (best_run(x, p.mismatch), longest_run(x, p.min_share)):
+            n = int(x[lo:hi].sum())
+            if n >= p.min_equal and n >= p.min_share * (hi - lo):
+                yield a + lo, a + hi, n
+                todo += [(a, a + lo), (a + hi, z)]
+                break
+
+
 def hits(b: Block, s: Searched) -> Iterator[tuple[int, int, int]]:
     """row, item (by number) and the place in the row's words where the item's first word would be."""
     row = row_numbers(b)
@@ -157,11 +184,13 @@ def found_in(column: pa.Array, s: Searched, p: Params) -> Iterator[tuple[int, in
             skip = max(0, -at)
             here = b.hash[a + at + skip : min(z, a + at + len(words))]
             equal = here == words[skip : skip + len(here)]
-            lo, hi = best_run(equal, p.mismatch)
-            n = int(equal[lo:hi].sum())
-            whole = hi - lo == len(words) and n >= p.whole_item
-            if (n >= p.min_equal or whole) and n >= p.min_share * (hi - lo):
-                yield b.lo + row, s.items[item], at + skip + lo, at + skip + hi, n
+            n = int(equal.sum())
+            whole = len(equal) == len(words) and n >= p.whole_item and n >= p.min_share * len(words)
+            for lo, hi, n_run in leaked_runs(equal, p):
+                whole = False  # a run of it is told
+                yield b.lo + row, s.items[item], at + skip + lo, at + skip + hi, n_run
+            if whole:
+                yield b.lo + row, s.items[item], at, at + len(words), n
 
 
 def search(docs: DataFrame, items: Searched, p: Params) -> DataFrame:
