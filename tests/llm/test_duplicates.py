@@ -89,6 +89,14 @@ def test_one_of_each_group_stays(spark, near):
     assert sorted((r.doc_id, r.text) for r in jaccard.one_of_each(twice, p).collect()) == [(0, "a b c d e f"), (1, "another text"), (1, "x")]
 
 
+def test_rows_go_by_their_own_text(spark):
+    copied, other = "a b c d e f", "quite another text of seven words"
+    rows = [(5, copied), (None, copied), (None, other), (None, "still another text"), (7, copied), (7, "b b text"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(0, copied), *rows[1:]] if i is not None] + [(None, x, "en", "s", 1) for x in (other, "still another text")], SCHEMA)
+    kept = jaccard.one_of_each(docs, jaccard.Params(5, 80)).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(0, copied), (7, "b b text"), (7, None), (None, other), (None, "still another text")} and len(kept) == 5
+
+
 def test_empty_and_single(spark):
     none = table(spark, [])
     assert jaccard.join(none).count() == 0

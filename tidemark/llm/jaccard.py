@@ -26,7 +26,7 @@ component, so the components are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,6 +159,20 @@ def describe(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, c long")
 
 
+def text_class(p: Params) -> Callable[[Column], Column]:
+    """A column function: the class that describe() gives a text."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for b in blocks(texts):
+            n, c = class_ids(*sets(b, p.words), b.hi - b.lo)
+            out.append(pa.array(c.view(np.int64), mask=n == 0))
+        return pa.concat_arrays(out) if out else pa.array([], pa.int64())
+
+    return run
+
+
 def index(docs: DataFrame, p: Params, wanted: np.ndarray | None = None) -> DataFrame:
     """s (signature) and v (class; as its complement, which is negative, where the set does not probe).
 
@@ -316,6 +330,11 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rows of their own. An empty table gives an empty result; other columns are
     left behind. Shingles and sets are compared by 64-bit hashes.
     """
+    return rows_linked(docs, p).drop("c")
+
+
+def rows_linked(docs: DataFrame, p: Params) -> DataFrame:
+    """What join() returns, and the class of the row's set of shingles."""
     short_batches(docs.sparkSession)
     docs = text_only(docs)
     members = cut(describe(docs, p), "jaccard-documents")
@@ -328,20 +347,22 @@ def join(docs: DataFrame, p: Params = Params()) -> DataFrame:
     else:
         classes = classes.select("c", F.col("low").alias("component_id"))
     out = members.join(classes, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "c")
 
 
 def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents, of each group of linked ones that of the smallest doc_id; columns stay as they are.
 
     Documents linked with nothing stay. Rows that share the doc_id that stays all
-    stay if their texts differ; of equal ones one stays.
+    stay if their texts differ; of equal ones one stays. Of rows that share
+    another doc_id only those go whose own text is linked.
     """
-    found = cut(join(docs, p), "jaccard-kept")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    found = cut(rows_linked(docs, p), "jaccard-kept")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"), F.col("c").alias("gone_c")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("gone"))
     if again.isEmpty():
-        return out
+        return docs.join(gone, own, "left_anti")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("again"))
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    shared = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("_c", text_class(p)(F.col("text").cast("string")))
+    return docs.join(again, same, "left_anti").join(gone, own, "left_anti").unionByName(shared.join(gone, own & (F.col("_c") == F.col("gone_c")), "left_anti").drop("_c"))
