@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, separators, vbyte
@@ -58,24 +59,28 @@ def test_byte_coding_round_trip():
         assert (vbyte.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n) == ranks).all()
 
 
-@pytest.mark.parametrize("block", [7, 1 << 18])
-def test_token_counts_over_any_blocks(docs, block):
+@pytest.mark.parametrize(("block", "shard"), [(7, 20), (1 << 18, 1 << 23), (13, 6), (1000, 333)])
+def test_token_counts_over_any_blocks_and_shards(docs, block, shard):
     path = public_tokenizers.path(separators.BYTE_50K)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    some = docs.where("doc_id >= 4990 OR doc_id < 40")
+    some = docs.where("doc_id >= 4990 OR doc_id < 40" if shard > 1000 else "doc_id >= 4990").where(f"{shard} > 100 OR doc_id NOT IN (5006, 5007)")
+    some = some.unionByName(some.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("no id")})).unionByName(some.limit(1).withColumn("doc_id", F.lit(-(1 << 62))))
+    some = some.withColumns({"n_tokens": F.lit("clash"), "task": F.lit(1), "value": F.lit(2)})
     rows = some.collect()
-    got = separators.token_counts(some, path, block).collect()
-    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((r.doc_id, len(enc.encode_ordinary(r.text or ""))) for r in rows)
+    got = separators.token_counts(some, path, block, shard).collect()
+    want = sorted(((r.doc_id is not None, r.doc_id or 0), len(enc.encode_ordinary(r.text or ""))) for r in rows)
     at = 0
-    for r in sorted(got, key=lambda r: (r.start, r.n_tokens)):
-        assert r.start == at
-        at += r.n_tokens
+    for r, (key, n) in zip(sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_tokens)), want, strict=True):
+        assert ((r.doc_id is not None, r.doc_id or 0), r.n_tokens, r.start) == (key, n, at)
+        at += n
 
 
-def test_documents_that_do_not_end(spark):
-    b = spark.createDataFrame([("f", 0, 4, [1]), ("f", 1, 4, []), ("g", 0, 3, [0])], "file string, block int, n long, ends array<int>")
-    got = sorted((r.ordinal, r.start, r.n_tokens, r.ended) for r in separators.stitch(b).collect())
-    assert got == [(0, 0, 1, True), (1, 1, 6, True), (2, 7, 2, False)]
+def test_documents_cross_blocks_and_shards(spark):
+    rows = [(0, 0, 0, 4, [1], [7]), (0, 0, 1, 4, [], []), (0, 1, 0, 9, [0, 8], [8, None]), (1, 0, 0, 6, [5], [9])]
+    b = spark.createDataFrame(rows, "task int, shard int, block int, n long, ends array<int>, doc_ids array<long>")
+    t = separators.TRAILER
+    got = sorted((r.task, r.place, r.doc_id, r.n_tokens + t) for r in separators.stitch(b).collect())
+    assert got == [(0, 0, 7, 1), (0, 2, 8, 6), (0, 9, None, 7), (1, 0, 9, 5)]
 
 
 def test_empty_tables(spark):
