@@ -5,6 +5,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, imatch, jaccard, suffix
 
@@ -73,7 +74,7 @@ def test_jaccard_join_equals_brute_force(near, k, percent):
     assert got == want
 
 
-def test_large_buckets_are_joined_on_rare_shingles(near, monkeypatch):
+def test_large_buckets_need_a_rare_shingle(near, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", 1)
     want = brute_components([(r.doc_id, r.text) for r in near.collect()], 3, 90)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(near).collect()}
@@ -259,3 +260,26 @@ def test_fingerprints(spark):
     assert got[3].fingerprint == got[80].fingerprint
     assert got[81].fingerprint == got[82].fingerprint and got[81].near_next == 1.0
     assert sum(r.near_edited for r in got.values()) / len(got) > sum(r.near_next for r in got.values()) / len(got)
+
+
+CLASHES = ("lower", "letters", "_lower", "gone", "again", "gone_id", "id", "class", "copied_", "copy_of", "ranges", "unlike", "h", "c", "s", "v", "n", "root", "low", "bucket", "item_id", "words", "component_id")
+
+
+def test_stages_bear_clashing_columns_nulls_and_long_texts(spark):
+    from tidemark.llm import language
+
+    rng = random.Random(29)
+    p = words(rng, 80)
+    texts = [" ".join(p), " ".join(p), None, "", " ".join(words(rng, 60_000)), " ".join(p + words(rng, 40)), " ".join(words(rng, 12))]
+    docs = table(spark, texts).unionByName(table(spark, texts[:3])).withColumns({c: F.lit("clash") for c in CLASHES})
+    docs = docs.unionByName(docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame([(0, " ".join(p[10:50]))], "item_id long, text string").withColumn("lower", F.lit(1))
+    plain = docs.drop(*CLASHES)
+    for stage in (language.accepted, lambda d: jaccard.one_of_each(d, jaccard.Params(5, 80)), suffix.without_copies, lambda d: decontaminate.clean(d, bench)):
+        got, want = stage(docs), stage(plain)
+        assert got.columns == docs.columns
+        assert sorted(map(str, got.drop(*CLASHES).collect())) == sorted(map(str, want.collect()))
+        assert stage(docs.limit(0)).count() == 0
+    assert sorted((r.doc_id, r.text) for r in decontaminate.clean(docs, bench).where("doc_id is not null and text is not null").collect()) == [(3, ""), (4, texts[4]), (6, texts[6])]
+    assert jaccard.join(docs).drop("doc_id").columns == ["n_shingles", "component_id"]
+    assert suffix.repeats(docs).count() == imatch.fingerprints(plain).join(suffix.repeats(plain).select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct().count()

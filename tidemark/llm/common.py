@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +24,13 @@ def _own_folder() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as
-    in tests on one machine, a temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir. Only on one machine, as in
+    tests, a temporary folder takes its place where that is unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + _own_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -40,6 +43,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after those that df has columns of."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import short_batches, text_only
+from tidemark.llm.common import short_batches, text_only, unused
 from tidemark.llm.textvec import Block, blocks, mix, row_numbers
 
 #: The masks: 1 is a word that must be equal, 0 one that is ignored. All have weight 6.
@@ -210,9 +210,11 @@ def search(docs: DataFrame, items: Searched, p: Params) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents without those that hold a run of a benchmark item; columns stay as they are.
+    """The documents without those that hold a run of a benchmark item; columns stay as they are, whatever their names.
 
     Every row is judged in its place by its own text, so texts are not shuffled.
+    Null and empty texts stay; repeated rows fare alike; null and empty items
+    take nothing away; an empty table stays empty, an empty benchmark lets all stay.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -234,4 +236,5 @@ def without(docs: DataFrame, items: Searched, p: Params) -> DataFrame:
             own = pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
             yield own.filter(pa.array(keep))
 
-    return docs.withColumn("_lower", F.lower(F.col("text").cast("string"))).mapInArrow(run, docs.schema)
+    (lower,) = unused(docs, "lower")
+    return docs.withColumn(lower, F.lower(F.col("text").cast("string"))).mapInArrow(run, docs.schema)

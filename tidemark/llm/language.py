@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, held_out, short_batches
+from tidemark.llm.common import bounded_sample, held_out, short_batches, unused
 from tidemark.llm.textvec import LETTERS, text_buffers
 
 UNKNOWN = "und"
@@ -29,7 +29,7 @@ BLOCK = 1 << 20
 #: Presence vectors multiplied together.
 ROWS = 128
 #: Landmarks of all languages, unless there are more languages; kernel rows the driver unpacks together.
-MARKS, CHUNK = 3200, 1600
+MARKS, CHUNK = 3200, 400
 
 _FOLD = np.where(LETTERS, 32, np.arange(256)).astype(np.uint32)
 _FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -206,9 +206,11 @@ def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def accepted(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents whose language was told and not rejected (see Params); columns stay as they are.
+    """The documents whose language was told and not rejected (see Params); columns stay as they are, whatever their names.
 
     Every row is judged in its place by its own text, so texts are not shuffled.
+    Null texts and those without a letter go; repeated rows fare alike; an empty
+    table stays empty.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -223,4 +225,5 @@ def accepted(docs: DataFrame, p: Params = Params()) -> DataFrame:
             own = pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema([batch.schema.field(i) for i in range(n)]))
             yield own.filter(pa.array((score >= p.min_score) & m.known(pred, score)))
 
-    return docs.withColumns({"_lower": F.lower(text), "_letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False))}).mapInArrow(run, docs.schema)
+    lower, letters = unused(docs, "lower", "letters")
+    return docs.withColumns({lower: F.lower(text), letters: F.coalesce(text.rlike(r"\p{L}"), F.lit(False))}).mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, short_batches, text_only
+from tidemark.llm.common import cut, partitions, short_batches, text_only, unused
 from tidemark.llm.textvec import Block, blocks, grams, mix, row_numbers
 
 #: Bits of the filter of repeated grams for each of them, and at most (128 MB); a fuller filter lets suffixes through that then have no neighbour.
@@ -290,16 +290,18 @@ def without_copies(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents without passages that an earlier one has; a document of which no word is left goes.
 
     Columns stay as they are, but text and n_chars where words were cut: a cut
-    goes from the passage's first word to the next word that stays. Rows of
-    different texts that share a doc_id stay whole, as a place in one text says
-    nothing about the other.
+    goes from the passage's first word to the next word that stays. Null and
+    short texts stay as they are, an empty table stays empty, and other columns
+    may have any names. Rows of different texts that share a doc_id stay whole,
+    as a place in one text says nothing about the other.
     """
-    copies = repeats(docs, p).where("n_copied > 0").select(F.col("doc_id").alias("copy_of"), F.col("copied").alias("copied_"))
+    copy_of, ranges = unused(docs, "copy_of", "ranges")
+    copies = repeats(docs, p).where("n_copied > 0").select(F.col("doc_id").alias(copy_of), F.col("copied").alias(ranges))
     schema = docs.schema
-    h = F.xxhash64(F.col("text").cast("string"))
-    unlike = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low != high")
-    copies = copies.join(unlike, F.col("copy_of").eqNullSafe(F.col("doc_id")), "left_anti")
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("copy_of")), "left").drop("copy_of")
+    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    unlike = docs.select(F.col("doc_id").cast("long").alias("unlike"), h.alias("h")).groupBy("unlike").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high")
+    copies = copies.join(unlike, F.col(copy_of).eqNullSafe(F.col("unlike")), "left_anti")
+    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(copy_of)), "left").drop(copy_of)
     text_at, chars_at = schema.names.index("text"), schema.names.index("n_chars") if "n_chars" in schema.names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
