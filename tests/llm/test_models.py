@@ -1,6 +1,11 @@
 """Operators 3, 9 and 10, the pipeline, and the registry."""
 
+import functools
+import math
+import re
+import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,36 +92,72 @@ def test_label_model_counts_correlated_voters_once():
     assert weight[:3].max() < 0.5 < weight[3]
 
 
-def brute_licence(text, w, least):
-    best = (None, 0.0)
-    for unit in [*(text or "").split("\n"), text or ""]:
-        (t, n), *_ = licenses.terms_of([unit])
-        if not len(t):
-            continue
-        at = np.searchsorted(w.terms, t)
-        inside = np.array([a < len(w.terms) and w.terms[a] == x for a, x in zip(at, t, strict=True)])
-        x = n * np.where(inside, w.idf[np.minimum(at, len(w.terms) - 1)], w.other)
-        v = np.zeros(len(w.terms))
-        v[at[inside]] = x[inside]
-        cosine = w.unit @ v / np.linalg.norm(x)
-        i = int(np.argmax(np.round(cosine, 9)))
-        if cosine[i] >= least and round(cosine[i], 9) > best[1]:
-            best = (licenses.TEMPLATES[i][0], round(cosine[i], 9))
+def brute_licences():
+    """A function of a text: its licence and score, in plain Python over dicts."""
+    terms = lambda t: re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    bags = [(name, Counter(terms(t))) for name, t in licenses.TEMPLATES]
+    idf = lambda x: math.log((1 + len(bags)) / (1 + sum(x in bag for _, bag in bags))) + 1
+    idf = functools.cache(idf)
+    weighed = [(name, {x: n * idf(x) for x, n in bag.items()}) for name, bag in bags]
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    weighed = [(name, v, length(v)) for name, v in weighed]
+
+    def units(text):
+        run, kind = [], None
+        for line in [*text.split("\n"), ""]:
+            yield line
+            now = None if not terms(line) else line.strip(" \t\r\v\f")[0] in "#/*;%!|<"
+            if now is None or now != kind:
+                yield "\n".join(run)
+                run = []
+            if now is not None:
+                run.append(line)
+            kind = now
+        yield text
+
+    def best(text):
+        out, most = (None, 0.0), 0.0
+        for u in units(text or ""):
+            bag = Counter(terms(u))
+            if not any(x in v for x in bag for _, v, _ in weighed):
+                continue
+            mine = {x: n * idf(x) for x, n in bag.items()}
+            for name, v, size in weighed:
+                covered = sum(w * v.get(x, 0) for x, w in mine.items()) / size
+                if covered >= 0.7 * length(mine) and covered > most + 1e-6:
+                    out, most = (name, covered / length(mine)), covered
+        return out
+
     return best
 
 
 def test_licences_equal_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    w = licenses.weigh(docs)
-    want = {r.doc_id: brute_licence(r.text, w, 0.7) for r in docs.collect()}
+    texts = ["# " + t for _, t in licenses.TEMPLATES] + [f"int x;\n// {t[:40]}\n// {t[40:]}\nint y;" for _, t in licenses.TEMPLATES] + ["\n\n", "a\n\n\nb", None]
+    own = spark.createDataFrame([(10**6 + i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    docs = docs.where("n_chars < 3000").select("doc_id", "text", "lang", "source", "n_chars").unionByName(own)
+    best = brute_licences()
+    want = {r.doc_id: best(r.text) for r in docs.collect()}
     got = {r.doc_id: (r.licence if r.origin == "own" else None, r.score) for r in licenses.production(docs).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-    assert all(got[k][1] == pytest.approx(v[1]) for k, v in want.items())
+    assert all(got[k][1] == pytest.approx(v[1], abs=1e-6) for k, v in want.items())
+    assert all(got[10**6 + i][0] for i in range(len(licenses.TEMPLATES)))
+
+
+def test_licence_texts_are_found_beside_many_documents(spark):
+    whole = {name: next(t for n, t in licenses.TEMPLATES if n == name and t.count("\n") > 1) for name in ("MIT", "BSD-3-Clause", "BSD-2-Clause")}
+    wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(licenses._MIT, 40))
+    rows = [(name, f"Copyright (c) 2020 A. Name\n\n{t}") for name, t in whole.items()] + [("wrapped", f"/*\n{wrapped}\n */\nint main() {{}}\n" * 3)]
+    rng = np.random.default_rng(4)
+    rows += [(f"x/{i}", " ".join(rng.choice(["the", "of", "provided", "code", "w1", "w2", "w3"], 30))) for i in range(10_000)]
+    files = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit("clash") for c in ("licence", "score", "edge", "gives", "dir", "origin", "near")})
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan(files).where("licence is not null").collect()}
+    assert got == {name: (name, "own") for name in whole} | {"wrapped": ("MIT", "own")}
 
 
 def test_licences_come_from_the_nearest_directory(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
-    files = spark.createDataFrame([("LICENSE", mit), ("a/b/COPYING.txt", gpl), ("a/x.py", "code"), ("a/b/c/d/y.py", "code"), ("a/b/z.py", f"code\n{mit}\nmore"), ("top.py", None), (None, ""), ("ab/q.py", "w " * 100_000), ("a/x.py", "code")], "path string, text string").withColumn("licence", F.lit(1)).drop("licence")
+    files = spark.createDataFrame([("LICENSE", mit), ("a/b/COPYING.txt", gpl), ("a/x.py", "code"), ("a/b/c/d/y.py", "code"), ("a/b/z.py", f"code\n{mit}\nmore"), ("top.py", None), (None, ""), ("ab/q.py", "w " * 100_000), ("a/x.py", "code")], "path string, text string")
     got = {r.path: (r.licence, r.origin, r.from_dir) for r in licenses.scan(files).collect()}
     assert got["a/x.py"] == ("MIT", "inherited", "") and got["ab/q.py"] == ("MIT", "inherited", "")
     assert got["a/b/c/d/y.py"] == ("GPL-3.0", "inherited", "a/b")

@@ -1,9 +1,11 @@
 """License scans (operator 10): sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A unit is a line of a file (a header is one or more of them) or a file as a
-whole (a licence file). A unit's terms are its runs of letters and digits, A-Z
-lower-cased, weighted by how often they stand in it and by the inverse document
-frequency over all files; terms of no template weigh as terms of no file.
+A unit is a line of a file, a run of adjacent lines that are all comments or all
+not (a header, a paragraph), or a file as a whole (a licence file). A unit's
+terms are its runs of letters and digits, A-Z lower-cased, weighted by how often
+they stand in it and by the inverse document frequency over the templates, so
+comment marks and line breaks do not count, and what a file states does not
+depend on what lies beside it. A term of no template weighs as one of none.
 Which licence a directory has is joined to the ancestors of every directory that
 holds a file, and the nearest one is handed down.
 """
@@ -19,22 +21,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, short_batches
-from tidemark.llm.textvec import Block, blocks, distinct, row_numbers
-
-#: Licences and their usual notices, first as short statements, then as headers. Fixed values.
+from tidemark.llm.textvec import Block, blocks, row_numbers
+
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+_MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"""
+_BSD_2 = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GPL = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
+#: Licences and their usual notices: short statements, headers, first paragraphs of long licences, whole short ones. Fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("MIT", _MIT),
+    ("MIT", f"MIT License\n{_MIT}\n{_MIT_END}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {_GPL}"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_VERBATIM}"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_VERBATIM}"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_VERBATIM}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n{_BSD}\n{_BSD_2}\n{_BSD_END}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n{_BSD}\n{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
+    ("BSD-3-Clause", _BSD),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -43,11 +70,14 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 #: Bytes that part terms: all ASCII but letters and digits.
 _PARTS = np.ones(256, bool)
 _PARTS[48:58] = _PARTS[65:91] = _PARTS[97:123] = _PARTS[128:] = False
+#: First marks of a line that make it a comment.
+_COMMENT = np.isin(np.arange(256), np.frombuffer(b"#/*;%!|<", np.uint8))
 #: File names, without what follows a dot, that make a licence file.
 LICENCE_NAMES = ("license", "licence", "copying", "unlicense")
 
@@ -77,36 +107,20 @@ class Weighted:
     unit: np.ndarray  # templates x terms, rows of length 1
 
 
-def weigh(docs: DataFrame) -> Weighted:
-    """The templates, weighted by document frequencies over all documents."""
+def weigh() -> Weighted:
+    """The templates, weighted by document frequencies over the templates."""
     found = terms_of([t for _, t in TEMPLATES])
-    terms = np.unique(np.concatenate([t for t, _ in found]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, rows = np.zeros(len(terms), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for b in blocks(batch.column(0), space=_PARTS):
-                at = np.minimum(np.searchsorted(terms, b.hash), len(terms) - 1)
-                hit = terms[at] == b.hash
-                _, h = distinct(row_numbers(b)[hit], b.hash[hit])
-                n += np.bincount(np.searchsorted(terms, h), minlength=len(terms))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms) + 1)), pa.array(np.append(n, rows))], names=["term", "n"])
-
-    # a row for each term of the templates, and one for the number of documents
-    df = np.zeros(len(terms) + 1)
-    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    terms, df = np.unique(np.concatenate([t for t, _ in found]), return_counts=True)
+    idf = np.log((1 + len(found)) / (1 + df)) + 1
     unit = np.zeros((len(found), len(terms)))
     for i, (t, n) in enumerate(found):
         at = np.searchsorted(terms, t)
         unit[i, at] = n * idf[at]
-    return Weighted(terms, idf, float(np.log(1 + df[-1]) + 1), unit / np.linalg.norm(unit, axis=1, keepdims=True))
+    return Weighted(terms, idf, float(np.log(1 + len(found)) + 1), unit / np.linalg.norm(unit, axis=1, keepdims=True))
 
 
-def best_units(b: Block, unit: np.ndarray, w: Weighted, least: float) -> Iterator[tuple[int, int, float]]:
-    """Unit, template and cosine of the units whose best cosine is at least least; unit: of each word, ascending.
+def best_units(b: Block, unit: np.ndarray, w: Weighted, least: float) -> Iterator[tuple[int, int, float, float]]:
+    """Unit, template, cosine and cosine times length of the units whose best cosine is at least least; unit: of each word, ascending.
 
     Exact: with all terms weighing a cosine is at most what the template terms
     have of the unit's length, and only units that pass this bound are compared.
@@ -124,21 +138,33 @@ def best_units(b: Block, unit: np.ndarray, w: Weighted, least: float) -> Iterato
         _, of, n = np.unique(b.hash[s], return_index=True, return_counts=True)
         x = n * weight[s][of]
         mine = hit[s][of]
-        cosine = w.unit[:, at[s][of][mine]] @ x[mine] / np.linalg.norm(x)
+        length = np.linalg.norm(x)
+        cosine = w.unit[:, at[s][of][mine]] @ x[mine] / length
         i = int(np.argmax(np.round(cosine, 9)))
         if cosine[i] >= least:
-            yield int(unit[edges[k]]), i, float(cosine[i])
+            yield int(unit[edges[k]]), i, float(cosine[i]), float(cosine[i] * length)
+
 
+def lines_of(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the number of its line and of its run of lines, counted over the block; a row begins a line and a run.
 
-def lines_of(b: Block) -> np.ndarray:
-    """For each word the number of its line, counted over the block; a row begins a line."""
+    A run ends before a line without a term, and where comments begin or end.
+    """
     starts = np.unique(np.concatenate((b.offs[:-1], np.flatnonzero(b.data == 10) + 1)))
-    return np.searchsorted(starts, b.start, "right")
+    line = np.searchsorted(starts, b.start, "right") - 1
+    marks = np.append(np.flatnonzero((b.data > 32) | (b.data == 10)), len(b.data))
+    first = marks[np.searchsorted(marks, starts)]
+    comment = _COMMENT[np.append(b.data, 10)[np.minimum(first, len(b.data))]]
+    full = np.bincount(line, minlength=len(starts)) > 0
+    new = np.ones(len(starts), bool)
+    new[1:] = ~full[:-1] | (comment[1:] != comment[:-1])
+    new[np.isin(starts, b.offs[:-1])] = True
+    return line, np.cumsum(new)[line]
 
 
 def stated(files: DataFrame, w: Weighted, p: Params) -> DataFrame:
-    """files with licence and score (of the best unit, the first if several are), and edge: its first or last line, or its whole, says so."""
-    shared = files.sparkSession.sparkContext.broadcast(w)
+    """files with licence and score (of the unit of which most is its template's: a whole text counts more than its first paragraph), and edge: its first or last line or run of lines, or its whole, says so."""
+    shared = files.sparkSession.sparkContext.broadcast(w)  # as large as the templates
     kept = [f for f in files.columns if f != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "text") + ", licence string, score double, edge boolean"
 
@@ -146,19 +172,17 @@ def stated(files: DataFrame, w: Weighted, p: Params) -> DataFrame:
         m = shared.value
         for batch in batches:
             n = batch.num_rows
-            licence, score, edge = [None] * n, [0.0] * n, [False] * n
+            licence, score, edge, most = [None] * n, [0.0] * n, [False] * n, [0.0] * n
             text = batch.column(batch.schema.get_field_index("text"))
             for b in blocks(text, space=_PARTS):
-                row, line = row_numbers(b), lines_of(b)
-                for unit, whole in ((line, False), (row, True)):
-                    for u, t, c in best_units(b, unit, m, p.min_cosine):
-                        first = int(np.searchsorted(unit, u))
-                        r = int(row[first])
+                row = row_numbers(b)
+                for unit in (*lines_of(b), row):
+                    for u, t, c, x in best_units(b, unit, m, p.min_cosine):
+                        r = int(row[np.searchsorted(unit, u)])
                         a, z = b.row_words(r)
-                        outer = whole or line[first] == line[a] or line[first] == line[z - 1]
-                        edge[b.lo + r] |= outer
-                        if round(c, 9) > score[b.lo + r]:
-                            licence[b.lo + r], score[b.lo + r] = TEMPLATES[t][0], round(c, 9)
+                        edge[b.lo + r] |= bool(u == unit[a] or u == unit[z - 1])
+                        if round(x, 6) > most[b.lo + r]:
+                            licence[b.lo + r], score[b.lo + r], most[b.lo + r] = TEMPLATES[t][0], round(c, 9), round(x, 6)
             columns = [batch.column(batch.schema.get_field_index(f)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(licence, pa.string()), pa.array(score, pa.float64()), pa.array(edge, pa.bool_())], names=[*kept, "licence", "score", "edge"])
 
@@ -204,16 +228,18 @@ def scan(files: DataFrame, p: Params = Params(), by_place: bool = False) -> Data
 
     files has path and text. Returns its other columns with path, licence (null
     if there is none), origin (own, inherited, none), score (cosine of the file's
-    own statement, 0 without) and from_dir (the directory it inherits from). A
+    own statement, 0 without) and from_dir (the directory it inherits from);
+    columns of files that have these names, or dir, gives, edge or near, are
+    replaced or left behind. Of equal templates the first one's licence counts. A
     licence file, by its name, hands its licence down; by_place also lets every
-    file do so whose first or last line states one. A null path lies in the root;
+    file do so whose first or last line or run of lines states one. A null path lies in the root;
     null and empty texts state nothing; repeated rows give repeated results, each
     with its own score; an empty table gives an empty one.
     """
     short_batches(files.sparkSession)
+    files = files.drop("licence", "score", "edge", "gives", "dir", "near", "origin", "from_dir", "handed")
     files = files.withColumns({"path": F.coalesce(F.col("path").cast("string"), F.lit("")), "text": F.col("text").cast("string")})
-    w = weigh(files)
-    found = cut(stated(files, w, p), "licences")
+    found = cut(stated(files, weigh(), p), "licences")
     gives = is_licence_file(F.col("path"))
     found = found.withColumn("gives", gives | F.col("edge") if by_place else gives)
     return inherit(found).drop("gives", "edge", "dir")
