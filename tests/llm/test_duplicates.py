@@ -1,8 +1,11 @@
 """Operators 1, 4, 5 and 7 against brute force and planted cases."""
 
+import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -235,31 +238,76 @@ def test_passes_over_a_large_benchmark(spark, monkeypatch):
 def test_every_term_of_the_band_is_in_the_lexicon(spark):
     rng = random.Random(23)
     docs = table(spark, [" ".join(rng.sample([f"w{i}" for i in range(100)], 30)) for _ in range(50)])
-    assert len(imatch.lexicon(docs, imatch.Params(low=0.01, high=1.0))) == 100
+    lex = imatch.lexicon(docs, imatch.Params(low=0.01, high=1.0))
+    assert len(lex.terms) == 100 and len(lex.first) == 101
+    assert np.diff(lex.first).max() > 1  # subsets overlap
     near = table(spark, ["a b c d", "a b c e", "d e", "d e"])
     prints = {r.doc_id: r.fingerprint for r in imatch.fingerprints(near, imatch.Params(low=0.01, high=1.0)).collect()}
-    assert prints[0] != prints[1] and not any(x.startswith("words:") for x in prints.values())
+    assert prints[2] == prints[3] and prints[0] != prints[2]
 
 
-def test_fingerprints(spark):
+def brute_fingerprints(texts, p):
+    """Fingerprint of each text, in plain Python integers; only the words' hashes are the module's."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * factor & mask
+        return x ^ (x >> 33)
+
+    def sequence(terms):
+        return mixed(sum(mixed(t) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, t in enumerate(terms)) + len(terms) & mask)
+
+    def bag(t):
+        found = WORD.findall(lower(t))
+        return sorted({int(next(suffix.blocks(pa.array([w], pa.large_string()))).hash[0]) for w in found})
+
+    bags = {t: bag(t) for t in {*texts}}
+    df = Counter(x for t in texts[: p[1]] for x in bags[t])
+    p, n = p
+    band = {x for x, k in df.items() if max(2, p.low * n) <= k <= max(2, p.high * n)}
+
+    def of(t):
+        out = []
+        for k in range(p.subsets):
+            seed = mixed((k + 1) * 0x9E3779B97F4A7C15 & mask)
+            mine = [x for x in bags[t] if x in band and mixed(x ^ seed) < int(p.density(k) * 2**64)]
+            out.append(f"{sequence(mine) >> 40:06x}" if mine else "------")
+        if {*out} != {"------"}:
+            return "".join(out)
+        return f"words:{sequence(bags[t]) if bags[t] else 0:016x}"
+
+    return {t: of(t) for t in bags}
+
+
+def likeness(a, b):
+    if a.startswith("words:") and b.startswith("words:"):
+        return float(a == b)
+    a, b = ([x[i : i + 6] if not x.startswith("words:") else "------" for i in range(0, 96 * 6, 6)] for x in (a, b))
+    either = [(x, y) for x, y in zip(a, b, strict=True) if x != "------" or y != "------"]
+    return sum(x == y for x, y in either) / len(either)
+
+
+def test_fingerprints_equal_brute_force(spark):
     rng = random.Random(9)
-    base = [" ".join(words(rng, 200, 600)) for _ in range(80)]
-    texts = [*base, base[3], None, "", base[5] + " tail", "x", "é 😀 z"]
-    docs = table(spark, texts)
+    base = [" ".join(words(rng, 200, 600)) for _ in range(60)]
+    texts = [*base, base[3], None, "", base[5] + " tail", "x", "é 😀 z", " ".join(words(rng, 30_000, 900)), "q1 q2", "q1 q2"]
+    docs = table(spark, texts).withColumns({c: F.lit("clash") for c in ("bucket", "borrowed", "first", "lender", "at", "fingerprint", "n_tokens", "low")})
     p = imatch.Params(low=0.01, high=0.6)
     got = {r.doc_id: r for r in imatch.fingerprints(docs, p).collect()}
     assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
-        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        import hashlib
-
-        assert got[i].n_chars == len(t)
-        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[3].fingerprint == got[80].fingerprint
-    assert got[81].fingerprint == got[82].fingerprint and got[81].near_next == 1.0
-    assert sum(r.near_edited for r in got.values()) / len(got) > sum(r.near_next for r in got.values()) / len(got)
+    plain = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 2] + plain[(i + 1) % len(plain)][: len(t) // 2] for i, t in enumerate(plain)]
+    prints = brute_fingerprints(plain + edited, (p, len(plain)))
+    for i, (t, e) in enumerate(zip(plain, edited, strict=True)):
+        nxt = plain[(i + 1) % len(plain)]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (prints[t], prints[e]), i
+        assert got[i].near_edited == pytest.approx(likeness(prints[t], prints[e]))
+        assert got[i].near_next == pytest.approx(likeness(prints[t], prints[nxt]))
+    assert sum(r.near_edited for r in got.values()) > sum(r.near_next for r in got.values())
+    repeated = docs.unionByName(docs.limit(1)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert imatch.fingerprints(repeated, p).count() == len(texts) + 2
 
 
 CLASHES = ("lower", "letters", "_lower", "gone", "again", "gone_id", "id", "class", "copied_", "copy_of", "ranges", "unlike", "h", "c", "s", "v", "n", "root", "low", "bucket", "item_id", "words", "component_id")

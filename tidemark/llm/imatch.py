@@ -1,10 +1,10 @@
 """Document fingerprints by I-Match over several randomised lexicon subsets (operator 4).
 
 Terms are whitespace-separated words with A-Z lower-cased. The lexicon holds
-all terms whose document frequency lies in a band, given as shares of the documents. A subset is a random part of the
-lexicon, chosen by a hash of the term alone; subsets come in levels of falling
+all terms whose document frequency lies in a band, given as shares of the documents. Every subset is a random draw from the whole lexicon,
+each term by its own hash and independent of the other subsets, so subsets overlap; they come in levels of falling
 density, so that short and very long texts both meet subsets of a few terms.
-For each subset a text's distinct terms are sorted and hashed; a fingerprint is
+For each subset a text's distinct terms are sorted and their sequence is hashed; a fingerprint is
 the row of these hashes, with dashes where a text has no term of the subset.
 """
 
@@ -26,15 +26,16 @@ from tidemark.llm.textvec import blocks, mix
 DIGITS = 6
 #: Distinct terms a task holds before it passes its counts on.
 HELD = 1_000_000
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Params:
     """The band of document frequency, and the subsets.
 
+    A subset of level k has a term with probability 1 / (per_level * thinning**k).
     The lexicon is broadcast: it has at most (mean number of distinct terms a
-    document) / low entries of 8 bytes, however
-    many documents there are.
+    document) / low entries of some 12 bytes, however many documents there are.
     """
 
     low: float = 0.0005
@@ -47,6 +48,39 @@ class Params:
     def subsets(self) -> int:
         return self.per_level * self.levels
 
+    def density(self, subset: int) -> float:
+        return 1 / (self.per_level * self.thinning ** (subset // self.per_level))
+
+
+@dataclass
+class Lexicon:
+    """The terms of the band, and the subsets that each is in."""
+
+    terms: np.ndarray  # sorted hashes
+    first: np.ndarray  # of each term's subsets, and the end
+    subsets: np.ndarray
+
+
+def drawn(terms: np.ndarray, p: Params) -> Lexicon:
+    """The lexicon of some sorted terms with its subsets."""
+    each = [np.flatnonzero(mix(terms ^ mix(np.array([k + 1], np.uint64) * _SEED)) < np.uint64(min(p.density(k), 1 - 2**-53) * 2**64)) for k in range(p.subsets)]
+    of, subset = np.concatenate(each), np.repeat(np.arange(p.subsets), [len(x) for x in each])
+    order = np.argsort(of, kind="stable")
+    return Lexicon(terms, np.searchsorted(of[order], np.arange(len(terms) + 1)), subset[order].astype(np.int64))
+
+
+def sequence_hashes(cell: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells and a hash of the sequence of each one's terms, in the order they come in."""
+    if not len(cell):
+        return cell, terms
+    order = np.argsort(cell, kind="stable")
+    cell, terms = cell[order], terms[order]
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    size = np.diff(np.append(first, len(cell)))
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(size.max()), _SEED)), dtype=np.uint64)
+    place = np.arange(len(cell)) - np.repeat(first, size)
+    return cell[first], mix(np.add.reduceat(mix(terms) * power[place], first) + size.astype(np.uint64))
+
 
 def _distinct(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of row and term, sorted."""
@@ -64,8 +98,8 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield b.lo, b.hi, *_distinct(row, b.hash)
 
 
-def lexicon(docs: DataFrame, p: Params) -> np.ndarray:
-    """The sorted hashes of the terms in the band, counted over all documents."""
+def lexicon(docs: DataFrame, p: Params) -> Lexicon:
+    """The terms in the band, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -99,10 +133,10 @@ def lexicon(docs: DataFrame, p: Params) -> np.ndarray:
     found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     low, high = max(2.0, p.low * n), max(2.0, p.high * n)
     terms = found.where((F.col("n") >= low) & (F.col("n") <= high)).select("term").toArrow()
-    return np.sort(terms.column("term").to_numpy().view(np.uint64))
+    return drawn(np.sort(terms.column("term").to_numpy().view(np.uint64)), p)
 
 
-def sketch(column: pa.Array, terms: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sketch(column: pa.Array, lex: Lexicon, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: the hash of its terms in each subset, which of these are there, and the hash of all words."""
     rows = len(column)
     value = np.zeros(rows * p.subsets, np.uint64)
@@ -111,21 +145,18 @@ def sketch(column: pa.Array, terms: np.ndarray, p: Params) -> tuple[np.ndarray,
     for b in blocks(column):
         row = np.repeat(np.arange(b.lo, b.hi), np.diff(b.first))
         r, h = _distinct(row, b.hash)
-        if len(terms):
-            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-            inside = terms[at] == h
-            r, h = r[inside], h[inside]
-            for level in range(p.levels):
-                draw = mix(h + np.uint64(0x9E37 + level)) % np.uint64(p.per_level * p.thinning**level)
-                take = draw < p.per_level
-                cell = r[take] * p.subsets + level * p.per_level + draw[take].astype(np.int64)
-                np.add.at(value, cell, mix(h[take] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                there[cell] = True
-        has = there.reshape(rows, -1)[b.lo : b.hi].any(1)
-        for i in np.flatnonzero(~has):  # nothing of the lexicon in it: its distinct words stand for it
-            a, z = b.row_words(i)
-            whole[b.lo + i] = mix(np.unique(b.hash[a:z]) ^ np.uint64(0x5A5A)).sum(dtype=np.uint64) + np.uint64(1)
-    return mix(value).reshape(rows, -1) >> np.uint64(64 - 4 * DIGITS), there.reshape(rows, -1), whole
+        if len(lex.terms):
+            at = np.minimum(np.searchsorted(lex.terms, h), len(lex.terms) - 1)
+            inside = lex.terms[at] == h
+            r1, h1, at = r[inside], h[inside], at[inside]
+            n = lex.first[at + 1] - lex.first[at]
+            which = np.repeat(lex.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell, found = sequence_hashes(np.repeat(r1, n) * p.subsets + lex.subsets[which], np.repeat(h1, n))
+            value[cell], there[cell] = found, True
+        bare = ~there.reshape(rows, -1)[r].any(1)  # nothing of the lexicon in it: its distinct words stand for it
+        cell, found = sequence_hashes(r[bare], h[bare])
+        whole[cell] = found
+    return value.reshape(rows, -1) >> np.uint64(64 - 4 * DIGITS), there.reshape(rows, -1), whole
 
 
 def likeness(a: tuple, i: int, b: tuple, j: int) -> float:
@@ -185,7 +216,7 @@ def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
+        lex = shared.value
         ids: list = []
         texts: list[str] = []
         borrowed: list[bool] = []
@@ -200,7 +231,7 @@ def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
             if any(borrowed):
                 n, done = borrowed.index(True), True  # rows after it share the borrowed row's id
             edited = [t[: len(t) - len(t) // 2] + nxt[: len(t) // 2] for t, nxt in zip(texts[:n], texts[1 : n + 1], strict=True)]
-            own, new = sketch(pa.array(texts[: n + 1], pa.large_string()), terms, p), sketch(pa.array(edited, pa.large_string()), terms, p)
+            own, new = sketch(pa.array(texts[: n + 1], pa.large_string()), lex, p), sketch(pa.array(edited, pa.large_string()), lex, p)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[:n], pa.int64()),
