@@ -1,6 +1,7 @@
 """Operators 3, 9 and 10, the pipeline, and the registry."""
 
 import functools
+import itertools
 import math
 import re
 import textwrap
@@ -71,7 +72,10 @@ def test_toxicity_on_held_out_documents(spark):
     ranks[order] = np.arange(len(s))
     n1 = y.sum()
     auc = (ranks[y == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * (len(y) - n1))
+    told = s >= 0.5
+    print("auc", auc, "caught", told[y == 1].mean(), "left alone", 1 - told[y == 0].mean())
     assert auc > 0.9, auc
+    assert told[y == 1].mean() > 0.9 and told[y == 0].mean() < 0.05
 
 
 def test_toxicity_edges(spark):
@@ -83,13 +87,33 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
-def test_label_model_counts_correlated_voters_once():
+def test_label_model_equals_enumeration_and_counts_correlated_voters_once():
     rng = np.random.default_rng(0)
-    y = rng.random(2000) < 0.4
-    one = np.where(rng.random(2000) < 0.9, y, ~y)
-    votes = np.column_stack([one, one, one, np.where(rng.random(2000) < 0.8, y, ~y)])
-    _, weight = toxicity.label_model(votes, np.where(y, 1, -1), 20)
-    assert weight[:3].max() < 0.5 < weight[3]
+    y = rng.random(4000) < 0.3
+    one = np.where(rng.random(4000) < 0.9, y, ~y)
+    votes = np.column_stack([one, one, one, np.where(rng.random(4000) < 0.85, y, ~y), np.where(rng.random(4000) < 0.85, y, ~y)])
+    model, q = toxicity.label_model(votes, 0.3, 30)
+    # the posterior by summing the joint chances, one factor a voter
+    for row in itertools.product([0, 1], repeat=5):
+        joint = [model.prior if c else 1 - model.prior for c in (0, 1)]
+        for c in (0, 1):
+            for j, v in enumerate(row):
+                joint[c] *= model.tables[c, j, row[model.parent[j]], v]
+        assert model.posterior(np.array([row], bool))[0] == pytest.approx(joint[1] / sum(joint), rel=1e-6)
+    # three copies of a voter count once: two independent ones of some less accuracy outweigh them
+    assert model.posterior(np.array([[1, 1, 1, 0, 0]], bool))[0] < 0.5 < model.posterior(np.array([[0, 0, 0, 1, 1]], bool))[0] + 0.35
+    accuracy = [(model.tables[1, j, :, 1].max(), model.tables[0, j, :, 1].min()) for j in (3, 4)]
+    assert all(a > 0.75 and b < 0.25 for a, b in accuracy)
+    assert ((q > 0.5) == y).mean() > 0.9
+
+
+def test_samples_are_bounded_by_each_label(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "'x' as text")
+    labels = spark.range(1500).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic")
+    n = {r["y"]: r["count"] for r in toxicity.draw(docs, labels, toxicity.Params(50, 20, 10)).groupBy("y").count().collect()}
+    assert n == {1: 50, 0: 20, -1: 10}
+    n = {r["y"]: r["count"] for r in toxicity.draw(docs, labels, toxicity.Params(20, 5000, 10)).groupBy("y").count().collect()}
+    assert n[1] == 20 and n[0] == sum(i % 3 != 0 and not held(i) for i in range(1500)) and n[-1] == 10
 
 
 def brute_licences():

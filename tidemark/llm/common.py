@@ -107,10 +107,17 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from b.to_pylist()
 
 
-def bounded_sample(rows: DataFrame, by: str, cap: int) -> DataFrame:
-    """At most cap rows of each value of by, those of the smallest hash of doc_id.
+def bounded_sample(rows: DataFrame, by: str, cap: Column | int) -> DataFrame:
+    """At most cap rows of each value of by, those of the smallest hash of doc_id; cap may depend on by.
 
-    Tasks pass on cap rows of a value at most, so a frequent value is no burden.
+    Rows of a value are counted first, and only those whose hash is small enough
+    to be among the first cap or not far beyond are ranked, so a frequent value
+    sends a small multiple of its cap to one task.
     """
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_cap", cap if isinstance(cap, Column) else F.lit(cap))
+    # four times the share that is wanted, and 64 rows: fewer than cap rows pass as good as never
+    share = (4 * F.col("_cap") + 64) / F.col("_rows")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
+    some = rows.join(sizes, by).where(draw < share)
     w = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= cap).drop("_place")
+    return some.withColumn("_place", F.row_number().over(w)).where("_place <= _cap").drop("_place", "_rows", "_cap")

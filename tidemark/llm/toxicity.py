@@ -1,12 +1,15 @@
 """Toxicity by weak supervision (operator 3).
 
-Voters look at one document each: lexicons of insults, words and word beginnings
-mined from the labelled training rows, and patterns such as shouting. A
-generative model takes each vote as drawn by the document's hidden class,
-estimates by EM how often a voter fires for either class, and how far voters
-agree beyond their class (their correlations): what correlated voters say is
-counted once, not once each. A logistic regression over word features is then
-trained on the posterior labels, and scores every document.
+Voters look at one document each and may fire or not: lexicons of insults,
+lexicon entries (words and word beginnings) mined from the labelled training
+rows, and patterns. A generative model takes the votes of labelled and unlabelled
+documents, without their labels, as drawn from trees of voters given the hidden
+class: how often a voter fires for either class is its accuracy, how often given
+also what its parent in the tree does is their correlation. Both are estimated by
+EM, the trees from the votes' correlations within the classes. A logistic
+regression over word features is then trained on the posterior labels of all
+these documents, its bias and scale are set on the labelled ones, and it scores
+every document.
 """
 
 from __future__ import annotations
@@ -39,17 +42,24 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 class Params:
     """Bounds of the sample that is fitted on, and of the model.
 
-    At most toxic_rows and other_rows labelled training rows are drawn; of the
-    features that toxic ones have more often, the mined best are voters.
+    At most toxic_rows and other_rows labelled training rows are drawn, and at
+    most free_rows rows without a label that are not held out. Features that
+    toxic ones have lift times as often as others serve the classifier; of those
+    that they have voter_lift times as often the mined best are voters. Voters
+    are tied in trees where their correlation within the classes is at least tie.
     """
 
     toxic_rows: int = 3000
     other_rows: int = 5000
+    free_rows: int = 3000
     mined: int = 400
     features: int = 2000
     min_z: float = 4.0
     min_rows: int = 4
-    rounds: int = 25
+    lift: float = 3.0
+    voter_lift: float = 20.0
+    tie: float = 0.8
+    rounds: int = 30
     ridge: float = 0.02
 
 
@@ -77,15 +87,15 @@ def word_hashes(words: str) -> np.ndarray:
 
 
 def draw(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """doc_id and y (1: toxic) of the bounded sample of labelled rows that are not held out."""
+    """doc_id and y (1: toxic, 0: not, -1: no label) of the bounded sample of rows that are not held out."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    known = known.where(~held_out(F.col("doc_id")))
-    some = bounded_sample(known, "y", max(p.toxic_rows, p.other_rows))
-    return some.where((F.col("y") == 1) | F.lit(p.other_rows >= p.toxic_rows))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    each = ids.where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left").select("doc_id", F.coalesce("y", F.lit(-1)).alias("y"))
+    return bounded_sample(each, "y", F.when(F.col("y") == 1, p.toxic_rows).when(F.col("y") == 0, p.other_rows).otherwise(p.free_rows))
 
 
 def mine(sample: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Features that toxic rows of the sample have more often than others, and how significant each is, best first."""
+    """Features that toxic rows of the sample have more often than others, the most significant first, and how many times as often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +112,8 @@ def mine(sample: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     pa_, pb_ = F.col("a") / n1, (F.col("n") - F.col("a")) / n0
     both = F.col("n") / (n1 + n0)
     z = (pa_ - pb_) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    best = counted.where(F.col("n") >= p.min_rows).select("feature", z.alias("z"), (pa_ / (pb_ + 0.5 / n0)).alias("lift")).where((F.col("z") >= p.min_z) & (F.col("lift") >= 3)).orderBy(F.desc("z"), "feature").limit(p.features).toArrow()
-    return best.column("feature").to_numpy().view(np.uint64), best.column("z").to_numpy()
+    best = counted.where(F.col("n") >= p.min_rows).select("feature", z.alias("z"), (pa_ / (pb_ + 0.5 / n0)).alias("lift")).where((F.col("z") >= p.min_z) & (F.col("lift") >= p.lift)).orderBy(F.desc("z"), "feature").limit(p.features).toArrow()
+    return best.column("feature").to_numpy().view(np.uint64), best.column("lift").to_numpy()
 
 
 def hits(b: Block, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,34 +126,95 @@ def hits(b: Block, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r[found], at[found]
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row of votes (bool), and each voter's weight.
+@dataclass
+class LabelModel:
+    """Trees of voters given the class: tables[y, j, u, v] is the chance that voter j votes v if its parent votes u.
 
-    EM over the hidden class; gold is one more voter, of fixed accuracy. A voter's
-    weight is one over the sum of its correlations with all voters within the
-    classes, so a group that always votes together counts as one voter.
+    A root has itself as parent, and the same chance for either u.
     """
+
+    prior: float  # share of class 1
+    parent: np.ndarray
+    tables: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The chance of class 1 for each row of votes (bool)."""
+        v = votes.astype(np.int64)
+        ratio = np.log(self.tables[1] / self.tables[0])
+        logit = np.log(self.prior / (1 - self.prior)) + ratio[np.arange(v.shape[1]), v[:, self.parent], v].sum(1)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def spanning_tree(weight: np.ndarray) -> np.ndarray:
+    """Each node's parent in a tree of the greatest total weight; the first node is its own."""
+    n = len(weight)
+    parent, best, inside = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        inside[at] = True
+        nearer = ~inside & (weight[at] > best)
+        best[nearer], parent[nearer] = weight[at][nearer], at
+        at = int(np.argmax(np.where(inside, -np.inf, best)))
+    return parent
+
+
+def trees(votes: np.ndarray, q: np.ndarray, tie: float) -> np.ndarray:
+    """Each voter's parent in trees of the strongest correlations within the classes, none of them below tie."""
     v = votes.astype(np.float64)
-    sure = 0.95
-    anchor = np.where(gold > 0, np.log(sure / (1 - sure)), -np.log(sure / (1 - sure)))
-    q = 1 / (1 + np.exp(-anchor))
-    weight = np.ones(v.shape[1])
+    rest = v - np.outer(q, q @ v / max(1e-9, q.sum())) - np.outer(1 - q, (1 - q) @ v / max(1e-9, (1 - q).sum()))
+    rest /= np.sqrt((rest**2).sum(0)) + 1e-9
+    alike, own = rest.T @ rest, np.arange(v.shape[1])
+    parent = spanning_tree(alike)
+    return np.where(alike[own, parent] >= tie, parent, own)
+
+
+def fit_tables(votes: np.ndarray, q: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The tables of the votes whose rows belong to class 1 with chance q."""
+    v = votes.astype(np.float64)
+    roots = parent == np.arange(v.shape[1])
+    tables = np.zeros((2, v.shape[1], 2, 2))
+    for y, w in enumerate((1 - q, q)):
+        n, n1 = w.sum(), w @ v
+        base = (n1 + 0.5) / (n + 1)
+        fired = w @ (v * v[:, parent])  # with the parent
+        given = np.stack(((n1 - fired + 2 * base) / (n - n1[parent] + 2), (fired + 2 * base) / (n1[parent] + 2)), axis=1)
+        given[roots] = base[roots][:, None]
+        tables[y, :, :, 1] = np.clip(given, 1e-6, 1 - 1e-6)
+        tables[y, :, :, 0] = 1 - tables[y, :, :, 1]
+    return tables
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int, tie: float = 0.8) -> tuple[LabelModel, np.ndarray]:
+    """The label model of some votes (bool), all of which speak for class 1, and each row's posterior.
+
+    EM from rows with more votes than most down; prior, the share of class 1, is
+    given and kept, as it says which of the two classes is meant.
+    """
+    count = votes.sum(1)
+    q = np.where((count > 0) & (count >= np.quantile(count, 1 - prior)), 0.9, 0.05)
     for step in range(rounds):
-        n1, n0 = q.sum(), (1 - q).sum()
-        a, b = (q @ v + 0.5) / (n1 + 1), ((1 - q) @ v + 0.5) / (n0 + 1)
         if step % 5 == 0:
-            mean = q[:, None] * a + (1 - q)[:, None] * b
-            rest = v - mean
-            rest /= np.sqrt((rest**2).sum(0)) + 1e-9
-            weight = 1 / np.maximum(1, np.clip(rest.T @ rest, 0, 1).sum(0))
-        fire, quiet = np.log(a / b), np.log((1 - a) / (1 - b))
-        logit = np.log(n1 / n0) + v @ (weight * fire) + (1 - v) @ (weight * quiet) + anchor
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - q).max() < 1e-6:
-            q = new
+            parent = trees(votes, q, tie)
+        model = LabelModel(prior, parent, fit_tables(votes, q, parent))
+        new = model.posterior(votes)
+        if step % 5 and np.abs(new - q).max() < 1e-6:
             break
         q = new
-    return q, weight
+    return model, new
+
+
+def calibrated(raw: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Scale and shift by which raw scores become the log-odds of y; Newton's method with a small ridge."""
+    weight = np.full(len(y), 1 / len(y))
+    x, w = np.column_stack((raw, np.ones(len(raw)))), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (weight * (s - y)) + 1e-3 * (w - [1.0, 0.0])
+        step = np.linalg.solve((x * (weight * s * (1 - s))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
+        w = w - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
 def logistic(x: np.ndarray, q: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -169,9 +240,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
-    # at most toxic_rows + other_rows ids
+    # at most toxic_rows + other_rows + free_rows ids
     sample = _ready(docs).join(F.broadcast(draw(docs, labels, p)), "doc_id")
-    mined, _ = mine(sample, p)
+    mined, lift = mine(sample.where("y >= 0"), p)
     lexicon = [word_hashes(x) for x in LEXICONS]
     keys = np.unique(np.concatenate([mined, *lexicon]))
 
@@ -186,32 +257,34 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     got = sample.select("doc_id", "text", "marks", "chars", "y").mapInArrow(run, "doc_id long, hits array<long>, marks int, chars int, y int").toArrow()
     n = got.num_rows
     y = got.column("y").to_numpy() if n else np.zeros(0)
-    if not n or y.min() == y.max():  # nothing to tell apart
-        return Model(keys, np.zeros(len(keys)), 4.0 if n and y.max() else -4.0)
+    if not ((y == 1).any() and (y == 0).any()):  # nothing to tell apart
+        return Model(keys, np.zeros(len(keys)), 4.0 if (y == 1).any() else -4.0)
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     x = np.zeros((n, len(keys)), np.float32)
     for i, cells in enumerate(got.column("hits").to_pylist()):
         x[i, cells] = 1
-    marks, chars = got.column("marks").to_numpy(), got.column("chars").to_numpy()
-    top = np.searchsorted(keys, mined[: p.mined])
-    in_lexicon = [x[:, np.searchsorted(keys, h)].any(1) for h in lexicon]
-    patterns = [marks > 2 + chars / 200, chars < 20, ~np.any(in_lexicon, axis=0) & ~(x[:, top] > 0).any(1)]
-    votes = np.column_stack([x[:, top] > 0, *in_lexicon, *patterns])[order]
+    top = np.searchsorted(keys, mined[lift >= p.voter_lift][: p.mined])
+    in_lexicon = np.column_stack([x[:, np.searchsorted(keys, h)].sum(1) for h in lexicon])
+    loud = got.column("marks").to_numpy() > 2 + got.column("chars").to_numpy() / 200
+    several = (in_lexicon.sum(1) > 1) | (x[:, top].sum(1) > 2)
+    votes = np.column_stack([x[:, top] > 0, in_lexicon > 0, loud & (in_lexicon.sum(1) > 0), several])[order]
     x, y = x[order], y[order]
-    q, _ = label_model(votes, y, p.rounds)
+    known = y >= 0
+    _, q = label_model(votes, float(np.clip(y[known].mean(), 0.01, 0.6)), p.rounds, p.tie)
     w, b = logistic(x, q, p.ridge)
-    return Model(keys, w, b)
+    scale, shift = calibrated(x[known] @ w + b, y[known])
+    return Model(keys, scale * w, scale * b + shift)
 
 
 def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """Score every whole text for toxicity.
 
     Returns doc_id, held_out, score (0 to 1) and predicted. Null and empty texts
-    get the score of a text without features. Several labels of a document count
-    as their highest; null labels count as none; without labels of both classes
-    every score says the class there is, or not toxic. Repeated rows give
-    repeated results; an empty table gives an empty one; other columns are left
-    behind.
+    get the score of a text without features; long texts are read whole. Several
+    labels of a document count as their highest; null labels count as none;
+    without labels of both classes every score says the class there is, or not
+    toxic. Repeated rows give repeated results; an empty table gives an empty one;
+    other columns are left behind, whatever their names.
     """
     spark = docs.sparkSession
     short_batches(spark)
