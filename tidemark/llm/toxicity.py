@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, held_out, short_batches
+from tidemark.llm.common import bounded_sample, cut, held_out, short_batches
 from tidemark.llm.textvec import LETTERS, Block, blocks, distinct, mix, row_numbers
 
 #: Lexicon voters: plain insults and slurs of contempt, one voter a line.
@@ -217,17 +217,45 @@ def calibrated(raw: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def logistic(x: np.ndarray, q: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+@dataclass
+class Sparse:
+    """A matrix of zeros and ones, by the row and the column of its ones."""
+
+    row: np.ndarray
+    col: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], minlength=self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, g[self.row], minlength=self.shape[1])
+
+    def columns(self, which: np.ndarray) -> np.ndarray:
+        """The named columns as a dense matrix of bool."""
+        place = np.full(self.shape[1], -1)
+        place[which] = np.arange(len(which))
+        out = np.zeros((self.shape[0], len(which)), bool)
+        at = place[self.col]
+        out[self.row[at >= 0], at[at >= 0]] = True
+        return out
+
+
+def logistic(x: Sparse, q: np.ndarray, ridge: float, rounds: int = 1200) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on soft labels, classes weighing the same, by accelerated descent."""
     share = np.where(q > 0.5, 1 / max(1e-9, q.sum()), 1 / max(1e-9, (1 - q).sum())) / 2
-    x1 = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1).astype(np.float64)
-    keep = np.full(x1.shape[1], ridge / len(x) * 10)
-    keep[-1] = 0
-    top = np.linalg.norm(x1 * np.sqrt(share)[:, None], 2) ** 2 / 4 + keep.max()
-    w = old = np.zeros(x1.shape[1])
-    for k in range(rounds * 20):
+    keep = np.append(np.full(x.shape[1], ridge / x.shape[0] * 10), 0)
+    forward = lambda w: x.times(w[:-1]) + w[-1]
+    back = lambda g: np.append(x.transposed_times(g), g.sum())
+    u = np.ones(len(keep))
+    for _ in range(50):  # the greatest curvature, by power iteration
+        top = float(np.linalg.norm(u))
+        u = back(share * forward(u / top))
+    top = 1.1 * float(np.linalg.norm(u)) / 4 + keep.max()
+    w = old = np.zeros(len(keep))
+    for k in range(rounds):
         y = w + k / (k + 3) * (w - old)
-        grad = x1.T @ (share * (1 / (1 + np.exp(-np.clip(x1 @ y, -30, 30))) - q)) + keep * y
+        grad = back(share * (1 / (1 + np.exp(-np.clip(forward(y), -30, 30))) - q)) + keep * y
         old, w = w, y - grad / top
     return w[:-1], float(w[-1])
 
@@ -241,7 +269,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     # at most toxic_rows + other_rows + free_rows ids
-    sample = _ready(docs).join(F.broadcast(draw(docs, labels, p)), "doc_id")
+    drawn = cut(draw(docs, labels, p), "toxicity-sample")
+    sample = _ready(docs).join(F.broadcast(drawn), "doc_id")
     mined, lift = mine(sample.where("y >= 0"), p)
     lexicon = [word_hashes(x) for x in LEXICONS]
     keys = np.unique(np.concatenate([mined, *lexicon]))
@@ -260,19 +289,18 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     if not ((y == 1).any() and (y == 0).any()):  # nothing to tell apart
         return Model(keys, np.zeros(len(keys)), 4.0 if (y == 1).any() else -4.0)
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    x = np.zeros((n, len(keys)), np.float32)
-    for i, cells in enumerate(got.column("hits").to_pylist()):
-        x[i, cells] = 1
+    got, y = got.take(pa.array(order)), y[order]
+    lists = got.column("hits").combine_chunks()
+    x = Sparse(np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), (n, len(keys)))
     top = np.searchsorted(keys, mined[lift >= p.voter_lift][: p.mined])
-    in_lexicon = np.column_stack([x[:, np.searchsorted(keys, h)].sum(1) for h in lexicon])
+    mine_, in_lexicon = x.columns(top), np.column_stack([x.columns(np.searchsorted(keys, h)).sum(1) for h in lexicon])
     loud = got.column("marks").to_numpy() > 2 + got.column("chars").to_numpy() / 200
-    several = (in_lexicon.sum(1) > 1) | (x[:, top].sum(1) > 2)
-    votes = np.column_stack([x[:, top] > 0, in_lexicon > 0, loud & (in_lexicon.sum(1) > 0), several])[order]
-    x, y = x[order], y[order]
+    several = (in_lexicon.sum(1) > 1) | (mine_.sum(1) > 2)
+    votes = np.column_stack([mine_, in_lexicon > 0, loud & (in_lexicon.sum(1) > 0), several])
     known = y >= 0
     _, q = label_model(votes, float(np.clip(y[known].mean(), 0.01, 0.6)), p.rounds, p.tie)
     w, b = logistic(x, q, p.ridge)
-    scale, shift = calibrated(x[known] @ w + b, y[known])
+    scale, shift = calibrated((x.times(w) + b)[known], y[known])
     return Model(keys, scale * w, scale * b + shift)
 
 
