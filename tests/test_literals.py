@@ -283,7 +283,48 @@ def test_bootstrap_is_the_same_for_a_seed(spark):
 
 
 def test_tags_and_times(spark):
-    tags = forensics.failure_tags(ledger(spark, [-200, 100, -100])).collect()
-    assert [r.tags for r in tags] == [["WEAK_SIGNAL", "LARGE_LOSS"], ["WEAK_SIGNAL"]]
+    context = "array(named_struct('to', 0.4D, 'mfe', 0.1D, 'later', 1.5D), named_struct('to', 0.4D, 'mfe', 0.9D, 'later', 0.2D), named_struct('to', CAST(NULL AS DOUBLE), 'mfe', 0.3D, 'later', 0.2D))[trade_id % 3]"
+    t = ledger(spark, [-200, 100, -100, -50]).withColumn("c", F.expr(context)).withColumns({"trend": F.expr("array('RANGE', 'BULLISH', 'BULLISH', 'BEARISH')[trade_id]"), "rsi": F.expr("array(70D, 50D, NULL, 30D)[trade_id]"), "to_resistance": F.col("c.to"), "to_support": F.col("c.to"), "to_ema50": F.lit(None).cast("double"), "mfe": F.col("c.mfe"), "mfe_r": F.col("c.mfe"), "later_r": F.col("c.later")})
+    tags = {r.trade_id: r.tags for r in forensics.failure_tags(t).collect()}
+    assert tags == {0: ["SL_THEN_TP_REVERSAL", "RESISTANCE_FAILURE", "RANGE_NOISE", "MOMENTUM_EXHAUSTION"], 2: ["UNKNOWN"], 3: ["SL_THEN_TP_REVERSAL", "SUPPORT_FAILURE", "MOMENTUM_EXHAUSTION"]}
+    quick = forensics.failure_tags(t.withColumns({"holding_minutes": F.lit(2), "mfe": F.lit(0.5)})).where("trade_id = 2").first().tags
+    assert quick == ["HIGH_SPREAD_EROSION"]
     s = spark.createDataFrame([("1704067200",), ("1704067200000",), ("2024-01-01T00:00:00Z",), ("2024-01-01 junk",), ("x",)], "v string")
     assert [r[0] for r in s.select(replay.parse_time(F.col("v"))).collect()] == [1704067200] * 4 + [None]
+
+
+def test_flags_follow_their_thresholds(spark):
+    good = {"history_days": 400, "complete": True, "windows": 8, "trades": 100, "total_r": 5.0, "oos_trades": 60, "oos_total_r": 1.0, "oos_average_r": 0.1, "low_spread_average_r": 0.1, "high_spread_average_r": 0.0, "low_spread_total_r": 5.0, "high_spread_total_r": 1.0}
+    good |= {"low_threshold_win_rate": 50.0, "high_threshold_win_rate": 60.0, "low_threshold_trades": 100, "high_threshold_trades": 40, "min_exit_total_r": 1.0, "max_exit_total_r": 9.0, "top1_pct": 40.0, "max_drawdown_pct": 14.0}
+    good |= {"long_trades": 50, "short_trades": 50, "long_win_rate": 50.0, "short_win_rate": 60.0, "long_total_r": 1.0, "short_total_r": 2.0}
+    cases = {
+        "history_days": {179: "INSUFFICIENT_HISTORY", 180: "LIMITED_HISTORY", 349: "LIMITED_HISTORY", 350: None},
+        "complete": {False: "INCOMPLETE_DATASET"},
+        "windows": {0: "INSUFFICIENT_OOS_WINDOWS", 5: "INSUFFICIENT_OOS_WINDOWS", 6: None},
+        "trades": {29: "LOW_SAMPLE_SIZE", 30: None},
+        "oos_trades": {29: "LOW_OOS_SAMPLE"},
+        "oos_average_r": {-0.1: "NEGATIVE_OOS_EXPECTANCY"},
+        "high_spread_total_r": {-1.0: "HIGH_SPREAD_SENSITIVITY"},
+        "high_threshold_trades": {9: "HIGH_THRESHOLD_SENSITIVITY"},
+        "max_exit_total_r": {12.0: "HIGH_EXIT_SENSITIVITY", 11.0: None},
+        "top1_pct": {51.0: "HIGH_PERIOD_CONCENTRATION", 50.0: None},
+        "short_total_r": {-2.0: "DIRECTIONAL_ASYMMETRY"},
+        "max_drawdown_pct": {15.0: "HIGH_DRAWDOWN"},
+    }
+    rows, want = [good | {"k": "good"}], {"good": []}
+    for name, values in cases.items():
+        for v, flag in values.items():
+            rows.append(good | {name: v, "k": f"{name}={v}"})
+            want[f"{name}={v}"] = [flag] if flag else []
+    facts = spark.createDataFrame(rows, "k string, " + ", ".join(f"{n} {'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'double'}" for n, v in good.items()))
+    got = {k: [] for k in want}
+    for r in experiments.flags(facts, ["k"]).collect():
+        got[r.k].append(r.flag)
+    assert got == want
+
+
+def test_experiments_change_one_thing_each():
+    e = {x.id: x for x in experiments.EXPERIMENTS}
+    assert len(e) == 14 and all(bool(x.changes) + bool(x.filter) + bool(x.without) == 1 for x in e.values())
+    assert e["EXP-005"].changes == {"stop_atr": 1.5, "target1_atr": 2.0, "target2_atr": 2.0} and e["EXP-006"].changes == {"threshold": 8}
+    assert e["ABL-001"].without == ("strength_zone", "strength_extreme") and e["ABL-002"].without == ("momentum",)

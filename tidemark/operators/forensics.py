@@ -9,16 +9,48 @@ from tidemark.operators.stats import _mean_h, _rate, loss, win
 from tidemark.plans.joins import interval
 
 
-def failure_tags(t: DataFrame) -> DataFrame:
-    """The losing trades with all tags that fit, UNKNOWN if none (FOR4)."""
-    rules = {
-        "EARLY_STOP": (F.col("result") == "STOP_LOSS") & (F.col("holding_minutes") <= 3),
-        "EXPIRED_LOSS": F.col("result") == "EXPIRED",
-        "WEAK_SIGNAL": F.col("strength") == 7,
-        "LATE_EXIT": F.col("holding_minutes") >= 45,
-        "LARGE_LOSS": F.col("r_h") <= -150,
-    }
-    tags = F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))
+def _for(long_: Column, short: Column) -> Column:
+    return F.coalesce(F.when(F.col("direction") == "LONG", long_).otherwise(short), F.lit(False))
+
+
+def stopped_then(t: DataFrame) -> DataFrame:
+    """Stopped trades whose price later went 1 or 2 units of risk their way within the holding limit (FOR3); later_r is the furthest it went."""
+    stopped = F.col("result") == "STOP_LOSS"
+    return t.withColumns({"stopped_then_1r": stopped & (F.col("later_r") >= 1), "stopped_then_2r": stopped & (F.col("later_r") >= 2)})
+
+
+#: What a trade's context says about a loss (FOR4). Names and thresholds are fixed values; unknown context raises no tag.
+FAILURES = {
+    "EARLY_REVERSAL": lambda spread: (F.col("holding_minutes") <= 3) & (F.col("mfe_r") < 0.25),
+    "SL_THEN_TP_REVERSAL": lambda spread: F.col("stopped_then_1r"),
+    "RESISTANCE_FAILURE": lambda spread: (F.col("direction") == "LONG") & (F.col("to_resistance") <= 0.5),
+    "SUPPORT_FAILURE": lambda spread: (F.col("direction") == "SHORT") & (F.col("to_support") <= 0.5),
+    "TREND_MISMATCH": lambda spread: _for(F.col("trend") == "BEARISH", F.col("trend") == "BULLISH"),
+    "RANGE_NOISE": lambda spread: F.col("trend") == "RANGE",
+    "MOMENTUM_EXHAUSTION": lambda spread: _for(F.col("rsi") >= 70, F.col("rsi") <= 30) | F.coalesce(F.col("to_ema50") >= 2, F.lit(False)),
+    "HIGH_SPREAD_EROSION": lambda spread: (F.col("mfe") >= 1.5 * spread) & (F.col("r_h") < 0),
+}
+
+#: Conditions whose presence is contrasted with their absence (FOR7). Thresholds are fixed values.
+CONDITIONS = {
+    "trend_alignment": lambda: _for(F.col("trend") == "BULLISH", F.col("trend") == "BEARISH"),
+    "rsi_zone": lambda: _for(F.col("rsi").between(45, 65), F.col("rsi").between(35, 55)),
+    "macd_side": lambda: _for(F.col("macd_hist") > 0, F.col("macd_hist") < 0),
+    "level_clearance": lambda: _for(F.col("to_resistance") >= 1, F.col("to_support") >= 1),
+    "low_extension": lambda: F.coalesce(F.col("to_ema50") <= 1.5, F.lit(False)),
+    "active_session": lambda: F.coalesce(F.col("session").isin("London", "New York", "London/NY Overlap"), F.lit(False)),
+}
+
+
+def failure_tags(t: DataFrame, spread: float = 0.3) -> DataFrame:
+    """The losing trades with all FAILURES that fit, UNKNOWN if none (FOR4).
+
+    Of a trade: direction, result, r_h, holding_minutes, mfe and mfe_r (favourable
+    excursion), later_r; of its signal: trend and rsi, and in ATR to_resistance,
+    to_support and to_ema50.
+    """
+    t = stopped_then(t)
+    tags = F.array_compact(F.array(*[F.when(c(spread), n) for n, c in FAILURES.items()]))
     return t.where(loss()).withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit("UNKNOWN"))).otherwise(tags))
 
 

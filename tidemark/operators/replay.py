@@ -92,14 +92,18 @@ def candidates(signals: DataFrame, bars: DataFrame, configs: DataFrame, bar_seco
     """Every signal under every configuration as if it were taken: entry, exit, return (REP2, REP4-9).
 
     max_minutes is the longest holding limit of the configurations; with the
-    policy's wait it bounds the bars that are looked at. A signal that is not
+    policy's wait it bounds the bars that are looked at. A signal with a value in
+    only is for the configuration of this name alone. A signal that is not
     entered holds its slot to the bar of that decision. configs are few and made
     on the driver; they are broadcast.
     """
     policy = policy or entries.immediate()
     n = policy.wait + -(-max_minutes * 60 // bar_seconds) + 1
     paths = entries.with_path(signals, bars, n)
-    c = paths.join(F.broadcast(configs), (F.col("strength") >= F.col("threshold")) & F.when(F.col("direction") == "LONG", F.col("long")).otherwise(F.col("short")))
+    if "only" not in paths.columns:
+        paths = paths.withColumn("only", F.lit(None).cast("string"))
+    mine = F.coalesce(F.col("only") == F.col("config_id"), F.lit(True))
+    c = paths.join(F.broadcast(configs), mine & (F.col("strength") >= F.col("threshold")) & F.when(F.col("direction") == "LONG", F.col("long")).otherwise(F.col("short")))
     c = entries.evaluate(c, policy, causal, F.col("spread"))
     round2 = lambda x: F.round(x, 2)
     c = c.withColumns({"_entry": F.col("sign") * F.col("entry_price"), "stop_dist": F.greatest(F.col("least_stop"), round2(F.col("atr") * F.col("stop_atr")))})

@@ -98,10 +98,10 @@ def score(rows: DataFrame, threshold: int = 7, without: frozenset[str] = frozens
     ).drop("_lr", "_lw", "_sr", "_sw")
 
 
-def signals(scored: DataFrame) -> DataFrame:
+def signals(scored: DataFrame, *more: str) -> DataFrame:
     """What replay needs of the setups (SIG7): the last bar of a history gives none, and a missing ATR is 1.5."""
     s = scored.where("type <> 'WAIT'")
-    return s.select("symbol", F.col("epoch_s").alias("signal_time"), F.when(F.col("type") == "LONG_SETUP", "LONG").otherwise("SHORT").alias("direction"), "strength", F.coalesce("atr", F.lit(1.5)).alias("atr"), "trend", F.col("close").alias("signal_close"), F.col("high").alias("signal_high"), F.col("low").alias("signal_low"), "ema21")
+    return s.select("symbol", F.col("epoch_s").alias("signal_time"), F.when(F.col("type") == "LONG_SETUP", "LONG").otherwise("SHORT").alias("direction"), "strength", F.coalesce("atr", F.lit(1.5)).alias("atr"), "trend", F.col("close").alias("signal_close"), F.col("high").alias("signal_high"), F.col("low").alias("signal_low"), "ema21", *more)
 
 
 def regime(rows: DataFrame) -> DataFrame:

@@ -135,7 +135,17 @@ def st21_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def for5_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forensics.category_counts(forensics.failure_tags(A.trades(spark, sf_dir)))
+    return forensics.category_counts(forensics.failure_tags(A.with_context(A.trades(spark, sf_dir))))
+
+
+def for3_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = forensics.stopped_then(A.with_context(A.trades(spark, sf_dir)))
+    return t.groupBy("symbol", "direction").agg(F.count_if(F.col("result") == "STOP_LOSS").alias("stopped"), F.count_if("stopped_then_1r").alias("then_1r"), F.count_if("stopped_then_2r").alias("then_2r"))
+
+
+def for4_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = forensics.failure_tags(A.with_context(A.trades(spark, sf_dir)))
+    return tagged.select("trade_id", "r_h", F.array_join("tags", "|").alias("labels"))
 
 
 def for6_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +153,8 @@ def for6_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def for7_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.trades(spark, sf_dir)
-    return forensics.contrast(t, {"long": F.col("direction") == "LONG", "strong": F.col("strength") >= 9, "quick": F.col("holding_minutes") <= 10, "first_symbol": F.col("symbol") == "S0"})
+    t = A.with_context(A.trades(spark, sf_dir)).withColumn("session", classify.session("entry_time"))
+    return forensics.contrast(t, {name: c() for name, c in forensics.CONDITIONS.items()})
 
 
 def for8_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +200,19 @@ _WIN = f"{_L}, w(window_index, train_start, train_end, val_start, val_end) AS (V
 _JOURNAL = "WITH j AS (SELECT *, CASE WHEN state = 'CLOSED' THEN k * 4 - 200 END AS r_h, CASE WHEN state = 'CLOSED' THEN k * 4 - 200 END AS pnl FROM (SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS epoch_s, k, CASE WHEN event_type = 'click' THEN 'FILLED' WHEN event_type = 'view' THEN 'TIMED_OUT' WHEN event_type = 'error' THEN 'INVALIDATED' WHEN k % 2 = 0 THEN 'BLOCKED' ELSE 'CLOSED' END AS state FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)))"
 _DIST = lambda v, by, src="trades": f"SELECT {by}, count(*) AS n, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, {', '.join(f'list_sort(list({v}))[CAST(floor({p} * (count(*) - 1)) AS INT) + 1] AS p{round(p * 100)}' for p in (0.1, 0.25, 0.75, 0.9, 0.95))} FROM {src} GROUP BY 1"
 
+_TC = f"{_T}, {A.SQL_CONTEXT}"
+_TAGGED = """tagged AS (SELECT trade_id, r_h, CASE WHEN len(l) = 0 THEN ['UNKNOWN'] ELSE l END AS tags FROM (SELECT trade_id, r_h, list_filter([
+ CASE WHEN holding_minutes <= 3 AND mfe_r < 0.25 THEN 'EARLY_REVERSAL' END,
+ CASE WHEN result = 'STOP_LOSS' AND later_r >= 1 THEN 'SL_THEN_TP_REVERSAL' END,
+ CASE WHEN direction = 'LONG' AND to_resistance <= 0.5 THEN 'RESISTANCE_FAILURE' END,
+ CASE WHEN direction = 'SHORT' AND to_support <= 0.5 THEN 'SUPPORT_FAILURE' END,
+ CASE WHEN trend = CASE direction WHEN 'LONG' THEN 'BEARISH' ELSE 'BULLISH' END THEN 'TREND_MISMATCH' END,
+ CASE WHEN trend = 'RANGE' THEN 'RANGE_NOISE' END,
+ CASE WHEN (direction = 'LONG' AND rsi >= 70) OR (direction = 'SHORT' AND rsi <= 30) OR to_ema50 >= 2 THEN 'MOMENTUM_EXHAUSTION' END,
+ CASE WHEN mfe >= 1.5::DOUBLE * 0.3::DOUBLE THEN 'HIGH_SPREAD_EROSION' END], lambda x: x IS NOT NULL) AS l FROM context WHERE r_h < 0))"""
+_FLAGGED = f"""flagged AS (SELECT r_h, trend = CASE direction WHEN 'LONG' THEN 'BULLISH' ELSE 'BEARISH' END AS trend_alignment, CASE direction WHEN 'LONG' THEN rsi BETWEEN 45 AND 65 ELSE rsi BETWEEN 35 AND 55 END AS rsi_zone, CASE direction WHEN 'LONG' THEN macd_hist > 0 ELSE macd_hist < 0 END AS macd_side,
+ coalesce(CASE direction WHEN 'LONG' THEN to_resistance >= 1 ELSE to_support >= 1 END, false) AS level_clearance, coalesce(to_ema50 <= 1.5, false) AS low_extension, {_SESSION} IN ('London', 'New York', 'London/NY Overlap') AS active_session FROM (SELECT *, (entry_time // 3600) % 24 AS h FROM context))"""
+
 ORACLES = {
     "st1_headline": f"{_T} SELECT symbol, {_HEAD()} FROM trades GROUP BY 1",
     "st1_lineitem": f"WITH trades AS (SELECT *, r_h AS pnl, CASE WHEN r_h = 0 THEN 'EXPIRED' ELSE 'TP1' END AS result FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) % 401 - 200 AS r_h, l_returnflag AS symbol, 1 + l_orderkey % 60 AS holding_minutes, CASE WHEN l_linenumber % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction FROM lineitem)) SELECT symbol, {_HEAD()} FROM trades GROUP BY 1",
@@ -221,9 +244,15 @@ ORACLES = {
     "st20_journal": f"{_JOURNAL} SELECT epoch_s // 86400 AS day, {', '.join(_W(f'state = {s!r}') + f' AS {s.lower()}' for s in ('FILLED', 'TIMED_OUT', 'INVALIDATED', 'BLOCKED', 'CLOSED'))}, count(r_h) AS trades, coalesce(sum(r_h), 0)::DOUBLE / 100 AS total_r, {_PF('1.0')} FROM j GROUP BY 1",
     "str10_journal_tail": f"{_JOURNAL} SELECT event_id, state, k FROM j WHERE epoch_s >= 1704844800 ORDER BY event_id DESC LIMIT 50",
     "st21_correlations": f"{_T} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM trades" for i, a in enumerate(("r_h", "holding_minutes", "strength", "entry_time")) for b in ("r_h", "holding_minutes", "strength", "entry_time")[i + 1 :]),
-    "for5_categories": f"{_T}, tags AS (SELECT unnest(CASE WHEN len(l) = 0 THEN ['UNKNOWN'] ELSE l END) AS tag, r_h FROM (SELECT r_h, list_filter([CASE WHEN result = 'STOP_LOSS' AND holding_minutes <= 3 THEN 'EARLY_STOP' END, CASE WHEN result = 'EXPIRED' THEN 'EXPIRED_LOSS' END, CASE WHEN strength = 7 THEN 'WEAK_SIGNAL' END, CASE WHEN holding_minutes >= 45 THEN 'LATE_EXIT' END, CASE WHEN r_h <= -150 THEN 'LARGE_LOSS' END], lambda x: x IS NOT NULL) AS l FROM trades WHERE r_h < 0)) SELECT tag, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM trades WHERE r_h < 0), 6) AS share, round(avg(r_h) / 100, 6) AS average_r FROM tags GROUP BY 1",
+    "for3_stopped": f"{_TC} SELECT symbol, direction, {_W("result = 'STOP_LOSS'")} AS stopped, {_W("result = 'STOP_LOSS' AND later_r >= 1")} AS then_1r, {_W("result = 'STOP_LOSS' AND later_r >= 2")} AS then_2r FROM context GROUP BY 1, 2",
+    "for4_tags": f"{_TC}, {_TAGGED} SELECT trade_id, r_h, array_to_string(tags, '|') AS labels FROM tagged",
+    "for5_categories": f"{_TC}, {_TAGGED}, each AS (SELECT unnest(tags) AS tag, r_h FROM tagged) SELECT tag, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM tagged), 6) AS share, round(avg(r_h) / 100, 6) AS average_r FROM each GROUP BY 1",
     "for6_grouping_sets": f"{_T} SELECT strength, coalesce(direction, 'ALL') AS direction, count(*) AS trades, round({_W('r_h > 0')} * 100 / count(*), 6) AS win_rate, round(avg(r_h) / 100, 6) AS average_r FROM trades GROUP BY GROUPING SETS ((strength), (strength, direction))",
-    "for7_contrast": f"{_T} " + " UNION ALL ".join(f"SELECT '{n}' AS condition, {_W(c)} AS present, count(*) - {_W(c)} AS absent, round({_W(f'{c} AND r_h > 0')} * 100 / nullif({_W(c)}, 0), 6) AS present_win_rate, round({_W(f'NOT ({c}) AND r_h > 0')} * 100 / nullif(count(*) - {_W(c)}, 0), 6) AS absent_win_rate, round(avg(r_h) FILTER ({c}) / 100, 6) AS present_r, round(avg(r_h) FILTER (NOT ({c})) / 100, 6) AS absent_r FROM trades" for n, c in (("long", "direction = 'LONG'"), ("strong", "strength >= 9"), ("quick", "holding_minutes <= 10"), ("first_symbol", "symbol = 'S0'"))),
+    "for7_contrast": f"{_TC}, {_FLAGGED} "
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS condition, {_W(n)} AS present, count(*) - {_W(n)} AS absent, round({_W(f'{n} AND r_h > 0')} * 100 / nullif({_W(n)}, 0), 6) AS present_win_rate, round({_W(f'NOT {n} AND r_h > 0')} * 100 / nullif(count(*) - {_W(n)}, 0), 6) AS absent_win_rate, round(avg(r_h) FILTER ({n}) / 100, 6) AS present_r, round(avg(r_h) FILTER (NOT {n}) / 100, 6) AS absent_r FROM flagged"
+        for n in ("trend_alignment", "rsi_zone", "macd_side", "level_clearance", "low_extension", "active_session")
+    ),
     "for8_outcomes": f"{_T}, o AS (SELECT *, CASE WHEN r_h > 0 THEN 'WIN' ELSE 'LOSS' END AS outcome FROM trades WHERE r_h <> 0) {_DIST('holding_minutes', 'outcome', 'o')}",
     "for9_holding": f"{_T} SELECT CASE WHEN holding_minutes < 5 THEN '0-5' WHEN holding_minutes < 15 THEN '5-15' WHEN holding_minutes < 30 THEN '15-30' WHEN holding_minutes <= 60 THEN '30-60' END AS bucket, {_GROUP} FROM trades GROUP BY 1",
     "for10_losses": f"{_S} SELECT session, {_W('r_h < 0')} AS losses, round({_W('r_h < 0')} * 100 / (SELECT count(*) FROM sess WHERE r_h < 0), 6) AS share FROM sess GROUP BY 1",

@@ -131,8 +131,8 @@ def src4_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src6_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the filter is on ticks, so whole row groups outside the range are skipped
-    t = A.ticks(spark, sf_dir).where("epoch_s >= 1704672000 AND epoch_s < 1705276800")
+    # the filter compares the stored column, so row groups outside the range are skipped
+    t = A.ticks(spark, sf_dir).where("ts >= TIMESTAMP'2024-01-08 00:00:00Z' AND ts < TIMESTAMP'2024-01-15 00:00:00Z'")
     return B.aggregate(t, H)
 
 

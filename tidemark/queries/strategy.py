@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as I
 from tidemark.operators import classify, entries, experiments, forensics, montecarlo, replay, signals, stats
 from tidemark.plans.joins import as_of
-from tidemark.queries.ledger import _HEAD, _T
+from tidemark.queries.ledger import _EQ, _HEAD, _T
 from tidemark.queries.market import _B, _BP, H, P
 from tidemark.sources import adapters as A
 
@@ -93,9 +93,9 @@ def cls5_impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh bar as a signal, ATR 40: the entries' SQL twins can say these."""
+    """Every bar as a signal, ATR 40: the entries' SQL twins can say these."""
     k = F.floor(F.col("epoch_s") / H)
-    b = A.bars(spark, sf_dir).where(k % 7 == 0)
+    b = A.bars(spark, sf_dir)
     return b.select("symbol", F.col("epoch_s").alias("signal_time"), F.when(k % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), F.lit(10).alias("strength"), F.lit(40.0).alias("atr"), F.lit("RANGE").alias("trend"), F.col("close").alias("signal_close"), F.col("high").alias("signal_high"), F.col("low").alias("signal_low"), F.lit(None).cast("double").alias("ema21"))
 
 
@@ -164,7 +164,7 @@ def val4_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val5_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sweep(spark, sf_dir, experiments.sweep(_base(), "threshold", [5, 6, 7, 8]))
+    return experiments.small_samples(_sweep(spark, sf_dir, experiments.sweep(_base(), "threshold", [5, 6, 7, 8])))
 
 
 def val6_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,16 +172,17 @@ def val6_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val7_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return montecarlo.summary(montecarlo.simulate(A.trades(spark, sf_dir), 1000))
+    return montecarlo.summary(montecarlo.simulate(A.trades(spark, sf_dir)))
 
 
 def val8_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.flags(stats.slice_summary(A.trades(spark, sf_dir), ["symbol"]), ["symbol"])
+    t = A.long_trades(spark, sf_dir).withColumn("book", F.col("trade_id") % 3)
+    return experiments.flags(experiments.facts(t, ["book"]), ["book"])
 
 
 def exp3_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configs = [_base()] + [replay.Config(**({"threshold": THRESHOLD, "max_minutes": LIMIT, "config_id": e.id} | e.changes)) for e in experiments.EXPERIMENTS if e.changes]
-    t = replay.replay(_signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, configs), H, max_minutes=LIMIT)
+    configs = [_base()] + [replay.Config(**({"threshold": THRESHOLD, "max_minutes": LIMIT, "config_id": e.id} | e.changes)) for e in experiments.EXPERIMENTS]
+    t = replay.replay(experiments.tagged_signals(_features(spark, sf_dir), THRESHOLD), A.bars(spark, sf_dir), replay.frame(spark, configs), H, max_minutes=LIMIT)
     return experiments.compare(t)
 
 
@@ -231,7 +232,7 @@ def oos1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.floor(F.col("epoch_s") / H)
-    b = A.bars(spark, sf_dir).where(k % 3 == 0)
+    b = A.bars(spark, sf_dir)
     return b.select("symbol", F.col("epoch_s").alias("entry_time"), (F.col("epoch_s") + H * (1 + k % 24)).alias("exit_time"), F.when(k % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), F.col("open").alias("entry_price"), F.lit(40.0).alias("risk"), F.concat_ws("|", "symbol", "epoch_s").alias("trade_id"))
 
 
@@ -260,7 +261,7 @@ _WINS = f"{_B}, wins AS (SELECT symbol, epoch_s, list(close) OVER w AS c, list({
 _EMA = lambda n, c="c": f"CASE WHEN len({c}) >= {n} THEN round(list_reduce(list_slice({c}, {n + 1}, len({c})), lambda a, x: x * {2 / (n + 1)!r} + a * {1 - 2 / (n + 1)!r}, list_sum(list_slice({c}, 1, {n})) / {n}), 4) END"
 _WILDER = lambda v: f"list_reduce(list_slice({v}, 15, len({v})), lambda a, x: (a * 13 + x) / 14, list_sum(list_slice({v}, 1, 14)) / 14)"
 _SIMPLE = f"""{_B}, nb AS (SELECT *, {', '.join(f'lead({c}, {k}) OVER w AS {c}{k}' for k in range(1, 6) for c in ('epoch_s', 'open', 'high', 'low', 'close'))} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s)),
- s AS (SELECT symbol, epoch_s AS signal_time, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 1 ELSE -1 END AS g, * EXCLUDE (symbol, epoch_s) FROM nb WHERE (epoch_s // {H}) % 7 = 0 AND epoch_s1 IS NOT NULL),
+ s AS (SELECT symbol, epoch_s AS signal_time, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 1 ELSE -1 END AS g, * EXCLUDE (symbol, epoch_s) FROM nb WHERE epoch_s1 IS NOT NULL),
  m AS (SELECT symbol, signal_time, direction, g, g * close AS ref, CASE WHEN g > 0 THEN high ELSE -low END AS top, CASE WHEN g > 0 THEN low ELSE -high END AS bottom, {', '.join(f"epoch_s{k} AS t{k}, g * open{k} AS o{k}, CASE WHEN g > 0 THEN high{k} ELSE -low{k} END AS h{k}, CASE WHEN g > 0 THEN low{k} ELSE -high{k} END AS l{k}, g * close{k} AS c{k}" for k in range(1, 6))} FROM s)"""
 
 
@@ -289,7 +290,19 @@ def _sql_entry(wait: int, rules: list[tuple[str, str | None]], immediate_ok: boo
 _FWD = f"""{_B}, d AS (SELECT *, (epoch_s // {H}) % 2 = 0 AS long_, {', '.join(f'max(high) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) AS hi{n}, min(low) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) AS lo{n}' for n in (1, 5, 60))} FROM bars),
  f AS (SELECT symbol, epoch_s, CASE WHEN long_ THEN 'LONG' ELSE 'SHORT' END AS direction, {', '.join(f'round(greatest(0, CASE WHEN long_ THEN hi{n} - close ELSE close - lo{n} END), 6) AS mfe{n}, round(greatest(0, CASE WHEN long_ THEN close - lo{n} ELSE hi{n} - close END), 6) AS mae{n}' for n in (1, 5, 60))} FROM d WHERE hi1 IS NOT NULL)"""
 
+_R = lambda hit, n: f"coalesce(round(count(*) FILTER ({hit}) * 100 / nullif(count(*) FILTER ({n}), 0), 6), 0.0::DOUBLE)"
+_FACTS = f"""WITH {A.SQL_LONG.replace('trades AS', 'ledger AS', 1)}, trades AS (SELECT *, trade_id % 3 AS book, min(entry_time) OVER (PARTITION BY trade_id % 3) AS from_ FROM ledger), {_EQ('book')},
+ o AS (SELECT book, (max(exit_time) - min(entry_time)) // 86400 AS history_days, count(DISTINCT day) AS days, count(*) AS trades, sum(r_h)::DOUBLE / 100 AS total_r, count(*) FILTER (entry_time >= from_ + 7776000) AS oos_trades,
+ coalesce(sum(r_h) FILTER (entry_time >= from_ + 7776000), 0)::DOUBLE / 100 AS oos_total_r, round(avg(r_h) FILTER (entry_time >= from_ + 7776000) / 100, 6) AS oos_average_r, round(avg(r_h) / 100, 6) AS low_spread_average_r, round(avg(r_h - 10) / 100, 6) AS high_spread_average_r,
+ sum(r_h)::DOUBLE / 100 AS low_spread_total_r, sum(r_h - 10)::DOUBLE / 100 AS high_spread_total_r, {_R('r_h > 0', 'true')} AS low_threshold_win_rate, {_R('r_h > 0 AND strength >= 10', 'strength >= 10')} AS high_threshold_win_rate, count(*) AS low_threshold_trades, count(*) FILTER (strength >= 10) AS high_threshold_trades,
+ least(sum(least(r_h, 100)), sum(least(r_h, 150)), sum(r_h))::DOUBLE / 100 AS min_exit_total_r, greatest(sum(least(r_h, 100)), sum(least(r_h, 150)), sum(r_h))::DOUBLE / 100 AS max_exit_total_r,
+ {', '.join(f"count(*) FILTER (direction = '{s}') AS {s}_trades, {_R(f"direction = '{s}' AND r_h > 0", f"direction = '{s}'")} AS {s}_win_rate, coalesce(sum(r_h) FILTER (direction = '{s}'), 0)::DOUBLE / 100 AS {s}_total_r" for s in ('LONG', 'SHORT'))} FROM trades GROUP BY 1),
+ m AS (SELECT book, coalesce(round(greatest(max(m), 0) * 100 / nullif(sum(greatest(m, 0)), 0), 6), 0.0::DOUBLE) AS top1_pct FROM (SELECT book, strftime(make_timestamp(entry_time * 1000000), '%Y-%m') AS month, sum(r_h)::DOUBLE AS m FROM trades GROUP BY 1, 2) GROUP BY 1),
+ q AS (SELECT book, max(drawdown_pct) AS max_drawdown_pct FROM eq GROUP BY 1),
+ facts AS (SELECT *, days >= history_days AS complete, greatest(0, (history_days - 90) // 30) AS windows FROM o JOIN m USING (book) JOIN q USING (book))"""
+
 ORACLES = {
+    "val8_flags": f"{_FACTS} " + " UNION ALL ".join(f"SELECT book, '{n}' AS flag, '{s}' AS severity, '{x}' AS fact, round({x}::DOUBLE, 6) AS value FROM facts WHERE {c}" for n, s, c, x in experiments.FLAG_RULES),
     "oos1_verdict": f"{_T}, h AS (SELECT symbol, {_HEAD()} FROM trades GROUP BY 1) SELECT symbol, trades, total_r, profit_factor, CASE WHEN trades < 100 THEN 'INCONCLUSIVE' WHEN average_r > 0 AND profit_factor >= 1.05 AND total_r > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM h",
     "ind1_ema": f"{_WINS} SELECT symbol, epoch_s, {', '.join(f'{_EMA(n)} AS ema{n}' for n in (9, 21, 50))} FROM wins",
     "ind1_series": f"{_B}, wins AS (SELECT symbol, epoch_s, list(close) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS UNBOUNDED PRECEDING) AS c FROM bars) SELECT symbol, epoch_s, {_EMA(21)} AS ema21 FROM wins",
@@ -307,7 +320,7 @@ ORACLES = {
     "ent5_breakout": _sql_entry(2, [("l# < bottom", None), ("h# >= round(top + 8, 2)", "greatest(round(top + 8, 2), o#)")], False),
     "ent6_hybrid": _sql_entry(3, [("l# <= round(ref - 36, 2)", None), ("l# <= round(ref - 8, 2)", "least(round(ref - 8, 2), o#)"), ("h# >= round(top + 8, 2)", "greatest(round(top + 8, 2), o#)")], False),
     "ent7_tight": _sql_entry(2, [("l# <= round(ref - 30, 2)", None), ("l# <= round(ref - 6, 2)", "least(round(ref - 6, 2), o#)")], False),
-    "for1_excursions": f"{_B}, pos AS (SELECT symbol, epoch_s AS entry_time, epoch_s + {H} * (1 + (epoch_s // {H}) % 24) AS exit_time, (epoch_s // {H}) % 2 = 0 AS long_, open AS entry_price, symbol || '|' || epoch_s AS trade_id FROM bars WHERE (epoch_s // {H}) % 3 = 0), j AS (SELECT p.symbol, p.trade_id, b.epoch_s, greatest(0, CASE WHEN long_ THEN b.high - entry_price ELSE entry_price - b.low END) AS fav, greatest(0, CASE WHEN long_ THEN entry_price - b.low ELSE b.high - entry_price END) AS adv FROM pos p JOIN bars b ON b.symbol = p.symbol AND b.epoch_s BETWEEN p.entry_time AND p.exit_time) SELECT symbol, trade_id, count(*) AS bars, round(max(fav), 6) AS mfe, round(max(adv), 6) AS mae, round(max(fav) / 40, 6) AS mfe_r, round(max(adv) / 40, 6) AS mae_r, min(epoch_s) FILTER (adv >= 40) AS stop_s FROM j GROUP BY 1, 2",
+    "for1_excursions": f"{_B}, pos AS (SELECT symbol, epoch_s AS entry_time, epoch_s + {H} * (1 + (epoch_s // {H}) % 24) AS exit_time, (epoch_s // {H}) % 2 = 0 AS long_, open AS entry_price, symbol || '|' || epoch_s AS trade_id FROM bars), j AS (SELECT p.symbol, p.trade_id, b.epoch_s, greatest(0, CASE WHEN long_ THEN b.high - entry_price ELSE entry_price - b.low END) AS fav, greatest(0, CASE WHEN long_ THEN entry_price - b.low ELSE b.high - entry_price END) AS adv FROM pos p JOIN bars b ON b.symbol = p.symbol AND b.epoch_s BETWEEN p.entry_time AND p.exit_time) SELECT symbol, trade_id, count(*) AS bars, round(max(fav), 6) AS mfe, round(max(adv), 6) AS mae, round(max(fav) / 40, 6) AS mfe_r, round(max(adv) / 40, 6) AS mae_r, min(epoch_s) FILTER (adv >= 40) AS stop_s FROM j GROUP BY 1, 2",
     "for14_forward": f"{_FWD} SELECT * FROM f",
     "for16_labels": f"{_FWD} SELECT CASE WHEN mae1 / 80 >= 1 THEN CASE WHEN mfe5 / 80 >= 1 THEN 'EARLY_ADVERSE_THEN_RECOVERY' ELSE 'PURE_ADVERSE' END WHEN mfe5 / 80 >= 1 AND mae5 / 80 <= 0.3 THEN 'FAST_CONTINUATION' WHEN mae5 / 80 <= 0.4 AND mfe5 / 80 >= 0.8 THEN 'IMMEDIATE_FAVORABLE' WHEN mae5 / 80 BETWEEN 0.2 AND 0.6 AND mfe5 / 80 >= 0.6 THEN 'CONTROLLED_RETRACE' ELSE 'CHOP' END AS label, direction, count(*) AS n FROM f GROUP BY 1, 2",
 }

@@ -66,6 +66,24 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(e, "event_id", "event_id", F.col("ts"), "value", "user_id").withColumn("symbol", F.concat(F.lit("S"), F.col("trade_id") % 5))
 
 
+def with_context(t: DataFrame) -> DataFrame:
+    """trades() with what was known at their signals and happened after, drawn from trade_id, as the tables hold neither."""
+    k = F.col("trade_id").cast("long")
+    return t.withColumns(
+        {
+            "trend": F.when(k % 3 == 0, "BULLISH").when(k % 3 == 1, "BEARISH").otherwise("RANGE"),
+            "rsi": (20 + k * 7 % 61).cast("double"),
+            "macd_hist": (k % 11 - 5).cast("double"),
+            "to_resistance": F.when(k % 13 != 0, k * 3 % 40 / 10.0),
+            "to_support": F.when(k % 17 != 0, k * 5 % 39 / 10.0),
+            "to_ema50": F.when(k % 19 != 0, k % 31 / 10.0),
+            "mfe_r": k % 50 / 20.0,
+            "mfe": k % 50 / 50.0,
+            "later_r": k % 23 / 10.0,
+        }
+    )
+
+
 def long_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of several years: one trade an order, as trades() has it."""
     return _ledger(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey", F.col("o_orderdate"), "o_totalprice", "o_custkey")
@@ -84,5 +102,8 @@ def _sql_ledger(name: str, source: str, key: str, start: str, value: str, user:
  (SELECT {key} AS trade_id, CASE WHEN {key} % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CAST(epoch(date_trunc('second', {start})) AS BIGINT) AS entry_time, {key} AS seq, CAST(7 + {key} % 4 AS INT) AS strength, CAST(round({value} * 100) AS BIGINT) % 401 - 200 AS r_h, 1 + {user} % 60 AS holding_minutes{more} FROM {source}))"""
 
 
+SQL_CONTEXT = """context AS (SELECT *, CASE trade_id % 3 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BEARISH' ELSE 'RANGE' END AS trend, 20 + trade_id * 7 % 61 AS rsi, trade_id % 11 - 5 AS macd_hist,
+ CASE WHEN trade_id % 13 <> 0 THEN trade_id * 3 % 40 / 10.0::DOUBLE END AS to_resistance, CASE WHEN trade_id % 17 <> 0 THEN trade_id * 5 % 39 / 10.0::DOUBLE END AS to_support, CASE WHEN trade_id % 19 <> 0 THEN trade_id % 31 / 10.0::DOUBLE END AS to_ema50,
+ trade_id % 50 / 20.0::DOUBLE AS mfe_r, trade_id % 50 / 50.0::DOUBLE AS mfe, trade_id % 23 / 10.0::DOUBLE AS later_r FROM trades)"""
 SQL_TRADES = _sql_ledger("trades", "events", "event_id", "ts", "value", "user_id", ", 'S' || (event_id % 5) AS symbol")
 SQL_LONG = _sql_ledger("trades", "orders", "o_orderkey", "o_orderdate", "o_totalprice", "o_custkey")
