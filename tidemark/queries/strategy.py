@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import classify, entries, experiments, forensics, montecarlo, replay, signals, stats
+from tidemark.operators import classify, entries, experiments, forensics, montecarlo, replay, signals, stats, windows
 from tidemark.plans.joins import as_of
 from tidemark.queries.ledger import _EQ, _HEAD, _T
 from tidemark.queries.market import _B, _BP, H, P
@@ -86,6 +86,12 @@ def cls3_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("_w", w).select("symbol", "epoch_s", classify.volatility_quintile("range", F.col("_w")).alias("quintile"))
 
 
+def cls4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of bars of several ticks, carried over bars of one."""
+    b = A.bars(spark, sf_dir).withColumn("range", F.when(F.col("tick_volume") > 1, F.round(F.col("high") - F.col("low"), 2)))
+    return b.select("symbol", "epoch_s", classify.filled("range").alias("range"))
+
+
 def cls5_impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = I.sliding(A.bars(spark, sf_dir), I.TRIGGER_SLICE).withColumns({"ema21": I.ema(_closes(), 21), "ema50": I.ema(_closes(), 50), "atr": I.atr(F.col("win"))}).drop("win")
     b = b.withColumn("direction", F.when(F.floor(F.col("epoch_s") / H) % 2 == 0, "LONG").otherwise("SHORT")).withColumn("state", classify.impulse_state("direction"))
@@ -159,6 +165,18 @@ def _sweep(spark: SparkSession, sf_dir: str, configs: list) -> DataFrame:
     return stats.headline(t, ["config_id"])
 
 
+def val2_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.with_warmup(A.bars(spark, sf_dir), 1704672000, 1705276800, 50).select("symbol", "epoch_s", "close")
+
+
+def rep12_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of ticks as text in four forms, read back."""
+    k, s = F.col("seq") % 4, F.col("epoch_s").cast("string")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("epoch_s") / 86400).cast("int")).cast("string")
+    text = F.when(k == 0, s).when(k == 1, F.concat(s, F.lit("250"))).when(k == 2, F.concat(day, F.lit(" and more"))).otherwise("none")
+    return A.ticks(spark, sf_dir).select("seq", replay.parse_time(text).alias("time"))
+
+
 def val4_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir, experiments.sweep(_base(), "spread", [0.1, 0.2, 0.3, 0.4, 0.5, 0.75]))
 
@@ -304,6 +322,9 @@ _FACTS = f"""WITH {A.SQL_LONG.replace('trades AS', 'ledger AS', 1)}, trades AS (
 ORACLES = {
     "val8_flags": f"{_FACTS} " + " UNION ALL ".join(f"SELECT book, '{n}' AS flag, '{s}' AS severity, '{x}' AS fact, round({x}::DOUBLE, 6) AS value FROM facts WHERE {c}" for n, s, c, x in experiments.FLAG_RULES),
     "oos1_verdict": f"{_T}, h AS (SELECT symbol, {_HEAD()} FROM trades GROUP BY 1) SELECT symbol, trades, total_r, profit_factor, CASE WHEN trades < 100 THEN 'INCONCLUSIVE' WHEN average_r > 0 AND profit_factor >= 1.05 AND total_r > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM h",
+    "cls4_filled": f"{_B}, r AS (SELECT symbol, epoch_s, CASE WHEN tick_volume > 1 THEN round(high - low, 2) END AS v FROM bars) SELECT symbol, epoch_s, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS UNBOUNDED PRECEDING), 1.5::DOUBLE) AS range FROM r",
+    "val2_warmup": f"{_B}, n AS (SELECT symbol, epoch_s, close, row_number() OVER (PARTITION BY symbol, epoch_s < 1704672000 ORDER BY epoch_s DESC) AS k FROM bars) SELECT symbol, epoch_s, close FROM n WHERE epoch_s BETWEEN 1704672000 AND 1705276800 OR (epoch_s < 1704672000 AND k <= 50)",
+    "rep12_times": f"WITH {A.SQL_TICKS} SELECT seq, CASE seq % 4 WHEN 0 THEN epoch_s WHEN 1 THEN epoch_s WHEN 2 THEN epoch_s // 86400 * 86400 END AS time FROM ticks",
     "ind1_ema": f"{_WINS} SELECT symbol, epoch_s, {', '.join(f'{_EMA(n)} AS ema{n}' for n in (9, 21, 50))} FROM wins",
     "ind1_series": f"{_B}, wins AS (SELECT symbol, epoch_s, list(close) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS UNBOUNDED PRECEDING) AS c FROM bars) SELECT symbol, epoch_s, {_EMA(21)} AS ema21 FROM wins",
     "ind3_rsi": f"{_WINS}, ch AS (SELECT symbol, epoch_s, len(c) AS n, list_transform(range(2, len(c) + 1), lambda i: c[i] - c[i - 1]) AS d FROM wins), g AS (SELECT *, {_WILDER('list_transform(d, lambda x: greatest(x, 0.0))')} AS up, {_WILDER('list_transform(d, lambda x: greatest(-x, 0.0))')} AS dn FROM ch WHERE n > 14) SELECT symbol, epoch_s, CASE WHEN n > 14 THEN CASE WHEN dn = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / dn), 2) END END AS rsi FROM ch LEFT JOIN (SELECT symbol, epoch_s, up, dn FROM g) USING (symbol, epoch_s)",
