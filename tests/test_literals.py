@@ -207,7 +207,7 @@ def direct_replay(b, sigs, c):
     for i, (t, o, h, lo, cl) in enumerate(b):
         if pending and not trade:
             d, atr, st = pending
-            e = r2(o + d * c.spread)
+            e = r2(o + d * (c.spread + c.slippage_atr * atr))
             dist = max(c.least_stop, r2(atr * c.stop_atr))
             trade, pending = {"d": d, "e": e, "dist": dist, "stop": d * e - dist, "one": d * e + r2(atr * c.target1_atr), "two": d * e + r2(atr * c.target2_atr), "t": t, "mfe": 0.0, "st": st, "atr": atr}, None
         if trade:
@@ -222,6 +222,7 @@ def direct_replay(b, sigs, c):
             eps = 1e-7
             sl, one, two = low <= trade["stop"] + eps, hi >= trade["one"] - eps, hi >= trade["two"] - eps
             mins = (t - trade["t"]) / 60
+            held = (t - trade["st"]) / 60 if c.from_signal else mins
             x = None
             if sl and one:
                 x = trade["stop"] if c.stop_first else trade["one"]
@@ -231,7 +232,7 @@ def direct_replay(b, sigs, c):
                 x = trade["two"]
             elif one:
                 x = trade["one"]
-            elif (c.idle_minutes is not None and mins >= c.idle_minutes and r < c.idle_r) or mins >= c.max_minutes:
+            elif (c.idle_minutes is not None and mins >= c.idle_minutes and r < c.idle_r) or held >= c.max_minutes:
                 x = d * cl
             if x is not None:
                 out.append((trade["st"], trade["t"], t, round((x - d * trade["e"]) / trade["dist"], 1)))
@@ -241,7 +242,7 @@ def direct_replay(b, sigs, c):
     return out
 
 
-@pytest.mark.parametrize("changes", [{}, {"breakeven_r": 0.5, "trail_r": 0.8, "trail_atr": 0.5}, {"stop_first": False, "idle_minutes": 5, "idle_r": 0.3}, {"max_minutes": 7}])
+@pytest.mark.parametrize("changes", [{}, {"breakeven_r": 0.5, "trail_r": 0.8, "trail_atr": 0.5}, {"stop_first": False, "idle_minutes": 5, "idle_r": 0.3}, {"max_minutes": 7}, {"max_minutes": 7, "from_signal": True}, {"slippage_atr": 0.1}])
 def test_replay_equals_a_direct_loop(spark, changes):
     rng = random.Random(str(changes))
     rows, sigs, t, p = [], [], 0, 200_000
@@ -262,6 +263,40 @@ def test_replay_equals_a_direct_loop(spark, changes):
     assert all(abs(g[3] - w[3]) <= 0.11 for g, w in zip(got, want, strict=True))
 
 
+def test_doubtful_trades_of_one_bar(spark):
+    b = series(spark, [100.0, 100.0, 100.0], spread=5.0)
+    schema = "symbol string, entry_time long, exit_time long, direction string, entry_price double, stop_loss double, target double, result string, r_h long"
+    t = [("G", 0, 0, "LONG", 100.0, 96.0, 104.0, "TP1", 100), ("G", 60, 60, "SHORT", 100.0, 104.0, 90.0, "STOP_LOSS", -100), ("G", 60, 120, "LONG", 100.0, 96.0, 104.0, "TP1", 100), ("G", 999, 999, "LONG", 100.0, 96.0, 104.0, "TP1", 100)]
+    r = forensics.same_bar(spark.createDataFrame(t, schema), b, ["symbol"]).first()
+    assert (r.trades, r.same_bar, r.same_bar_stops, r.same_bar_targets, r.doubtful) == (4, 3, 1, 2, 1)
+    assert (r.total_r, r.careful_total_r, r.delta_r, r.same_bar_share) == (2.0, 0.0, -2.0, 75.0)
+
+
+def test_parts_of_a_score(spark):
+    schema = "direction string, close double, atr double, trend string, structure string, ema9 double, ema21 double, rsi double, macd struct<hist:double>, supports array<struct<price:double>>, resistances array<struct<price:double>>"
+    rows = [
+        ("LONG", 100.0, 2.0, "BULLISH", "BULLISH", 2.0, 1.0, 68.0, (0.1,), [(97.0,)], []),
+        ("SHORT", 100.0, 2.0, "BEARISH", "RANGE", 1.0, 2.0, 32.0, (-0.1,), [(99.0,)], [(103.0,)]),
+        ("LONG", 100.0, None, "RANGE", None, None, None, None, None, [], []),
+        ("SHORT", 100.0, 1.0, "BULLISH", "BULLISH", 2.0, 101.0, 61.0, (0.1,), [(99.0,)], []),
+    ]
+    got = signals.components(spark.createDataFrame(rows, schema)).select("has_trend", "has_structure", "has_cross", "has_momentum", "has_strength", "has_level", "has_side").collect()
+    assert [tuple(r) for r in got] == [(True,) * 6 + (True,), (True, False, True, True, True, True, False), (False,) * 6 + (True,), (False, False, True, False, False, False, True)]
+
+
+def test_refresh_reads_what_is_missing(spark):
+    d = 86400
+    schema = "symbol string, epoch_s long, open double, high double, low double, close double, seq long"
+    bar = lambda s, day, p: (s, day * d, p, p, p, p, day)
+    held = spark.createDataFrame([bar("A", k, 1.0) for k in (10, 11, 13)], schema)
+    source = spark.createDataFrame([bar(s, k, 2.0) for s in "AB" for k in range(30)], schema)
+    got = quality.refresh(held, source, ["symbol"], 5 * d, 15 * d).collect()
+    a = {r.epoch_s // d: r.close for r in got if r.symbol == "A"}
+    assert a == {5: 2.0, 6: 2.0, 7: 2.0, 8: 2.0, 9: 2.0, 10: 1.0, 11: 1.0, 13: 1.0}  # the tail lacks no more than the slack, and day 12 is an inner gap
+    assert {r.epoch_s // d for r in got if r.symbol == "B"} == set(range(5, 16))
+    assert quality.refresh(held.limit(0), source, ["symbol"], 5 * d, 6 * d).count() == 4
+
+
 def test_signals_do_not_see_the_future(spark):
     rng = random.Random(8)
     p = [2000 + 3 * i / 10 + rng.random() * 4 for i in range(260)]

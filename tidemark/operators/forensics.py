@@ -100,6 +100,46 @@ def overlapping(t: DataFrame, by: str) -> DataFrame:
     return t.withColumn("_next", F.lead("entry_time").over(w)).groupBy(by).agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("_next") < F.col("exit_time")).alias("overlaps"))
 
 
+def same_bar(t: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
+    """Trades that end on the bar of their entry, and what it costs if each doubtful one was stopped (AUD1).
+
+    t: symbol, entry_time, exit_time, direction, entry_price, stop_loss, target,
+    result, r_h. A trade is doubtful if its entry bar touches the stop and the
+    target, whose order the bar does not tell. An equi-join by symbol and time,
+    one bar a trade; trades without their bar are counted and not doubtful.
+    """
+    b = bars.select("symbol", F.col("epoch_s").alias("entry_time"), "high", "low")
+    long_ = F.col("direction") == "LONG"
+    stopped = F.when(long_, F.col("low") <= F.col("stop_loss")).otherwise(F.col("high") >= F.col("stop_loss"))
+    reached = F.when(long_, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    same = F.col("entry_time") == F.col("exit_time")
+    x = t.join(b, ["symbol", "entry_time"], "left").withColumns({"_same": same, "_doubt": F.coalesce(same & stopped & reached, F.lit(False))})
+    loss_h = F.when(F.col("_doubt"), F.least(F.col("r_h"), F.lit(-100))).otherwise(F.col("r_h"))
+    out = x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("trades"),
+        F.count_if("_same").alias("same_bar"),
+        F.count_if(F.col("_same") & (F.col("result") == "STOP_LOSS")).alias("same_bar_stops"),
+        F.count_if(F.col("_same") & (F.col("result") == "TP1")).alias("same_bar_targets"),
+        F.count_if("_doubt").alias("doubtful"),
+        (F.sum("r_h") / 100).alias("total_r"),
+        (F.sum(loss_h) / 100).alias("careful_total_r"),
+        ((F.sum(loss_h) - F.sum("r_h")) / 100).alias("delta_r"),
+    )
+    return out.withColumn("same_bar_share", F.round(F.col("same_bar") * 100 / F.col("trades"), 6))
+
+
+def outcome_group() -> Column:
+    """How a trade went, by its return and its greatest moves over the next sixty bars in units of risk (FOR13). Names and thresholds are fixed values."""
+    won, lost = F.col("r_h") > 0, F.col("r_h") < 0
+    return (
+        F.when(won & (F.col("mae_r") <= 0.5), "GROUP_A_CLEAN_WIN")
+        .when(lost & (F.col("holding_minutes") <= 3) & (F.col("mfe_r") >= 1), "GROUP_B_EARLY_REV")
+        .when(lost & (F.col("mfe_r") < 1), "GROUP_C_FAILURE")
+        .when(won, "OTHER_WIN")
+        .otherwise("OTHER_LOSS")
+    )
+
+
 def reconcile(base: DataFrame, other: DataFrame, key: str = "trade_id") -> DataFrame:
     """Trades of two runs side by side (EXP5): removed, added, changed (by more than 0.01) or unchanged, and the difference."""
     a, b = base.select(F.col(key), F.col("r_h").alias("a")), other.select(F.col(key), F.col("r_h").alias("b"))

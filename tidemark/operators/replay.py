@@ -22,7 +22,11 @@ from tidemark.operators import classify, entries
 
 @dataclass(frozen=True)
 class Config:
-    """One simulation; what may be None is then off."""
+    """One simulation; what may be None is then off.
+
+    slippage_atr worsens an entry by so many ATR beyond the spread (AUD4);
+    from_signal measures max_minutes from the signal instead of the entry (AUD3).
+    """
 
     config_id: str = "baseline"
     threshold: int = 7
@@ -41,9 +45,11 @@ class Config:
     idle_r: float | None = None
     long: bool = True
     short: bool = True
+    slippage_atr: float = 0.0
+    from_signal: bool = False
 
 
-_SCHEMA = "config_id string, threshold int, spread double, stop_atr double, target1_atr double, target2_atr double, least_stop double, max_minutes int, stop_first boolean, risk_usd double, breakeven_r double, trail_r double, trail_atr double, idle_minutes int, idle_r double, long boolean, short boolean"
+_SCHEMA = "config_id string, threshold int, spread double, stop_atr double, target1_atr double, target2_atr double, least_stop double, max_minutes int, stop_first boolean, risk_usd double, breakeven_r double, trail_r double, trail_atr double, idle_minutes int, idle_r double, long boolean, short boolean, slippage_atr double, from_signal boolean"
 
 
 def frame(spark: SparkSession, configs: list[Config]) -> DataFrame:
@@ -62,6 +68,7 @@ def _exit() -> Column:
         stop = F.when(r >= F.col("breakeven_r"), F.greatest(a["stop"], e)).otherwise(a["stop"])
         stop = F.when(r >= F.col("trail_r"), F.greatest(stop, F.round(b["h"] - F.col("trail_atr") * F.col("atr"), 2))).otherwise(stop)
         minutes = (b["t"] - F.col("entry_time")) / 60
+        held = F.when(F.col("from_signal"), (b["t"] - F.col("signal_time")) / 60).otherwise(minutes)
         one, two = b["h"] >= F.col("_t1"), b["h"] >= F.col("_t2")
         x = F.struct(stop.alias("stop"), mfe.alias("mfe"), mae.alias("mae"))
         # a fold over a single element names the values that are used several times
@@ -74,7 +81,7 @@ def _exit() -> Column:
                     .when(two, "TP2")
                     .when(one, "TP1")
                     .when((minutes >= F.col("idle_minutes")) & (s["mfe"] / dist < F.col("idle_r")), "IDLE")
-                    .when(minutes >= F.col("max_minutes"), "EXPIRED")
+                    .when(held >= F.col("max_minutes"), "EXPIRED")
                     .alias("result"),
                     s.alias("s"),
                 ),
@@ -104,7 +111,7 @@ def candidates(signals: DataFrame, bars: DataFrame, configs: DataFrame, bar_seco
         paths = paths.withColumn("only", F.lit(None).cast("string"))
     mine = F.coalesce(F.col("only") == F.col("config_id"), F.lit(True))
     c = paths.join(F.broadcast(configs), mine & (F.col("strength") >= F.col("threshold")) & F.when(F.col("direction") == "LONG", F.col("long")).otherwise(F.col("short")))
-    c = entries.evaluate(c, policy, causal, F.col("spread"))
+    c = entries.evaluate(c, policy, causal, F.col("spread") + F.col("slippage_atr") * F.col("atr"))
     round2 = lambda x: F.round(x, 2)
     c = c.withColumns({"_entry": F.col("sign") * F.col("entry_price"), "stop_dist": F.greatest(F.col("least_stop"), round2(F.col("atr") * F.col("stop_atr")))})
     c = c.withColumns({"_stop": round2(F.col("_entry") - F.col("stop_dist")), "_t1": round2(F.col("_entry") + round2(F.col("atr") * F.col("target1_atr"))), "_t2": round2(F.col("_entry") + round2(F.col("atr") * F.col("target2_atr")))})
@@ -116,6 +123,7 @@ def candidates(signals: DataFrame, bars: DataFrame, configs: DataFrame, bar_seco
         F.col("_x.t").alias("exit_time"),
         (sign * F.col("_x.price")).alias("exit_price"),
         (sign * F.col("_x.stop")).alias("stop_loss"),
+        (sign * F.col("_t1")).alias("target"),
         F.when(F.col("_x.result") == "IDLE", "EXPIRED").otherwise(F.col("_x.result")).alias("result"),
         (F.col("_x.result") == "IDLE").alias("idle"),
         r.alias("r_multiple"),

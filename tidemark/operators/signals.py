@@ -98,6 +98,26 @@ def score(rows: DataFrame, threshold: int = 7, without: frozenset[str] = frozens
     ).drop("_lr", "_lw", "_sr", "_sw")
 
 
+def components(rows: DataFrame) -> DataFrame:
+    """features() rows with a direction, and for it the seven parts of a score as flags (CLS8). What is unknown is false, but the close stands in for a missing average."""
+    long_ = F.col("direction") == "LONG"
+    side = lambda up, down: F.coalesce(F.when(long_, up).otherwise(down), F.lit(False))
+    unit = F.coalesce("atr", F.lit(1.5)) * 1.5
+    support, resistance = (F.try_element_at(c, F.lit(1))["price"] for c in ("supports", "resistances"))
+    hist, average, close = F.col("macd.hist"), F.coalesce("ema21", "close"), F.col("close")
+    return rows.withColumns(
+        {
+            "has_trend": side(F.col("trend") == "BULLISH", F.col("trend") == "BEARISH"),
+            "has_structure": side(F.col("structure") == "BULLISH", F.col("structure") == "BEARISH"),
+            "has_cross": side(F.col("ema9") > F.col("ema21"), F.col("ema9") < F.col("ema21")),
+            "has_momentum": side(hist > 0, hist < 0),
+            "has_strength": side(F.col("rsi").between(40, 68), F.col("rsi").between(32, 60)),
+            "has_level": side(close - support <= unit, resistance - close <= unit),
+            "has_side": side(close >= average, close <= average),
+        }
+    )
+
+
 def signals(scored: DataFrame, *more: str) -> DataFrame:
     """What replay needs of the setups (SIG7): the last bar of a history gives none, and a missing ATR is 1.5."""
     s = scored.where("type <> 'WAIT'")

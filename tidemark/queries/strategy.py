@@ -244,6 +244,37 @@ def aud4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.headline(out, ["policy"])
 
 
+def aud1_same_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar as an entry at its open, with stop and target 10 away; the target counts first, so doubtful trades differ."""
+    k = F.floor(F.col("epoch_s") / H)
+    b = A.bars(spark, sf_dir)
+    sign = F.when(k % 2 == 0, 1).otherwise(-1)
+    t = b.withColumns({"direction": F.when(k % 2 == 0, "LONG").otherwise("SHORT"), "entry_price": F.col("open"), "stop_loss": F.round(F.col("open") - sign * 10, 2), "target": F.round(F.col("open") + sign * 10, 2)})
+    one = F.when(sign > 0, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    stop = F.when(sign > 0, F.col("low") <= F.col("stop_loss")).otherwise(F.col("high") >= F.col("stop_loss"))
+    t = t.withColumn("result", F.when(one, "TP1").when(stop, "STOP_LOSS").otherwise("EXPIRED"))
+    t = t.select("symbol", F.col("epoch_s").alias("entry_time"), (F.col("epoch_s") + F.when(F.col("result") == "EXPIRED", H).otherwise(0)).alias("exit_time"), "direction", "entry_price", "stop_loss", "target", "result", F.when(one, 100).when(stop, -100).otherwise(0).cast("long").alias("r_h"))
+    return forensics.same_bar(t, b, ["symbol", "direction"])
+
+
+def aud3_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holding limit from the entry and from the signal, for entries that wait."""
+    configs = [_base(config_id="entry"), _base(config_id="signal", from_signal=True)]
+    t = replay.replay(_signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, configs), H, entries.retrace(), True, LIMIT)
+    return stats.headline(t, ["config_id"])
+
+
+def aud4_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slippage and spread simulated anew."""
+    return _sweep(spark, sf_dir, experiments.sweep(_base(), "slippage_atr", [0.0, 0.02, 0.05, 0.1]) + experiments.sweep(_base(), "spread", [0.2, 0.3, 0.5]))
+
+
+def cls8_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.when(F.floor(F.col("epoch_s") / H) % 2 == 0, "LONG").otherwise("SHORT")
+    c = signals.components(_features(spark, sf_dir).withColumn("direction", d))
+    return c.groupBy("symbol", "direction").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(x) for x in c.columns if x.startswith("has_")])
+
+
 def oos1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.verdict(stats.headline(A.trades(spark, sf_dir), ["symbol"]), ["symbol"])
 
@@ -267,6 +298,12 @@ def for14_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forward(spark, sf_dir).where("mfe1 IS NOT NULL").select("symbol", "epoch_s", "direction", *[f"{m}{n}" for n in (1, 5, 60) for m in ("mfe", "mae")])
 
 
+def for13_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar as a trade over the next bar, risk 40, and what the next sixty did."""
+    f = _forward(spark, sf_dir).where("mfe1 IS NOT NULL").withColumns({"r_h": F.round((F.col("mfe1") - F.col("mae1")) * 2.5).cast("long"), "holding_minutes": 1 + F.floor(F.col("epoch_s") / H) % 6, "mfe_r": F.col("mfe60") / 40, "mae_r": F.col("mae60") / 40})
+    return f.groupBy("symbol", "direction", forensics.outcome_group().alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum("r_h").alias("r_h"))
+
+
 def for16_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _forward(spark, sf_dir).where("mfe1 IS NOT NULL")
     unit = F.lit(80.0)
@@ -342,6 +379,11 @@ ORACLES = {
     "ent6_hybrid": _sql_entry(3, [("l# <= round(ref - 36, 2)", None), ("l# <= round(ref - 8, 2)", "least(round(ref - 8, 2), o#)"), ("h# >= round(top + 8, 2)", "greatest(round(top + 8, 2), o#)")], False),
     "ent7_tight": _sql_entry(2, [("l# <= round(ref - 30, 2)", None), ("l# <= round(ref - 6, 2)", "least(round(ref - 6, 2), o#)")], False),
     "for1_excursions": f"{_B}, pos AS (SELECT symbol, epoch_s AS entry_time, epoch_s + {H} * (1 + (epoch_s // {H}) % 24) AS exit_time, (epoch_s // {H}) % 2 = 0 AS long_, open AS entry_price, symbol || '|' || epoch_s AS trade_id FROM bars), j AS (SELECT p.symbol, p.trade_id, b.epoch_s, greatest(0, CASE WHEN long_ THEN b.high - entry_price ELSE entry_price - b.low END) AS fav, greatest(0, CASE WHEN long_ THEN entry_price - b.low ELSE b.high - entry_price END) AS adv FROM pos p JOIN bars b ON b.symbol = p.symbol AND b.epoch_s BETWEEN p.entry_time AND p.exit_time) SELECT symbol, trade_id, count(*) AS bars, round(max(fav), 6) AS mfe, round(max(adv), 6) AS mae, round(max(fav) / 40, 6) AS mfe_r, round(max(adv) / 40, 6) AS mae_r, min(epoch_s) FILTER (adv >= 40) AS stop_s FROM j GROUP BY 1, 2",
+    "aud1_same_bar": f"""{_B}, t AS (SELECT *, (epoch_s // {H}) % 2 = 0 AS long_, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN high >= round(open + 10, 2) ELSE low <= round(open - 10, 2) END AS one, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN low <= round(open - 10, 2) ELSE high >= round(open + 10, 2) END AS stop FROM bars)
+ SELECT symbol, CASE WHEN long_ THEN 'LONG' ELSE 'SHORT' END AS direction, count(*) AS trades, count(*) FILTER (one OR stop) AS same_bar, count(*) FILTER (stop AND NOT one) AS same_bar_stops, count(*) FILTER (one) AS same_bar_targets, count(*) FILTER (one AND stop) AS doubtful,
+ sum(CASE WHEN one THEN 1 WHEN stop THEN -1 ELSE 0 END)::DOUBLE AS total_r, sum(CASE WHEN stop THEN -1 WHEN one THEN 1 ELSE 0 END)::DOUBLE AS careful_total_r, -2 * count(*) FILTER (one AND stop)::DOUBLE AS delta_r, round(count(*) FILTER (one OR stop) * 100 / count(*), 6) AS same_bar_share FROM t GROUP BY 1, 2""",
+    "for13_groups": f"""{_FWD}, g AS (SELECT symbol, direction, CAST(round((mfe1 - mae1) * 2.5::DOUBLE) AS BIGINT) AS r_h, 1 + (epoch_s // {H}) % 6 AS m, mfe60 / 40 AS mfe_r, mae60 / 40 AS mae_r FROM f)
+ SELECT symbol, direction, CASE WHEN r_h > 0 AND mae_r <= 0.5 THEN 'GROUP_A_CLEAN_WIN' WHEN r_h < 0 AND m <= 3 AND mfe_r >= 1 THEN 'GROUP_B_EARLY_REV' WHEN r_h < 0 AND mfe_r < 1 THEN 'GROUP_C_FAILURE' WHEN r_h > 0 THEN 'OTHER_WIN' ELSE 'OTHER_LOSS' END AS outcome, count(*) AS n, CAST(sum(r_h) AS BIGINT) AS r_h FROM g GROUP BY 1, 2, 3""",
     "for14_forward": f"{_FWD} SELECT * FROM f",
     "for16_labels": f"{_FWD} SELECT CASE WHEN mae1 / 80 >= 1 THEN CASE WHEN mfe5 / 80 >= 1 THEN 'EARLY_ADVERSE_THEN_RECOVERY' ELSE 'PURE_ADVERSE' END WHEN mfe5 / 80 >= 1 AND mae5 / 80 <= 0.3 THEN 'FAST_CONTINUATION' WHEN mae5 / 80 <= 0.4 AND mfe5 / 80 >= 0.8 THEN 'IMMEDIATE_FAVORABLE' WHEN mae5 / 80 BETWEEN 0.2 AND 0.6 AND mfe5 / 80 >= 0.6 THEN 'CONTROLLED_RETRACE' ELSE 'CHOP' END AS label, direction, count(*) AS n FROM f GROUP BY 1, 2",
 }
