@@ -45,22 +45,34 @@ def ema(values: Column, n: int) -> Column:
 def ema_series(bars: DataFrame, n: int, value: str = "close", by: str = "symbol") -> DataFrame:
     """bars with the exponential average of the whole series so far (IND1).
 
-    A recursion over a whole history needs its bars in one place: one array a key,
-    folded once. For histories that do not fit use sliding(), whose weights
-    beyond the slice have died away.
+    Every step maps the value before it to a * value + b: the first n steps sum,
+    the next one turns the sum into the mean that seeds the rest. Such maps
+    compose, so days are folded in parallel to one map each, the days of a key
+    are scanned, and each day is folded again from what it starts with. What one
+    task holds of a key is a row a day.
     """
     k = 2.0 / (n + 1)
-    rows = bars.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("epoch_s", F.col(value).alias("v")))).alias("s"))
-    vals = F.transform("s", lambda x: x["v"])
-    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        i, total = a["i"] + 1, a["sum"] + x
-        e = F.when(i < n, F.lit(None).cast("double")).when(i == n, total / n).otherwise(x * k + a["e"] * (1 - k))
-        return F.struct(i.alias("i"), total.alias("sum"), e.alias("e"), F.array_append(a["out"], e).alias("out"))
-
-    out = rows.select(by, F.arrays_zip(F.transform("s", lambda x: x["epoch_s"]).alias("t"), F.transform(F.aggregate(vals, start, step)["out"], lambda x: F.round(x, 4)).alias("e")).alias("z"))
-    return out.select(by, F.explode("z").alias("z")).select(by, F.col("z.t").alias("epoch_s"), F.col("z.e").alias(f"ema{n}"))
+    rows = bars.select(by, "epoch_s", F.col(value).cast("double").alias("v"), F.floor(F.col("epoch_s") / 86400).alias("day"))
+    before = Window.partitionBy(by).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.groupBy(by, "day").agg(F.count(F.lit(1)).alias("m")).select(by, "day", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("seen"))
+    days = rows.groupBy(by, "day").agg(F.array_sort(F.collect_list(F.struct("epoch_s", "v"))).alias("s")).join(seen, [by, "day"])
+
+    def maps(x: Column, j: Column) -> Column:
+        i = F.col("seen") + j + 1
+        factor = F.when(i <= n, 1.0).when(i == n + 1, (1 - k) / n).otherwise(1 - k)
+        return F.struct(x["epoch_s"].alias("t"), i.alias("i"), factor.alias("a"), F.when(i <= n, x["v"]).otherwise(x["v"] * k).alias("b"))
+
+    days = days.select(by, "day", F.transform("s", maps).alias("maps"))
+    whole = F.aggregate("maps", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda c, x: F.struct((c["a"] * x["a"]).alias("a"), (c["b"] * x["a"] + x["b"]).alias("b")))
+    none = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("out"))
+    step = lambda c, x: F.struct((c["e"] * x["a"] + x["b"]).alias("e"), F.array_append(c["out"], c["e"]).alias("out"))
+    scan = days.select(by, "day", whole.alias("w")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("day", F.col("w.a").alias("a"), F.col("w.b").alias("b")))).alias("d"))
+    starts = scan.select(by, F.explode(F.arrays_zip(F.transform("d", lambda x: x["day"]).alias("day"), F.aggregate("d", none, step)["out"].alias("e"))).alias("z")).select(by, "z.day", F.col("z.e").alias("start"))
+    begun = F.struct(F.col("start").alias("e"), F.array().cast("array<double>").alias("out"))
+    inside = lambda c, x: let(c["e"] * x["a"] + x["b"], lambda e: F.struct(e.alias("e"), F.array_append(c["out"], e).alias("out")))
+    out = days.join(starts, [by, "day"]).select(by, F.explode(F.arrays_zip("maps", F.aggregate("maps", begun, inside)["out"].alias("e"))).alias("z"))
+    average = F.when(F.col("z.maps.i") == n, F.col("z.e") / n).when(F.col("z.maps.i") > n, F.col("z.e"))
+    return out.select(by, F.col("z.maps.t").alias("epoch_s"), F.round(average, 4).alias(f"ema{n}"))
 
 
 def rsi(close: Column, n: int = 14) -> Column:
