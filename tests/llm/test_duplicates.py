@@ -1,6 +1,7 @@
 """Operators 1, 4, 5 and 7 against brute force and planted cases."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -226,6 +227,71 @@ def test_short_items_are_found_with_a_word_replaced_anywhere(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table(spark, texts), bench).collect()} == want
 
 
+def brute_leaks(texts, items, p=decontaminate.Params()):
+    """Pairs of a text and an item of which some alignment has a mask's words equal, and enough equal words in some run or the whole item."""
+    looked = [[j for j, x in enumerate(m) if x == "1"] for m in decontaminate.MASKS]
+    out = set()
+    for i, t in texts:
+        w = WORD.findall(lower(t or ""))
+        for k, item in items:
+            v = WORD.findall(lower(item or ""))
+            for at in range(1 - len(v), len(w)):
+                equal = [w[at + j] == x if 0 <= at + j < len(w) else None for j, x in enumerate(v)]
+                if sum(x is True for x in equal) < 6:
+                    continue
+                inside = lambda lo, n, e=equal: lo + n <= len(e) and None not in e[lo : lo + n]
+                if not any(inside(lo, m[-1] + 1) and all(equal[lo + j] for j in m) for m in looked for lo in range(len(v))):
+                    continue
+                here = [x for x in equal if x is not None]
+                total = list(itertools.accumulate(here, initial=0))
+                run = any(total[z] - total[a] >= p.min_equal and total[z] - total[a] >= p.min_share * (z - a) for a in range(len(here)) for z in range(a + p.min_equal, len(here) + 1))
+                if run or (len(here) == len(v) and total[-1] >= max(p.whole_item, p.min_share * len(v))):
+                    out.add((i, k))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(23)
+    items = [" ".join(words(rng, rng.choice((7, 8, 9, 12, 16, 30, 60)), 40)) for _ in range(25)] + [None, "", "Same Words " * 8]
+    texts = [None, "", "same words " * 9]
+    for k in range(90):
+        v = items[k % 25].split()
+        lo = rng.choice((0, 0, rng.randrange(len(v))))
+        piece = [x if rng.random() > rng.choice((0, 0.1, 0.25, 0.35)) else f"w{rng.randrange(40)}" for x in v[lo:]]
+        texts.append(" ".join(words(rng, rng.randrange(25), 40) + piece + words(rng, rng.randrange(25), 40)))
+    want = brute_leaks(list(enumerate(texts)), list(enumerate(items)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = table(spark, texts)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+    assert 20 < len({i for i, _ in want}) < 85
+
+
+def test_pipeline_equals_brute_force(spark, small):
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline as c
+    from tidemark.llm import bpe, language
+
+    docs = language.accepted(c.documents(spark, small))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    rows = {i: rows[i] for i, (_, low) in brute_components(rows.items(), 5, 80).items() if i == low}
+    for i, found in brute_repeats(sorted(rows.items()), 50).items():
+        at = [m.start() for m in WORD.finditer(rows[i])] + [len(rows[i])]
+        for lo, hi in reversed(found.get("copied", [])):
+            rows[i] = rows[i][: at[lo]] + rows[i][at[hi] :]
+    rows = {i: t for i, t in rows.items() if t is None or t == "" or t.strip()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    grams_ = lambda t: {x for w in [WORD.findall(lower(t))] for x in w}
+    near_items = {i: [x for x in items if len(grams_(x[1]) & grams_(t or "")) >= 6] for i, t in rows.items()}
+    leaked = {i for i, t in rows.items() if brute_leaks([(i, t)], near_items[i])}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.MULTI_50K)), special_tokens={})
+    want = sorted((i, len(enc.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows.items() if i not in leaked)
+    assert leaked and len(want) > 100
+    assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in c.run(spark, small).collect()) == want
+
+
 def test_passes_over_a_large_benchmark(spark, monkeypatch):
     rng = random.Random(2)
     items = [words(rng, 30) for _ in range(5)]

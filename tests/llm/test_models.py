@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,21 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and 20 not in {r.doc_id for r in kept.collect()}
 
 
+def test_kernel_is_that_of_explicit_sets(spark):
+    texts = [r.text.lower() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 50 and 400").orderBy("doc_id").limit(25).collect()] + ["straße, straße", "a", "日本語 1234"]
+    sets = []
+    for t in texts:
+        raw = bytes(x if x > 127 or 97 <= x <= 122 else 32 for x in t.encode())
+        sets.append({raw[i : i + n] for n in range(1, 5) for i in range(len(raw) - n + 1)})
+    got = np.zeros((len(texts), 1 << language.BITS), bool)
+    for lo, x in language.presence(pa.array(texts)):
+        got[lo : lo + len(x)] = x
+    for a, b in itertools.product(range(len(texts)), repeat=2):
+        want = len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b]))
+        have = (got[a] & got[b]).sum() / math.sqrt(got[a].sum() * got[b].sum())
+        assert abs(want - have) < 0.02, (texts[a], texts[b])  # n-grams are hashed to places
+
+
 def test_gibberish_and_unlearned_languages_are_rejected(spark):
     rng = np.random.default_rng(1)
     junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (5, 20, 60, 300, 1000)]
