@@ -315,6 +315,19 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[:3] in ("ind", "sig", "
 _WINS = f"{_B}, wins AS (SELECT symbol, epoch_s, list(close) OVER w AS c, list({{'h': high, 'l': low, 'c': close, 'v': tick_volume}}) OVER w AS b FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING))"
 _EMA = lambda n, c="c": f"CASE WHEN len({c}) >= {n} THEN round(list_reduce(list_slice({c}, {n + 1}, len({c})), lambda a, x: x * {2 / (n + 1)!r} + a * {1 - 2 / (n + 1)!r}, list_sum(list_slice({c}, 1, {n})) / {n}), 4) END"
 _WILDER = lambda v: f"list_reduce(list_slice({v}, 15, len({v})), lambda a, x: (a * 13 + x) / 14, list_sum(list_slice({v}, 1, 14)) / 14)"
+_ATR = f"tr AS (SELECT symbol, epoch_s, c, len(b) AS n, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN i = 1 THEN b[1].h - b[1].l ELSE greatest(b[i].h - b[i].l, abs(b[i].h - b[i - 1].c), abs(b[i].l - b[i - 1].c)) END) AS t FROM wins)"
+#: The averages of a window step by step: fast and slow, their difference, its average.
+_MACD = f"""{_WINS.replace("WITH ", "WITH RECURSIVE ", 1)}, folded AS (
+ SELECT symbol, epoch_s, c, len(c) AS n, 0 AS i, 0.0::DOUBLE AS total, 0.0::DOUBLE AS f, 0.0::DOUBLE AS s, 0.0::DOUBLE AS line, 0.0::DOUBLE AS lines, 0.0::DOUBLE AS g FROM wins WHERE len(c) >= 35 UNION ALL
+ SELECT symbol, epoch_s, c, n, i, total, f, s, line, lines + line AS lines, CASE WHEN i < 34 THEN 0.0 WHEN i = 34 THEN (lines + line) / 9 ELSE line * {2 / 10!r} + g * {1 - 2 / 10!r} END AS g FROM
+ (SELECT *, CASE WHEN i >= 26 THEN round(f, 4) - round(s, 4) ELSE 0.0 END AS line FROM
+ (SELECT symbol, epoch_s, c, n, i + 1 AS i, total + c[i + 1] AS total, lines, g,
+ CASE WHEN i + 1 < 12 THEN 0.0 WHEN i + 1 = 12 THEN (total + c[i + 1]) / 12 ELSE c[i + 1] * {2 / 13!r} + f * {1 - 2 / 13!r} END AS f,
+ CASE WHEN i + 1 < 26 THEN 0.0 WHEN i + 1 = 26 THEN (total + c[i + 1]) / 26 ELSE c[i + 1] * {2 / 27!r} + s * {1 - 2 / 27!r} END AS s FROM folded WHERE i < n)))"""
+_IMPULSE = f"""{_WINS}, {_ATR}, x AS (SELECT symbol, epoch_s, {_EMA(21)} AS ema21, {_EMA(50)} AS ema50, greatest(0.1, CASE WHEN n > 14 THEN round({_WILDER("t")}, 4) END) AS unit FROM tr),
+ y AS (SELECT *, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 1 ELSE -1 END AS g, row_number() OVER w AS k, {", ".join(f"lag({c}, {j}) OVER w AS {c[0]}{j}" for c in ("open", "close") for j in (1, 2))} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s)),
+ z AS (SELECT *, g * (close - ema21) / unit AS d21, g * (close - ema50) / unit AS d50, abs(close - o1) / unit AS move2, abs(close - o2) / unit AS move3, CAST(g * (close - open) > 0 AS INT) + CAST(g * (c1 - o1) > 0 AS INT) + CAST(g * (c2 - o2) > 0 AS INT) AS along FROM y JOIN x USING (symbol, epoch_s) WHERE ema50 IS NOT NULL),
+ told AS (SELECT symbol, CASE WHEN g > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN k <= 5 THEN 'NEUTRAL' WHEN d21 > 0.9 OR move3 > 1.8 OR (along = 3 AND d21 > 0.7) THEN 'LATE_IMPULSE' WHEN d21 <= 0.35 AND d50 >= 0 THEN 'CONTROLLED_PULLBACK' WHEN d21 >= 0.2 AND d21 <= 0.7 AND move2 <= 1 AND along <= 2 THEN 'EARLY_IMPULSE' ELSE 'NEUTRAL' END AS state FROM z)"""
 _SIMPLE = f"""{_B}, nb AS (SELECT *, {', '.join(f'lead({c}, {k}) OVER w AS {c}{k}' for k in range(1, 6) for c in ('epoch_s', 'open', 'high', 'low', 'close'))} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s)),
  s AS (SELECT symbol, epoch_s AS signal_time, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 1 ELSE -1 END AS g, * EXCLUDE (symbol, epoch_s) FROM nb WHERE epoch_s1 IS NOT NULL),
  m AS (SELECT symbol, signal_time, direction, g, g * close AS ref, CASE WHEN g > 0 THEN high ELSE -low END AS top, CASE WHEN g > 0 THEN low ELSE -high END AS bottom, {', '.join(f"epoch_s{k} AS t{k}, g * open{k} AS o{k}, CASE WHEN g > 0 THEN high{k} ELSE -low{k} END AS h{k}, CASE WHEN g > 0 THEN low{k} ELSE -high{k} END AS l{k}, g * close{k} AS c{k}" for k in range(1, 6))} FROM s)"""
@@ -365,11 +378,13 @@ ORACLES = {
     "ind1_ema": f"{_WINS} SELECT symbol, epoch_s, {', '.join(f'{_EMA(n)} AS ema{n}' for n in (9, 21, 50))} FROM wins",
     "ind1_series": f"{_B}, wins AS (SELECT symbol, epoch_s, list(close) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS UNBOUNDED PRECEDING) AS c FROM bars) SELECT symbol, epoch_s, {_EMA(21)} AS ema21 FROM wins",
     "ind3_rsi": f"{_WINS}, ch AS (SELECT symbol, epoch_s, len(c) AS n, list_transform(range(2, len(c) + 1), lambda i: c[i] - c[i - 1]) AS d FROM wins), g AS (SELECT *, {_WILDER('list_transform(d, lambda x: greatest(x, 0.0))')} AS up, {_WILDER('list_transform(d, lambda x: greatest(-x, 0.0))')} AS dn FROM ch WHERE n > 14) SELECT symbol, epoch_s, CASE WHEN n > 14 THEN CASE WHEN dn = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / dn), 2) END END AS rsi FROM ch LEFT JOIN (SELECT symbol, epoch_s, up, dn FROM g) USING (symbol, epoch_s)",
+    "ind4_macd": f"{_MACD} SELECT b.symbol, b.epoch_s, round(line, 4) AS macd, round(g, 4) AS signal, round(line - round(g, 4), 4) AS hist FROM bars b LEFT JOIN (SELECT * FROM folded WHERE i = n) f ON f.symbol = b.symbol AND f.epoch_s = b.epoch_s",
     "ind5_atr": f"{_WINS}, tr AS (SELECT symbol, epoch_s, len(b) AS n, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN i = 1 THEN b[1].h - b[1].l ELSE greatest(b[i].h - b[i].l, abs(b[i].h - b[i - 1].c), abs(b[i].l - b[i - 1].c)) END) AS t FROM wins) SELECT symbol, epoch_s, CASE WHEN n > 14 THEN round({_WILDER('t')}, 4) END AS atr FROM tr",
     "ind6_vwap": f"{_B} SELECT symbol, epoch_s, round(sum((high + low + close) / 3 * tick_volume) OVER w / sum(tick_volume) OVER w, 9) AS vwap FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING)",
     "ind7_pivots": f"{_B}, n AS (SELECT *, count(*) OVER p AS np, count(*) OVER q AS nq, max(high) OVER p AS hp, max(high) OVER q AS hq, min(low) OVER p AS lp, min(low) OVER q AS lq FROM bars WINDOW p AS (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) SELECT symbol, epoch_s, high, low, hp < high AND hq <= high AS pivot_high, lp > low AND lq >= low AS pivot_low FROM n WHERE np = 2 AND nq = 2 AND ((hp < high AND hq <= high) OR (lp > low AND lq >= low))",
     "sig6_context": f"{_BP} SELECT b.symbol, b.epoch_s, b.close, p.close AS close5 FROM bars b ASOF LEFT JOIN (SELECT symbol, epoch_s + {P - H} AS known_s, close FROM pbars) p ON b.symbol = p.symbol AND b.epoch_s >= p.known_s",
     "cls3_volatility": f"{_B}, r AS (SELECT symbol, epoch_s, round(high - low, 2) AS v FROM bars), w AS (SELECT *, list(v) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING) AS l FROM r), p AS (SELECT *, len(list_filter(l, lambda a: a <= v)) / len(l) AS rank FROM w) SELECT symbol, epoch_s, CASE WHEN len(l) < 5 THEN CASE WHEN v < 1.0 THEN 'Q1' WHEN v < 1.5 THEN 'Q2' WHEN v < 2.0 THEN 'Q3' WHEN v < 2.8 THEN 'Q4' ELSE 'Q5' END WHEN rank <= 0.2 THEN 'Q1' WHEN rank <= 0.4 THEN 'Q2' WHEN rank <= 0.6 THEN 'Q3' WHEN rank <= 0.8 THEN 'Q4' ELSE 'Q5' END AS quintile FROM p",
+    "cls5_impulse": f"{_IMPULSE} SELECT symbol, direction, state, count(*) AS n FROM told GROUP BY 1, 2, 3",
     "ent1_immediate": f"{_SIMPLE} SELECT symbol, signal_time, direction, 'ENTERED_IMMEDIATELY' AS status, t1 AS entry_time, round(g * (round(o1, 2) + 0.3), 2) AS entry_price FROM m",
     "ent2_retrace": _sql_entry(3, [("l# <= round(ref - 40, 2)", None), ("l# <= round(ref - 10, 2)", "least(round(ref - 10, 2), o#)")], True),
     "ent2_retrace_causal": _sql_entry(3, [("o# <= round(ref - 40, 2)", None), ("l# <= round(ref - 10, 2)", "least(round(ref - 10, 2), o#)")], True),
