@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,6 +29,16 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, which the cluster names in spark.checkpoint.dir; on one machine a temporary folder may take its place."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/tidemark"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package, once for each Spark application.
 
