@@ -10,6 +10,7 @@ from tidemark.operators import classify, entries, experiments, forensics, montec
 from tidemark.plans.joins import as_of
 from tidemark.queries.ledger import _EQ, _HEAD, _T
 from tidemark.queries.market import _B, _BP, H, P
+from tidemark.session import shared_folder
 from tidemark.sources import adapters as A
 
 #: Bars are hours here: a limit of 60 bars is 3600 minutes, and scores are lower than with minute bars.
@@ -143,8 +144,14 @@ def ent7_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # several simulations share them
-    return signals.signals(signals.score(_features(spark, sf_dir), THRESHOLD)).cache()
+    return signals.signals(signals.score(_features(spark, sf_dir), THRESHOLD))
+
+
+def _stored_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals as a table, for queries that replay them several times."""
+    s, at = _signals(spark, sf_dir), shared_folder(spark, "signals")
+    s.write.parquet(at)
+    return spark.read.schema(s.schema).parquet(at)
 
 
 def _base(**more: object) -> replay.Config:
@@ -219,7 +226,7 @@ def exp4_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ent9_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sig, bars, cfg = _signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, [_base()])
+    sig, bars, cfg = _stored_signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, [_base()])
     out = None
     for make in entries.POLICIES:
         c = replay.select_trades(replay.candidates(sig, bars, cfg, H, make(), True, LIMIT), keep_missed=True)
@@ -228,14 +235,14 @@ def ent9_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ent10_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sig, bars, cfg = _signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, [_base()])
+    sig, bars, cfg = _stored_signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, [_base()])
     a, b = (replay.replay(sig, bars, cfg, H, p, True, LIMIT) for p in (entries.immediate(), entries.tight()))
     return replay.improvement(a, b)
 
 
 def aud4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell is simulated anew: depth of the pull-back by bars waited."""
-    sig, bars, cfg = _signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, [_base()])
+    sig, bars, cfg = _stored_signals(spark, sf_dir), A.bars(spark, sf_dir), replay.frame(spark, [_base()])
     out = None
     for depth in (0.10, 0.15, 0.20):
         for wait in (1, 2, 3):
