@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, imatch, jaccard, language, licenses, separators, suffix, toxicity, vbyte
+from tidemark.llm import bpe, decontaminate, imatch, jaccard, language, licenses, resample, separators, suffix, toxicity, vbyte
 from tidemark.llm.common import documents
 
 
@@ -48,5 +48,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.production(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_spaced_seeds": op1_spaced_seeds, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_imatch": op4_imatch, "op5_suffix_repeats": op5_suffix_repeats, "op6_token_counts": op6_token_counts, "op7_jaccard_join": op7_jaccard_join, "op8_token_files": op8_token_files, "op9_language": op9_language, "op10_licenses": op10_licenses}
-ORACLES: dict[str, str] = {}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_imatch": op4_imatch,
+    "op5_suffix_repeats": op5_suffix_repeats,
+    "op6_token_counts": op6_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_token_files": op8_token_files,
+    "op9_language": op9_language,
+    "op10_licenses": op10_licenses,
+    "op11_resample": op11_resample,
+}
+ORACLES: dict[str, str] = {"op11_resample": resample.SQL}
