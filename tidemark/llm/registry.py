@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, imatch, jaccard, language, licenses, resample, separators, suffix, toxicity, vbyte
+from tidemark.llm import bpe, codebooks, decontaminate, imatch, jaccard, language, licenses, resample, separators, suffix, toxicity, vbyte
 from tidemark.llm.common import documents
 
 
@@ -52,6 +52,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_byte_bpe": op2_byte_bpe,
@@ -64,5 +68,6 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_licenses": op10_licenses,
     "op11_resample": op11_resample,
+    "op12_codebooks": op12_codebooks,
 }
-ORACLES: dict[str, str] = {"op11_resample": resample.SQL}
+ORACLES: dict[str, str] = {"op11_resample": resample.SQL, "op12_codebooks": codebooks.sql(64)}
