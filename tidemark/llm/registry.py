@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, codebooks, decontaminate, imatch, jaccard, language, licenses, resample, separators, suffix, toxicity, vbyte
+from tidemark.llm import bpe, codebooks, covertree, decontaminate, imatch, jaccard, language, licenses, resample, separators, suffix, toxicity, vbyte
 from tidemark.llm.common import documents
 
 
@@ -56,6 +56,10 @@ def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_byte_bpe": op2_byte_bpe,
@@ -69,5 +73,6 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_resample": op11_resample,
     "op12_codebooks": op12_codebooks,
+    "op13_top_products": op13_top_products,
 }
-ORACLES: dict[str, str] = {"op11_resample": resample.SQL, "op12_codebooks": codebooks.sql(64)}
+ORACLES: dict[str, str] = {"op11_resample": resample.SQL, "op12_codebooks": codebooks.sql(64), "op13_top_products": covertree.SQL}
