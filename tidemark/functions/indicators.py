@@ -12,14 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.slices import halo, own
+
 #: Bars of a slice: trigger bars, primary bars.
 TRIGGER_SLICE, PRIMARY_SLICE = 121, 60
 
 
 def sliding(bars: DataFrame, n: int, name: str = "win", by: str = "symbol") -> DataFrame:
     """bars with an array of the last n bars, this one included, oldest first."""
-    w = Window.partitionBy(by).orderBy("epoch_s").rowsBetween(1 - n, 0)
-    return bars.withColumn(name, F.collect_list(F.struct("epoch_s", "open", "high", "low", "close", F.col("tick_volume").cast("double").alias("volume"))).over(w))
+    rows, keys = halo(bars, [by], ["epoch_s"], n - 1)
+    w = Window.partitionBy(*keys).orderBy("epoch_s").rowsBetween(1 - n, 0)
+    return own(rows.withColumn(name, F.collect_list(F.struct("epoch_s", "open", "high", "low", "close", F.col("tick_volume").cast("double").alias("volume"))).over(w)))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -129,12 +132,13 @@ def pivots(bars: DataFrame, k: int = 2, by: str = "symbol") -> DataFrame:
     A tie with an earlier bar disqualifies, with a later one does not; the first
     and last k bars are none.
     """
-    w = Window.partitionBy(by).orderBy("epoch_s")
+    rows, keys = halo(bars, [by], ["epoch_s"], k, k)
+    w = Window.partitionBy(*keys).orderBy("epoch_s")
     before, after = w.rowsBetween(-k, -1), w.rowsBetween(1, k)
     whole = (F.count(F.lit(1)).over(before) == k) & (F.count(F.lit(1)).over(after) == k)
     high = whole & (F.max("high").over(before) < F.col("high")) & (F.max("high").over(after) <= F.col("high"))
     low = whole & (F.min("low").over(before) > F.col("low")) & (F.min("low").over(after) >= F.col("low"))
-    return bars.withColumns({"pivot_high": high, "pivot_low": low})
+    return own(rows.withColumns({"pivot_high": high, "pivot_low": low}))
 
 
 def pivot_prices(win: Column, field: str, k: int = 2) -> Column:

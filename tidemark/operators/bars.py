@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.scan import running_max
+from tidemark.plans.slices import halo, own
+
+#: Numbers of arrival of one bucket of a scan.
+ARRIVALS = 10_000
+
 
 def bucket(epoch_s: Column | str, seconds: int) -> Column:
     """Start of the tumbling bucket of some length."""
@@ -54,16 +60,17 @@ def after_eviction(ticks: DataFrame, seconds: int, keep: int) -> DataFrame:
     the latest bucket that arrived before it. Gaps make the live buffer reach
     further back; this bound is by time, as a watermark's.
     """
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    b = bucket("epoch_s", seconds)
-    return ticks.withColumn("_top", F.max(b).over(w)).where(b > F.col("_top") - keep * seconds).drop("_top")
+    t = ticks.withColumns({"_of": bucket("epoch_s", seconds), "_part": F.floor(F.col("seq") / ARRIVALS)})
+    top = running_max(t, ["symbol"], "_part", ["seq"], "_of", "_top", F.lit(-(1 << 62)))
+    return top.where(F.col("_of") > F.col("_top") - keep * seconds).drop("_of", "_part", "_top")
 
 
 def changes(bars: DataFrame) -> DataFrame:
     """Bars whose prices differ from those of the bar before (AGG6)."""
-    w = Window.partitionBy("symbol").orderBy("epoch_s")
+    rows, keys = halo(bars, ["symbol"], ["epoch_s"], 1)
+    w = Window.partitionBy(*keys).orderBy("epoch_s")
     now = F.struct("open", "high", "low", "close")
-    return bars.withColumn("_was", F.lag(now).over(w)).where(F.col("_was").isNull() | (F.col("_was") != now)).drop("_was")
+    return own(rows.withColumn("_was", F.lag(now).over(w))).where(F.col("_was").isNull() | (F.col("_was") != now)).drop("_was")
 
 
 def stale(ticks: DataFrame, now: Column, seconds: int) -> DataFrame:

@@ -14,13 +14,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.slices import halo, own
+
+
 def with_path(signals: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """Signals with path, an array of the next n bars in mirrored prices (t, o, h, l, c); signals on a last bar go.
 
     Next bars are next by position, across gaps.
     """
-    ahead = Window.partitionBy("symbol").orderBy("epoch_s").rowsBetween(1, n)
-    b = bars.select("symbol", F.col("epoch_s").alias("signal_time"), F.collect_list(F.struct("epoch_s", "open", "high", "low", "close")).over(ahead).alias("_next"))
+    rows, keys = halo(bars.select("symbol", "epoch_s", "open", "high", "low", "close"), ["symbol"], ["epoch_s"], 0, n)
+    ahead = Window.partitionBy(*keys).orderBy("epoch_s").rowsBetween(1, n)
+    b = own(rows.withColumn("_next", F.collect_list(F.struct("epoch_s", "open", "high", "low", "close")).over(ahead))).select("symbol", F.col("epoch_s").alias("signal_time"), "_next")
     s = signals.join(b, ["symbol", "signal_time"]).where(F.size("_next") > 0).withColumn("sign", F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0))
     sign = F.col("sign")
     mirrored = F.transform("_next", lambda x: F.struct(x["epoch_s"].alias("t"), (sign * x["open"]).alias("o"), F.when(sign > 0, x["high"]).otherwise(-x["low"]).alias("h"), F.when(sign > 0, x["low"]).otherwise(-x["high"]).alias("l"), (sign * x["close"]).alias("c")))

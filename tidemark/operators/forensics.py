@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.stats import _mean_h, _rate, loss, win
 from tidemark.plans.joins import interval
+from tidemark.plans.slices import halo, own
 
 
 def _for(long_: Column, short: Column) -> Column:
@@ -96,8 +97,9 @@ def dimensions(t: DataFrame, columns: list[str], least: int = 100) -> DataFrame:
 
 def overlapping(t: DataFrame, by: str) -> DataFrame:
     """Trades that begin before the one before them ended (AUD2)."""
-    w = Window.partitionBy(by).orderBy("entry_time", "seq")
-    return t.withColumn("_next", F.lead("entry_time").over(w)).groupBy(by).agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("_next") < F.col("exit_time")).alias("overlaps"))
+    rows, keys = halo(t, [by], ["entry_time", "seq"], 0, 1)
+    w = Window.partitionBy(*keys).orderBy("entry_time", "seq")
+    return own(rows.withColumn("_next", F.lead("entry_time").over(w))).groupBy(by).agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("_next") < F.col("exit_time")).alias("overlaps"))
 
 
 def same_bar(t: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
@@ -163,8 +165,9 @@ def excursions(trades: DataFrame, bars: DataFrame, width: int) -> DataFrame:
 
 def forward(bars: DataFrame, direction: Column, horizons: tuple[int, ...]) -> DataFrame:
     """For each bar the greatest favourable and adverse move from its close over the next bars of some horizons (FOR13, FOR14, FOR16)."""
-    w = Window.partitionBy("symbol").orderBy("epoch_s")
-    out = bars.withColumn("_d", direction)
+    rows, keys = halo(bars, ["symbol"], ["epoch_s"], 0, max(horizons))
+    w = Window.partitionBy(*keys).orderBy("epoch_s")
+    out = rows.withColumn("_d", direction)
     long_ = F.col("_d") == "LONG"
     new = {}
     for n in horizons:
@@ -173,7 +176,7 @@ def forward(bars: DataFrame, direction: Column, horizons: tuple[int, ...]) -> Da
         some = hi.isNotNull()
         new[f"mfe{n}"] = F.when(some, F.round(F.greatest(F.lit(0.0), F.when(long_, hi - F.col("close")).otherwise(F.col("close") - lo)), 6))
         new[f"mae{n}"] = F.when(some, F.round(F.greatest(F.lit(0.0), F.when(long_, F.col("close") - lo).otherwise(hi - F.col("close"))), 6))
-    return out.withColumns(new).drop("_d")
+    return own(out.withColumns(new).drop("_d"))
 
 
 def path_label(mae1: Column, mfe5: Column, mae5: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.slices import halo, own
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -31,21 +33,28 @@ def clean(raw: DataFrame, by: list[str]) -> DataFrame:
 def cleaning_report(raw: DataFrame, by: list[str]) -> DataFrame:
     """For each key how many bars came, are invalid, out of order on arrival, and repeated (DQ2)."""
     bad = invalid_reason().isNotNull()
-    w = Window.partitionBy(*by).orderBy("seq")
-    valid = raw.where(~bad).withColumn("_back", F.col("epoch_s") < F.lag("epoch_s").over(w))
+    rows, keys = halo(raw.where(~bad), by, ["seq"], 1)
+    w = Window.partitionBy(*keys).orderBy("seq")
+    valid = own(rows.withColumn("_back", F.col("epoch_s") < F.lag("epoch_s").over(w)))
     counts = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("valid"), F.count_if("_back").alias("inversions"), F.countDistinct("epoch_s").alias("kept"))
     every = raw.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("invalid"))
     return every.join(counts, by, "left").select(*by, "total", "invalid", F.coalesce(F.col("valid") - F.col("kept"), F.lit(0)).alias("duplicates"), F.coalesce("inversions", F.lit(0)).alias("inversions"), F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
+def _steps(bars: DataFrame, by: list[str]) -> DataFrame:
+    """from_s and to_s: the time of each bar and of the one before it, null at first."""
+    rows, keys = halo(bars.select(*by, "epoch_s"), by, ["epoch_s"], 1)
+    w = Window.partitionBy(*keys).orderBy("epoch_s")
+    return own(rows.withColumn("from_s", F.lag("epoch_s").over(w))).select(*by, "from_s", F.col("epoch_s").alias("to_s"))
+
+
 def gaps(bars: DataFrame, by: list[str], over: int = 300, unexpected_over: int = 900, night: int = 7200) -> DataFrame:
     """Steps longer than over seconds (DQ3): from_s, to_s, gap_s, kind.
 
     Expected after Friday 20:00 UTC, on weekends, and for up to night seconds
     from 21:00 or 22:00; else unexpected if longer than unexpected_over, else small.
     """
-    w = Window.partitionBy(*by).orderBy("epoch_s")
-    g = bars.select(*by, F.lag("epoch_s").over(w).alias("from_s"), F.col("epoch_s").alias("to_s")).withColumn("gap_s", F.col("to_s") - F.col("from_s")).where(F.col("gap_s") > over)
+    g = _steps(bars, by).withColumn("gap_s", F.col("to_s") - F.col("from_s")).where(F.col("gap_s") > over)
     t = F.timestamp_seconds("from_s")
     day, hour = F.weekday(t), F.hour(t)
     expected = ((day == 4) & (hour >= 20)) | (day >= 5) | (hour.isin(21, 22) & (F.col("gap_s") <= night))
@@ -105,8 +114,7 @@ def missing_ranges(bars: DataFrame, by: list[str], start: Column, end: Column, s
 
 def inner_gaps(bars: DataFrame, by: list[str], step: int) -> DataFrame:
     """Holes inside a history, which head and tail do not show (DQ7, extended): from_s, to_s, missing bars."""
-    w = Window.partitionBy(*by).orderBy("epoch_s")
-    g = bars.select(*by, (F.lag("epoch_s").over(w) + step).alias("from_s"), F.col("epoch_s").alias("to_s"))
+    g = _steps(bars, by).withColumn("from_s", F.col("from_s") + step)
     return g.where(F.col("to_s") > F.col("from_s")).withColumn("missing", ((F.col("to_s") - F.col("from_s")) / step).cast("long"))
 
 

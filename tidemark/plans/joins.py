@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.scan import last_known
+
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """left with values of the last row of right that is not later, null if there is none.
 
-    Both sides are laid in one column of time and sorted once per key; a row of
-    right stands before one of left of the same time. right has one row a time.
+    Both sides are laid in one column of time (whole seconds) and scanned by
+    days: a row of right stands before one of left of the same time, and the
+    last row of right is carried from day to day. right has one row a time.
     """
     packed = F.struct(F.col(right_time).alias("_at"), *values)
     one = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("_hit"))
     two = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_row"), packed.alias("_hit"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = one.unionByName(two).withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_row.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
+    both = one.unionByName(two).withColumn("_day", F.floor(F.col("_t") / 86400))
+    found = last_known(both, by, "_day", ["_t", "_side"], "_hit", "_found").where("_side = 1")
+    return found.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
 def interval(points: DataFrame, spans: DataFrame, by: list[str], time: str, start: str, end: str, width: int, closed_end: bool = True) -> DataFrame:

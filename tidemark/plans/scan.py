@@ -42,6 +42,19 @@ def running_max(df: DataFrame, by: list[str], bucket: str, order: list[str], val
     return _joined(local, tops, by, bucket, ["_before"]).withColumn(name, F.greatest(name, "_before", least)).drop("_before")
 
 
+def last_known(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with name: the last value up to and with this row that is not null; null before the first.
+
+    The state carried over buckets is one value: the last known one of each.
+    """
+    within = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    ends = df.groupBy(*by, bucket).agg(latest.alias("_last")).select(*by, bucket, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    local = df.withColumn(name, F.last(value, ignorenulls=True).over(within))
+    return _joined(local, ends, by, bucket, ["_carried"]).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+
+
 def runs(df: DataFrame, by: list[str], bucket: str, order: list[str], inside: Column, name: str) -> DataFrame:
     """One row (by, name) for each longest run of consecutive rows for which inside holds; name is its length.
 

@@ -83,19 +83,19 @@ def sig10_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cls3_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = A.bars(spark, sf_dir).withColumn("range", F.round(F.col("high") - F.col("low"), 2))
-    w = F.expr("collect_list(range) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 120 PRECEDING AND CURRENT ROW)")
-    return b.withColumn("_w", w).select("symbol", "epoch_s", classify.volatility_quintile("range", F.col("_w")).alias("quintile"))
+    return classify.with_volatility(b, "range").select("symbol", "epoch_s", "quintile")
 
 
 def cls4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The range of bars of several ticks, carried over bars of one."""
     b = A.bars(spark, sf_dir).withColumn("range", F.when(F.col("tick_volume") > 1, F.round(F.col("high") - F.col("low"), 2)))
-    return b.select("symbol", "epoch_s", classify.filled("range").alias("range"))
+    return classify.filled(b, "range").select("symbol", "epoch_s", "range")
 
 
 def cls5_impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = I.sliding(A.bars(spark, sf_dir), I.TRIGGER_SLICE).withColumns({"ema21": I.ema(_closes(), 21), "ema50": I.ema(_closes(), 50), "atr": I.atr(F.col("win"))}).drop("win")
-    b = b.withColumn("direction", F.when(F.floor(F.col("epoch_s") / H) % 2 == 0, "LONG").otherwise("SHORT")).withColumn("state", classify.impulse_state("direction"))
+    b = b.withColumn("direction", F.when(F.floor(F.col("epoch_s") / H) % 2 == 0, "LONG").otherwise("SHORT"))
+    b = classify.with_impulse(b, "direction")
     return b.where("ema50 IS NOT NULL").groupBy("symbol", "direction", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
