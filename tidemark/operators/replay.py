@@ -3,21 +3,19 @@
 Whether a signal opens a trade depends on the trade before it. But what becomes
 of a signal if it is taken depends only on the bars that follow within the
 holding limit. So fills and exits of all signals and all configurations are one
-fold each over a bounded array, and only the choice of trades is sequential: a
-scan in order of time that holds one number for each symbol and configuration.
+fold each over a bounded array. The choice of trades is a chain of spans, which
+is followed in time blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import classify, entries
+from tidemark.plans.chains import NEVER, chained
 
 
 @dataclass(frozen=True)
@@ -134,33 +132,16 @@ def candidates(signals: DataFrame, bars: DataFrame, configs: DataFrame, bar_seco
     )
 
 
-#: Later than any time: a candidate without an exit holds its slot to the end.
-NEVER = 1 << 62
-
-
-def select_trades(cands: DataFrame, keep_missed: bool = False) -> DataFrame:
+def select_trades(cands: DataFrame, keep_missed: bool = False, span: int = 0) -> DataFrame:
     """The candidates that one open position takes (REP1, ENT9), with taken; without keep_missed only trades that closed.
 
-    Rows are dealt by symbol and configuration and sorted by time; a task reads
-    them in batches and holds the time from which the slot is free, nothing else.
-    The bar of an exit may give the next signal.
+    A candidate holds the slot from its signal to its exit, or to the bar on
+    which it was given up; the bar of an exit may give the next signal. The
+    taken ones are a chain of such spans (plans.chains), followed in time blocks
+    in parallel. span is the usual length of one in seconds, a day if 0.
     """
     free = F.coalesce(F.when(F.col("status").startswith("ENTERED"), F.coalesce("exit_time", F.lit(NEVER))).when(F.col("status") == "WAITING", F.lit(NEVER)), F.col("decided_time"))
-    rows = cands.withColumn("_free", free.cast("long")).withColumn("taken", F.lit(False))
-    key = ["symbol", "config_id", "policy"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, until = None, 0
-        for b in batches:
-            taken = np.zeros(len(b), bool)
-            for i, (k, s, f) in enumerate(zip(zip(b.symbol, b.config_id, b.policy), b.signal_time, b._free, strict=True)):
-                if k != at:
-                    at, until = k, -NEVER
-                if s >= until:
-                    taken[i], until = True, f
-            yield b.assign(taken=taken)
-
-    out = rows.repartition(*key).sortWithinPartitions(*key, "signal_time").mapInPandas(run, rows.schema).drop("_free")
+    out = chained(cands.withColumn("_free", free.cast("long")), ["symbol", "config_id", "policy"], "signal_time", "_free", 4 * (span or 86400)).drop("_free")
     if keep_missed:
         return out
     closed = out.where("taken AND exit_time IS NOT NULL")
@@ -169,7 +150,7 @@ def select_trades(cands: DataFrame, keep_missed: bool = False) -> DataFrame:
 
 def replay(signals: DataFrame, bars: DataFrame, configs: DataFrame, bar_seconds: int, policy: entries.Policy | None = None, causal: bool = True, max_minutes: int = 60) -> DataFrame:
     """The trades of every configuration (REP1); VAL4-6 are configurations that differ in one value."""
-    return select_trades(candidates(signals, bars, configs, bar_seconds, policy, causal, max_minutes))
+    return select_trades(candidates(signals, bars, configs, bar_seconds, policy, causal, max_minutes), span=60 * max_minutes)
 
 
 def conversion(chosen: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.session import written
 
 #: Bits that monotonically_increasing_id gives to the place within a partition.
 PLACE_BITS = 33
@@ -20,16 +20,13 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     anew whenever they are computed. Rows of equal order are dealt by chance, so
     many of them do not meet in one task; which of them comes first is open.
     """
-    spark = df.sparkSession
-    at = shared_folder(spark, "ranked")
     dealt = df.withColumn("_tie", F.rand(7)).repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(*order).drop("_tie")
-    dealt.withColumn("_at", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(at)
-    rows = spark.read.parquet(at).withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    rows = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", PLACE_BITS))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # a row a partition
     before, starts = 0, []
     for part, n in counts:
         starts.append((part, before))
         before += n
-    offsets = spark.createDataFrame(starts, "_part long, _before long")
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _before long")
     place = F.col("_before") + F.col("_at") % (1 << PLACE_BITS) + 1
     return rows.join(F.broadcast(offsets), "_part").withColumn(name, place).drop("_part", "_at", "_before")

@@ -16,7 +16,7 @@ from tidemark.plans.scan import _joined
 #: Length in seconds of the buckets in which rows are first numbered, where they are ordered by time.
 DAY = 86400
 #: Rows of a slice at least.
-LEAST = 256
+LEAST = 128
 
 
 def positions(df: DataFrame, by: list[str], order: list[str], width: int = DAY, name: str = "_pos") -> DataFrame:
@@ -40,15 +40,18 @@ def halo(df: DataFrame, by: list[str], order: list[str], before: int, after: int
 
     Returns the rows, with _pos (place in the key's order, from 0) and _own
     (false for a lent row), and the columns by which windows are to be
-    partitioned. A slice is at least four times as long as what it is lent, so a
-    quarter more rows are dealt at most. own() ends it.
+    partitioned. A slice is at least twice as long as what it is lent, so half
+    more rows are dealt at most. Rows are dealt to a stated number of tasks: what
+    is computed over a slice may take long though its rows are few, so tasks are
+    not merged by their bytes. own() ends it.
     """
-    size = max(LEAST, 4 * (before + after))
+    size = max(LEAST, 2 * (before + after))
     p = F.col("_pos")
     slot = F.floor(p / size)
     low, high = F.greatest(F.floor((p - after) / size), F.lit(0)), F.floor((p + before) / size)
     rows = positions(df, by, order, width).withColumn("_slice", F.explode(F.sequence(low, high))).withColumn("_own", F.col("_slice") == slot)
-    return rows, [*by, "_slice"]
+    keys = [*by, "_slice"]
+    return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys), keys
 
 
 def own(rows: DataFrame) -> DataFrame:
