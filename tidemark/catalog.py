@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import flows, ledger, market, strategy
+from tidemark.queries import flows, ledger, market, strategy, studies
 
-_MODULES = (market, ledger, strategy, flows)
+_MODULES = (market, ledger, strategy, flows, studies)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
