@@ -2,13 +2,14 @@
 
 import gzip
 import json
+import random
 
 import pandas as pd
 import pytest
 
 from tidemark.operators import bars as batch
 from tidemark.sources import files
-from tidemark.streaming import bars, paper
+from tidemark.streaming import bars, live, paper
 
 
 def drained(stream, mode, name):
@@ -42,16 +43,61 @@ def test_a_slot():
     assert s.signal(1120, "LONG", 6, 2500.0, 2.0) == []
 
 
-def test_journal_keeps_state_across_batches(spark, tmp_path):
-    rows = [("signal", 0, None, None, "LONG", 8, 2500.0, 2.0), ("tick", 45, 2499.7, 2499.95, None, None, None, None), ("tick", 90, 2502.0, 2502.25, None, None, None, None)]
-    for i, (kind, t, bid, ask, d, k, p, a) in enumerate(rows):
-        spark.createDataFrame([("G", pd.Timestamp(1_704_067_200 + t, unit="s", tz="UTC").to_pydatetime(), kind, i, bid, ask, d, k, p, a)], paper.INPUT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(paper.INPUT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = files.append_journal(paper.journal(s), str(tmp_path / "out"), str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    (row,) = spark.read.schema(paper.JOURNAL).json(str(tmp_path / "out")).collect()
-    assert (row.state, row.result, row.r_multiple) == ("CLOSED", "TP1", 1.0)
+T0 = 1_704_067_200
+
+
+def stamp(t):
+    return pd.Timestamp(T0 + t, unit="s", tz="UTC").to_pydatetime()
+
+
+def journalled(spark, folder, rows, per_file, rules, stop_after=None):
+    """The journal of rows that come in files of per_file, with a restart after some of them."""
+    files_ = [rows[i : i + per_file] for i in range(0, len(rows), per_file)]
+    cuts = [files_] if stop_after is None else [files_[:stop_after], files_[stop_after:]]
+    for part in cuts:
+        for f in part:
+            spark.createDataFrame(f, paper.INPUT).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        s = spark.readStream.schema(paper.INPUT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        q = files.append_journal(paper.journal(s, rules, "5 minutes"), f"{folder}/out", f"{folder}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return sorted(tuple(r) for r in spark.read.schema(paper.JOURNAL).json(f"{folder}/out").collect())
+
+
+def by_a_loop(rows, rules, upto):
+    """The rules said anew, over all rows in order."""
+    out = []
+    for symbol in sorted({r[0] for r in rows}):
+        slot = paper.Slot(symbol, rules)
+        mine = sorted((r for r in rows if r[0] == symbol and r[1] <= stamp(upto)), key=lambda r: (r[1], r[2] != "tick", r[3]))
+        for _, ts, kind, _, bid, ask, d, k, p, atr in mine:
+            t = int(ts.timestamp())
+            out += slot.until(t)
+            out += slot.tick(t, bid, ask) if kind == "tick" else slot.signal(t, d, k, p, atr)
+        out += slot.until(T0 + upto + 1)
+    return sorted(tuple(x.values()) for x in out)
+
+
+def test_journal_does_not_depend_on_batches_or_restarts(spark, tmp_path):
+    rng = random.Random(8)
+    rules, rows = paper.Rules(wait_s=300, hold_s=1500), []
+    for symbol in ("G", "H"):
+        price = 2500.0
+        for i in range(220):
+            price = round(price + rng.uniform(-0.8, 0.8), 2)
+            t = i * 40 + rng.randrange(20)
+            rows.append((symbol, stamp(t), "tick", i, price, round(price + 0.2, 2), None, None, None, None))
+            if i % 9 == 0:
+                rows.append((symbol, stamp(t), "signal", i, None, None, rng.choice(["LONG", "SHORT"]), rng.choice([6, 8]), price, rng.choice([None, 2.0])))
+    rows.append(("H", stamp(12_000), "tick", 999, 2500.0, 2500.2, None, None, None, None))
+    rng.shuffle(rows[-40:])
+    rows.sort(key=lambda r: (r[1], rng.random()))
+    for i in range(0, len(rows) - 4, 4):  # rows come somewhat out of order
+        rows[i], rows[i + 3] = rows[i + 3], rows[i]
+    want = by_a_loop(rows, rules, 12_000 - 300)
+    assert len(want) > 20 and {r[3] for r in want} >= {"CLOSED", "TIMED_OUT", "CONCURRENCY_BLOCKED"}
+    assert "EXPIRED" in {r[7] for r in want}
+    assert journalled(spark, str(tmp_path / "a"), rows, 500, rules) == want
+    assert journalled(spark, str(tmp_path / "b"), rows, 150, rules, stop_after=2) == want
 
 
 def test_throttle():
@@ -91,3 +137,47 @@ def test_synthetic_bars_do_not_depend_on_partitions(spark):
     a = files.synthetic_bars(spark, ["A", "B"], 50)
     assert a.count() == 100 and a.where("high < greatest(open, close) OR low > least(open, close)").count() == 0
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, a.repartition(7).collect()))
+
+
+def test_live_indicators_with_late_ticks_and_a_restart(spark, tmp_path):
+    rng = random.Random(3)
+    rows, price = [], 2000.0
+    for i in range(900):
+        price = round(price + rng.uniform(-1, 1), 2)
+        rows.append(("G", stamp(i * 7 + 2000), i, price))
+    rows.append(("G", stamp(20_000), 999, 2000.0))
+    late = [*rows[:400], *sorted(rows[400:800], key=lambda r: (r[2] // 20, -r[2])), *rows[800:]]  # up to 140 seconds out of order
+    schema = "symbol string, ts timestamp, seq long, price double"
+    for part in (late[:450], late[450:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        w = live.analyses(s, 60, live.Throttle(1e12, 1e12)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        w.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(live.ANALYSIS).parquet(str(tmp_path / "out")).orderBy("at").collect()
+    bars_ = {}
+    for _, ts, _, p in rows[:-1]:
+        bars_.setdefault(int(ts.timestamp()) // 60 * 60, []).append(p)
+    sums, want = {"n": 0} | dict.fromkeys(("close", "ema9", "ema21", "ema50", "up", "down", "tr"), 0.0), []
+    closes = []
+    for t in sorted(bars_):
+        want.append((t, closes[:]))
+        closes.append(bars_[t][-1])
+        sums = live.closed(sums, max(bars_[t]), min(bars_[t]), closes[-1])
+    assert [r.at // 60 * 60 for r in got] == [t for t, _ in want]
+    for r, (_, c) in zip(got, want, strict=True):
+        e = sum(c[:21]) / 21 if len(c) >= 21 else None
+        for x in c[21:]:
+            e = x * 2 / 22 + e * 20 / 22
+        assert (r.ema21 is None) == (e is None) and (e is None or abs(r.ema21 - e) < 1e-3)
+
+
+def test_state_of_an_earlier_run_is_taken_up(spark, tmp_path):
+    rows = [("G", stamp(t), "tick", t, bid, bid + 0.2, None, None, None, None) for t, bid in ((10, 2500.0), (20, 2502.5), (900, 2500.0))]
+    spark.createDataFrame(rows, paper.INPUT).coalesce(1).write.parquet(str(tmp_path / "in"))
+    names = ["time", "direction", "atr", "sign", "target", "floor", "entry", "entry_time", "dist", "stop", "one", "two", "mfe", "mae"]
+    open_trade = spark.createDataFrame([("G", T0 - 60, "LONG", 2.0, 1, 2499.7, 2498.5, 2500.0, T0 - 30, 2.0, 2498.0, 2502.0, 2504.0, 0.0, 0.0)], "symbol string, " + ", ".join(f"{n} {'string' if n == 'direction' else 'long' if 'time' in n else 'int' if n == 'sign' else 'double'}" for n in names))
+    s = spark.readStream.schema(paper.INPUT).parquet(str(tmp_path / "in"))
+    q = files.append_journal(paper.journal(s, initial=open_trade), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    (row,) = spark.read.schema(paper.JOURNAL).json(str(tmp_path / "out")).collect()
+    assert (row.result, row.r_multiple, row.at) == ("TP1", 1.0, T0 + 20)

@@ -10,11 +10,12 @@ from tidemark.functions import indicators as I
 from tidemark.operators import bars as B
 from tidemark.operators import classify
 from tidemark.queries.market import _B, _T, H
-from tidemark.queries.strategy import _IMPULSE
+from tidemark.queries.strategy import _EMA, _IMPULSE, _WILDER
 from tidemark.session import shared_folder
 from tidemark.sources import adapters as A
 from tidemark.sources import files
 from tidemark.streaming import bars as streamed
+from tidemark.streaming import live, paper
 
 #: A month of hourly bars that src5_chunks reads in weeks.
 FROM, TO = 1_703_980_800, 1_706_659_200
@@ -23,13 +24,36 @@ NOW = 1_706_659_000
 
 def str2_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream up to now; bars come out once the watermark has passed their end."""
+    return _drained(streamed.bars(_event_stream(spark, sf_dir), "1 hour", "5 minutes"), "stream-bars")
+
+
+def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives up to now, read back."""
+    at = shared_folder(stream.sparkSession, name)
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = A.table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(stored).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    ticks = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
-    out = streamed.bars(ticks, "1 hour", "5 minutes")
-    at = shared_folder(spark, "stream-bars")
-    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+    return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
+
+
+def str4_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream; an analysis at the first tick of every hour, with the indicators of all hours before."""
+    return _drained(live.analyses(_event_stream(spark, sf_dir), H, live.Throttle(1e12, 1e12), "5 minutes"), "live")
+
+
+def str5_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as ticks, and as signals where the price is extreme; hours for seconds, as ticks are far apart."""
+    e = _event_stream(spark, sf_dir)
+    side = F.when(F.col("price") < 60, "LONG").when(F.col("price") > 440, "SHORT")
+    tick = F.struct(F.lit("tick").alias("kind"), F.col("price").alias("bid"), (F.col("price") + 0.3).alias("ask"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("int").alias("strength"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("atr"))
+    signal = F.struct(F.lit("signal").alias("kind"), F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"), side.alias("direction"), F.lit(8).alias("strength"), F.col("price").alias("price"), F.lit(40.0).alias("atr"))
+    rows = e.select("symbol", "ts", "seq", F.explode(F.array_compact(F.array(tick, F.when(side.isNotNull(), signal)))).alias("x"))
+    rows = rows.select("symbol", "ts", "x.kind", "seq", "x.bid", "x.ask", "x.direction", "x.strength", "x.price", "x.atr")
+    return _drained(paper.journal(rows, paper.Rules(wait_s=4 * 3600, hold_s=48 * 3600), "5 minutes"), "paper")
 
 
 def str9_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +110,18 @@ def cls7_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", "epoch_s", *[F.round(x, 6).alias(n) for n, x in classify.candle_features().items()])
 
 
-QUERIES = {f.__name__: f for f in (str2_stream_bars, str9_health, snk1_written, snk5_report, src5_chunks, src6_manifest, agg1_event_time, cls6_regime, cls7_candles)}
+QUERIES = {f.__name__: f for f in (str2_stream_bars, str4_live, str5_paper, str9_health, snk1_written, snk5_report, src5_chunks, src6_manifest, agg1_event_time, cls6_regime, cls7_candles)}
 
 _WEEK = 7 * 86400
 
 ORACLES = {
     "str2_stream_bars": f"{_B} SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars WHERE epoch_s + {H} <= (SELECT epoch(max(ts)) - 300 FROM ticks)",
+    "str4_live": f"""{_T}, seen AS (SELECT * FROM ticks WHERE epoch_s <= (SELECT epoch(max(ts)) - 300 FROM ticks)), b AS (SELECT symbol, (epoch_s // {H}) * {H} AS bar_time, arg_min(price, (epoch_s, seq)) AS price, min(epoch_s) AS first_s, max(price) AS high, min(price) AS low, arg_max(price, (epoch_s, seq)) AS close FROM seen GROUP BY 1, 2),
+ r AS (SELECT *, close - lag(close) OVER w AS step, CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_time)),
+ l AS (SELECT *, list(close) OVER w AS c, list(tr) OVER w AS t, list_filter(list(step) OVER w, lambda x: x IS NOT NULL) AS d FROM r WINDOW w AS (PARTITION BY symbol ORDER BY bar_time ROWS UNBOUNDED PRECEDING)),
+ i AS (SELECT symbol, bar_time, {', '.join(f'{_EMA(n)} AS ema{n}' for n in (9, 21, 50))}, CASE WHEN len(c) > 14 THEN {_WILDER('list_transform(d, lambda x: greatest(x, 0.0))')} END AS up, CASE WHEN len(c) > 14 THEN {_WILDER('list_transform(d, lambda x: greatest(-x, 0.0))')} END AS dn, CASE WHEN len(c) > 14 THEN round({_WILDER('t')}, 4) END AS atr FROM l),
+ n AS (SELECT symbol, first_s, price, lag(bar_time) OVER (PARTITION BY symbol ORDER BY bar_time) AS bar_time FROM b)
+ SELECT n.symbol, first_s AS at, price, n.bar_time, ema9, ema21, ema50, CASE WHEN dn = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / dn), 2) END AS rsi, atr FROM n LEFT JOIN i ON i.symbol = n.symbol AND i.bar_time = n.bar_time""",
     "str9_health": f"{_T} SELECT symbol, max(epoch_s) AS last_s, CASE WHEN {NOW} - max(epoch_s) < 300 THEN 'ACTIVE' ELSE 'STALE' END AS feed FROM ticks GROUP BY 1",
     "snk1_written": f"{_B} SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars",
     "snk5_report": f"{_B}, n AS (SELECT symbol, count(*) AS bars FROM bars GROUP BY 1) SELECT symbol, CAST(bars AS VARCHAR) AS bars, CASE WHEN bars % 2 = 1 THEN CAST(bars AS VARCHAR) ELSE 'N/A' END AS odd FROM n",

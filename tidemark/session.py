@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The state store that typed streaming state needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROOT = Path(__file__).resolve().parent
 
 
@@ -47,6 +49,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{at.toString()}/t"
 
 
+def typed_state(spark: SparkSession) -> None:
+    """Let streams that are started from now on keep typed state, which the default store cannot."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, computed once however often it is read."""
     at = shared_folder(df.sparkSession, name)

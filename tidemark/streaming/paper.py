@@ -1,21 +1,26 @@
 """Paper trading as a stateful stream (STR5-8): signals and ticks of a symbol in, journal rows out.
 
 Each symbol has one slot: free, waiting for a pull-back, or in a trade. Prices
-are mirrored for short trades, so there is one set of rules. Time limits are
-checked when a tick arrives, as prices are known then alone. Rows of an instant
-are taken ticks first.
+are mirrored for short trades, so there is one set of rules. Rows wait in the
+state until the watermark has passed them and are then taken in order of time,
+those of an instant ticks first, so the journal does not depend on how rows
+arrive in batches. Time limits are timers: a signal that no tick of its last
+instant has filled is given up the instant after, and a trade that outlives its
+limit is closed at the last price before it. A tick of the very instant is
+looked at first.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.session import typed_state
 
 JOURNAL = "symbol string, signal_time long, direction string, state string, at long, entry_price double, exit_price double, result string, r_multiple double, entry_time long, mfe_r double, mae_r double"
 INPUT = "symbol string, ts timestamp, kind string, seq long, bid double, ask double, direction string, strength int, price double, atr double"
@@ -36,11 +41,28 @@ class Rules:
 
 
 class Slot:
-    """The slot of one symbol; its state is a small dict that goes to the state store as JSON."""
+    """The slot of one symbol: what waits, what is traded, the ids that were seen, and the last bid and ask."""
 
     def __init__(self, symbol: str, rules: Rules, state: dict | None = None):
         self.symbol, self.rules = symbol, rules
-        self.state = state or {"waiting": None, "trade": None, "seen": []}
+        self.state = state or {"waiting": None, "trade": None, "seen": [], "last": None}
+
+    def deadline(self) -> int | None:
+        """The instant at which what waits is given up, or the trade expires."""
+        if self.state["waiting"]:
+            return self.state["waiting"]["time"] + self.rules.wait_s + 1
+        return self.state["trade"]["entry_time"] + self.rules.hold_s if self.state["trade"] else None
+
+    def until(self, t: int) -> list[dict]:
+        """What time alone does before an instant."""
+        at = self.deadline()
+        if at is None or at >= t:
+            return []
+        if self.state["waiting"]:
+            s, self.state["waiting"] = self.state["waiting"], None
+            return [self._row(s, "TIMED_OUT", at)]
+        bid, ask = self.state["last"]
+        return self._closed("EXPIRED", at, bid if self.state["trade"]["sign"] > 0 else -ask)
 
     def _row(self, s: dict, state: str, at: int, **more: object) -> dict:
         row = dict.fromkeys(x.split()[0] for x in JOURNAL.split(", "))
@@ -63,6 +85,7 @@ class Slot:
         return []
 
     def tick(self, t: int, bid: float, ask: float) -> list[dict]:
+        self.state["last"] = (bid, ask)
         return self._waiting(t, bid, ask) if self.state["waiting"] else self._trading(t, bid, ask) if self.state["trade"] else []
 
     def _waiting(self, t: int, bid: float, ask: float) -> list[dict]:
@@ -82,37 +105,114 @@ class Slot:
             return [self._row(s, "TIMED_OUT", t)]
         return []
 
+    def _closed(self, result: str, t: int, price: float) -> list[dict]:
+        s, self.state["trade"] = self.state["trade"], None
+        return [self._row(s, "CLOSED", t, entry_price=s["sign"] * s["entry"], exit_price=s["sign"] * price, result=result, r_multiple=round((price - s["entry"]) / s["dist"], 2), entry_time=s["entry_time"], mfe_r=round(s["mfe"] / s["dist"], 3), mae_r=round(s["mae"] / s["dist"], 3))]
+
     def _trading(self, t: int, bid: float, ask: float) -> list[dict]:
         s = self.state["trade"]
         x = bid if s["sign"] > 0 else -ask
         s["mfe"], s["mae"] = max(s["mfe"], x - s["entry"]), max(s["mae"], s["entry"] - x)
         for result, hit, price in (("STOP_LOSS", x <= s["stop"], s["stop"]), ("TP2", x >= s["two"], s["two"]), ("TP1", x >= s["one"], s["one"]), ("EXPIRED", t - s["entry_time"] >= self.rules.hold_s, x)):
             if hit:
-                self.state["trade"] = None
-                r = round((price - s["entry"]) / s["dist"], 2)
-                return [self._row(s, "CLOSED", t, entry_price=s["sign"] * s["entry"], exit_price=s["sign"] * price, result=result, r_multiple=r, entry_time=s["entry_time"], mfe_r=round(s["mfe"] / s["dist"], 3), mae_r=round(s["mae"] / s["dist"], 3))]
+                return self._closed(result, t, price)
         return []
 
 
-def journal(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The journal of a stream of INPUT rows (kind tick or signal), one state a symbol.
+_OPEN = "time long, direction string, atr double, sign int, target double, floor double"
+_ROW = "ts long, kind string, seq long, bid double, ask double, direction string, strength int, price double, atr double"
+_TRADE = _OPEN + ", entry double, entry_time long, dist double, stop double, one double, two double, mfe double, mae double"
 
-    Within a batch a symbol's rows are sorted by time, ticks first, then seq; rows
-    are expected in order across batches. The state survives in the checkpoint.
-    """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        slot = Slot(key[0], rules, json.loads(state.get[0]) if state.exists else None)
+_KINDS = {"long": int, "int": int, "double": float, "string": str}
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+class PaperTrader(StatefulProcessor):
+    """Slots in typed state: what waits and what is traded as values, rows ahead of the watermark as a list, seen ids as a map."""
+
+    def __init__(self, rules: Rules = Rules()):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting, self.trade = handle.getValueState("waiting", _OPEN), handle.getValueState("trade", _TRADE)
+        self.last = handle.getValueState("last", "bid double, ask double")
+        self.ahead = handle.getListState("ahead", _ROW)
+        self.seen = handle.getMapState("seen", "time long, direction string", "at long")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        """Take up an open trade or a waiting signal of an earlier run: a row of _TRADE columns, entry null while it waits."""
+        for row in initialState.to_dict("records"):
+            waits = pd.isna(row.get("entry"))
+            schema, state = (_OPEN, self.waiting) if waits else (_TRADE, self.trade)
+            state.update(tuple(_KINDS[x.split()[1]](row[x.split()[0]]) for x in schema.split(", ")))
+            self.seen.updateValue((int(row["time"]), row["direction"]), (int(row["time"]),))
+            at = int(row["time"]) + self.rules.wait_s + 1 if waits else int(row["entry_time"]) + self.rules.hold_s
+            if not waits:
+                self.last.update((row["sign"] * row["entry"], row["sign"] * row["entry"]))
+            self.handle.registerTimer((at + 1) * 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            f = frame.assign(ts=frame.ts.astype("datetime64[s]").astype("int64"))
+            kinds = [_KINDS[x.split()[1]] for x in _ROW.split(", ")]  # pandas makes floats of whole numbers beside nulls
+            self.ahead.appendList([tuple(None if pd.isna(x) else kind(x) for kind, x in zip(kinds, r, strict=True)) for r in f[_names(_ROW)].itertuples(index=False)])
+        yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs() // 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs() // 1000)
+
+    def _upto(self, symbol: str, now: int) -> Iterator[pd.DataFrame]:
+        """Take the rows up to an instant, then what time alone does by then, and set a timer for what is next."""
+        one = lambda state, schema: dict(zip(_names(schema), state.get(), strict=True)) if state.exists() else None
+        slot = Slot(symbol, self.rules, {"waiting": one(self.waiting, _OPEN), "trade": one(self.trade, _TRADE), "seen": [[int(t), d] for t, d in self.seen.keys()], "last": self.last.get() if self.last.exists() else None})
+        before = {(t, d) for t, d in slot.state["seen"]}
+        rows = list(self.ahead.get()) if self.ahead.exists() else []
+        due = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1] != "tick", r[2]))
         out: list[dict] = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "kind", "seq"], key=lambda c: c != "tick" if c.name == "kind" else c)
-        for x in rows.itertuples():
-            t = int(x.ts.timestamp())
-            out += slot.tick(t, x.bid, x.ask) if x.kind == "tick" else slot.signal(t, x.direction, x.strength, x.price, x.atr)
-        state.update((json.dumps(slot.state),))
+        for ts, kind, _, bid, ask, direction, strength, price, atr in due:
+            out += slot.until(ts)
+            out += slot.tick(ts, bid, ask) if kind == "tick" else slot.signal(ts, direction, strength, price, atr)
+        out += slot.until(now + 1)
+        self._store(slot.state, before)
+        later = [r for r in rows if r[0] > now]
+        self.ahead.put(later) if later else self.ahead.clear()
+        nexts = [r[0] for r in later] + [x for x in (slot.deadline(),) if x is not None]
+        if nexts:
+            self.handle.registerTimer(max(min(nexts), now + 1) * 1000)
         if out:
             yield pd.DataFrame(out)
 
-    return rows.groupBy("symbol").applyInPandasWithState(run, JOURNAL, "state string", "append", GroupStateTimeout.NoTimeout)
+    def _store(self, state: dict, before: set) -> None:
+        for name, schema, to in (("waiting", _OPEN, self.waiting), ("trade", _TRADE, self.trade)):
+            to.update(tuple(state[name][n] for n in _names(schema))) if state[name] else to.clear()
+        if state["last"]:
+            self.last.update(tuple(state["last"]))
+        now = {(t, d) for t, d in state["seen"]}
+        for k in now - before:
+            self.seen.updateValue(k, (k[0],))
+        for k in before - now:
+            self.seen.removeKey(k)
+
+    def close(self) -> None:
+        pass
+
+
+def journal(rows: DataFrame, rules: Rules = Rules(), late: str = "0 seconds", initial: DataFrame | None = None) -> DataFrame:
+    """The journal of a stream of INPUT rows (kind tick or signal), one slot a symbol (STR5-8).
+
+    Rows later than the watermark (late behind the newest row) are dropped. The
+    state survives in the checkpoint; initial gives what was open before the
+    first run (symbol and the columns of _TRADE).
+    """
+    typed_state(rows.sparkSession)
+    dealt = rows.withWatermark("ts", late).groupBy("symbol")
+    first = initial.groupBy("symbol") if initial is not None else None
+    return dealt.transformWithStateInPandas(PaperTrader(rules), JOURNAL, "Append", "EventTime", initialState=first)
 
 
 def epochs(journal_rows: DataFrame, since: int, last: int = 100) -> DataFrame:
