@@ -9,6 +9,7 @@ import pytest
 
 from tidemark.operators import bars as batch
 from tidemark.sources import files
+from tidemark.sources.replayed import TickSource
 from tidemark.streaming import bars, live, paper
 
 
@@ -181,3 +182,14 @@ def test_state_of_an_earlier_run_is_taken_up(spark, tmp_path):
     q.awaitTermination()
     (row,) = spark.read.schema(paper.JOURNAL).json(str(tmp_path / "out")).collect()
     assert (row.result, row.r_multiple, row.at) == ("TP1", 1.0, T0 + 20)
+
+
+def test_tick_source_resumes_where_it_stopped(spark, small, tmp_path):
+    spark.dataSource.register(TickSource)
+    for end in (T0 + 3 * 86400, T0 + 9 * 86400):
+        t = spark.readStream.format("ticks").options(path=f"{small}/events.parquet", start=T0, end=end, days=1).load()
+        q = t.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = [r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = spark.read.parquet(f"{small}/events.parquet").where(f"unix_timestamp(ts) >= {T0} AND unix_timestamp(ts) < {T0 + 9 * 86400}")
+    assert len(got) > 0 and sorted(got) == sorted(r.event_id for r in want.collect())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from tidemark.queries.strategy import _EMA, _IMPULSE, _WILDER
 from tidemark.session import shared_folder
 from tidemark.sources import adapters as A
 from tidemark.sources import files
+from tidemark.sources.replayed import TickSource
 from tidemark.streaming import bars as streamed
 from tidemark.streaming import live, paper
 
@@ -76,20 +76,29 @@ def snk5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).schema("symbol string, bars string, odd string").csv(at)
 
 
-def hourly(lo: int, hi: int) -> pd.DataFrame:
-    """What the source of src5_chunks gives for a range: a bar an hour."""
-    t = pd.Series(range(-(-lo // H) * H, hi, H), dtype="int64")
-    p = (2000 + t // H % 100).astype("float64")
-    return pd.DataFrame({"epoch_s": t, "open": p, "high": p + 1, "low": p - 1, "close": p + 0.5, "tick_volume": t // H % 7})
+def _chunked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events of a month in weeks that overlap by an hour, each an input partition of the tick source, as hourly bars."""
+    spark.dataSource.register(TickSource)
+    t = spark.read.format("ticks").options(path=f"{sf_dir}/events.parquet", start=FROM, end=TO, days=7, overlap=H).load()
+    t = t.withColumn("epoch_s", F.unix_timestamp("ts")).where("symbol = 'view'")
+    got = t.groupBy("symbol", "chunk", B.bucket("epoch_s", H).alias("epoch_s")).agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.count(F.lit(1)).alias("tick_volume"))
+    return files.merged_chunks(got, files.chunks(FROM, TO, 7, H))
 
 
 def src5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = files.read_chunked(spark, files.chunks(FROM, TO, 7), hourly, "G")
-    return rows.select("symbol", "epoch_s", "open", "high", "low", "close", "tick_volume")
+    return _chunked(spark, sf_dir)[0].select("symbol", "epoch_s", "open", "high", "low", "close", "tick_volume")
 
 
 def src6_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.read_chunked(spark, files.chunks(FROM, TO, 7), hourly, "G")[1]
+    return _chunked(spark, sf_dir)[1]
+
+
+def src3_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a month as a stream of the tick source, counted by symbol and day."""
+    spark.dataSource.register(TickSource)
+    t = spark.readStream.format("ticks").options(path=f"{sf_dir}/events.parquet", start=FROM, end=TO, days=2).load()
+    got = _drained(t, "replayed")
+    return got.groupBy("symbol", F.floor(F.unix_timestamp("ts") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
 
 
 def agg1_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +119,7 @@ def cls7_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", "epoch_s", *[F.round(x, 6).alias(n) for n, x in classify.candle_features().items()])
 
 
-QUERIES = {f.__name__: f for f in (str2_stream_bars, str4_live, str5_paper, str9_health, snk1_written, snk5_report, src5_chunks, src6_manifest, agg1_event_time, cls6_regime, cls7_candles)}
+QUERIES = {f.__name__: f for f in (str2_stream_bars, str4_live, str5_paper, str9_health, snk1_written, snk5_report, src3_replayed, src5_chunks, src6_manifest, agg1_event_time, cls6_regime, cls7_candles)}
 
 _WEEK = 7 * 86400
 
@@ -125,9 +134,10 @@ ORACLES = {
     "str9_health": f"{_T} SELECT symbol, max(epoch_s) AS last_s, CASE WHEN {NOW} - max(epoch_s) < 300 THEN 'ACTIVE' ELSE 'STALE' END AS feed FROM ticks GROUP BY 1",
     "snk1_written": f"{_B} SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars",
     "snk5_report": f"{_B}, n AS (SELECT symbol, count(*) AS bars FROM bars GROUP BY 1) SELECT symbol, CAST(bars AS VARCHAR) AS bars, CASE WHEN bars % 2 = 1 THEN CAST(bars AS VARCHAR) ELSE 'N/A' END AS odd FROM n",
-    "src5_chunks": f"SELECT 'G' AS symbol, t AS epoch_s, (2000 + t // {H} % 100)::DOUBLE AS open, (2001 + t // {H} % 100)::DOUBLE AS high, (1999 + t // {H} % 100)::DOUBLE AS low, 2000.5::DOUBLE + t // {H} % 100 AS close, t // {H} % 7 AS tick_volume FROM range({FROM}, {TO}, {H}) r(t)",
-    "src6_manifest": f"""WITH RECURSIVE c(chunk, lo, hi) AS (SELECT 0, greatest({FROM}, {TO} - {_WEEK}), {TO}::BIGINT UNION ALL SELECT chunk + 1, greatest({FROM}, lo + {H} - {_WEEK}), lo + {H} FROM c WHERE lo > {FROM})
- SELECT chunk, lo, hi, (hi - lo) // {H} AS bars, 'SUCCESS' AS status FROM c""",
+    "src3_replayed": f"{_T} SELECT symbol, epoch_s // 86400 AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM ticks WHERE epoch_s >= {FROM} AND epoch_s < {TO} GROUP BY 1, 2",
+    "src5_chunks": f"{_B} SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars WHERE symbol = 'view' AND epoch_s >= {FROM} AND epoch_s < {TO}",
+    "src6_manifest": f"""WITH RECURSIVE {A.SQL_TICKS}, {A.sql_bars()}, c(chunk, lo, hi) AS (SELECT 0, greatest({FROM}, {TO} - {_WEEK}), {TO}::BIGINT UNION ALL SELECT chunk + 1, greatest({FROM}, lo + {H} - {_WEEK}), lo + {H} FROM c WHERE lo > {FROM})
+ SELECT chunk, lo, hi, count(epoch_s) AS bars, CASE WHEN count(epoch_s) > 0 THEN 'SUCCESS' ELSE 'EMPTY' END AS status FROM c LEFT JOIN (SELECT epoch_s FROM bars WHERE symbol = 'view') ON epoch_s >= lo AND epoch_s < hi GROUP BY 1, 2, 3""",
     "agg1_event_time": f"{_T} SELECT symbol, (epoch_s // {H}) * {H} AS epoch_s, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, count(*) AS tick_volume FROM ticks GROUP BY 1, 2",
     "cls6_regime": f"""WITH {A.SQL_TRADES}, {A.SQL_CONTEXT}, s AS (SELECT *, CASE WHEN trade_id % 4 < 2 THEN 'BULLISH' ELSE 'BEARISH' END AS structure FROM context)
  SELECT CASE WHEN to_ema50 > 2 THEN 'VOLATILITY_EXPANSION' WHEN trend = structure THEN 'STRONG_TREND' WHEN trend <> 'RANGE' THEN 'TREND_PULLBACK' ELSE 'RANGE_COMPRESSION' END AS regime, direction, count(*) AS n, CAST(sum(r_h) AS BIGINT) AS r_h FROM s GROUP BY 1, 2""",

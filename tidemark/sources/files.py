@@ -89,7 +89,13 @@ def read_chunked(spark: SparkSession, ranges: list[tuple[int, int, int]], fetch:
 
     plan = spark.createDataFrame(ranges, "chunk int, lo long, hi long").repartition(max(1, len(ranges)), "chunk")
     got = plan.mapInPandas(run, "chunk int, epoch_s long, open double, high double, low double, close double, tick_volume long")
-    w = Window.partitionBy("epoch_s").orderBy("chunk")
-    rows = got.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "chunk").withColumn("symbol", F.lit(symbol))
+    return merged_chunks(got.withColumn("symbol", F.lit(symbol)), ranges)
+
+
+def merged_chunks(got: DataFrame, ranges: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Bars of all chunks (symbol, chunk, epoch_s and prices), of each time that of the smallest chunk number, and the manifest of the chunks."""
+    plan = got.sparkSession.createDataFrame(ranges, "chunk int, lo long, hi long")
+    w = Window.partitionBy("symbol", "epoch_s").orderBy("chunk")
+    rows = got.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "chunk")
     manifest = plan.join(got.groupBy("chunk").agg(F.count(F.lit(1)).alias("bars")), "chunk", "left").select("chunk", "lo", "hi", F.coalesce("bars", F.lit(0)).alias("bars"), F.when(F.col("bars") > 0, "SUCCESS").otherwise("EMPTY").alias("status"))
     return rows, manifest
