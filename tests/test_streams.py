@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from tidemark.operators import bars as batch
-from tidemark.sources import files
+from tidemark.sources import archive, files
 from tidemark.sources.replayed import TickSource
 from tidemark.streaming import bars, live, paper
 
@@ -193,3 +193,23 @@ def test_tick_source_resumes_where_it_stopped(spark, small, tmp_path):
     got = [r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     want = spark.read.parquet(f"{small}/events.parquet").where(f"unix_timestamp(ts) >= {T0} AND unix_timestamp(ts) < {T0 + 9 * 86400}")
     assert len(got) > 0 and sorted(got) == sorted(r.event_id for r in want.collect())
+
+
+def test_an_archive_keeps_what_a_broken_load_does_not_finish(spark, tmp_path):
+    at = str(tmp_path / "a")
+    day = 86400
+    bars_of = lambda days, close: spark.createDataFrame([("G", T0 + d * day, 1.0, 9.0, 0.5, close, 5) for d in days], archive.BARS)
+    assert archive.manifest(spark, at).count() == 0 and archive.read(spark, at).count() == 0
+    archive.commit(bars_of(range(0, 60, 5), 1.0), at, "one")
+    first = {r.month: r.commit for r in archive.manifest(spark, at).collect()}
+    archive.commit(bars_of([35, 36], 2.0), at, "two")
+    second = {r.month: r.commit for r in archive.manifest(spark, at).collect()}
+    assert first["2024-01"] == second["2024-01"] and first["2024-02"] != second["2024-02"]
+    assert {r.epoch_s: r.close for r in archive.read(spark, at).where("close = 2").collect()} == {T0 + 35 * day: 2.0, T0 + 36 * day: 2.0}
+    assert archive.read(spark, at).count() == 13
+    before = sorted(map(tuple, archive.read(spark, at).collect()))
+    # a load that wrote its bars, but no manifest
+    bars_of([1, 2], 3.0).selectExpr("epoch_s", "open", "high", "low", "close", "tick_volume", "symbol", "'2024-01' AS month").write.partitionBy("symbol", "month").parquet(f"{at}/data/commit=broken")
+    assert sorted(map(tuple, archive.read(spark, at).collect())) == before
+    archive.commit(bars_of([], 0.0), at)
+    assert sorted(map(tuple, archive.read(spark, at).collect())) == before

@@ -142,11 +142,11 @@ def refresh(held: DataFrame, source: DataFrame, by: list[str], start: int, end:
 
     Of each key the head and tail that missing_ranges() names are read, of a key
     that held does not have all of start..end; where both have a time, what is
-    held stays. Both sides need seq, the order of arrival. audit() judges the result.
+    read anew wins. Both sides need seq, the order of arrival. audit() judges the result.
     """
     spans = held.groupBy(*by).agg(F.min("epoch_s").alias("_lo"), F.max("epoch_s").alias("_hi"))
     head = (F.lit(start) < F.col("_lo") - slack) & (F.col("epoch_s") <= F.col("_lo"))
     tail = (F.lit(end) > F.col("_hi") + slack) & (F.col("epoch_s") >= F.col("_hi"))
     wanted = source.where(F.col("epoch_s").between(start, end)).join(spans, by, "left")
     new = wanted.where(F.col("_lo").isNull() | head | tail).drop("_lo", "_hi")
-    return clean(upsert(new, held, by), by)
+    return clean(upsert(held, new, by), by)

@@ -12,7 +12,7 @@ from tidemark.queries.market import _B, _T, H
 from tidemark.queries.strategy import _EMA, _IMPULSE, _WILDER
 from tidemark.session import shared_folder
 from tidemark.sources import adapters as A
-from tidemark.sources import files
+from tidemark.sources import archive, files
 from tidemark.sources.replayed import TickSource
 from tidemark.streaming import bars as streamed
 from tidemark.streaming import live, paper
@@ -68,6 +68,30 @@ def snk1_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_bars(spark, at).select(F.col("symbol").cast("string").alias("symbol"), "epoch_s", "open", "high", "low", "close", "tick_volume")
 
 
+def _archived(spark: SparkSession, sf_dir: str) -> str:
+    """An archive of two commits: all bars, then those of every third tick of two weeks."""
+    at = shared_folder(spark, "archive")
+    archive.commit(A.bars(spark, sf_dir), at, "first")
+    archive.commit(B.aggregate(A.ticks(spark, sf_dir).where(f"seq % 3 = 0 AND epoch_s >= {FROM} + 14 * 86400"), H), at, "second")
+    return at
+
+
+def snk2_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.read(spark, _archived(spark, sf_dir))
+
+
+def snk2_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.manifest(spark, _archived(spark, sf_dir)).select("symbol", "month", "bars", "from_s", "to_s", "source", "complete", "number")
+
+
+def dq8_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a month held in an archive, brought up to the month, and the audit of it."""
+    at = shared_folder(spark, "archive")
+    b = A.bars(spark, sf_dir)
+    archive.commit(b.where("epoch_s BETWEEN 1704672000 AND 1705708800 AND symbol <> 'view'"), at)
+    return archive.refresh(b.withColumn("seq", F.col("epoch_s")), at, 1704240000, 1706140800).select("symbol", "total", "kept", "bars", "first_s", "last_s", "status", "complete")
+
+
 def snk5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV report with values that are undefined, read back as text."""
     at = shared_folder(spark, "report")
@@ -119,9 +143,11 @@ def cls7_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", "epoch_s", *[F.round(x, 6).alias(n) for n, x in classify.candle_features().items()])
 
 
-QUERIES = {f.__name__: f for f in (str2_stream_bars, str4_live, str5_paper, str9_health, snk1_written, snk5_report, src3_replayed, src5_chunks, src6_manifest, agg1_event_time, cls6_regime, cls7_candles)}
+QUERIES = {f.__name__: f for f in (str2_stream_bars, str4_live, str5_paper, str9_health, snk1_written, snk2_archive, snk2_manifest, dq8_archive, snk5_report, src3_replayed, src5_chunks, src6_manifest, agg1_event_time, cls6_regime, cls7_candles)}
 
 _WEEK = 7 * 86400
+_ARCHIVE = f"""{_B}, fresh AS (SELECT symbol, (epoch_s // {H}) * {H} AS epoch_s, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, count(*) AS tick_volume FROM ticks WHERE seq % 3 = 0 AND epoch_s >= {FROM} + 14 * 86400 GROUP BY 1, 2),
+ merged AS (SELECT * FROM fresh UNION ALL SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars ANTI JOIN fresh USING (symbol, epoch_s))"""
 
 ORACLES = {
     "str2_stream_bars": f"{_B} SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars WHERE epoch_s + {H} <= (SELECT epoch(max(ts)) - 300 FROM ticks)",
@@ -133,6 +159,11 @@ ORACLES = {
  SELECT n.symbol, first_s AS at, price, n.bar_time, ema9, ema21, ema50, CASE WHEN dn = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / dn), 2) END AS rsi, atr FROM n LEFT JOIN i ON i.symbol = n.symbol AND i.bar_time = n.bar_time""",
     "str9_health": f"{_T} SELECT symbol, max(epoch_s) AS last_s, CASE WHEN {NOW} - max(epoch_s) < 300 THEN 'ACTIVE' ELSE 'STALE' END AS feed FROM ticks GROUP BY 1",
     "snk1_written": f"{_B} SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars",
+    "snk2_archive": f"{_ARCHIVE} SELECT * FROM merged",
+    "snk2_manifest": f"{_ARCHIVE} SELECT symbol, strftime(make_timestamp(epoch_s * 1000000), '%Y-%m') AS month, count(*) AS bars, min(epoch_s) AS from_s, max(epoch_s) AS to_s, CASE WHEN strftime(make_timestamp(any_value(epoch_s) * 1000000), '%Y-%m') IN (SELECT strftime(make_timestamp(f.epoch_s * 1000000), '%Y-%m') FROM fresh f WHERE f.symbol = merged.symbol) THEN 'second' ELSE 'first' END AS source, false AS complete, 1 AS number FROM merged GROUP BY 1, 2",
+    "dq8_archive": f"""{_B}, held AS (SELECT symbol, epoch_s FROM bars WHERE epoch_s BETWEEN 1704672000 AND 1705708800 AND symbol <> 'view'), c AS (SELECT symbol, min(epoch_s) AS lo, max(epoch_s) AS hi FROM held GROUP BY 1),
+ every AS (SELECT * FROM held UNION SELECT b.symbol, b.epoch_s FROM bars b LEFT JOIN c USING (symbol) WHERE b.epoch_s BETWEEN 1704240000 AND 1706140800 AND (lo IS NULL OR (lo - 1704240000 > 172800 AND b.epoch_s <= lo) OR (1706140800 - hi > 172800 AND b.epoch_s >= hi)))
+ SELECT symbol, count(*) AS total, count(*) AS kept, count(*) AS bars, min(epoch_s) AS first_s, max(epoch_s) AS last_s, 'INSUFFICIENT' AS status, false AS complete FROM every GROUP BY 1""",
     "snk5_report": f"{_B}, n AS (SELECT symbol, count(*) AS bars FROM bars GROUP BY 1) SELECT symbol, CAST(bars AS VARCHAR) AS bars, CASE WHEN bars % 2 = 1 THEN CAST(bars AS VARCHAR) ELSE 'N/A' END AS odd FROM n",
     "src3_replayed": f"{_T} SELECT symbol, epoch_s // 86400 AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM ticks WHERE epoch_s >= {FROM} AND epoch_s < {TO} GROUP BY 1, 2",
     "src5_chunks": f"{_B} SELECT symbol, epoch_s, open, high, low, close, tick_volume FROM bars WHERE symbol = 'view' AND epoch_s >= {FROM} AND epoch_s < {TO}",

@@ -103,9 +103,9 @@ def dq7_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq8_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve held days of all symbols but one, brought up to the month."""
+    """Twelve held days of all symbols but one, with other highs, brought up to the month."""
     b = A.bars(spark, sf_dir).select("symbol", "epoch_s", *OHLC, F.col("epoch_s").alias("seq"))
-    held = b.where("epoch_s BETWEEN 1704672000 AND 1705708800 AND symbol <> 'view'")
+    held = b.where("epoch_s BETWEEN 1704672000 AND 1705708800 AND symbol <> 'view'").withColumn("high", F.col("high") + 1)
     return quality.refresh(held, b, ["symbol"], 1704240000, 1706140800).select("symbol", "epoch_s", *OHLC)
 
 
@@ -206,10 +206,9 @@ ORACLES = {
  SELECT *, CASE WHEN days < 180 THEN 'INSUFFICIENT' WHEN days < 350 THEN 'LIMITED' ELSE '12-MONTH' END AS status, days >= 27 AS complete, invalid = 0 AND inversions = 0 AND unexpected_gaps = 0 AS is_clean FROM report LEFT JOIN cov USING (symbol) LEFT JOIN gg USING (symbol)""",
     "dq7_missing": f"{_B}, c AS (SELECT symbol, min(epoch_s) AS lo, max(epoch_s) AS hi FROM bars GROUP BY 1) SELECT symbol, 1703635200 AS from_s, lo AS to_s, 'head' AS part FROM c WHERE lo - 1703635200 > 172800 UNION ALL SELECT symbol, hi, 1707264000, 'tail' FROM c WHERE 1707264000 - hi > 172800",
     "dq7_inner": f"{_B} SELECT symbol, from_s, to_s, (to_s - from_s) // {H} AS missing FROM (SELECT symbol, lag(epoch_s) OVER (PARTITION BY symbol ORDER BY epoch_s) + {H} AS from_s, epoch_s AS to_s FROM bars) WHERE to_s > from_s",
-    "dq8_refresh": f"""{_B}, held AS (SELECT * FROM bars WHERE epoch_s BETWEEN 1704672000 AND 1705708800 AND symbol <> 'view'), c AS (SELECT symbol, min(epoch_s) AS lo, max(epoch_s) AS hi FROM held GROUP BY 1)
- SELECT symbol, epoch_s, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close FROM held UNION ALL
- SELECT b.symbol, b.epoch_s, round(b.open, 2), round(b.high, 2), round(b.low, 2), round(b.close, 2) FROM bars b LEFT JOIN c USING (symbol) WHERE b.epoch_s BETWEEN 1704240000 AND 1706140800
-  AND (lo IS NULL OR (lo - 1704240000 > 172800 AND b.epoch_s <= lo) OR (1706140800 - hi > 172800 AND b.epoch_s >= hi)) AND (b.symbol, b.epoch_s) NOT IN (SELECT (symbol, epoch_s) FROM held)""",
+    "dq8_refresh": f"""{_B}, held AS (SELECT * FROM bars WHERE epoch_s BETWEEN 1704672000 AND 1705708800 AND symbol <> 'view'), c AS (SELECT symbol, min(epoch_s) AS lo, max(epoch_s) AS hi FROM held GROUP BY 1),
+ anew AS (SELECT b.symbol, b.epoch_s, b.open, b.high, b.low, b.close FROM bars b LEFT JOIN c USING (symbol) WHERE b.epoch_s BETWEEN 1704240000 AND 1706140800 AND (lo IS NULL OR (lo - 1704240000 > 172800 AND b.epoch_s <= lo) OR (1706140800 - hi > 172800 AND b.epoch_s >= hi)))
+ SELECT symbol, epoch_s, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close FROM anew UNION ALL SELECT symbol, epoch_s, round(open, 2), round(high + 1, 2), round(low, 2), round(close, 2) FROM held ANTI JOIN anew USING (symbol, epoch_s)""",
     "dq9_horizons": f"{_B}, l AS (SELECT symbol, max(epoch_s) AS last_s FROM bars GROUP BY 1), d(days) AS (VALUES (1), (3), (7), (14), (30)) SELECT symbol, days, count(*) FILTER (epoch_s >= last_s - days * 86400) AS bars FROM bars JOIN l USING (symbol) CROSS JOIN d GROUP BY 1, 2",
     "dq10_status": f"{_B} SELECT symbol, count(*) AS bars, min(epoch_s) AS first_s, max(epoch_s) AS last_s, round((max(epoch_s) - min(epoch_s)) / 86400, 6) AS days, count(*) = 100000 AS capped FROM bars GROUP BY 1",
     "snk3_upsert": f"{_B}, fresh AS (SELECT symbol, (epoch_s // {H}) * {H} AS epoch_s, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close FROM ticks WHERE seq % 3 = 0 GROUP BY 1, 2) SELECT * FROM fresh UNION ALL SELECT symbol, epoch_s, open, high, low, close FROM bars ANTI JOIN fresh USING (symbol, epoch_s)",
