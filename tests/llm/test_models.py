@@ -45,17 +45,19 @@ def test_language_edges(spark):
 
 def test_kernel_is_that_of_explicit_sets(spark):
     texts = [r.text.lower() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 50 and 400").orderBy("doc_id").limit(25).collect()] + ["straße, straße", "a", "日本語 1234"]
+    rng = np.random.default_rng(7)
+    texts += ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     éß語"), n)) for n in (30_000, 300_000)]
     sets = []
     for t in texts:
         raw = bytes(x if x > 127 or 97 <= x <= 122 else 32 for x in t.encode())
         sets.append({raw[i : i + n] for n in range(1, 5) for i in range(len(raw) - n + 1)})
-    got = np.zeros((len(texts), 1 << language.BITS), bool)
-    for lo, x in language.presence(pa.array(texts)):
-        got[lo : lo + len(x)] = x
+    got = []
+    for _, first, grams in language.presence(pa.array(texts)):
+        got += [grams[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert [len(g) for g in got] == [len(x) for x in sets]
+    have = language.kernel_of(got, got, np.unique(np.concatenate(got)))
     for a, b in itertools.product(range(len(texts)), repeat=2):
-        want = len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b]))
-        have = (got[a] & got[b]).sum() / math.sqrt(got[a].sum() * got[b].sum())
-        assert abs(want - have) < 0.02, (texts[a], texts[b])  # n-grams are hashed to places
+        assert abs(len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b])) - have[a, b]) < 1e-5
 
 
 def test_gibberish_and_unlearned_languages_are_rejected(spark):

@@ -40,7 +40,6 @@ def test_model_is_sentencepiece_bpe_without_normalisation():
 
 def test_token_files_give_back_what_was_written(docs):
     tok = Tokenizer.from_file(public_tokenizers.path(vbyte.WORD_49K))
-    tok.encode_special_tokens = True
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id, r.text or ""))
     want, start = [], 0
     for r in rows:

@@ -2,10 +2,11 @@
 
 A text is the set of its byte n-grams, n from 1 to 4, of lower-cased letters; all
 other ASCII counts as a blank. The kernel of two texts is the number of n-grams
-that both have, over the root of the product of their numbers. Kernel ridge
-regression, one language against the rest, is fitted on Nyström landmarks; as
-the kernel is a product of presence vectors, the landmarks' coefficients fold
-into one matrix, by which batches of presence vectors are multiplied.
+that both have, over the root of the product of their numbers; n-grams are told
+apart exactly. Kernel ridge regression, one language against the rest, is fitted
+on Nyström landmarks; as the kernel is a product of presence vectors, the
+landmarks' coefficients fold into one matrix with a row for each n-gram that a
+landmark has, by which batches of sparse presence vectors are multiplied.
 """
 
 from __future__ import annotations
@@ -22,17 +23,15 @@ from tidemark.llm.common import bounded_sample, held_out, short_batches, unused
 from tidemark.llm.textvec import LETTERS, text_buffers
 
 UNKNOWN = "und"
-#: Presence vectors have 2**BITS places, to which n-grams are hashed.
-BITS, LONGEST = 15, 4
-#: Bytes of text whose presence vectors are filled together.
+LONGEST = 4
+#: Bytes of text whose presence vectors are made together.
 BLOCK = 1 << 20
-#: Presence vectors multiplied together.
-ROWS = 128
-#: Landmarks of all languages, unless there are more languages; kernel rows the driver unpacks together.
-MARKS, CHUNK = 3200, 400
+#: Rows of one block at most; a row, a length and four bytes are one number.
+ROWS, SHIFT = 1 << 12, np.uint64(34)
+#: Landmarks of all languages, unless there are more languages; kernel columns the driver makes together.
+MARKS, CHUNK = 3200, 64
 
 _FOLD = np.where(LETTERS, 32, np.arange(256)).astype(np.uint32)
-_FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 @dataclass(frozen=True)
@@ -63,27 +62,39 @@ class Params:
         return max(1, min(self.landmarks, MARKS // langs))
 
 
-def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """First row and presence vectors (bool) of some rows of a lower-cased text column, in order."""
+def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row of some rows of a lower-cased text column, in order; where each row's n-grams begin; and the n-grams, ascending, each once a row."""
     d, o = text_buffers(column)
     lo, n = 0, len(o) - 1
     while lo < n:
         hi = min(max(lo + 1, int(np.searchsorted(o, o[lo] + BLOCK, "right")) - 1), n, lo + ROWS)
         x = _FOLD[d[o[lo] : o[hi]]]
-        row = np.repeat(np.arange(hi - lo), np.diff(o[lo : hi + 1]))
-        out = np.zeros((hi - lo) << BITS, bool)
+        row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(o[lo : hi + 1])) << SHIFT
         code = np.zeros(len(x), np.uint32)
-        for k in range(LONGEST):
+        parts = []
+        for k in range(min(LONGEST, len(x))):
             m = len(x) - k
-            if m <= 0:
-                break
             code = (code[:m] << np.uint32(8)) | x[k:]
-            at = (row[:m].astype(np.int64) << BITS) + ((code * _FACTOR[k]) >> np.uint32(32 - BITS))
-            out[at if not k else at[row[:m] == row[k:]]] = True
-        yield lo, out.reshape(hi - lo, -1)
+            grams = row[:m] | np.uint64(k << 32) | code
+            parts.append(grams if not k else grams[row[:m] == row[k:]])
+        every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        every.sort()
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        every = every[new]
+        yield lo, np.searchsorted(every, np.arange(hi - lo + 1, dtype=np.uint64) << SHIFT), every & np.uint64((1 << 34) - 1)
         lo = hi
 
 
+def _among(vocabulary: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams are in the (ascending) vocabulary, and the places of those that are."""
+    if not len(vocabulary):
+        return np.zeros(len(grams), bool), np.zeros(0, int)
+    at = np.minimum(np.searchsorted(vocabulary, grams), len(vocabulary) - 1)
+    there = vocabulary[at] == grams
+    return there, at[there]
+
+
 def _ready(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the lower-cased text, and whether it has a letter."""
     text = F.col("text").cast("string")
@@ -93,7 +104,8 @@ def _ready(docs: DataFrame, *more: str) -> DataFrame:
 @dataclass
 class Model:
     langs: list[str]
-    weight: np.ndarray  # 2**BITS x languages
+    vocabulary: np.ndarray  # the n-grams of the landmarks, ascending
+    weight: np.ndarray  # n-grams x languages
     bias: np.ndarray
     least: np.ndarray  # score below which a text told as this language is rejected
 
@@ -106,20 +118,32 @@ class Model:
         """Language and score of each lower-cased text."""
         pred, score = np.full(len(lower), UNKNOWN, object), np.zeros(len(lower))
         if self.langs:
-            for lo, x in presence(lower):
-                norm = np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-                s = (x.astype(np.float32) @ self.weight) / norm + self.bias
-                pred[lo : lo + len(x)] = np.array(self.langs, object)[s.argmax(1)]
-                score[lo : lo + len(x)] = np.clip((s.max(1) + 1) / 2, 0, 1)
+            for lo, first, grams in presence(lower):
+                rows = len(first) - 1
+                there, at = _among(self.vocabulary, grams)
+                row = np.repeat(np.arange(rows), np.diff(first))[there]
+                sums = np.stack([np.bincount(row, self.weight[at, j], rows) for j in range(len(self.langs))], 1)
+                s = sums / np.sqrt(np.maximum(np.diff(first), 1))[:, None] + self.bias
+                pred[lo : lo + rows] = np.array(self.langs, object)[s.argmax(1)]
+                score[lo : lo + rows] = np.clip((s.max(1) + 1) / 2, 0, 1)
             bare = ~np.array(letters.to_pylist(), bool)
             pred[bare], score[bare] = UNKNOWN, 0
         return pred, score
 
 
-def _units(packed: np.ndarray) -> np.ndarray:
-    """Presence vectors of length 1 from packed bits."""
-    x = np.unpackbits(packed, axis=1).astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+def kernel_of(rows: list[np.ndarray], marks: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """The kernel of rows and landmarks, both as their n-grams; vocabulary holds the landmarks'."""
+    places = [_among(vocabulary, r)[1] for r in rows]
+    out = np.zeros((len(rows), len(marks)), np.float32)
+    for j in range(0, len(marks), CHUNK):
+        some = marks[j : j + CHUNK]
+        table = np.zeros((len(vocabulary), len(some)), np.uint8)
+        for c, m in enumerate(some):
+            table[_among(vocabulary, m)[1], c] = 1
+        for i, at in enumerate(places):
+            out[i, j : j + CHUNK] = table[at].sum(0, dtype=np.uint32)
+    root = lambda x: np.sqrt(np.maximum([len(v) for v in x], 1))
+    return out / root(rows)[:, None].astype(np.float32) / root(marks).astype(np.float32)
 
 
 def fit(docs: DataFrame, p: Params) -> Model:
@@ -137,25 +161,23 @@ def fit(docs: DataFrame, p: Params) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, x in presence(batch.column(1)):
-                packed = [v.tobytes() for v in np.packbits(x, axis=1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(x)], batch.column(2)[lo : lo + len(x)], pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
+            for lo, first, grams in presence(batch.column(1)):
+                rows = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(rows)], batch.column(2)[lo : lo + len(rows)], pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     got = rows.mapInArrow(run, "doc_id long, y string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("x", "ascending")])
     if not got.num_rows:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0))
-    packed = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -1)
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0))
+    grams = [np.frombuffer(x, np.uint64) for x in got.column("x").to_pylist()]
     y = np.array(got.column("y").to_pylist())
     langs, code, count = np.unique(y, return_inverse=True, return_counts=True)
     langs = langs.tolist()
     each = p.marks_each(len(langs))
     chosen = np.concatenate([np.flatnonzero(code == c)[:each] for c in range(len(langs))])
-    cut_ = lambda n: [slice(i, min(i + CHUNK, n)) for i in range(0, n, CHUNK)]
-    kernel = np.empty((len(y), len(chosen)), np.float32)
-    for j in cut_(len(chosen)):
-        marks = _units(packed[chosen[j]])
-        for i in cut_(len(y)):
-            kernel[i, j] = _units(packed[i]) @ marks.T
+    marks = [grams[i] for i in chosen]
+    vocabulary = np.unique(np.concatenate(marks))
+    cut_ = lambda n: [slice(i, min(i + 400, n)) for i in range(0, n, 400)]
+    kernel = kernel_of(grams, marks, vocabulary)
     bias = np.full(len(langs), 2 / len(langs) - 1)
     k_mm = kernel[chosen]
     left = (p.ridge * len(langs) * (k_mm + 1e-4 * np.eye(len(chosen)))).astype(np.float64)
@@ -176,10 +198,10 @@ def fit(docs: DataFrame, p: Params) -> Model:
         score[i] = np.clip((alone[np.arange(len(k)), code[i]] + bias[code[i]] + 1) / 2, 0, 1)
     floor = 1 / len(langs)
     least = np.array([max(p.min_score, floor + max(0.0, np.quantile(score[code == c], p.low) - floor) / 2) for c in range(len(langs))])
-    weight = np.zeros((1 << BITS, len(langs)))
-    for j in cut_(len(chosen)):
-        weight += _units(packed[chosen[j]]).T @ a[j]
-    return Model(langs, weight.astype(np.float32), bias, least)
+    weight = np.zeros((len(vocabulary), len(langs)))
+    for j, m in enumerate(marks):
+        weight[_among(vocabulary, m)[1]] += a[j] / np.sqrt(max(len(m), 1))
+    return Model(langs, vocabulary, weight.astype(np.float32), bias, least)
 
 
 def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:

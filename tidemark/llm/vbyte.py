@@ -59,7 +59,6 @@ class WordBpe(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.plain = _PLAIN.fullmatch
         self.chars = dict(enumerate(byte_chars()))
