@@ -180,7 +180,7 @@ def net(rows: DataFrame, n: int, width: int, p: Params) -> np.ndarray:
     wanted = max(1, min(p.cells, n // p.block))
     at, best = 0, np.full(len(x), np.inf)
     centres = []
-    while len(centres) < wanted:
+    while len(x) and len(centres) < wanted:
         centres.append(x[at])
         best = np.minimum(best, ((x - x[at]) ** 2).sum(1))
         at = int(best.argmax())
