@@ -18,16 +18,17 @@ from tidemark.plans.slices import halo, own
 
 
 def with_path(signals: DataFrame, bars: DataFrame, n: int) -> DataFrame:
-    """Signals with path, an array of the next n bars in mirrored prices (t, o, h, l, c); signals on a last bar go.
+    """Signals with path, an array of the next n bars in mirrored prices (t, o, h, l, c) with the spread (s, null if not known); signals on a last bar go.
 
     Next bars are next by position, across gaps.
     """
-    rows, keys = halo(bars.select("symbol", "epoch_s", "open", "high", "low", "close"), ["symbol"], ["epoch_s"], 0, n)
+    spread = F.col("spread").cast("double") if "spread" in bars.columns else F.lit(None).cast("double")
+    rows, keys = halo(bars.select("symbol", "epoch_s", "open", "high", "low", "close", spread.alias("spread")), ["symbol"], ["epoch_s"], 0, n)
     ahead = Window.partitionBy(*keys).orderBy("epoch_s").rowsBetween(1, n)
-    b = own(rows.withColumn("_next", F.collect_list(F.struct("epoch_s", "open", "high", "low", "close")).over(ahead))).select("symbol", F.col("epoch_s").alias("signal_time"), "_next")
+    b = own(rows.withColumn("_next", F.collect_list(F.struct("epoch_s", "open", "high", "low", "close", "spread")).over(ahead))).select("symbol", F.col("epoch_s").alias("signal_time"), "_next")
     s = signals.join(b, ["symbol", "signal_time"]).where(F.size("_next") > 0).withColumn("sign", F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0))
     sign = F.col("sign")
-    mirrored = F.transform("_next", lambda x: F.struct(x["epoch_s"].alias("t"), (sign * x["open"]).alias("o"), F.when(sign > 0, x["high"]).otherwise(-x["low"]).alias("h"), F.when(sign > 0, x["low"]).otherwise(-x["high"]).alias("l"), (sign * x["close"]).alias("c")))
+    mirrored = F.transform("_next", lambda x: F.struct(x["epoch_s"].alias("t"), (sign * x["open"]).alias("o"), F.when(sign > 0, x["high"]).otherwise(-x["low"]).alias("h"), F.when(sign > 0, x["low"]).otherwise(-x["high"]).alias("l"), (sign * x["close"]).alias("c"), x["spread"].alias("s")))
     s = s.withColumn("path", mirrored).drop("_next")
     return s.withColumns({"_ref": sign * F.col("signal_close"), "_top": F.when(sign > 0, F.col("signal_high")).otherwise(-F.col("signal_low")), "_bottom": F.when(sign > 0, F.col("signal_low")).otherwise(-F.col("signal_high"))})
 
@@ -125,12 +126,12 @@ def random_delay(seed: int = 42, most: int = 3) -> Policy:
 POLICIES = (immediate, retrace, reversion, momentum, breakout, hybrid, tight, random_delay)
 
 
-def evaluate(paths: DataFrame, policy: Policy, causal: bool = True, spread: Column | float = 0.3) -> DataFrame:
+def evaluate(paths: DataFrame, policy: Policy, causal: bool = True, spread: Callable[[Column], Column] | float = 0.3) -> DataFrame:
     """Signals of with_path() with status, entry_k (bar of the decision), entry_time and entry_price (with the spread paid)."""
-    spread = F.lit(spread) if isinstance(spread, float) else spread
     e = paths.withColumn("_e", policy.evaluate(causal))
     entered = F.col("_e.status") == "ENTERED"
     now = entered & (F.col("_e.k") == 1) & (F.try_element_at("path", F.lit(1))["o"] <= F.col("_e.price")) if policy.name in ("retrace", "reversion") else entered & (F.lit(policy.name) == "immediate")
     status = F.when(now, "ENTERED_IMMEDIATELY").when(entered, "ENTERED_AFTER_DELAY").otherwise(F.col("_e.status"))
     at = F.try_element_at("path", F.col("_e.k").cast("int"))
+    spread = F.lit(spread) if isinstance(spread, float) else spread(at)
     return e.withColumns({"policy": F.lit(policy.name), "status": status, "entry_k": F.col("_e.k").cast("int"), "decided_time": at["t"], "entry_time": F.when(entered, at["t"]), "entry_price": F.when(entered, F.round(F.col("sign") * (F.col("_e.price") + spread), 2))}).drop("_e")

@@ -56,18 +56,18 @@ def by_id(experiment_id: str) -> Experiment:
 
 def keep(name: str, value: float | None) -> Column:
     """Which scored bars a filter keeps (EXP2)."""
-    unit = F.greatest(F.lit(0.1), F.coalesce("atr", F.lit(1.5)))
+    unit = F.coalesce("atr", F.lit(1.5))
     long_ = F.col("type") == "LONG_SETUP"
     nearest = F.when(long_, F.try_element_at("resistances", F.lit(1))["price"] - F.col("close")).otherwise(F.col("close") - F.try_element_at("supports", F.lit(1))["price"])
-    beyond = F.when(long_, F.col("close") - F.col("ema50_5")).otherwise(F.col("ema50_5") - F.col("close")) / unit
+    beyond = F.when(long_, F.col("close") - F.col("ema50_5")).otherwise(F.col("ema50_5") - F.col("close"))
     filters = {
         "spread_threshold": lambda: replay.spread_dollars(F.col("spread")) <= value,
         "strict_trend": lambda: F.col("trend") == F.when(long_, "BULLISH").otherwise("BEARISH"),
         "no_range": lambda: F.col("trend") != "RANGE",
-        "level_clearance": lambda: F.coalesce(nearest / unit >= value, F.lit(True)),
-        "level_proximity": lambda: F.coalesce(nearest / unit > value, F.lit(True)),
-        "overextension": lambda: F.coalesce(beyond <= value, F.lit(True)),
-        "exhaustion_guard": lambda: ~F.coalesce((beyond > value) & (nearest / unit <= 0.5), F.lit(False)),
+        "level_clearance": lambda: F.coalesce(nearest > unit * value, F.lit(True)),
+        "level_proximity": lambda: F.coalesce(nearest > unit * value, F.lit(True)),
+        "overextension": lambda: F.coalesce(beyond <= unit * value, F.lit(True)),
+        "exhaustion_guard": lambda: ~F.coalesce((beyond > unit * value) & (nearest <= unit * 0.5), F.lit(False)),
     }
     if name not in filters:
         raise KeyError(f"no filter {name}; there are {', '.join(filters)}")

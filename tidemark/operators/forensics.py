@@ -27,7 +27,7 @@ FAILURES = {
     "RESISTANCE_FAILURE": lambda spread: (F.col("direction") == "LONG") & (F.col("to_resistance") <= 0.5),
     "SUPPORT_FAILURE": lambda spread: (F.col("direction") == "SHORT") & (F.col("to_support") <= 0.5),
     "TREND_MISMATCH": lambda spread: _for(F.col("trend") == "BEARISH", F.col("trend") == "BULLISH"),
-    "RANGE_NOISE": lambda spread: F.col("trend") == "RANGE",
+    "RANGE_NOISE": lambda spread: (F.col("trend") == "RANGE") | F.coalesce(F.col("regime") == "RANGE", F.lit(False)),
     "MOMENTUM_EXHAUSTION": lambda spread: _for(F.col("rsi") >= 70, F.col("rsi") <= 30) | F.coalesce(F.col("to_ema50") >= 2, F.lit(False)),
     "HIGH_SPREAD_EROSION": lambda spread: (F.col("mfe") >= 1.5 * spread) & (F.col("r_h") < 0),
 }
@@ -44,15 +44,16 @@ CONDITIONS = {
 
 
 def failure_tags(t: DataFrame, spread: float = 0.3) -> DataFrame:
-    """The losing trades with all FAILURES that fit, UNKNOWN if none (FOR4).
+    """The losing trades with all FAILURES that fit, UNKNOWN if none (FOR4). A stop at 0 R, as at breakeven, is a loss.
 
     Of a trade: direction, result, r_h, holding_minutes, mfe and mfe_r (favourable
-    excursion), later_r; of its signal: trend and rsi, and in ATR to_resistance,
+    excursion), later_r, regime; of its signal: trend and rsi, and in ATR to_resistance,
     to_support and to_ema50.
     """
     t = stopped_then(t)
     tags = F.array_compact(F.array(*[F.when(c(spread), n) for n, c in FAILURES.items()]))
-    return t.where(loss()).withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit("UNKNOWN"))).otherwise(tags))
+    lost = loss() | ((F.col("r_h") == 0) & (F.col("result") == "STOP_LOSS"))
+    return t.where(lost).withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit("UNKNOWN"))).otherwise(tags))
 
 
 def category_counts(tagged: DataFrame) -> DataFrame:
@@ -74,10 +75,35 @@ def contrast(t: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     for name, c in conditions.items():
         n, m = F.count_if(c), F.count_if(~c)
         rate = lambda hit, k: F.round(F.count_if(hit & win()) * 100 / F.nullif(k, F.lit(0)), 6)
-        parts.append(F.struct(F.lit(name).alias("condition"), n.alias("present"), m.alias("absent"), rate(c, n).alias("present_win_rate"), rate(~c, m).alias("absent_win_rate"), F.round(F.avg(F.when(c, F.col("r_h"))) / 100, 6).alias("present_r"), F.round(F.avg(F.when(~c, F.col("r_h"))) / 100, 6).alias("absent_r")))
+        lost = F.round(F.count_if(c & loss()) * 100 / F.nullif(n, F.lit(0)), 6)
+        with_, without = F.round(F.avg(F.when(c, F.col("r_h"))) / 100, 6), F.round(F.avg(F.when(~c, F.col("r_h"))) / 100, 6)
+        parts.append(F.struct(F.lit(name).alias("condition"), n.alias("present"), m.alias("absent"), rate(c, n).alias("present_win_rate"), rate(~c, m).alias("absent_win_rate"), lost.alias("present_loss_rate"), with_.alias("present_r"), without.alias("absent_r"), F.round(rate(c, n) - rate(~c, m), 6).alias("delta_win_rate"), F.round(with_ - without, 6).alias("delta_r")))
     return t.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def snapshot(trades: DataFrame, features: DataFrame) -> DataFrame:
+    """Replayed trades with what was known at their signals (FOR2): trend, rsi, macd_hist, and in ATR to_resistance, to_support and to_ema50.
+
+    features are those of signals.features(), a row a bar: an equi-join by symbol and signal time.
+    """
+    unit = F.greatest(F.lit(0.1), F.coalesce("atr", F.lit(1.5)))
+    price = lambda c: F.try_element_at(c, F.lit(1))["price"]
+    known = features.select("symbol", F.col("epoch_s").alias("signal_time"), F.col("trend").alias("_trend"), "structure", "rsi", F.col("macd.hist").alias("macd_hist"), ((price("resistances") - F.col("close")) / unit).alias("to_resistance"), ((F.col("close") - price("supports")) / unit).alias("to_support"), (F.abs(F.col("close") - F.col("ema50_5")) / unit).alias("to_ema50"))
+    return trades.join(known, ["symbol", "signal_time"]).withColumn("trend", F.col("_trend")).drop("_trend")
+
+
+def later_moves(trades: DataFrame, bars: DataFrame, limit_s: int) -> DataFrame:
+    """Trades with later_r, the furthest favourable move from the entry after the exit and within a limit from the entry (FOR3).
+
+    trades: symbol, trade_id, direction, entry_time, exit_time, entry_price, stop_dist.
+    """
+    spans = trades.select("symbol", "config_id", "trade_id", "direction", "entry_price", "stop_dist", (F.col("exit_time") + 1).alias("_from"), (F.col("entry_time") + limit_s).alias("_to"))
+    j = interval(bars.select("symbol", "epoch_s", "high", "low"), spans, ["symbol"], "epoch_s", "_from", "_to", max(limit_s, 1))
+    move = F.when(F.col("direction") == "LONG", F.col("high") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("low"))
+    later = j.groupBy("symbol", "config_id", "trade_id").agg(F.round(F.max(move / F.col("stop_dist")), 6).alias("later_r"))
+    return trades.join(later, ["symbol", "config_id", "trade_id"], "left").withColumn("later_r", F.greatest(F.lit(0.0), F.coalesce("later_r", F.lit(0.0))))
+
+
 def holding_bucket(minutes: str) -> Column:
     """Holding times up to an hour in four buckets, the last with its end; null beyond (FOR9)."""
     m = F.col(minutes)

@@ -23,7 +23,8 @@ class Config:
     """One simulation; what may be None is then off.
 
     slippage_atr worsens an entry by so many ATR beyond the spread (AUD4);
-    from_signal measures max_minutes from the signal instead of the entry (AUD3).
+    from_signal measures max_minutes from the signal instead of the entry (AUD3);
+    historical pays the spread of the bar of entry where it is known (REP3).
     """
 
     config_id: str = "baseline"
@@ -45,9 +46,10 @@ class Config:
     short: bool = True
     slippage_atr: float = 0.0
     from_signal: bool = False
+    historical: bool = False
 
 
-_SCHEMA = "config_id string, threshold int, spread double, stop_atr double, target1_atr double, target2_atr double, least_stop double, max_minutes int, stop_first boolean, risk_usd double, breakeven_r double, trail_r double, trail_atr double, idle_minutes int, idle_r double, long boolean, short boolean, slippage_atr double, from_signal boolean"
+_SCHEMA = "config_id string, threshold int, spread double, stop_atr double, target1_atr double, target2_atr double, least_stop double, max_minutes int, stop_first boolean, risk_usd double, breakeven_r double, trail_r double, trail_atr double, idle_minutes int, idle_r double, long boolean, short boolean, slippage_atr double, from_signal boolean, historical boolean"
 
 
 def frame(spark: SparkSession, configs: list[Config]) -> DataFrame:
@@ -109,7 +111,8 @@ def candidates(signals: DataFrame, bars: DataFrame, configs: DataFrame, bar_seco
         paths = paths.withColumn("only", F.lit(None).cast("string"))
     mine = F.coalesce(F.col("only") == F.col("config_id"), F.lit(True))
     c = paths.join(F.broadcast(configs), mine & (F.col("strength") >= F.col("threshold")) & F.when(F.col("direction") == "LONG", F.col("long")).otherwise(F.col("short")))
-    c = entries.evaluate(c, policy, causal, F.col("spread") + F.col("slippage_atr") * F.col("atr"))
+    paid = lambda bar: F.when(F.col("historical"), F.coalesce(spread_dollars(bar["s"]), F.col("spread"))).otherwise(F.col("spread"))
+    c = entries.evaluate(c, policy, causal, lambda bar: paid(bar) + F.col("slippage_atr") * F.col("atr"))
     round2 = lambda x: F.round(x, 2)
     c = c.withColumns({"_entry": F.col("sign") * F.col("entry_price"), "stop_dist": F.greatest(F.col("least_stop"), round2(F.col("atr") * F.col("stop_atr")))})
     c = c.withColumns({"_stop": round2(F.col("_entry") - F.col("stop_dist")), "_t1": round2(F.col("_entry") + round2(F.col("atr") * F.col("target1_atr"))), "_t2": round2(F.col("_entry") + round2(F.col("atr") * F.col("target2_atr")))})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import stats
+from tidemark.plans.joins import interval
 
 DAY = 86400
 
@@ -42,11 +43,9 @@ def within(trades: DataFrame, windows: DataFrame, closed: str = "left") -> DataF
     """Trades with each window whose validation part they were entered in (VAL3).
 
     closed "left" gives a boundary trade to the later window, "both" to both.
-    Windows are made on the driver from a calendar, so they are few; they are
-    broadcast.
+    An equi-join on slots of a month, which windows are repeated for.
     """
-    end = F.col("entry_time") < F.col("val_end") if closed == "left" else F.col("entry_time") <= F.col("val_end")
-    return trades.join(F.broadcast(windows), (F.col("entry_time") >= F.col("val_start")) & end)
+    return interval(trades, windows, [], "entry_time", "val_start", "val_end", 30 * DAY, closed == "both")
 
 
 def evaluate(trades: DataFrame, windows: DataFrame, closed: str = "left") -> DataFrame:

@@ -207,9 +207,9 @@ _TAGGED = """tagged AS (SELECT trade_id, r_h, CASE WHEN len(l) = 0 THEN ['UNKNOW
  CASE WHEN direction = 'LONG' AND to_resistance <= 0.5 THEN 'RESISTANCE_FAILURE' END,
  CASE WHEN direction = 'SHORT' AND to_support <= 0.5 THEN 'SUPPORT_FAILURE' END,
  CASE WHEN trend = CASE direction WHEN 'LONG' THEN 'BEARISH' ELSE 'BULLISH' END THEN 'TREND_MISMATCH' END,
- CASE WHEN trend = 'RANGE' THEN 'RANGE_NOISE' END,
+ CASE WHEN trend = 'RANGE' OR regime = 'RANGE' THEN 'RANGE_NOISE' END,
  CASE WHEN (direction = 'LONG' AND rsi >= 70) OR (direction = 'SHORT' AND rsi <= 30) OR to_ema50 >= 2 THEN 'MOMENTUM_EXHAUSTION' END,
- CASE WHEN mfe >= 1.5::DOUBLE * 0.3::DOUBLE THEN 'HIGH_SPREAD_EROSION' END], lambda x: x IS NOT NULL) AS l FROM context WHERE r_h < 0))"""
+ CASE WHEN mfe >= 1.5::DOUBLE * 0.3::DOUBLE AND r_h < 0 THEN 'HIGH_SPREAD_EROSION' END], lambda x: x IS NOT NULL) AS l FROM context WHERE r_h < 0 OR (r_h = 0 AND result = 'STOP_LOSS')))"""
 _FLAGGED = f"""flagged AS (SELECT r_h, trend = CASE direction WHEN 'LONG' THEN 'BULLISH' ELSE 'BEARISH' END AS trend_alignment, CASE direction WHEN 'LONG' THEN rsi BETWEEN 45 AND 65 ELSE rsi BETWEEN 35 AND 55 END AS rsi_zone, CASE direction WHEN 'LONG' THEN macd_hist > 0 ELSE macd_hist < 0 END AS macd_side,
  coalesce(CASE direction WHEN 'LONG' THEN to_resistance >= 1 ELSE to_support >= 1 END, false) AS level_clearance, coalesce(to_ema50 <= 1.5, false) AS low_extension, {_SESSION} IN ('London', 'New York', 'London/NY Overlap') AS active_session FROM (SELECT *, (entry_time // 3600) % 24 AS h FROM context))"""
 
@@ -250,7 +250,7 @@ ORACLES = {
     "for6_grouping_sets": f"{_T} SELECT strength, coalesce(direction, 'ALL') AS direction, count(*) AS trades, round({_W('r_h > 0')} * 100 / count(*), 6) AS win_rate, round(avg(r_h) / 100, 6) AS average_r FROM trades GROUP BY GROUPING SETS ((strength), (strength, direction))",
     "for7_contrast": f"{_TC}, {_FLAGGED} "
     + " UNION ALL ".join(
-        f"SELECT '{n}' AS condition, {_W(n)} AS present, count(*) - {_W(n)} AS absent, round({_W(f'{n} AND r_h > 0')} * 100 / nullif({_W(n)}, 0), 6) AS present_win_rate, round({_W(f'NOT {n} AND r_h > 0')} * 100 / nullif(count(*) - {_W(n)}, 0), 6) AS absent_win_rate, round(avg(r_h) FILTER ({n}) / 100, 6) AS present_r, round(avg(r_h) FILTER (NOT {n}) / 100, 6) AS absent_r FROM flagged"
+        f"SELECT '{n}' AS condition, {_W(n)} AS present, count(*) - {_W(n)} AS absent, round({_W(f'{n} AND r_h > 0')} * 100 / nullif({_W(n)}, 0), 6) AS present_win_rate, round({_W(f'NOT {n} AND r_h > 0')} * 100 / nullif(count(*) - {_W(n)}, 0), 6) AS absent_win_rate, round({_W(f'{n} AND r_h < 0')} * 100 / nullif({_W(n)}, 0), 6) AS present_loss_rate, round(avg(r_h) FILTER ({n}) / 100, 6) AS present_r, round(avg(r_h) FILTER (NOT {n}) / 100, 6) AS absent_r, round(round({_W(f'{n} AND r_h > 0')} * 100 / nullif({_W(n)}, 0), 6) - round({_W(f'NOT {n} AND r_h > 0')} * 100 / nullif(count(*) - {_W(n)}, 0), 6), 6) AS delta_win_rate, round(round(avg(r_h) FILTER ({n}) / 100, 6) - round(avg(r_h) FILTER (NOT {n}) / 100, 6), 6) AS delta_r FROM flagged"
         for n in ("trend_alignment", "rsi_zone", "macd_side", "level_clearance", "low_extension", "active_session")
     ),
     "for8_outcomes": f"{_T}, o AS (SELECT *, CASE WHEN r_h > 0 THEN 'WIN' ELSE 'LOSS' END AS outcome FROM trades WHERE r_h <> 0) {_DIST('holding_minutes', 'outcome', 'o')}",

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import classify, entries, experiments, forensics, montecarlo, replay, signals, stats, windows
+from tidemark.operators import classify, entries, experiments, forensics, montecarlo, replay, signals, stats, study, windows
 from tidemark.plans.joins import as_of
 from tidemark.queries.ledger import _EQ, _HEAD, _T
 from tidemark.queries.market import _B, _BP, H, P
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, written
 from tidemark.sources import adapters as A
 
 #: Bars are hours here: a limit of 60 bars is 3600 minutes, and scores are lower than with minute bars.
 LIMIT, THRESHOLD = 3600, 5
 
 
+#: Spreads of the sweeps: those of minute bars, whose ATR is some two units, times 25, as hours here move by fifty.
+SPREADS = [2.5, 5.0, 7.5, 10.0, 12.5, 18.75]
+
+
 def _closes() -> F.Column:
     return F.transform("win", lambda b: b["close"])
 
@@ -185,7 +189,7 @@ def rep12_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def val4_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sweep(spark, sf_dir, experiments.sweep(_base(), "spread", [0.1, 0.2, 0.3, 0.4, 0.5, 0.75]))
+    return _sweep(spark, sf_dir, experiments.sweep(_base(), "spread", SPREADS))
 
 
 def val5_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +209,49 @@ def val8_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.flags(experiments.facts(t, ["book"]), ["book"])
 
 
+#: Walk-forward windows of the month of bars: ten days to train, five to validate.
+SLICES = windows.slices(1_703_980_800, 1_706_659_200, 10, 5, 5)
+
+
+def _study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study.replayed(_signals(spark, sf_dir), A.bars(spark, sf_dir), study.sweeps(_base(), SPREADS, [5, 6, 7, 8]), SLICES, H, LIMIT)
+
+
+def val9_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen configurations over all trades, by window and by stage: features are computed once."""
+    return study.figures(_study(spark, sf_dir))
+
+
+def val9_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags that the sweeps of the study raise."""
+    return experiments.flags(study.facts(_study(spark, sf_dir), "baseline", SLICES), [])
+
+
+def val9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A study's figures over the long ledger, three books for configurations."""
+    t = A.long_trades(spark, sf_dir).withColumn("config_id", F.concat(F.lit("book "), F.col("trade_id") % 3))
+    return study.figures(study.staged(t, windows.slices(788918400, 996624000, 360, 180, 180)))
+
+
+def _replayed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's trades with what was known at their signals and what the price did after them."""
+    f = written(_features(spark, sf_dir), "features")
+    t = replay.replay(signals.signals(signals.score(f, THRESHOLD)), A.bars(spark, sf_dir), replay.frame(spark, [_base()]), H, max_minutes=LIMIT)
+    t = forensics.later_moves(forensics.snapshot(written(t, "trades"), f), A.bars(spark, sf_dir), 60 * LIMIT)
+    regime = classify.regime("trend", "structure", "to_ema50")
+    return t.withColumns({"mfe": F.col("mfe_r") * F.col("stop_dist"), "regime": regime})
+
+
+def for4_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure tags of the trades that replay made, by their own signals."""
+    return forensics.category_counts(forensics.failure_tags(_replayed_ledger(spark, sf_dir), 7.5))
+
+
+def for7_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contrast of conditions over the trades that replay made."""
+    return forensics.contrast(_replayed_ledger(spark, sf_dir), {name: c() for name, c in forensics.CONDITIONS.items()})
+
+
 def exp3_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = [_base()] + [replay.Config(**({"threshold": THRESHOLD, "max_minutes": LIMIT, "config_id": e.id} | e.changes)) for e in experiments.EXPERIMENTS]
     t = replay.replay(experiments.tagged_signals(_features(spark, sf_dir), THRESHOLD), A.bars(spark, sf_dir), replay.frame(spark, configs), H, max_minutes=LIMIT)
@@ -273,7 +320,7 @@ def aud3_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aud4_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slippage and spread simulated anew."""
-    return _sweep(spark, sf_dir, experiments.sweep(_base(), "slippage_atr", [0.0, 0.02, 0.05, 0.1]) + experiments.sweep(_base(), "spread", [0.2, 0.3, 0.5]))
+    return _sweep(spark, sf_dir, experiments.sweep(_base(), "slippage_atr", [0.0, 0.02, 0.05, 0.1]) + experiments.sweep(_base(), "spread", SPREADS[1:4]) + [_base(config_id="historical", historical=True)])
 
 
 def cls8_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,8 +423,30 @@ _FACTS = f"""WITH {A.SQL_LONG.replace('trades AS', 'ledger AS', 1)}, trades AS (
  q AS (SELECT book, max(drawdown_pct) AS max_drawdown_pct FROM eq GROUP BY 1),
  facts AS (SELECT *, days >= history_days AS complete, greatest(0, (history_days - 90) // 30) AS windows FROM o JOIN m USING (book) JOIN q USING (book))"""
 
+#: The flags as they are meant, in words of their own: name, severity, fact, condition.
+_FLAGS_MEANT = (
+    ("INSUFFICIENT_HISTORY", "CAUTION", "history_days", "180 > history_days"),
+    ("LIMITED_HISTORY", "INFO", "history_days", "history_days BETWEEN 180 AND 349"),
+    ("INCOMPLETE_DATASET", "WARNING", "complete", "complete = false"),
+    ("INSUFFICIENT_OOS_WINDOWS", "CAUTION", "windows", "windows = 0"),
+    ("INSUFFICIENT_OOS_WINDOWS", "WARNING", "windows", "windows BETWEEN 1 AND 5"),
+    ("LOW_SAMPLE_SIZE", "WARNING", "trades", "30 > trades"),
+    ("LOW_OOS_SAMPLE", "INFO", "oos_trades", "30 > oos_trades AND windows > 0"),
+    ("NEGATIVE_OOS_EXPECTANCY", "WARNING", "oos_total_r", "windows > 0 AND least(oos_average_r, oos_total_r) < 0"),
+    ("HIGH_SPREAD_SENSITIVITY", "WARNING", "high_spread_total_r", "low_spread_average_r >= high_spread_average_r + 0.12 OR (0 > high_spread_total_r AND 0 < low_spread_total_r)"),
+    ("HIGH_THRESHOLD_SENSITIVITY", "INFO", "high_threshold_win_rate", "high_threshold_win_rate NOT BETWEEN low_threshold_win_rate - 20 AND low_threshold_win_rate + 20 OR (low_threshold_trades > 29 AND high_threshold_trades < 10)"),
+    ("HIGH_EXIT_SENSITIVITY", "INFO", "max_exit_total_r", "max_exit_total_r > 10 + min_exit_total_r"),
+    ("HIGH_PERIOD_CONCENTRATION", "WARNING", "top1_pct", "total_r > 0 AND 50 < top1_pct"),
+    ("DIRECTIONAL_ASYMMETRY", "INFO", "long_win_rate", "least(long_trades, short_trades) > 5 AND (long_win_rate NOT BETWEEN short_win_rate - 15 AND short_win_rate + 15 OR sign(long_total_r) * sign(short_total_r) = -1)"),
+    ("HIGH_DRAWDOWN", "CAUTION", "max_drawdown_pct", "NOT max_drawdown_pct < 15"),
+)
+
 ORACLES = {
-    "val8_flags": f"{_FACTS} " + " UNION ALL ".join(f"SELECT book, '{n}' AS flag, '{s}' AS severity, '{x}' AS fact, round({x}::DOUBLE, 6) AS value FROM facts WHERE {c}" for n, s, c, x in experiments.FLAG_RULES),
+    "val8_flags": f"{_FACTS} " + " UNION ALL ".join(f"SELECT book, '{n}' AS flag, '{s}' AS severity, '{x}' AS fact, round({x}::DOUBLE, 6) AS value FROM facts WHERE {c}" for n, s, x, c in _FLAGS_MEANT),
+    "val9_ledger": f"""WITH {A.SQL_LONG}, w(i, lo, hi) AS (VALUES {', '.join(f'({i}, {lo}, {hi})' for i, _, _, lo, hi in windows.slices(788918400, 996624000, 360, 180, 180))}),
+ t AS (SELECT 'book ' || (trade_id % 3) AS config_id, r_h, (SELECT i FROM w WHERE entry_time >= lo AND entry_time < hi) AS window_index, CASE WHEN entry_time < (SELECT max(lo) FROM w) THEN 'development' ELSE 'final' END AS stage FROM trades),
+ g AS (SELECT config_id, NULL AS window_index, NULL AS stage, 'all' AS scope, r_h FROM t UNION ALL SELECT config_id, window_index, NULL, 'window', r_h FROM t WHERE window_index IS NOT NULL UNION ALL SELECT config_id, NULL, stage, 'stage', r_h FROM t)
+ SELECT config_id, window_index, stage, scope, count(*) AS trades, count(*) FILTER (r_h > 0) AS wins, sum(r_h)::DOUBLE / 100 AS total_r, round(avg(r_h) / 100, 6) AS average_r, CASE WHEN sum(r_h) FILTER (r_h < 0) < 0 THEN round(coalesce(sum(r_h) FILTER (r_h > 0), 0) / -sum(r_h) FILTER (r_h < 0), 6) WHEN count(*) FILTER (r_h > 0) > 0 THEN 999.0 ELSE 0.0 END AS profit_factor FROM g GROUP BY 1, 2, 3, 4""",
     "oos1_verdict": f"{_T}, h AS (SELECT symbol, {_HEAD()} FROM trades GROUP BY 1) SELECT symbol, trades, total_r, profit_factor, CASE WHEN trades < 100 THEN 'INCONCLUSIVE' WHEN average_r > 0 AND profit_factor >= 1.05 AND total_r > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM h",
     "cls4_filled": f"{_B}, r AS (SELECT symbol, epoch_s, CASE WHEN tick_volume > 1 THEN round(high - low, 2) END AS v FROM bars) SELECT symbol, epoch_s, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS UNBOUNDED PRECEDING), 1.5::DOUBLE) AS range FROM r",
     "val2_warmup": f"{_B}, n AS (SELECT symbol, epoch_s, close, row_number() OVER (PARTITION BY symbol, epoch_s < 1704672000 ORDER BY epoch_s DESC) AS k FROM bars) SELECT symbol, epoch_s, close FROM n WHERE epoch_s BETWEEN 1704672000 AND 1705276800 OR (epoch_s < 1704672000 AND k <= 50)",

@@ -37,7 +37,8 @@ def bars(spark: SparkSession, sf_dir: str, seconds: int = TRIGGER) -> DataFrame:
     """Bars of a length over the ticks: symbol, epoch_s, open, high, low, close, tick_volume, spread."""
     from tidemark.operators.bars import aggregate
 
-    return aggregate(ticks(spark, sf_dir), seconds).withColumn("spread", F.lit(0.3))
+    b = aggregate(ticks(spark, sf_dir), seconds)
+    return b.withColumn("spread", F.floor(F.col("high") - F.col("low")) / 100)  # wider when prices move, as ticks have no ask
 
 
 def _ledger(rows: DataFrame, key: str, order: str, start: Column, value: str, user: str) -> DataFrame:
@@ -71,6 +72,7 @@ def with_context(t: DataFrame) -> DataFrame:
     k = F.col("trade_id").cast("long")
     return t.withColumns(
         {
+            "regime": F.when(k % 7 == 0, "RANGE").otherwise("TREND"),
             "trend": F.when(k % 3 == 0, "BULLISH").when(k % 3 == 1, "BEARISH").otherwise("RANGE"),
             "rsi": (20 + k * 7 % 61).cast("double"),
             "macd_hist": (k % 11 - 5).cast("double"),
@@ -94,7 +96,7 @@ SQL_TICKS = "ticks AS (SELECT event_type AS symbol, ts, CAST(epoch(date_trunc('s
 
 
 def sql_bars(seconds: int = TRIGGER, name: str = "bars") -> str:
-    return f"{name} AS (SELECT symbol, (epoch_s // {seconds}) * {seconds} AS epoch_s, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, count(*) AS tick_volume, 0.3::DOUBLE AS spread FROM ticks GROUP BY 1, 2)"
+    return f"{name} AS (SELECT symbol, (epoch_s // {seconds}) * {seconds} AS epoch_s, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, count(*) AS tick_volume, floor(max(price) - min(price)) / 100 AS spread FROM ticks GROUP BY 1, 2)"
 
 
 def _sql_ledger(name: str, source: str, key: str, start: str, value: str, user: str, more: str = "") -> str:
@@ -102,7 +104,7 @@ def _sql_ledger(name: str, source: str, key: str, start: str, value: str, user:
  (SELECT {key} AS trade_id, CASE WHEN {key} % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CAST(epoch(date_trunc('second', {start})) AS BIGINT) AS entry_time, {key} AS seq, CAST(7 + {key} % 4 AS INT) AS strength, CAST(round({value} * 100) AS BIGINT) % 401 - 200 AS r_h, 1 + {user} % 60 AS holding_minutes{more} FROM {source}))"""
 
 
-SQL_CONTEXT = """context AS (SELECT *, CASE trade_id % 3 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BEARISH' ELSE 'RANGE' END AS trend, 20 + trade_id * 7 % 61 AS rsi, trade_id % 11 - 5 AS macd_hist,
+SQL_CONTEXT = """context AS (SELECT *, CASE WHEN trade_id % 7 = 0 THEN 'RANGE' ELSE 'TREND' END AS regime, CASE trade_id % 3 WHEN 0 THEN 'BULLISH' WHEN 1 THEN 'BEARISH' ELSE 'RANGE' END AS trend, 20 + trade_id * 7 % 61 AS rsi, trade_id % 11 - 5 AS macd_hist,
  CASE WHEN trade_id % 13 <> 0 THEN trade_id * 3 % 40 / 10.0::DOUBLE END AS to_resistance, CASE WHEN trade_id % 17 <> 0 THEN trade_id * 5 % 39 / 10.0::DOUBLE END AS to_support, CASE WHEN trade_id % 19 <> 0 THEN trade_id % 31 / 10.0::DOUBLE END AS to_ema50,
  trade_id % 50 / 20.0::DOUBLE AS mfe_r, trade_id % 50 / 50.0::DOUBLE AS mfe, trade_id % 23 / 10.0::DOUBLE AS later_r FROM trades)"""
 SQL_TRADES = _sql_ledger("trades", "events", "event_id", "ts", "value", "user_id", ", 'S' || (event_id % 5) AS symbol")
