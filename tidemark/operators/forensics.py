@@ -47,10 +47,11 @@ def failure_tags(t: DataFrame, spread: float = 0.3) -> DataFrame:
     """The losing trades with all FAILURES that fit, UNKNOWN if none (FOR4). A stop at 0 R, as at breakeven, is a loss.
 
     Of a trade: direction, result, r_h, holding_minutes, mfe and mfe_r (favourable
-    excursion), later_r, regime; of its signal: trend and rsi, and in ATR to_resistance,
+    excursion), later_r, and regime if it has one; of its signal: trend and rsi, and in ATR to_resistance,
     to_support and to_ema50.
     """
     t = stopped_then(t)
+    t = t if "regime" in t.columns else t.withColumn("regime", F.lit(None).cast("string"))
     tags = F.array_compact(F.array(*[F.when(c(spread), n) for n, c in FAILURES.items()]))
     lost = loss() | ((F.col("r_h") == 0) & (F.col("result") == "STOP_LOSS"))
     return t.where(lost).withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit("UNKNOWN"))).otherwise(tags))
