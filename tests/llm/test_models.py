@@ -226,3 +226,13 @@ def test_pipeline_stages(spark, small):
             assert out.columns == first
         docs = out
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, c.run(spark, small).collect()))
+
+
+def test_calibration_does_not_depend_on_how_many_were_drawn():
+    rng = np.random.default_rng(4)
+    y = (rng.random(40_000) < 0.1).astype(int)
+    raw = rng.normal(size=len(y)) + 2 * y
+    whole = toxicity.calibrated(raw, y)
+    some = np.flatnonzero((y == 1) | (rng.random(len(y)) < 0.2))
+    assert np.allclose(whole, toxicity.calibrated(raw[some], y[some], float(y.mean())), atol=0.1)
+    assert abs(toxicity.calibrated(raw[some], y[some])[1] - whole[1]) > 0.5

@@ -86,12 +86,14 @@ def word_hashes(words: str) -> np.ndarray:
     return b.hash
 
 
-def draw(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """doc_id and y (1: toxic, 0: not, -1: no label) of the bounded sample of rows that are not held out."""
+def draw(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[DataFrame, float]:
+    """doc_id and y (1: toxic, 0: not, -1: no label) of the bounded sample of rows that are not held out, and the toxic share of all labelled ones."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     each = ids.where(~held_out(F.col("doc_id"))).join(known, "doc_id", "left").select("doc_id", F.coalesce("y", F.lit(-1)).alias("y"))
-    return bounded_sample(each, "y", F.when(F.col("y") == 1, p.toxic_rows).when(F.col("y") == 0, p.other_rows).otherwise(p.free_rows))
+    n = {r["y"]: r["count"] for r in each.groupBy("y").count().collect()}
+    share = n.get(1, 0) / max(1, n.get(1, 0) + n.get(0, 0))
+    return bounded_sample(each, "y", F.when(F.col("y") == 1, p.toxic_rows).when(F.col("y") == 0, p.other_rows).otherwise(p.free_rows)), share
 
 
 def mine(sample: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -203,9 +205,14 @@ def label_model(votes: np.ndarray, prior: float, rounds: int, tie: float = 0.8)
     return model, new
 
 
-def calibrated(raw: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Scale and shift by which raw scores become the log-odds of y; Newton's method with a small ridge."""
-    weight = np.full(len(y), 1 / len(y))
+def calibrated(raw: np.ndarray, y: np.ndarray, share: float | None = None, rounds: int = 50) -> tuple[float, float]:
+    """Scale and shift by which raw scores become the log-odds of y; Newton's method with a small ridge.
+
+    Classes weigh as they do among all labelled rows (share: that of the toxic
+    ones), however many of each were drawn, so a score does not depend on that.
+    """
+    share = float(y.mean()) if share is None else share
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
     x, w = np.column_stack((raw, np.ones(len(raw)))), np.array([1.0, 0.0])
     for _ in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -269,7 +276,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     # at most toxic_rows + other_rows + free_rows ids
-    drawn = cut(draw(docs, labels, p), "toxicity-sample")
+    sampled, share = draw(docs, labels, p)
+    drawn = cut(sampled, "toxicity-sample")
     sample = _ready(docs).join(F.broadcast(drawn), "doc_id")
     mined, lift = mine(sample.where("y >= 0"), p)
     lexicon = [word_hashes(x) for x in LEXICONS]
@@ -298,9 +306,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     several = (in_lexicon.sum(1) > 1) | (mine_.sum(1) > 2)
     votes = np.column_stack([mine_, in_lexicon > 0, loud & (in_lexicon.sum(1) > 0), several])
     known = y >= 0
-    _, q = label_model(votes, float(np.clip(y[known].mean(), 0.01, 0.6)), p.rounds, p.tie)
+    prior = ((y == 1).sum() + share * (~known).sum()) / n  # rows without a label are toxic as often as all labelled ones
+    _, q = label_model(votes, float(np.clip(prior, 0.01, 0.6)), p.rounds, p.tie)
     w, b = logistic(x, q, p.ridge)
-    scale, shift = calibrated((x.times(w) + b)[known], y[known])
+    scale, shift = calibrated((x.times(w) + b)[known], y[known], share)
     return Model(keys, scale * w, scale * b + shift)
 
 
