@@ -104,10 +104,10 @@ def cls5_impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bar as a signal, ATR 40: the entries' SQL twins can say these."""
+    """Every bar as a signal with its own ATR, in whole units, and average, cut to hundredths: multiples are then exact in the SQL twins too."""
     k = F.floor(F.col("epoch_s") / H)
-    b = A.bars(spark, sf_dir)
-    return b.select("symbol", F.col("epoch_s").alias("signal_time"), F.when(k % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), F.lit(10).alias("strength"), F.lit(40.0).alias("atr"), F.lit("RANGE").alias("trend"), F.col("close").alias("signal_close"), F.col("high").alias("signal_high"), F.col("low").alias("signal_low"), F.lit(None).cast("double").alias("ema21"))
+    b = I.sliding(A.bars(spark, sf_dir), I.TRIGGER_SLICE).withColumns({"atr": F.greatest(F.lit(1.0), F.round(F.coalesce(I.atr(F.col("win")), F.lit(1.5)))), "ema21": F.floor(I.ema(_closes(), 21) * 100) / 100}).drop("win")
+    return b.select("symbol", F.col("epoch_s").alias("signal_time"), F.when(k % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), F.lit(10).alias("strength"), "atr", F.lit("RANGE").alias("trend"), F.col("close").alias("signal_close"), F.col("high").alias("signal_high"), F.col("low").alias("signal_low"), "ema21")
 
 
 def _entries(spark: SparkSession, sf_dir: str, policy: entries.Policy, causal: bool) -> DataFrame:
@@ -382,9 +382,10 @@ _IMPULSE = f"""{_WINS}, {_ATR}, x AS (SELECT symbol, epoch_s, {_EMA(21)} AS ema2
  y AS (SELECT *, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 1 ELSE -1 END AS g, row_number() OVER w AS k, {", ".join(f"lag({c}, {j}) OVER w AS {c[0]}{j}" for c in ("open", "close") for j in (1, 2))} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s)),
  z AS (SELECT *, g * (close - ema21) / unit AS d21, g * (close - ema50) / unit AS d50, abs(close - o1) / unit AS move2, abs(close - o2) / unit AS move3, CAST(g * (close - open) > 0 AS INT) + CAST(g * (c1 - o1) > 0 AS INT) + CAST(g * (c2 - o2) > 0 AS INT) AS along FROM y JOIN x USING (symbol, epoch_s) WHERE ema50 IS NOT NULL),
  told AS (SELECT symbol, CASE WHEN g > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN k <= 5 THEN 'NEUTRAL' WHEN d21 > 0.9 OR move3 > 1.8 OR (along = 3 AND d21 > 0.7) THEN 'LATE_IMPULSE' WHEN d21 <= 0.35 AND d50 >= 0 THEN 'CONTROLLED_PULLBACK' WHEN d21 >= 0.2 AND d21 <= 0.7 AND move2 <= 1 AND along <= 2 THEN 'EARLY_IMPULSE' ELSE 'NEUTRAL' END AS state FROM z)"""
-_SIMPLE = f"""{_B}, nb AS (SELECT *, {', '.join(f'lead({c}, {k}) OVER w AS {c}{k}' for k in range(1, 6) for c in ('epoch_s', 'open', 'high', 'low', 'close'))} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s)),
+_SIMPLE = f"""{_WINS}, {_ATR}, unit AS (SELECT symbol, epoch_s, greatest(1.0, round(coalesce(CASE WHEN n > 14 THEN round({_WILDER("t")}, 4) END, 1.5))) AS atr, floor({_EMA(21)} * 100) / 100 AS ema FROM tr),
+ nb AS (SELECT *, {', '.join(f'lead({c}, {k}) OVER w AS {c}{k}' for k in range(1, 6) for c in ('epoch_s', 'open', 'high', 'low', 'close'))} FROM bars JOIN unit USING (symbol, epoch_s) WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s)),
  s AS (SELECT symbol, epoch_s AS signal_time, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN 1 ELSE -1 END AS g, * EXCLUDE (symbol, epoch_s) FROM nb WHERE epoch_s1 IS NOT NULL),
- m AS (SELECT symbol, signal_time, direction, g, g * close AS ref, CASE WHEN g > 0 THEN high ELSE -low END AS top, CASE WHEN g > 0 THEN low ELSE -high END AS bottom, {', '.join(f"epoch_s{k} AS t{k}, g * open{k} AS o{k}, CASE WHEN g > 0 THEN high{k} ELSE -low{k} END AS h{k}, CASE WHEN g > 0 THEN low{k} ELSE -high{k} END AS l{k}, g * close{k} AS c{k}" for k in range(1, 6))} FROM s)"""
+ m AS (SELECT symbol, signal_time, direction, g, atr, g * coalesce(ema, close) AS ema, g * close AS ref, CASE WHEN g > 0 THEN high ELSE -low END AS top, CASE WHEN g > 0 THEN low ELSE -high END AS bottom, {', '.join(f"epoch_s{k} AS t{k}, g * open{k} AS o{k}, CASE WHEN g > 0 THEN high{k} ELSE -low{k} END AS h{k}, CASE WHEN g > 0 THEN low{k} ELSE -high{k} END AS l{k}, g * close{k} AS c{k}" for k in range(1, 6))} FROM s)"""
 
 
 def _sql_entry(wait: int, rules: list[tuple[str, str | None]], immediate_ok: bool) -> str:
@@ -462,13 +463,13 @@ ORACLES = {
     "cls3_volatility": f"{_B}, r AS (SELECT symbol, epoch_s, round(high - low, 2) AS v FROM bars), w AS (SELECT *, list(v) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING) AS l FROM r), p AS (SELECT *, len(list_filter(l, lambda a: a <= v)) / len(l) AS rank FROM w) SELECT symbol, epoch_s, CASE WHEN len(l) < 5 THEN CASE WHEN v < 1.0 THEN 'Q1' WHEN v < 1.5 THEN 'Q2' WHEN v < 2.0 THEN 'Q3' WHEN v < 2.8 THEN 'Q4' ELSE 'Q5' END WHEN rank <= 0.2 THEN 'Q1' WHEN rank <= 0.4 THEN 'Q2' WHEN rank <= 0.6 THEN 'Q3' WHEN rank <= 0.8 THEN 'Q4' ELSE 'Q5' END AS quintile FROM p",
     "cls5_impulse": f"{_IMPULSE} SELECT symbol, direction, state, count(*) AS n FROM told GROUP BY 1, 2, 3",
     "ent1_immediate": f"{_SIMPLE} SELECT symbol, signal_time, direction, 'ENTERED_IMMEDIATELY' AS status, t1 AS entry_time, round(g * (round(o1, 2) + 0.3), 2) AS entry_price FROM m",
-    "ent2_retrace": _sql_entry(3, [("l# <= round(ref - 40, 2)", None), ("l# <= round(ref - 10, 2)", "least(round(ref - 10, 2), o#)")], True),
-    "ent2_retrace_causal": _sql_entry(3, [("o# <= round(ref - 40, 2)", None), ("l# <= round(ref - 10, 2)", "least(round(ref - 10, 2), o#)")], True),
-    "ent3_reversion": _sql_entry(5, [("l# <= ref - 40 * 1.2::DOUBLE", None), ("l# <= ref", "least(ref, o#)")], True),
+    "ent2_retrace": _sql_entry(3, [("l# <= round(ref - atr, 2)", None), ("l# <= round(ref - round(atr * 0.25::DOUBLE, 2), 2)", "least(round(ref - round(atr * 0.25::DOUBLE, 2), 2), o#)")], True),
+    "ent2_retrace_causal": _sql_entry(3, [("o# <= round(ref - atr, 2)", None), ("l# <= round(ref - round(atr * 0.25::DOUBLE, 2), 2)", "least(round(ref - round(atr * 0.25::DOUBLE, 2), 2), o#)")], True),
+    "ent3_reversion": _sql_entry(5, [("l# <= ref - atr * 1.2::DOUBLE", None), ("l# <= ema", "least(ema, o#)")], True),
     "ent4_momentum": f"{_SIMPLE} SELECT symbol, signal_time, direction, CASE WHEN t2 IS NULL THEN 'WAITING' WHEN c1 > o1 AND h1 > top THEN 'ENTERED_AFTER_DELAY' ELSE 'INVALIDATED' END AS status, CASE WHEN t2 IS NOT NULL AND c1 > o1 AND h1 > top THEN t2 END AS entry_time, CASE WHEN t2 IS NOT NULL AND c1 > o1 AND h1 > top THEN round(g * (round(o2, 2) + 0.3), 2) END AS entry_price FROM m",
-    "ent5_breakout": _sql_entry(2, [("l# < bottom", None), ("h# >= round(top + 8, 2)", "greatest(round(top + 8, 2), o#)")], False),
-    "ent6_hybrid": _sql_entry(3, [("l# <= round(ref - 36, 2)", None), ("l# <= round(ref - 8, 2)", "least(round(ref - 8, 2), o#)"), ("h# >= round(top + 8, 2)", "greatest(round(top + 8, 2), o#)")], False),
-    "ent7_tight": _sql_entry(2, [("l# <= round(ref - 30, 2)", None), ("l# <= round(ref - 6, 2)", "least(round(ref - 6, 2), o#)")], False),
+    "ent5_breakout": _sql_entry(2, [("l# < bottom", None), ("h# >= round(top + round(atr * 0.2::DOUBLE, 2), 2)", "greatest(round(top + round(atr * 0.2::DOUBLE, 2), 2), o#)")], False),
+    "ent6_hybrid": _sql_entry(3, [("l# <= round(ref - atr * 0.9::DOUBLE, 2)", None), ("l# <= round(ref - round(atr * 0.2::DOUBLE, 2), 2)", "least(round(ref - round(atr * 0.2::DOUBLE, 2), 2), o#)"), ("h# >= round(top + round(atr * 0.2::DOUBLE, 2), 2)", "greatest(round(top + round(atr * 0.2::DOUBLE, 2), 2), o#)")], False),
+    "ent7_tight": _sql_entry(2, [("l# <= round(ref - atr * 0.75::DOUBLE, 2)", None), ("l# <= round(ref - round(atr * 0.15::DOUBLE, 2), 2)", "least(round(ref - round(atr * 0.15::DOUBLE, 2), 2), o#)")], False),
     "for1_excursions": f"{_B}, pos AS (SELECT symbol, epoch_s AS entry_time, epoch_s + {H} * (1 + (epoch_s // {H}) % 24) AS exit_time, (epoch_s // {H}) % 2 = 0 AS long_, open AS entry_price, symbol || '|' || epoch_s AS trade_id FROM bars), j AS (SELECT p.symbol, p.trade_id, b.epoch_s, greatest(0, CASE WHEN long_ THEN b.high - entry_price ELSE entry_price - b.low END) AS fav, greatest(0, CASE WHEN long_ THEN entry_price - b.low ELSE b.high - entry_price END) AS adv FROM pos p JOIN bars b ON b.symbol = p.symbol AND b.epoch_s BETWEEN p.entry_time AND p.exit_time) SELECT symbol, trade_id, count(*) AS bars, round(max(fav), 6) AS mfe, round(max(adv), 6) AS mae, round(max(fav) / 40, 6) AS mfe_r, round(max(adv) / 40, 6) AS mae_r, min(epoch_s) FILTER (adv >= 40) AS stop_s FROM j GROUP BY 1, 2",
     "aud1_same_bar": f"""{_B}, t AS (SELECT *, (epoch_s // {H}) % 2 = 0 AS long_, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN high >= round(open + 10, 2) ELSE low <= round(open - 10, 2) END AS one, CASE WHEN (epoch_s // {H}) % 2 = 0 THEN low <= round(open - 10, 2) ELSE high >= round(open + 10, 2) END AS stop FROM bars)
  SELECT symbol, CASE WHEN long_ THEN 'LONG' ELSE 'SHORT' END AS direction, count(*) AS trades, count(*) FILTER (one OR stop) AS same_bar, count(*) FILTER (stop AND NOT one) AS same_bar_stops, count(*) FILTER (one) AS same_bar_targets, count(*) FILTER (one AND stop) AS doubtful,
