@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, held_out, short_batches, unused
+from tidemark.llm.common import bounded_sample, cut, held_out, short_batches, unused
 from tidemark.llm.textvec import LETTERS, text_buffers
 
 UNKNOWN = "und"
@@ -157,27 +157,40 @@ def fit(docs: DataFrame, p: Params) -> Model:
     n_langs = known.agg(F.count_distinct("lang")).first()[0]
     drawn = bounded_sample(known, "lang", p.rows_each(n_langs)).select("doc_id", F.col("lang").alias("y"))
     # at most per_lang x max_langs ids, or one a language
-    rows = _ready(docs).join(F.broadcast(drawn), "doc_id").where("letters").select("doc_id", "text", "y")
+    sample = cut(_ready(docs).join(F.broadcast(drawn), "doc_id").where("letters").select("doc_id", "text", "y"), "language-sample")
+    langs, counts = zip(*sorted((r["y"], r["count"]) for r in sample.groupBy("y").count().collect()), strict=True) if not sample.isEmpty() else ((), ())
+    if not langs:
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0))
+    langs, count = list(langs), np.array(counts)
+    first_of = Window.partitionBy("y").orderBy("doc_id", "text")  # a language's drawn rows
+    placed = cut(sample.withColumn("place", F.row_number().over(first_of)), "language-places")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, first, grams in presence(batch.column(1)):
                 rows = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + len(rows)], batch.column(2)[lo : lo + len(rows)], pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(2)[lo : lo + len(rows)], batch.column(3)[lo : lo + len(rows)], pa.array(rows, pa.binary())], names=["y", "place", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("x", "ascending")])
-    if not got.num_rows:
-        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0))
-    grams = [np.frombuffer(x, np.uint64) for x in got.column("x").to_pylist()]
-    y = np.array(got.column("y").to_pylist())
-    langs, code, count = np.unique(y, return_inverse=True, return_counts=True)
-    langs = langs.tolist()
     each = p.marks_each(len(langs))
-    chosen = np.concatenate([np.flatnonzero(code == c)[:each] for c in range(len(langs))])
-    marks = [grams[i] for i in chosen]
+    got = placed.where(F.col("place") <= each).mapInArrow(own, "y string, place int, x binary").toArrow().sort_by([("y", "ascending"), ("place", "ascending")])
+    marks = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("x")]
     vocabulary = np.unique(np.concatenate(marks))
+    shared = docs.sparkSession.sparkContext.broadcast((marks, vocabulary))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, first, grams in presence(batch.column(1)):
+                k = kernel_of([grams[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], *shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(2)[lo : lo + len(k)], batch.column(3)[lo : lo + len(k)], pa.array([r.tobytes() for r in k], pa.binary())], names=["y", "place", "k"])
+
+    # the kernel of the sample and the landmarks: four bytes a pair
+    got = placed.mapInArrow(rows_of, "y string, place int, k binary").toArrow().sort_by([("y", "ascending"), ("place", "ascending")])
+    kernel = np.frombuffer(b"".join(x.as_buffer() for x in got.column("k")), np.float32).reshape(got.num_rows, -1)
+    code = np.repeat(np.arange(len(langs)), count)
+    start = np.cumsum(count) - count
+    chosen = np.concatenate([np.arange(a, a + min(n, each)) for a, n in zip(start, count, strict=True)])
+    y = code
     cut_ = lambda n: [slice(i, min(i + 400, n)) for i in range(0, n, 400)]
-    kernel = kernel_of(grams, marks, vocabulary)
     bias = np.full(len(langs), 2 / len(langs) - 1)
     k_mm = kernel[chosen]
     left = (p.ridge * len(langs) * (k_mm + 1e-4 * np.eye(len(chosen)))).astype(np.float64)
