@@ -459,6 +459,11 @@ ORACLES = {
     "ind5_atr": f"{_WINS}, tr AS (SELECT symbol, epoch_s, len(b) AS n, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN i = 1 THEN b[1].h - b[1].l ELSE greatest(b[i].h - b[i].l, abs(b[i].h - b[i - 1].c), abs(b[i].l - b[i - 1].c)) END) AS t FROM wins) SELECT symbol, epoch_s, CASE WHEN n > 14 THEN round({_WILDER('t')}, 4) END AS atr FROM tr",
     "ind6_vwap": f"{_B} SELECT symbol, epoch_s, round(sum((high + low + close) / 3 * tick_volume) OVER w / sum(tick_volume) OVER w, 9) AS vwap FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING)",
     "ind7_pivots": f"{_B}, n AS (SELECT *, count(*) OVER p AS np, count(*) OVER q AS nq, max(high) OVER p AS hp, max(high) OVER q AS hq, min(low) OVER p AS lp, min(low) OVER q AS lq FROM bars WINDOW p AS (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY symbol ORDER BY epoch_s ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) SELECT symbol, epoch_s, high, low, hp < high AND hq <= high AS pivot_high, lp > low AND lq >= low AS pivot_low FROM n WHERE np = 2 AND nq = 2 AND ((hp < high AND hq <= high) OR (lp > low AND lq >= low))",
+    "ind8_structure": f"""{_B}, w AS (SELECT symbol, epoch_s, list(high) OVER v AS h, list(low) OVER v AS l, list(close) OVER v AS c FROM bars WINDOW v AS (PARTITION BY symbol ORDER BY epoch_s ROWS 59 PRECEDING)),
+ p AS (SELECT *, len(c) AS n, (list_max(h) + list_min(l)) / 2 AS mid, list_filter(range(3, len(h) - 1), lambda i: h[i] > h[i - 1] AND h[i] > h[i - 2] AND h[i] >= h[i + 1] AND h[i] >= h[i + 2]) AS a, list_filter(range(3, len(l) - 1), lambda i: l[i] < l[i - 1] AND l[i] < l[i - 2] AND l[i] <= l[i + 1] AND l[i] <= l[i + 2]) AS b FROM w),
+ m AS (SELECT *, list_avg(c[1 : n // 2]) AS early, list_avg(c[n // 2 + 1 : n]) AS late FROM p)
+ SELECT symbol, epoch_s, CASE WHEN n < 15 OR (mid > 0 AND (list_max(h) - list_min(l)) / mid < 0.0015) THEN 'RANGE' WHEN len(a) < 2 OR len(b) < 2 THEN CASE WHEN late > early * 1.002 THEN 'BULLISH' WHEN late < early * 0.998 THEN 'BEARISH' ELSE 'RANGE' END
+ WHEN h[a[-1]] > h[a[-2]] AND l[b[-1]] > l[b[-2]] THEN 'BULLISH' WHEN h[a[-1]] < h[a[-2]] AND l[b[-1]] < l[b[-2]] THEN 'BEARISH' ELSE 'RANGE' END AS structure FROM m""",
     "sig6_context": f"{_BP} SELECT b.symbol, b.epoch_s, b.close, p.close AS close5 FROM bars b ASOF LEFT JOIN (SELECT symbol, epoch_s + {P - H} AS known_s, close FROM pbars) p ON b.symbol = p.symbol AND b.epoch_s >= p.known_s",
     "cls3_volatility": f"{_B}, r AS (SELECT symbol, epoch_s, round(high - low, 2) AS v FROM bars), w AS (SELECT *, list(v) OVER (PARTITION BY symbol ORDER BY epoch_s ROWS 120 PRECEDING) AS l FROM r), p AS (SELECT *, len(list_filter(l, lambda a: a <= v)) / len(l) AS rank FROM w) SELECT symbol, epoch_s, CASE WHEN len(l) < 5 THEN CASE WHEN v < 1.0 THEN 'Q1' WHEN v < 1.5 THEN 'Q2' WHEN v < 2.0 THEN 'Q3' WHEN v < 2.8 THEN 'Q4' ELSE 'Q5' END WHEN rank <= 0.2 THEN 'Q1' WHEN rank <= 0.4 THEN 'Q2' WHEN rank <= 0.6 THEN 'Q3' WHEN rank <= 0.8 THEN 'Q4' ELSE 'Q5' END AS quintile FROM p",
     "cls5_impulse": f"{_IMPULSE} SELECT symbol, direction, state, count(*) AS n FROM told GROUP BY 1, 2, 3",
