@@ -128,9 +128,9 @@ def test_label_model_equals_enumeration_and_counts_correlated_voters_once():
 def test_samples_are_bounded_by_each_label(spark):
     docs = spark.range(2000).selectExpr("id as doc_id", "'x' as text")
     labels = spark.range(1500).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic")
-    n = {r["y"]: r["count"] for r in toxicity.draw(docs, labels, toxicity.Params(50, 20, 10)).groupBy("y").count().collect()}
+    n = {r["y"]: r["count"] for r in toxicity.draw(docs, labels, toxicity.Params(50, 20, 10))[0].groupBy("y").count().collect()}
     assert n == {1: 50, 0: 20, -1: 10}
-    n = {r["y"]: r["count"] for r in toxicity.draw(docs, labels, toxicity.Params(20, 5000, 10)).groupBy("y").count().collect()}
+    n = {r["y"]: r["count"] for r in toxicity.draw(docs, labels, toxicity.Params(20, 5000, 10))[0].groupBy("y").count().collect()}
     assert n[1] == 20 and n[0] == sum(i % 3 != 0 and not held(i) for i in range(1500)) and n[-1] == 10
 
 
