@@ -209,7 +209,7 @@ def test_licences_come_from_the_nearest_directory(spark):
 
 
 def test_registry_has_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, small):
