@@ -297,6 +297,15 @@ def test_refresh_reads_what_is_missing(spark):
     assert quality.refresh(held.limit(0), source, ["symbol"], 5 * d, 6 * d).count() == 4
 
 
+def test_amounts_of_nothing_are_kept_where_they_may_be(spark):
+    d = 86400
+    schema = "symbol string, epoch_s long, open double, high double, low double, close double, seq long"
+    source = spark.createDataFrame([("A", k * d, 1.0, 2.0, low, 1.0, k) for k, low in enumerate((0.5, 0.0, -0.25))], schema)
+    held = source.where("seq = 1")
+    assert [r.low for r in quality.refresh(held, source, ["symbol"], 0, 2 * d, 0, signed=True).orderBy("epoch_s").collect()] == [0.5, 0.0, -0.25]
+    assert [r.low for r in quality.refresh(held, source, ["symbol"], 0, 2 * d, 0).collect()] == [0.5]
+
+
 def test_signals_do_not_see_the_future(spark):
     rng = random.Random(8)
     p = [2000 + 3 * i / 10 + rng.random() * 4 for i in range(260)]

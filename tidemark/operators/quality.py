@@ -10,22 +10,25 @@ from tidemark.plans.slices import halo, own
 PRICES = ("open", "high", "low", "close")
 
 
-def invalid_reason(tolerance: float = 0.001) -> Column:
-    """The first rule a bar breaks, null if none (DQ1): malformed, non-positive, high below low, high or low within the body."""
+def invalid_reason(tolerance: float = 0.001, signed: bool = False) -> Column:
+    """The first rule a bar breaks, null if none (DQ1): malformed, non-positive, high below low, high or low within the body.
+
+    signed is for what may be quoted at nothing or below, as amounts and spreads are: no bar is non-positive then.
+    """
     cast = {c: F.expr(f"try_cast({c} AS double)") for c in PRICES}
     return (
         F.when(F.expr("try_cast(epoch_s AS bigint)").isNull() | F.array_contains(F.array(*[v.isNull() for v in cast.values()]), True), "malformed")
-        .when(F.least(*cast.values()) <= 0, "non_positive")
+        .when(F.lit(not signed) & (F.least(*cast.values()) <= 0), "non_positive")
         .when(cast["high"] < cast["low"], "high_below_low")
         .when(cast["high"] + tolerance < F.greatest(cast["open"], cast["close"]), "high_below_body")
         .when(cast["low"] - tolerance > F.least(cast["open"], cast["close"]), "low_above_body")
     )
 
 
-def clean(raw: DataFrame, by: list[str]) -> DataFrame:
+def clean(raw: DataFrame, by: list[str], signed: bool = False) -> DataFrame:
     """Valid bars, of each time the one that arrived first (DQ2), prices rounded to hundredths."""
     w = Window.partitionBy(*by, "epoch_s").orderBy("seq")
-    kept = raw.withColumn("_bad", invalid_reason()).where("_bad IS NULL").drop("_bad")
+    kept = raw.withColumn("_bad", invalid_reason(signed=signed)).where("_bad IS NULL").drop("_bad")
     kept = kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return kept.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in PRICES})
 
@@ -137,7 +140,7 @@ def upsert(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
-def refresh(held: DataFrame, source: DataFrame, by: list[str], start: int, end: int, slack: int = 2 * 86400) -> DataFrame:
+def refresh(held: DataFrame, source: DataFrame, by: list[str], start: int, end: int, slack: int = 2 * 86400, signed: bool = False) -> DataFrame:
     """Load what a history lacks of start..end from its source, merge and clean it (DQ8).
 
     Of each key the head and tail that missing_ranges() names are read, of a key
@@ -149,4 +152,4 @@ def refresh(held: DataFrame, source: DataFrame, by: list[str], start: int, end:
     tail = (F.lit(end) > F.col("_hi") + slack) & (F.col("epoch_s") >= F.col("_hi"))
     wanted = source.where(F.col("epoch_s").between(start, end)).join(spans, by, "left")
     new = wanted.where(F.col("_lo").isNull() | head | tail).drop("_lo", "_hi")
-    return clean(upsert(held, new, by), by)
+    return clean(upsert(held, new, by), by, signed)
