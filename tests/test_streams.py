@@ -213,3 +213,17 @@ def test_an_archive_keeps_what_a_broken_load_does_not_finish(spark, tmp_path):
     assert sorted(map(tuple, archive.read(spark, at).collect())) == before
     archive.commit(bars_of([], 0.0), at)
     assert sorted(map(tuple, archive.read(spark, at).collect())) == before
+
+
+def test_an_archive_of_amounts_keeps_and_counts_those_of_nothing(spark, tmp_path):
+    day = 86400
+    source = spark.createDataFrame([("G", T0 + k * day, 1.0, 2.0, low, 1.0, 3, k) for k, low in enumerate((0.0, 0.5, 0.5, 0.0))], f"{archive.BARS}, seq long")
+    for signed, kept in ((False, 2), (True, 4)):
+        at = str(tmp_path / f"a{signed}")
+        archive.commit(source.where("seq = 1"), at)
+        r = archive.refresh(source, at, T0, T0 + 3 * day, slack=0, signed=signed).first()
+        assert (r.total, r.invalid, r.kept, r.bars) == (kept, 0, kept, kept)
+    # bars that were committed as they are
+    archive.commit(source.where("seq = 0"), str(tmp_path / "b"))
+    r = archive.refresh(source.limit(0), str(tmp_path / "b"), T0, T0 + 3 * day, signed=True).first()
+    assert (r.total, r.invalid, r.bars) == (1, 0, 1)

@@ -33,9 +33,9 @@ def clean(raw: DataFrame, by: list[str], signed: bool = False) -> DataFrame:
     return kept.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in PRICES})
 
 
-def cleaning_report(raw: DataFrame, by: list[str]) -> DataFrame:
+def cleaning_report(raw: DataFrame, by: list[str], signed: bool = False) -> DataFrame:
     """For each key how many bars came, are invalid, out of order on arrival, and repeated (DQ2)."""
-    bad = invalid_reason().isNotNull()
+    bad = invalid_reason(signed=signed).isNotNull()
     rows, keys = halo(raw.where(~bad), by, ["seq"], 1)
     w = Window.partitionBy(*keys).orderBy("seq")
     valid = own(rows.withColumn("_back", F.col("epoch_s") < F.lag("epoch_s").over(w)))
@@ -98,11 +98,11 @@ def coverage(bars: DataFrame, by: list[str], requested_days: int = 360) -> DataF
     return c.withColumns({"status": status, "complete": F.col("days") >= 0.9 * requested_days})
 
 
-def audit(raw: DataFrame, by: list[str], requested_days: int = 360) -> DataFrame:
+def audit(raw: DataFrame, by: list[str], requested_days: int = 360, signed: bool = False) -> DataFrame:
     """One row a key: cleaning counts, gap counts, coverage; clean ignores repeats (DQ6)."""
-    kept = clean(raw, by)
+    kept = clean(raw, by, signed)
     g = gaps(kept, by).groupBy(*by).agg(F.count_if(F.col("kind") == "expected").alias("expected_gaps"), F.count_if(F.col("kind") == "unexpected").alias("unexpected_gaps"))
-    out = cleaning_report(raw, by).join(coverage(kept, by, requested_days), by, "left").join(g, by, "left")
+    out = cleaning_report(raw, by, signed).join(coverage(kept, by, requested_days), by, "left").join(g, by, "left")
     out = out.fillna(0, ["expected_gaps", "unexpected_gaps"])
     return out.withColumn("is_clean", (F.col("invalid") == 0) & (F.col("inversions") == 0) & (F.col("unexpected_gaps") == 0))
 

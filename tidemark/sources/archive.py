@@ -86,16 +86,17 @@ def commit(new: DataFrame, path: str, source: str = "", full_days: int = 360) ->
     return manifest(spark, path)
 
 
-def refresh(source: DataFrame, path: str, start: int, end: int, requested_days: int = 360, slack: int = 2 * 86400) -> DataFrame:
+def refresh(source: DataFrame, path: str, start: int, end: int, requested_days: int = 360, slack: int = 2 * 86400, signed: bool = False) -> DataFrame:
     """Load what an archive lacks of start..end, commit it cleaned, and return the audit of the whole archive (DQ8).
 
     source has seq, the order of arrival. What is missing is told by the
-    manifest's spans: head, tail, or all of a symbol that is not held.
+    manifest's spans: head, tail, or all of a symbol that is not held. signed is
+    for sources whose prices may be nothing or below.
     """
     spark = source.sparkSession
     spans = manifest(spark, path).groupBy("symbol").agg(F.min("from_s").alias("_lo"), F.max("to_s").alias("_hi"))
     head = (F.lit(start) < F.col("_lo") - slack) & (F.col("epoch_s") <= F.col("_lo"))
     tail = (F.lit(end) > F.col("_hi") + slack) & (F.col("epoch_s") >= F.col("_hi"))
     wanted = source.where(F.col("epoch_s").between(start, end)).join(spans, "symbol", "left").where(F.col("_lo").isNull() | head | tail).drop("_lo", "_hi")
-    commit(quality.clean(wanted, ["symbol"]), path)
-    return quality.audit(read(spark, path).withColumn("seq", F.col("epoch_s")), ["symbol"], requested_days)
+    commit(quality.clean(wanted, ["symbol"], signed), path)
+    return quality.audit(read(spark, path).withColumn("seq", F.col("epoch_s")), ["symbol"], requested_days, signed)
