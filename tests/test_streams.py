@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -64,6 +65,43 @@ def journalled(spark, folder, rows, per_file, rules, stop_after=None):
     return sorted(tuple(r) for r in spark.read.schema(paper.JOURNAL).json(f"{folder}/out").collect())
 
 
+class States:
+    """Stands for the handle and the states of one key."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.most = {}, {}, [], 0
+
+    def getMapState(self, name, *schemas):  # noqa: N802
+        held = self.maps.setdefault(name, {})
+        return SimpleNamespace(keys=lambda: iter(list(held)), containsKey=held.__contains__, getValue=held.get, updateValue=held.__setitem__, removeKey=held.pop)
+
+    def getValueState(self, name, schema):  # noqa: N802
+        held = self.values.setdefault(name, {})
+        return SimpleNamespace(exists=lambda: "x" in held, get=lambda: held["x"], update=lambda x: held.update(x=x), clear=held.clear)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def of_watermark(t):
+    return SimpleNamespace(getCurrentWatermarkInMs=lambda: t * 1000)
+
+
+def test_a_trader_keeps_ids_only_until_they_cannot_come_again():
+    n, trader, states = 3000, paper.PaperTrader(paper.Rules(wait_s=50, hold_s=100)), States()
+    trader.init(states)
+    rows = [("G", pd.Timestamp(t, unit="s"), "signal", t, None, None, "LONG", 8, 2500.0, 2.0) for t in range(1, n) for _ in (1, 2)]
+    frames = [pd.DataFrame(rows[i::7], columns=[x.split()[0] for x in paper.INPUT.split(", ")]) for i in range(7)]
+    assert list(trader.handleInputRows(("G",), iter(frames), of_watermark(0))) == []
+    assert states.timers == [1000] and not states.maps["seen"]
+    got = [x for f in trader.handleExpiredTimer(("G",), of_watermark(n - 10), None) for x in f.itertuples()]
+    assert len(got) == n - 11  # each of the due once: blocked, or given up with time
+    assert set(states.maps["seen"]) == {(n - 10, "LONG")}
+    assert states.timers[-1] == (n - 9) * 1000
+    got = [x for f in trader.handleInputRows(("G",), iter([frames[0].tail(1)]), of_watermark(n)) for x in f.itertuples()]
+    assert len(got) == 9 and not states.maps["ahead"]
+
+
 def by_a_loop(rows, rules, upto):
     """The rules said anew, over all rows in order."""
     out = []

@@ -7,20 +7,24 @@ those of an instant ticks first, so the journal does not depend on how rows
 arrive in batches. Time limits are timers: a signal that no tick of its last
 instant has filled is given up the instant after, and a trade that outlives its
 limit is closed at the last price before it. A tick of the very instant is
-looked at first.
+looked at first. What waits is kept as sorted pieces, and a signal's id until the
+watermark has passed its instant, as no row of that instant can come after it.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.session import typed_state
+from tidemark.streaming.ahead import Ahead
 
 JOURNAL = "symbol string, signal_time long, direction string, state string, at long, entry_price double, exit_price double, result string, r_multiple double, entry_time long, mfe_r double, mae_r double"
 INPUT = "symbol string, ts timestamp, kind string, seq long, bid double, ask double, direction string, strength int, price double, atr double"
@@ -45,7 +49,7 @@ class Slot:
 
     def __init__(self, symbol: str, rules: Rules, state: dict | None = None):
         self.symbol, self.rules = symbol, rules
-        self.state = state or {"waiting": None, "trade": None, "seen": [], "last": None}
+        self.state = state or {"waiting": None, "trade": None, "seen": OrderedDict(), "last": None}
 
     def deadline(self) -> int | None:
         """The instant at which what waits is given up, or the trade expires."""
@@ -72,10 +76,12 @@ class Slot:
         r = self.rules
         if direction not in ("LONG", "SHORT") or strength is None or strength < r.threshold:
             return []
-        seen = [x for x in self.state["seen"] if x[0] >= t - r.remember_s]
-        if [t, direction] in seen:
+        seen = self.state["seen"]
+        while seen and next(iter(seen))[0] < t - r.remember_s:
+            seen.popitem(last=False)
+        if (t, direction) in seen:
             return []
-        self.state["seen"] = [*seen, [t, direction]]
+        seen[(t, direction)] = None
         s = {"time": t, "direction": direction, "atr": atr or 1.5}
         if self.state["waiting"] or self.state["trade"]:
             return [self._row(s, "CONCURRENCY_BLOCKED", t)]
@@ -120,7 +126,7 @@ class Slot:
 
 
 _OPEN = "time long, direction string, atr double, sign int, target double, floor double"
-_ROW = "ts long, kind string, seq long, bid double, ask double, direction string, strength int, price double, atr double"
+_ROW = pa.schema({"ts": pa.int64(), "rank": pa.int64(), "seq": pa.int64(), "bid": pa.float64(), "ask": pa.float64(), "direction": pa.string(), "strength": pa.int32(), "price": pa.float64(), "atr": pa.float64()})
 _TRADE = _OPEN + ", entry double, entry_time long, dist double, stop double, one double, two double, mfe double, mae double"
 
 
@@ -141,7 +147,7 @@ class PaperTrader(StatefulProcessor):
         self.handle = handle
         self.waiting, self.trade = handle.getValueState("waiting", _OPEN), handle.getValueState("trade", _TRADE)
         self.last = handle.getValueState("last", "bid double, ask double")
-        self.ahead = handle.getListState("ahead", _ROW)
+        self.ahead = Ahead(handle, ("ts", "rank", "seq"), _ROW)
         self.seen = handle.getMapState("seen", "time long, direction string", "at long")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
@@ -157,10 +163,7 @@ class PaperTrader(StatefulProcessor):
             self.handle.registerTimer((at + 1) * 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            f = frame.assign(ts=frame.ts.astype("datetime64[s]").astype("int64"))
-            kinds = [_KINDS[x.split()[1]] for x in _ROW.split(", ")]  # pandas makes floats of whole numbers beside nulls
-            self.ahead.appendList([tuple(None if pd.isna(x) else kind(x) for kind, x in zip(kinds, r, strict=True)) for r in f[_names(_ROW)].itertuples(index=False)])
+        self.ahead.add(f.assign(ts=f.ts.astype("datetime64[s]").astype("int64"), rank=(f.kind != "tick").astype("int64")) for f in rows)
         yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs() // 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
@@ -169,19 +172,20 @@ class PaperTrader(StatefulProcessor):
     def _upto(self, symbol: str, now: int) -> Iterator[pd.DataFrame]:
         """Take the rows up to an instant, then what time alone does by then, and set a timer for what is next."""
         one = lambda state, schema: dict(zip(_names(schema), state.get(), strict=True)) if state.exists() else None
-        slot = Slot(symbol, self.rules, {"waiting": one(self.waiting, _OPEN), "trade": one(self.trade, _TRADE), "seen": [[int(t), d] for t, d in self.seen.keys()], "last": self.last.get() if self.last.exists() else None})
-        before = {(t, d) for t, d in slot.state["seen"]}
-        rows = list(self.ahead.get()) if self.ahead.exists() else []
-        due = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1] != "tick", r[2]))
-        out: list[dict] = []
-        for ts, kind, _, bid, ask, direction, strength, price, atr in due:
-            out += slot.until(ts)
-            out += slot.tick(ts, bid, ask) if kind == "tick" else slot.signal(ts, direction, strength, price, atr)
-        out += slot.until(now + 1)
+        before = {(int(t), d) for t, d in self.seen.keys()}
+        slot = Slot(symbol, self.rules, {"waiting": one(self.waiting, _OPEN), "trade": one(self.trade, _TRADE), "seen": OrderedDict.fromkeys(sorted(before)), "last": self.last.get() if self.last.exists() else None})
+        for rows in self.ahead.due(now):
+            out: list[dict] = []
+            for ts, rank, bid, ask, direction, strength, price, atr in zip(*(rows[n].to_pylist() for n in _ROW.names if n != "seq"), strict=True):
+                out += slot.until(ts)
+                out += slot.signal(ts, direction, strength, price, atr) if rank else slot.tick(ts, bid, ask)
+            slot.state["seen"] = OrderedDict.fromkeys(k for k in slot.state["seen"] if k[0] >= ts)
+            if out:
+                yield pd.DataFrame(out)
+        out = slot.until(now + 1)
+        slot.state["seen"] = OrderedDict.fromkeys(k for k in slot.state["seen"] if k[0] >= now)
         self._store(slot.state, before)
-        later = [r for r in rows if r[0] > now]
-        self.ahead.put(later) if later else self.ahead.clear()
-        nexts = [r[0] for r in later] + [x for x in (slot.deadline(),) if x is not None]
+        nexts = [x for x in (self.ahead.first, slot.deadline()) if x is not None]
         if nexts:
             self.handle.registerTimer(max(min(nexts), now + 1) * 1000)
         if out:
@@ -192,7 +196,7 @@ class PaperTrader(StatefulProcessor):
             to.update(tuple(state[name][n] for n in _names(schema))) if state[name] else to.clear()
         if state["last"]:
             self.last.update(tuple(state["last"]))
-        now = {(t, d) for t, d in state["seen"]}
+        now = set(state["seen"])
         for k in now - before:
             self.seen.updateValue(k, (k[0],))
         for k in before - now:
