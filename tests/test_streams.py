@@ -11,7 +11,7 @@ import pytest
 from tidemark.operators import bars as batch
 from tidemark.sources import archive, files
 from tidemark.sources.replayed import TickSource
-from tidemark.streaming import bars, live, paper
+from tidemark.streaming import ahead, bars, live, paper
 
 
 def drained(stream, mode, name):
@@ -102,6 +102,24 @@ def test_a_trader_keeps_ids_only_until_they_cannot_come_again():
     assert len(got) == 9 and not states.maps["ahead"]
 
 
+def test_live_indicators_take_what_waits_in_pieces(monkeypatch):
+    monkeypatch.setattr(ahead, "RUN", 64)
+    monkeypatch.setattr(ahead, "PIECE", 16)
+    held, merged = [], ahead.Ahead._sorted
+    monkeypatch.setattr(ahead.Ahead, "_sorted", lambda self, tables: held.append(sum(map(len, tables))) or merged(self, tables))
+    rows = [("G", pd.Timestamp(1 + i // 3, unit="s"), i, float(i % 50)) for i in range(3000)]
+    rows = [*rows[::2], *rows[1::2]]
+    p, states = live.LiveIndicators(60, live.Throttle(0, 0)), States()
+    p.init(states)
+    frames = (pd.DataFrame(rows[i : i + 10], columns=["symbol", "ts", "seq", "price"]) for i in range(0, 3000, 10))
+    assert list(p.handleInputRows(("G",), frames, of_watermark(0))) == [] and max(map(len, states.maps["ahead"].values())) == 1
+    frames = list(p.handleExpiredTimer(("G",), of_watermark(900), None))
+    assert max(map(len, frames)) <= 16 and max(held) < 300  # before, all 2,700 at once
+    assert [(r.at, r.price) for f in frames for r in f.itertuples()] == [(1 + i // 3, float(i % 50)) for i in range(2700)]
+    frames = list(p.handleExpiredTimer(("G",), of_watermark(2000), None))
+    assert [r.at for f in frames for r in f.itertuples()] == [1 + i // 3 for i in range(2700, 3000)] and not states.maps["ahead"]
+
+
 def by_a_loop(rows, rules, upto):
     """The rules said anew, over all rows in order."""
     out = []

@@ -12,16 +12,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.session import typed_state
+from tidemark.streaming.ahead import Ahead
 from tidemark.streaming.bars import changed
 
 ANALYSIS = "symbol string, at long, price double, bar_time long, ema9 double, ema21 double, ema50 double, rsi double, atr double"
 _BAR = "bar_time long, high double, low double, close double"
 _SUMS = "n long, bar_time long, close double, ema9 double, ema21 double, ema50 double, up double, down double, tr double"
-_TICK = "ts long, seq long, price double"
+_TICK = pa.schema({"ts": pa.int64(), "seq": pa.int64(), "price": pa.float64()})
 SPANS = (9, 21, 50)
 
 
@@ -67,47 +69,44 @@ class LiveIndicators(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ahead = handle.getListState("ahead", _TICK)
+        self.ahead = Ahead(handle, ("ts", "seq"), _TICK)
         self.bar, self.sums = handle.getValueState("bar", _BAR), handle.getValueState("sums", _SUMS)
         self.analysed = handle.getValueState("analysed", "at long, price double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        for f in rows:
-            self.ahead.appendList(list(zip((f.ts.astype("datetime64[s]").astype("int64")).tolist(), f.seq.tolist(), f.price.tolist(), strict=True)))
+        self.ahead.add(f.assign(ts=f.ts.astype("datetime64[s]").astype("int64")) for f in rows)
         yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs() // 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         yield from self._upto(key[0], timerValues.getCurrentWatermarkInMs() // 1000)
 
     def _upto(self, symbol: str, now: int) -> Iterator[pd.DataFrame]:
-        rows = list(self.ahead.get()) if self.ahead.exists() else []
         bar = dict(zip(_names(_BAR), self.bar.get(), strict=True)) if self.bar.exists() else None
         sums = dict(zip(_names(_SUMS), self.sums.get(), strict=True)) if self.sums.exists() else {"n": 0, "bar_time": 0} | dict.fromkeys(_names(_SUMS)[2:], 0.0)
         before = dict(zip(("at", "price"), self.analysed.get(), strict=True)) if self.analysed.exists() else {}
-        out = []
-        for t, _, price in sorted(r for r in rows if r[0] <= now):
-            of = t - t % self.seconds
-            new = bar is None or of > bar["bar_time"]
-            if new:
-                if bar:
-                    sums = closed(sums, bar["high"], bar["low"], bar["close"]) | {"bar_time": bar["bar_time"]}
-                bar = {"bar_time": of, "high": price, "low": price, "close": price}
-            else:
-                bar |= {"high": max(bar["high"], price), "low": min(bar["low"], price), "close": price}
-            if changed(before, price, t, new, self.throttle.wait, self.throttle.step):
-                before = {"at": t, "price": price}
-                out.append({"symbol": symbol, "at": t, "price": price, "bar_time": sums["bar_time"] if sums["n"] else None} | shown(sums))
-        later = [r for r in rows if r[0] > now]
-        self.ahead.put(later) if later else self.ahead.clear()
-        if later:
-            self.handle.registerTimer(max(min(r[0] for r in later), now + 1) * 1000)
+        for rows in self.ahead.due(now):
+            out = []
+            for t, price in zip(rows["ts"].to_pylist(), rows["price"].to_numpy().tolist(), strict=True):
+                of = t - t % self.seconds
+                new = bar is None or of > bar["bar_time"]
+                if new:
+                    if bar:
+                        sums = closed(sums, bar["high"], bar["low"], bar["close"]) | {"bar_time": bar["bar_time"]}
+                    bar = {"bar_time": of, "high": price, "low": price, "close": price}
+                else:
+                    bar |= {"high": max(bar["high"], price), "low": min(bar["low"], price), "close": price}
+                if changed(before, price, t, new, self.throttle.wait, self.throttle.step):
+                    before = {"at": t, "price": price}
+                    out.append({"symbol": symbol, "at": t, "price": price, "bar_time": sums["bar_time"] if sums["n"] else None} | shown(sums))
+            if out:
+                yield pd.DataFrame(out).astype({"bar_time": "Int64"})
+        if self.ahead.first is not None:
+            self.handle.registerTimer(max(self.ahead.first, now + 1) * 1000)
         if bar:
             self.bar.update(tuple(bar.values()))
             self.sums.update(tuple(sums[n] for n in _names(_SUMS)))
         if before:
             self.analysed.update((before["at"], before["price"]))
-        if out:
-            yield pd.DataFrame(out).astype({"bar_time": "Int64"})
 
     def close(self) -> None:
         pass
