@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +327,24 @@ def test_bootstrap_is_the_same_for_a_seed(spark):
     assert {(r.max_drawdown, r.ending_r, r.losing_streak) for r in losing} == {(700.0, -7.0, 7)}
 
 
+def test_few_draws_of_a_simulation_are_searched_for(monkeypatch):
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(montecarlo.np, "searchsorted", lambda a, v, side: searched.append(len(v)) or search(a, v, side))
+    monkeypatch.setattr(montecarlo, "CHUNK", 1000)
+    for n, values in ((200_000, np.arange(-60, 41)), (200_001, np.array([-7])), (3, np.array([-2, 5])), (150_000, np.arange(-40_000, 39_999, 3))):
+        upto = np.unique(np.linspace(0, n, len(values) + 1).astype(np.int64)[1:])
+        values = values[: len(upto)]
+        table = montecarlo.lookup(values, upto)
+        searched.clear()
+        got = montecarlo.simulation(3, 42, values, upto, table)
+        assert sum(searched) < 0.1 * n + 1  # before, all
+        r = values[search(upto, np.random.default_rng([42, 3]).integers(0, n, n), "right")]
+        equity = np.cumsum(r)
+        runs = "".join("x" if x < 0 else " " for x in r).split()
+        assert got == (3, float((np.maximum.accumulate(np.maximum(equity, 0)) - equity).max()), int(r.sum()) / 100, max(map(len, runs), default=0))
+
+
+
 def test_tags_and_times(spark):
     context = "array(named_struct('to', 0.4D, 'mfe', 0.1D, 'later', 1.5D), named_struct('to', 0.4D, 'mfe', 0.9D, 'later', 0.2D), named_struct('to', CAST(NULL AS DOUBLE), 'mfe', 0.3D, 'later', 0.2D))[trade_id % 3]"
     t = ledger(spark, [-200, 100, -100, -50]).withColumn("c", F.expr(context)).withColumns({"trend": F.expr("array('RANGE', 'BULLISH', 'BULLISH', 'BEARISH')[trade_id]"), "rsi": F.expr("array(70D, 50D, NULL, 30D)[trade_id]"), "to_resistance": F.col("c.to"), "to_support": F.col("c.to"), "to_ema50": F.lit(None).cast("double"), "mfe": F.col("c.mfe"), "mfe_r": F.col("c.mfe"), "later_r": F.col("c.later")})

@@ -13,8 +13,62 @@ from tidemark.operators.stats import CAPITAL
 
 #: Distinct returns and their counts are broadcast; returns have two decimals, so there are few.
 MOST_VALUES = 1_000_000
-#: Trades drawn at once by a simulation.
-CHUNK = 1 << 20
+#: Trades drawn at once by a simulation: they and what is made of them stay in a core's cache.
+CHUNK = 1 << 16
+#: Stands in a lookup for cells of draws that belong to several returns.
+_MIXED = np.iinfo(np.int64).min
+
+
+def lookup(values: np.ndarray, upto: np.ndarray) -> tuple[int, np.ndarray]:
+    """A shift, and the return of all draws that are the same after it; _MIXED where they have several.
+
+    There are sixteen times as many cells as returns, so few draws are left to be searched for.
+    """
+    n, cells = int(upto[-1]), max(1 << 16, 16 * len(values))
+    shift = max(0, (n // cells).bit_length())
+    first = np.arange(((n - 1) >> shift) + 1, dtype=np.int64) << shift
+    a, b = (np.searchsorted(upto, x, "right") for x in (first, np.minimum(first + (1 << shift) - 1, n - 1)))
+    return shift, np.where(a == b, values[a], _MIXED)
+
+
+def _has_run(loss: np.ndarray, length: int) -> bool:
+    """Whether so many losses follow each other."""
+    run = 1
+    while run < length and len(loss):
+        step = min(run, length - run)
+        loss, run = loss[:-step] & loss[step:], run + step
+    return bool(loss.any())
+
+
+def simulation(sim: int, seed: int, values: np.ndarray, upto: np.ndarray, table: tuple[int, np.ndarray], risk_usd: int = 100) -> tuple[int, float, float, int]:
+    """One simulation: its number, max drawdown, ending return, longest losing run; sums are in whole hundredths."""
+    rng, n, (shift, cell) = np.random.default_rng([seed, sim]), int(upto[-1]), table
+    kind = np.uint32 if n < 1 << 32 else np.int64  # the same draws either way
+    left, total, peak, worst, streak, longest = n, 0, 0, 0, 0, 0
+    while left:
+        m = min(left, CHUNK)
+        draws = rng.integers(0, n, m, dtype=kind)
+        r = cell.take((draws >> shift).astype(np.intp), mode="wrap")
+        search = np.flatnonzero(r == _MIXED)
+        r[search] = values[np.searchsorted(upto, draws[search].astype(np.int64), "right")]
+        equity = np.cumsum(r)
+        equity += total
+        top = np.maximum.accumulate(equity)
+        np.maximum(top, peak, out=top)
+        total, peak, left = int(equity[-1]), int(top[-1]), left - m
+        top -= equity
+        worst = max(worst, int(top.max()))
+        loss = r < 0
+        if loss.all():
+            streak += m
+            longest = max(longest, streak)
+            continue
+        longest = max(longest, streak + int(loss.argmin()))
+        streak = int(loss[::-1].argmin())
+        longest = max(longest, streak)
+        if _has_run(loss, longest + 1):
+            longest = int(np.diff(np.flatnonzero(~loss)).max()) - 1
+    return sim, worst * (risk_usd / 100), total / 100, longest
 
 
 def simulate(trades: DataFrame, simulations: int = 5000, seed: int = 42, capital: int = CAPITAL, risk_usd: int = 100) -> DataFrame:
@@ -22,7 +76,8 @@ def simulate(trades: DataFrame, simulations: int = 5000, seed: int = 42, capital
 
     Returns are counted first, so what is broadcast is their distinct values;
     more than MOST_VALUES of these is an error. A simulation draws and scans its
-    trades in chunks. No trades give no rows.
+    trades in chunks. Drawdowns are the same whatever capital it starts with. No
+    trades give no rows.
     """
     spark = trades.sparkSession
     counted = trades.groupBy("r_h").agg(F.count(F.lit(1)).alias("n")).where("r_h IS NOT NULL").orderBy("r_h")
@@ -34,30 +89,11 @@ def simulate(trades: DataFrame, simulations: int = 5000, seed: int = 42, capital
     values, upto = got.r_h.to_numpy(np.int64), np.cumsum(got.n.to_numpy(np.int64))
     shared = spark.sparkContext.broadcast((values, upto))
 
-    def one(sim: int, values: np.ndarray, upto: np.ndarray) -> tuple:
-        rng = np.random.default_rng([seed, sim])
-        left, equity, peak, worst, streak, longest, total = int(upto[-1]), float(capital), float(capital), 0.0, 0, 0, 0
-        while left:
-            m = min(left, CHUNK)
-            r = values[np.searchsorted(upto, rng.integers(0, upto[-1], m), "right")]
-            e = equity + np.cumsum(r) * (risk_usd / 100)
-            top = np.maximum(np.maximum.accumulate(e), peak)
-            worst = max(worst, float((top - e).max()))
-            loss = r < 0
-            ends = np.flatnonzero(~loss)
-            if len(ends):
-                longest = max(longest, streak + int(ends[0]), int(np.diff(ends).max(initial=1)) - 1)
-                streak = m - 1 - int(ends[-1])
-            else:
-                streak += m
-            longest = max(longest, streak)
-            equity, peak, total, left = float(e[-1]), float(top[-1]), total + int(r.sum()), left - m
-        return sim, worst, total / 100, longest
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, u = shared.value
+        table = lookup(v, u)
         for b in batches:
-            yield pd.DataFrame([one(int(i), v, u) for i in b.id], columns=["sim", "max_drawdown", "ending_r", "losing_streak"])
+            yield pd.DataFrame([simulation(int(i), seed, v, u, table, risk_usd) for i in b.id], columns=["sim", "max_drawdown", "ending_r", "losing_streak"])
 
     tasks = max(1, min(simulations, 4 * spark.sparkContext.defaultParallelism))
     return spark.range(simulations, numPartitions=tasks).mapInPandas(run, "sim long, max_drawdown double, ending_r double, losing_streak long")
