@@ -208,6 +208,19 @@ def test_licences_come_from_the_nearest_directory(spark):
     assert licenses.scan(files.where("path LIKE 'a/x%'")).where("origin <> 'none'").count() == 0
 
 
+def test_licences_of_deep_directories_are_not_broadcast(spark):
+    mit = "Released under the MIT License."
+    top = lambda i: "/".join([f"t{i}", *(f"level{k}" for k in range(100))])
+    rows = [(f"{top(i)}/LICENSE", mit) for i in range(300)] + [(f"{top(i)}/low/x.py", "code") for i in range(0, 300, 30)] + [("t0/x.py", "code")]
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")  # directories with all their ancestors are more
+    try:
+        got = {r.path: (r.licence, r.origin, r.from_dir) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+    assert got == {p: ("MIT", "own", None) if t == mit else (None, "none", None) if p == "t0/x.py" else ("MIT", "inherited", p.removesuffix("/low/x.py")) for p, t in rows}
+
+
 def test_registry_has_one_query_for_each_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
 

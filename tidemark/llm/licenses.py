@@ -204,15 +204,20 @@ def inherit(found: DataFrame) -> DataFrame:
 
     A directory's licence is that of its giving file of the highest score, ties
     by licence name. Only distinct directories are joined with their ancestors.
+    Both joins are merge joins: Spark takes found's compressed files for its size
+    and a row for each directory's ancestors, so it would choose to broadcast many
+    times what it reckons with, and keeps to that when it has counted. Keys of an
+    aggregate pass through max, so that they are dealt out once more for the join
+    and Spark can split a directory of very many files or directories.
     """
     found = found.withColumn("dir", directory(F.col("path")))
-    gives = found.where("gives and licence is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("k"), "licence"))["licence"].alias("handed")).withColumnRenamed("dir", "from_dir")
+    gives = found.where("gives and licence is not null").groupBy("dir").agg(F.max("dir").alias("from_dir"), F.min(F.struct((-F.col("score")).alias("k"), "licence"))["licence"].alias("handed")).drop("dir")
     dirs = found.select("dir").distinct()
     parts = F.split("dir", "/")
     # the root, and each prefix of the parts
     above = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))))
-    nearest = dirs.select("dir", F.explode(above).alias("from_dir")).join(gives, "from_dir").groupBy("dir").agg(F.max_by(F.struct("handed", "from_dir"), F.length("from_dir")).alias("near"))
-    out = found.join(nearest, "dir", "left")
+    nearest = dirs.select("dir", F.explode(above).alias("from_dir")).join(gives.hint("merge"), "from_dir").groupBy("dir").agg(F.max("dir").alias("of"), F.max_by(F.struct("handed", "from_dir"), F.length("from_dir")).alias("near")).select(F.col("of").alias("dir"), "near")
+    out = found.join(nearest.hint("merge"), "dir", "left")
     own = F.col("licence").isNotNull()
     return out.withColumns(
         {
